@@ -35,7 +35,7 @@ def backoff_seconds(retry_count_next: Column) -> Column:
 
 
 def add_seconds(ts: Column, secs: Column) -> Column:
-    return F.timestamp_micros(F.unix_micros(ts) + secs * F.lit(1_000_000))
+    return F.timestamp_micros(F.unix_micros(ts) + secs.cast("bigint") * F.lit(1_000_000).cast("bigint"))
 
 
 def epoch_us(ts: Column) -> Column:

@@ -52,9 +52,12 @@ def claim_chain(df: DataFrame, key: str, clock: str, tiebreak: Sequence[str], ok
     checkpoint_dir(spark)
     ids = list(id_cols or tiebreak)
     okc = F.lit(True) if ok is None else F.coalesce(ok, F.lit(False))
-    src = df if where is None else df.where(where)
-    base = src.select(F.col(key).alias("_k"), F.unix_micros(F.col(clock)).alias("_t"),
-                     *[F.col(c) for c in dict.fromkeys([*tiebreak, *ids])], okc.alias("_ok"))
+    # project the few needed columns once (flags computed a single time), cut lineage, then filter
+    inc = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    base = (df.select(F.col(key).alias("_k"), F.unix_micros(F.col(clock)).alias("_t"),
+                      *[F.col(c) for c in dict.fromkeys([*tiebreak, *ids])], okc.alias("_ok"),
+                      inc.alias("_in"))
+            .checkpoint().where("_in").drop("_in"))
     ev = base.withColumns({"_kind": F.lit(1), "_w": F.lit(1), "_st": F.col("_t")})
     pr = base.where("_ok").withColumns({"_kind": F.lit(0), "_w": F.lit(0),
                                         "_st": F.col("_t") + F.lit(ttl_s * 1_000_000)})

@@ -89,11 +89,10 @@ def python_handler(fn: Callable[[dict], None], columns: list[str]) -> Callable[.
     import pandas as pd
 
     @F.pandas_udf(HANDLER_RESULT)
-    def run(*cols: pd.Series) -> pd.DataFrame:
-        n = len(cols[0])
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        n = len(rows)
         cls, err = [None] * n, [None] * n
-        for i in range(n):
-            row = {c: s.iat[i] for c, s in zip(columns, cols)}
+        for i, row in enumerate(rows.to_dict("records")):
             try:
                 fn(row)
             except BusinessError as e:
@@ -102,7 +101,7 @@ def python_handler(fn: Callable[[dict], None], columns: list[str]) -> Callable[.
                 cls[i], err[i] = K.EC_PANIC, K.PANIC + str(e)
         return pd.DataFrame({"error_class": cls, "error": err})
 
-    return lambda: run(*[F.col(c) for c in columns])
+    return lambda: run(F.struct(*[F.col(c) for c in columns]))
 
 
 class BusinessError(Exception):

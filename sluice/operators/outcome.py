@@ -86,12 +86,13 @@ def jtime(c: Column) -> Column:
 
 
 def payload_json(value_str: Column) -> Column:
-    """The original message as JSON: embedded raw when it is one JSON value, else as a string.
+    """The original message as JSON: embedded (compacted) when it is one JSON value, else as a string.
 
     (A typed encoder fails on non-JSON raw bytes and the record is lost; keeping
     it as a string is a deliberate improvement.)
     """
-    return F.when(J.is_single_json_value(value_str), value_str).otherwise(J.json_string(value_str))
+    return F.when(J.is_single_json_value(value_str), F.get_json_object(value_str, "$")) \
+        .otherwise(J.json_string(value_str))
 
 
 def to_raw_dlq_record(df: DataFrame, clock_col: str = "clock") -> DataFrame:

@@ -147,17 +147,21 @@ def parse_retry_envelope(raw: DataFrame, value_col: str = "value") -> DataFrame:
     def tm(name):
         return F.when(k[name] == "string", parse_rfc3339(F.variant_get(e[name], "$", "string")))
 
+    ok = F.col("decode_error").isNull()
+    # a decode error yields the zero envelope
+    k = F.when(ok, F.col("_k"))
     df = df.withColumns({
         "version": _int(e["version"], k["version"]), "event_id": _str(e["eventId"], k["eventId"]),
         "event_type": _str(e["eventType"], k["eventType"]), "tenant_id": _str(e["tenantId"], k["tenantId"]),
-        "event_ts": tm("timestamp"), "data_json": _raw_json(t, e["data"], k["data"]),
+        "event_ts": tm("timestamp"), "data_json": F.when(ok, _raw_json(t, e["data"], k["data"])),
         "original_topic": _str(e["originalTopic"], k["originalTopic"]),
         "retry_count": _int(e["retryCount"], k["retryCount"]),
         "failure_reason": _str(e["failureReason"], k["failureReason"]),
         "first_failure_time": tm("firstFailureTime"),
         "last_failure_time": tm("lastFailureTime"), "next_retry_after": tm("nextRetryAfter"),
         # a time that is JSON null or absent is the zero time
-        "next_retry_zero": k["nextRetryAfter"].isNull() | (k["nextRetryAfter"] == "null"),
+        "next_retry_zero": F.coalesce(k["nextRetryAfter"].isNull() | (k["nextRetryAfter"] == "null"),
+                                      F.lit(True)),
     }).drop("_env", "_k")
     reason = (F.when(F.col("decode_error").isNotNull(),
                      F.concat(F.lit(K.INVALID_RETRY_ENVELOPE + K.UNMARSHAL_RETRY), F.col("decode_error")))

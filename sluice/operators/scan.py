@@ -73,11 +73,16 @@ def _local_rank(key_cols: Sequence[str], weight: str | None = None):
 
 
 def sorted_local_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                      checkpoint: bool = True, weight: str | None = None) -> DataFrame:
+                      checkpoint: bool = False, weight: str | None = None) -> DataFrame:
     """Globally sort by (keys, order) and number rows per key run inside each partition.
 
     Adds ``_part`` (partition index), ``_pos`` (row position in the partition)
     and ``_lrn`` (1-based position of the row in its key run in this partition).
+
+    Used twice in one plan (rows and per-partition summary), the range exchange
+    is reused; a recomputation gives the same bytes because range bounds come
+    from seeded sampling and the order is total. ``checkpoint=True`` writes the
+    sorted rows to the shared checkpoint folder instead (cuts a long lineage).
     """
     cols = [*keys, *order]
     s = df.repartitionByRange(*cols).sortWithinPartitions(*cols)
@@ -101,17 +106,18 @@ def carry_offsets(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
     running sum over a table of at most two rows per partition.
     """
     key_struct = F.struct(*[F.col(k) for k in keys])
-    summ = ranked.groupBy(PART).agg(
-        F.min_by(key_struct, F.col(POS)).alias("first_key"),
-        F.max_by(key_struct, F.col(POS)).alias("last_key"),
+    summ = ranked.select(PART, POS, LRN, key_struct.alias("_ks")).groupBy(PART).agg(
+        F.min_by(F.col("_ks"), F.col(POS)).alias("first_key"),
+        F.max_by(F.col("_ks"), F.col(POS)).alias("last_key"),
         F.max_by(F.col(LRN), F.col(POS)).alias("last_run"))
-    contrib = summ.select(F.col(PART).alias("p"), F.col("last_key").alias("k"),
-                          F.lit(1).alias("kind"), F.col("last_run").alias("c"))
-    lookup = summ.select(F.col(PART).alias("p"), F.col("first_key").alias("k"),
-                         F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("c"))
+    # two rows per partition: its tail run (contributes) and its first key (looks up)
+    both = summ.select(F.col(PART).alias("p"), F.explode(F.array(
+        F.struct(F.col("last_key").alias("k"), F.lit(1).alias("kind"), F.col("last_run").alias("c")),
+        F.struct(F.col("first_key").alias("k"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("c"))
+    )).alias("r")).select("p", "r.k", "r.kind", "r.c")
     w = (Window.partitionBy("k").orderBy("p", "kind")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    both = contrib.unionByName(lookup).withColumn("_offset", F.sum("c").over(w))
+    both = both.withColumn("_offset", F.sum("c").over(w))
     return both.where(F.col("kind") == 0).select(
         F.col("p").alias(PART), F.col("k").alias("_first_key"), F.col("_offset").cast("bigint"))
 

@@ -247,7 +247,8 @@ IDS = 'topic, partition, "offset"'
 
 
 def q(ctes: str, body: str) -> str:
-    return "WITH RECURSIVE " + MSGS + "," + ctes.rstrip().rstrip(",") + "\n" + body
+    extra = ctes.strip().rstrip(",")
+    return "WITH RECURSIVE " + MSGS + ("," + extra if extra else "") + "\n" + body
 
 
 QUERIES["parse_envelope"] = q(PARSED, f"""
@@ -278,3 +279,321 @@ QUERIES["classify_outcome"] = q(TRIAGED, f"""
 SELECT {IDS}, event_id, outcome, reason, sink_topic FROM classified""")
 QUERIES["run_triage"] = q(TRIAGED, """
 SELECT tenant_id, topic, outcome, reason, count(*) AS n FROM classified GROUP BY ALL""")
+
+
+# ======================================================= retry path & records
+def _jstr(x: str) -> str:
+    return f"coalesce(CAST(to_json(CAST({x} AS VARCHAR)) AS VARCHAR), 'null')"
+
+
+def _jtime(us: str) -> str:
+    return (f"CASE WHEN {us} IS NULL THEN '\"0001-01-01T00:00:00Z\"' ELSE '\"' || "
+            f"regexp_replace(regexp_replace(strftime(make_timestamp({us}), '%Y-%m-%dT%H:%M:%S.%f'), '0+$', ''), "
+            f"'\\.$', '') || 'Z\"' END")
+
+
+def _payload(v: str) -> str:
+    return f"CASE WHEN json_valid({v}) THEN CAST(json({v}) AS VARCHAR) ELSE {_jstr(v)} END"
+
+
+BACKOFF = "[30, 60, 300, 900, 1800][greatest(1, least(retry_count + 1, 5))]"
+
+RETRY_JSON = ("'{\"version\":' || CAST(version AS VARCHAR) || ',\"eventId\":' || " + _jstr("event_id")
+              + " || ',\"eventType\":' || " + _jstr("event_type") + " || ',\"tenantId\":' || "
+              + _jstr("tenant_id") + " || ',\"timestamp\":' || " + _jtime("event_ts_us")
+              + " || ',\"data\":' || coalesce(data_json, 'null') || ',\"originalTopic\":' || " + _jstr("topic")
+              + " || ',\"retryCount\":' || CAST(retry_count + 1 AS VARCHAR) || ',\"failureReason\":' || "
+              + _jstr("error") + " || ',\"firstFailureTime\":' || " + _jtime("coalesce(first_failure_us, clock_us)")
+              + " || ',\"lastFailureTime\":' || " + _jtime("clock_us") + " || ',\"nextRetryAfter\":' || "
+              + _jtime(f"clock_us + {BACKOFF} * 1000000") + " || '}'")
+
+RAW_DLQ_JSON = ("'{\"originalPayload\":' || " + _payload("value") + " || ',\"topic\":' || " + _jstr("topic")
+                + " || ',\"partition\":' || CAST(partition AS VARCHAR) || ',\"offset\":' || CAST(\"offset\" AS VARCHAR)"
+                + " || ',\"eventType\":\"\",\"tenantId\":\"\",\"eventId\":\"\",\"failureReason\":' || "
+                + _jstr("reason") + " || ',\"retryCount\":0,\"timestamp\":' || " + _jtime("clock_us") + " || '}'")
+
+EVENT_DLQ_JSON = ("'{\"originalPayload\":' || " + _payload("value") + " || ',\"topic\":' || " + _jstr("topic")
+                  + " || ',\"partition\":' || CAST(partition AS VARCHAR) || ',\"offset\":' || CAST(\"offset\" AS VARCHAR)"
+                  + " || ',\"eventType\":' || " + _jstr("event_type") + " || ',\"tenantId\":' || " + _jstr("tenant_id")
+                  + " || ',\"eventId\":' || " + _jstr("event_id") + " || ',\"failureReason\":' || " + _jstr("reason")
+                  + " || ',\"retryCount\":' || CAST(CASE WHEN processor IS NULL OR lanes IS NULL THEN 0 ELSE retry_count END AS VARCHAR)"
+                  + " || ',\"timestamp\":' || " + _jtime("clock_us") + " || '}'")
+
+RETRY_FIELDS_SQL = [("version", "int"), ("eventId", "string"), ("eventType", "string"), ("tenantId", "string"),
+                    ("timestamp", "time"), ("data", "raw"), ("originalTopic", "string"), ("retryCount", "int"),
+                    ("failureReason", "string"), ("firstFailureTime", "time"), ("lastFailureTime", "time"),
+                    ("nextRetryAfter", "time")]
+
+
+def _time_err(n: str) -> str:
+    k = f"k_{n}"
+    s = f"json_extract_string(value, '$.{n}')"
+    return (f"CASE WHEN {k} IS NULL OR {k} = 'null' THEN NULL WHEN {k} <> 'string' "
+            f"THEN 'Time.UnmarshalJSON: input is not a JSON string' "
+            f"WHEN ({_rfc(s)}) IS NULL THEN 'parsing time \"' || {s} || '\": not RFC 3339' END")
+
+
+def _rerr(n, t):
+    if t in ("int", "string"):
+        return _field_err(f"k_{n}", f"$.{n}", "RetryEnvelope", n, t)
+    if t == "time":
+        return _time_err(n)
+    return None
+
+
+def _rtime(n: str) -> str:
+    return f"CASE WHEN k_{n} = 'string' THEN {_rfc(f'json_extract_string(value, {chr(39)}$.{n}{chr(39)})')} END"
+
+
+def _rs(n: str) -> str:
+    return f"CASE WHEN k_{n} = 'string' THEN json_extract_string(value, '$.{n}') ELSE '' END"
+
+
+def _ri(n: str) -> str:
+    return f"CASE WHEN k_{n} = 'int' THEN CAST(json_extract(value, '$.{n}') AS BIGINT) ELSE 0 END"
+
+
+RETRY_LOG = TRIAGED + r""",
+retry_out AS (SELECT *, """ + RETRY_JSON + r""" AS rvalue,
+    """ + BACKOFF + r""" AS backoff_s FROM classified WHERE outcome = 'retry'),
+rlog0 AS (
+  SELECT topic || '.retry' AS topic, partition, tenant_id AS key, rvalue AS value, clock_us AS ts_us,
+         topic AS src_topic, "offset" AS src_offset FROM retry_out
+  UNION ALL
+  SELECT 'payments.retry', partition, key, value, epoch_us("timestamp"), topic, "offset"
+  FROM msgs WHERE topic = 'payments' AND source_id % 11 = 0),
+rlog AS (SELECT topic, partition, key, value, ts_us,
+    CAST(row_number() OVER (PARTITION BY topic, partition ORDER BY ts_us, src_topic, src_offset) - 1 AS BIGINT) AS "offset"
+  FROM rlog0),
+r0 AS (SELECT *, json_valid(value) AS valid FROM rlog),
+r1 AS (SELECT *,
+    CASE WHEN valid THEN """ + _kind("json_type(value)") + """ END AS k_top,
+    """ + _kinds_select(RETRY_FIELDS_SQL) + """
+  FROM r0),
+r2 AS (SELECT *,
+    CASE WHEN trim(value) = '' THEN 'unexpected end of JSON input'
+         WHEN NOT valid THEN 'malformed JSON'
+         WHEN k_top NOT IN ('object', 'null') THEN 'json: cannot unmarshal ' || """ + _word("k_top") + """
+              || ' into Go value of type retry.RetryEnvelope'
+         ELSE coalesce(""" + ",\n           ".join(
+    e for e in (_rerr(n, t) for n, t in RETRY_FIELDS_SQL) if e) + """) END AS decode_error
+  FROM r1),
+rparsed AS (SELECT *,
+    """ + _ri("version") + """ AS version, """ + _rs("eventId") + """ AS event_id,
+    """ + _rs("eventType") + """ AS event_type, """ + _rs("tenantId") + """ AS tenant_id,
+    """ + _rtime("timestamp") + """ AS event_ts_us,
+    CASE WHEN k_data IS NULL THEN NULL WHEN k_data = 'null' THEN 'null'
+         ELSE CAST(json_extract(value, '$.data') AS VARCHAR) END AS data_json,
+    """ + _rs("originalTopic") + """ AS original_topic, """ + _ri("retryCount") + """ AS retry_count,
+    """ + _rs("failureReason") + """ AS failure_reason, """ + _rtime("firstFailureTime") + """ AS first_failure_us,
+    """ + _rtime("nextRetryAfter") + """ AS next_retry_after_us,
+    (k_nextRetryAfter IS NULL OR k_nextRetryAfter = 'null') AS next_retry_zero
+  FROM r2),
+rvalid AS (SELECT *,
+    CASE WHEN decode_error IS NOT NULL THEN 'invalid retry envelope: unmarshal retry envelope: ' || decode_error
+         WHEN event_id = '' OR original_topic = '' THEN 'invalid retry envelope: invalid retry envelope: missing eventId or originalTopic'
+    END AS retry_error
+  FROM rparsed),
+sched AS (SELECT event_id,
+    arg_max(struct_pack(
+      due_s := CASE WHEN next_retry_zero THEN -62135596800 ELSE CAST(floor(next_retry_after_us / 1000000) AS BIGINT) END,
+      scheduled_at_us := ts_us, original_topic := original_topic, version := version, event_type := event_type,
+      tenant_id := tenant_id, event_ts_us := event_ts_us, data_json := data_json, retry_count := retry_count,
+      failure_reason := failure_reason, first_failure_us := first_failure_us),
+      struct_pack(a := ts_us, b := topic, c := partition, d := "offset")) AS s
+  FROM rvalid WHERE retry_error IS NULL GROUP BY event_id),
+schedule AS (SELECT event_id, s.* FROM sched)"""
+
+
+def _epoch(ts_text: str) -> str:
+    return f"CAST(floor(epoch_us(TIMESTAMPTZ '{ts_text}') / 1000000) AS BIGINT)"
+
+
+NOW_DUE, NOW_TICK1, NOW_TICK2 = "2024-01-16 00:00:00+00", "2024-01-10 00:00:00+00", "2024-01-20 00:00:00+00"
+
+
+def _due(now: str, src: str = "schedule") -> str:
+    return (f"SELECT * FROM {src} WHERE due_s >= 0 AND due_s <= {_epoch(now)} "
+            f"ORDER BY due_s, event_id LIMIT 500")
+
+
+REPUBLISH_JSON = ("'{\"version\":' || CAST(version AS VARCHAR) || ',\"eventId\":' || " + _jstr("event_id")
+                  + " || ',\"eventType\":' || " + _jstr("event_type") + " || ',\"tenantId\":' || " + _jstr("tenant_id")
+                  + " || ',\"timestamp\":' || " + _jtime("event_ts_us") + " || ',\"data\":' || coalesce(data_json, 'null')"
+                  + " || ',\"retryCount\":' || CAST(retry_count AS VARCHAR) || ',\"failureReason\":' || "
+                  + _jstr("failure_reason") + " || ',\"firstFailureTime\":' || " + _jtime("first_failure_us") + " || '}'")
+
+QUERIES["split_retry_topics"] = q(RETRY_LOG, """
+SELECT topic, CASE WHEN topic LIKE '%.retry' THEN 'schedule' ELSE 'process' END AS path, count(*) AS n
+FROM (SELECT topic FROM msgs UNION ALL SELECT topic FROM rlog) GROUP BY ALL""")
+QUERIES["invalid_envelopes"] = q(PARSED, f"""
+SELECT {IDS}, envelope_error AS reason FROM validated WHERE envelope_error IS NOT NULL""")
+QUERIES["to_raw_dlq_record"] = q(PARSED, f"""
+SELECT {IDS}, key AS sink_key, {RAW_DLQ_JSON.replace('_jstr_reason', '')} AS sink_value,
+       json_valid(value) AS payload_is_json
+FROM (SELECT *, envelope_error AS reason FROM validated WHERE envelope_error IS NOT NULL)""")
+QUERIES["write_dlq_raw"] = q(RETRY_LOG, f"""
+SELECT topic || '.dlq' AS sink_topic, key AS sink_key, {RAW_DLQ_JSON} AS sink_value
+FROM (SELECT topic, partition, "offset", key, value, clock_us, envelope_error AS reason FROM validated
+      WHERE envelope_error IS NOT NULL
+      UNION ALL
+      SELECT topic, partition, "offset", key, value, ts_us, retry_error FROM rvalid WHERE retry_error IS NOT NULL)""")
+QUERIES["to_dlq_record"] = q(TRIAGED, f"""
+SELECT {IDS}, tenant_id AS sink_key, {EVENT_DLQ_JSON} AS sink_value FROM classified WHERE dlq_kind = 'event'""")
+QUERIES["write_dlq"] = q(TRIAGED, f"""
+SELECT sink_topic, CASE WHEN dlq_kind = 'raw' THEN key ELSE tenant_id END AS sink_key,
+       CASE WHEN dlq_kind = 'raw' THEN {RAW_DLQ_JSON} ELSE {EVENT_DLQ_JSON} END AS sink_value
+FROM classified WHERE outcome = 'dlq'""")
+QUERIES["to_retry_envelope"] = q(RETRY_LOG, f"""
+SELECT {IDS}, tenant_id AS sink_key, rvalue AS sink_value FROM retry_out""")
+QUERIES["write_retry"] = q(RETRY_LOG, """
+SELECT sink_topic, tenant_id AS sink_key, rvalue AS sink_value FROM retry_out""")
+QUERIES["parse_visit_approved"] = q(HANDLED, f"""
+SELECT {IDS},
+  CASE WHEN json_type(value, '$.data.visitId') = 'VARCHAR' THEN json_extract_string(value, '$.data.visitId') END AS visit_id,
+  CASE WHEN json_type(value, '$.data.agentId') = 'VARCHAR' THEN json_extract_string(value, '$.data.agentId') END AS agent_id,
+  CASE WHEN json_type(value, '$.data.caseId') = 'VARCHAR' THEN json_extract_string(value, '$.data.caseId') END AS case_id,
+  CASE WHEN json_type(value, '$.data.approvedAt') = 'VARCHAR' THEN json_extract_string(value, '$.data.approvedAt') END AS approved_at,
+  CASE WHEN visit_err IS NOT NULL THEN 'business validation: invalid VISIT_APPROVED data: ' || visit_err END AS payload_error
+FROM h0 WHERE routed AND processor = 'VISIT_APPROVED'""")
+QUERIES["parse_notification_triggered"] = q(HANDLED, f"""
+SELECT {IDS},
+  CASE WHEN json_type(value, '$.data.notificationId') = 'VARCHAR' THEN json_extract_string(value, '$.data.notificationId') END AS notification_id,
+  CASE WHEN json_type(value, '$.data.recipientId') = 'VARCHAR' THEN json_extract_string(value, '$.data.recipientId') END AS recipient_id,
+  CASE WHEN json_type(value, '$.data.channel') = 'VARCHAR' THEN json_extract_string(value, '$.data.channel') END AS channel,
+  CASE WHEN json_type(value, '$.data.templateId') = 'VARCHAR' THEN json_extract_string(value, '$.data.templateId') END AS template_id,
+  CASE WHEN json_type(value, '$.data') = 'OBJECT' THEN CAST(json_extract(value, '$.data.payload') AS VARCHAR) END AS payload_json,
+  CASE WHEN notif_err IS NOT NULL THEN 'business validation: invalid NOTIFICATION_TRIGGERED data: ' || notif_err END AS payload_error
+FROM h0 WHERE routed AND processor = 'NOTIFICATION_TRIGGERED'""")
+QUERIES["parse_retry_envelope"] = q(RETRY_LOG, f"""
+SELECT {IDS}, event_id, original_topic, retry_count, failure_reason, first_failure_us, next_retry_after_us,
+       retry_error AS reason FROM rvalid""")
+QUERIES["invalid_retry_envelopes"] = q(RETRY_LOG, f"""
+SELECT {IDS}, retry_error AS reason FROM rvalid WHERE retry_error IS NOT NULL""")
+QUERIES["to_republish_envelope"] = q(RETRY_LOG, f"""
+SELECT event_id, original_topic AS sink_topic, tenant_id AS sink_key, {REPUBLISH_JSON} AS sink_value
+FROM ({_due(NOW_DUE)})""")
+QUERIES["write_republished"] = q(RETRY_LOG, f"""
+SELECT original_topic AS sink_topic, tenant_id AS sink_key, {REPUBLISH_JSON} AS sink_value
+FROM ({_due(NOW_DUE)})""")
+
+# ------------------------------------------------------------ scalar logic ---
+RAN = "classified WHERE routed AND dedup_status = 'claimed'"
+QUERIES["is_retriable"] = q(TRIAGED, f"""
+SELECT {IDS}, error_class,
+  (error_class IS NOT NULL AND error_class NOT IN ('invalid_envelope', 'business_validation',
+   'unknown_event_type', 'no_pool')) AS retriable
+FROM {RAN} AND error IS NOT NULL""")
+QUERIES["should_retry"] = q(TRIAGED, f"""
+SELECT {IDS}, retry_count, retry_count < 5 AS should_retry FROM {RAN} AND error IS NOT NULL""")
+QUERIES["next_retry_after"] = q(RETRY_LOG, f"""
+SELECT {IDS}, retry_count + 1 AS retry_count_next, CAST(backoff_s AS BIGINT) AS backoff_s,
+       clock_us + backoff_s * 1000000 AS next_retry_after_us FROM retry_out""")
+QUERIES["carry_failure_history"] = q(RETRY_LOG, f"""
+SELECT {IDS}, coalesce(first_failure_us, clock_us) AS first_failure_us, clock_us AS last_failure_us,
+       error AS failure_reason FROM retry_out""")
+QUERIES["derived_topic"] = q("", f"""
+SELECT {IDS}, topic || '.retry' AS retry_topic, topic || '.dlq' AS dlq_topic FROM msgs""")
+QUERIES["lane_id"] = q(HANDLED, f"""
+SELECT {IDS}, affinity_key, lanes, lane FROM handled WHERE routed""")
+QUERIES["apply_handlers"] = q(HANDLED, f"""
+SELECT {IDS}, processor, error_class, error FROM handled WHERE routed""")
+
+# --------------------------------------------------------------- stateful ---
+QUERIES["dedup_claims"] = q(HANDLED + _fold("true"), f"""
+SELECT {IDS}, event_id, dedup_status FROM dedup WHERE routed""")
+QUERIES["dedup_release"] = q(TRIAGED, f"""
+SELECT {IDS}, event_id, dedup_status FROM dedup WHERE routed""")
+QUERIES["schedule_retries"] = q(RETRY_LOG, """
+SELECT event_id, due_s, scheduled_at_us, original_topic, retry_count FROM schedule""")
+QUERIES["due_retries"] = q(RETRY_LOG, f"""
+SELECT event_id, due_s, original_topic FROM ({_due(NOW_DUE)})""")
+QUERIES["release_due_once"] = q(RETRY_LOG, f"""
+SELECT event_id, due_s, original_topic FROM ({_due(NOW_TICK2, f"(SELECT * FROM schedule WHERE event_id NOT IN (SELECT event_id FROM ({_due(NOW_TICK1)})))")})""")
+QUERIES["expire_schedules"] = q(RETRY_LOG, f"""
+SELECT event_id, due_s, scheduled_at_us, 'retry payload expired before release' AS reason
+FROM schedule WHERE event_id NOT IN (SELECT event_id FROM ({_due(NOW_TICK1)}))
+  AND epoch_us(TIMESTAMPTZ '{NOW_TICK2}') >= scheduled_at_us + 86400000000""")
+QUERIES["reschedule_failed"] = q(RETRY_LOG, f"""
+SELECT event_id, CAST(floor((epoch_us(TIMESTAMPTZ '{NOW_DUE}') + 15000000) / 1000000) AS BIGINT) AS due_s,
+       epoch_us(TIMESTAMPTZ '{NOW_DUE}') + 15000000 AS next_retry_after_us
+FROM ({_due(NOW_DUE)}) WHERE CAST(substr(event_id, 2) AS BIGINT) % 17 = 0""")
+QUERIES["ordered_by_affinity"] = q(HANDLED, f"""
+SELECT {IDS}, affinity_key,
+  row_number() OVER (PARTITION BY topic, affinity_key ORDER BY clock_us, topic, partition, "offset") AS seq
+FROM handled WHERE routed""")
+
+AS_OF, LAST_FLUSH = "2024-01-15 12:00:00+00", "2024-01-15 11:00:00+00"
+
+
+def _progress(as_of: str) -> str:
+    return (f"(SELECT {IDS}, (epoch_us(\"timestamp\") + CAST(duration_s * 60 * 1000000 AS BIGINT)) "
+            f"<= epoch_us(TIMESTAMPTZ '{as_of}') AS completed FROM msgs "
+            f"WHERE epoch_us(\"timestamp\") <= epoch_us(TIMESTAMPTZ '{as_of}'))")
+
+
+def _frontier(as_of: str) -> str:
+    return (f"(SELECT topic, partition, first_offset, coalesce(first_open - 1, last_offset) AS committable FROM "
+            f"(SELECT topic, partition, min(\"offset\") AS first_offset, max(\"offset\") AS last_offset, "
+            f"min(\"offset\") FILTER (WHERE NOT completed) AS first_open FROM {_progress(as_of)} GROUP BY ALL) "
+            f"WHERE coalesce(first_open - 1, last_offset) >= first_offset)")
+
+
+QUERIES["committable_offsets"] = q("", f"SELECT * FROM {_frontier(AS_OF)}")
+QUERIES["committable_offsets_strict"] = q("", f"""
+SELECT topic, partition, first_offset, committable FROM (
+  SELECT topic, partition, first_offset,
+         coalesce(first_offset + min(rn) FILTER (WHERE NOT good) - 2, max("offset")) AS committable
+  FROM (SELECT *, completed AND ("offset" - rn = first_offset - 1) AS good FROM (
+          SELECT *, row_number() OVER (PARTITION BY topic, partition ORDER BY "offset") AS rn,
+                 min("offset") OVER (PARTITION BY topic, partition) AS first_offset
+          FROM {_progress(AS_OF)}))
+  GROUP BY topic, partition, first_offset)
+WHERE committable >= first_offset""")
+QUERIES["newly_committable"] = q("", f"""
+SELECT c.topic, c.partition, c.committable, l.committable AS last_committed
+FROM {_frontier(AS_OF)} c LEFT JOIN {_frontier(LAST_FLUSH)} l ON c.topic = l.topic AND c.partition = l.partition
+WHERE l.committable IS NULL OR c.committable > l.committable""")
+QUERIES["in_flight"] = q("", f"""
+SELECT topic, partition, count(*) AS tracked, count(*) FILTER (WHERE NOT completed) AS in_flight
+FROM {_progress(AS_OF)} GROUP BY ALL""")
+QUERIES["consumer_lag"] = q("", f"""
+SELECT g.topic, g.partition, g.last_offset - coalesce(c.committable, g.first_offset - 1) AS lag
+FROM (SELECT topic, partition, min("offset") AS first_offset, max("offset") AS last_offset
+      FROM {_progress(AS_OF)} GROUP BY ALL) g
+LEFT JOIN {_frontier(AS_OF)} c ON c.topic = g.topic AND c.partition = g.partition""")
+
+# ---------------------------------------------------------------- metrics ---
+QUERIES["messages_received"] = q(TRIAGED, """
+SELECT topic, tenant_id, count(*) AS n FROM classified WHERE routed GROUP BY ALL""")
+QUERIES["messages_processed"] = q(TRIAGED, f"""
+SELECT topic, event_type, tenant_id, count(*) AS n FROM {RAN} AND error IS NULL GROUP BY ALL""")
+QUERIES["messages_failed"] = q(TRIAGED, f"""
+SELECT topic, event_type, tenant_id, reason, count(*) AS n FROM (
+  SELECT topic, event_type, tenant_id, 'processing_error' AS reason FROM {RAN} AND error IS NOT NULL
+  UNION ALL
+  SELECT topic, event_type, tenant_id, 'panic' FROM {RAN} AND error_class = 'panic') GROUP BY ALL""")
+QUERIES["messages_retried"] = q(TRIAGED, """
+SELECT topic, event_type, tenant_id, count(*) AS n FROM classified WHERE outcome = 'retry' GROUP BY ALL""")
+QUERIES["messages_dlq"] = q(TRIAGED, """
+SELECT topic, event_type, tenant_id, count(*) AS n FROM classified
+WHERE outcome = 'dlq' AND dlq_kind = 'event' GROUP BY ALL""")
+_LES = ["0.005", "0.01", "0.025", "0.05", "0.1", "0.25", "0.5", "1.0", "2.5", "5.0", "10.0"]
+QUERIES["processing_duration"] = q(TRIAGED, f"""
+SELECT topic, event_type, processor, b.le, b.bucket_count, total_count, total_sum FROM (
+  SELECT topic, event_type, processor, count(*) AS total_count, round(sum(duration_s), 6) AS total_sum,
+    [{", ".join(f"{{'le': '{le}', 'bucket_count': count(*) FILTER (WHERE duration_s <= {le})}}" for le in _LES)},
+     {{'le': '+Inf', 'bucket_count': count(*)}}] AS bs
+  FROM {RAN} GROUP BY ALL) t, unnest(t.bs) AS u(b)""")
+QUERIES["lane_load"] = q(TRIAGED, """
+SELECT topic, lane, sum(c) AS n, count(*) AS keys, max({'c': c, 'k': affinity_key}).k AS top_key,
+       max({'c': c, 'k': affinity_key}).c AS top_key_n
+FROM (SELECT topic, lane, affinity_key, count(*) AS c FROM classified WHERE routed GROUP BY ALL) GROUP BY ALL""")
+QUERIES["safe_handler"] = q(HANDLED, f"""
+SELECT {IDS}, processor,
+  CASE WHEN processor = 'VISIT_APPROVED' THEN CASE WHEN fault = 'panic' THEN 'panic' END
+       WHEN notif_err IS NOT NULL THEN 'business_validation' END AS error_class,
+  CASE WHEN processor = 'VISIT_APPROVED' THEN CASE WHEN fault = 'panic' THEN 'panic: simulated handler panic' END
+       WHEN notif_err IS NOT NULL THEN 'business validation: invalid NOTIFICATION_TRIGGERED data: ' || notif_err
+  END AS error
+FROM h0 WHERE routed""")

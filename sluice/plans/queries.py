@@ -35,8 +35,23 @@ def us(c: str | F.Column) -> F.Column:
 
 
 # ------------------------------------------------------------------ shared ---
+# Derived tables shared by many queries are materialised once per session and
+# folder in the shared checkpoint folder (a written table, reliable on a cluster).
+_MEMO: dict = {}
+MEMOIZE = True
+
+
+def _memo(spark, sf_dir, name, build):
+    if not MEMOIZE:
+        return build()
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
+    if key not in _MEMO:
+        _MEMO[key] = build().checkpoint(eager=True)
+    return _MEMO[key]
+
+
 def _messages(spark, sf_dir):
-    return fixture_messages(spark, sf_dir)
+    return _memo(spark, sf_dir, "messages", lambda: fixture_messages(spark, sf_dir))
 
 
 def _validated(spark, sf_dir):
@@ -49,8 +64,9 @@ def _prepared(spark, sf_dir):
 
 
 def _triaged(spark, sf_dir, dedup=True):
-    return TR.run_triage(_messages(spark, sf_dir), R.registry_frame(spark), R.topics_frame(spark),
-                         fault_col="fault", dedup=dedup)
+    return _memo(spark, sf_dir, f"triaged{dedup}", lambda: TR.run_triage(
+        _messages(spark, sf_dir), R.registry_frame(spark), R.topics_frame(spark), fault_col="fault",
+        dedup=dedup).drop("data"))
 
 
 # ------------------------------------------------------- A. sources/sinks ---
@@ -77,10 +93,8 @@ def validate_envelope(spark, sf_dir):
 
 @query
 def invalid_envelopes(spark, sf_dir):
-    bad = P.invalid_envelopes(_validated(spark, sf_dir)).withColumn("reason", F.col("envelope_error"))
-    rec = O.to_raw_dlq_record(bad)
-    return rec.select(*IDS, "reason", "payload_is_json", "sink_key",
-                      O.derived_topic(F.col("topic"), K.DLQ_SUFFIX).alias("sink_topic"), "sink_value")
+    bad = P.invalid_envelopes(_validated(spark, sf_dir))
+    return bad.select(*IDS, F.col("envelope_error").alias("reason"))
 
 
 @query
@@ -148,5 +162,306 @@ def run_triage(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+# ------------------------------------------------ retry path and records ---
+NOW_DUE = "2024-01-16T00:00:00Z"      # clock of the scheduler tick in the due queries
+NOW_TICK1 = "2024-01-10T00:00:00Z"    # an earlier tick (releases first)
+NOW_TICK2 = "2024-01-20T00:00:00Z"
+AS_OF = "2024-01-15T12:00:00Z"        # progress snapshot
+LAST_FLUSH = "2024-01-15T11:00:00Z"   # previous frontier flush
+BACKLOG_S_PER_DURATION_S = 60         # simulated completion: timestamp + duration_s * 60 s
+REPUBLISH_FAIL_EVERY = 17             # fixture: republish fails for ids whose number % 17 == 0
+
+
+def ts(s: str) -> F.Column:
+    return F.lit(s).cast("timestamp")
+
+
+def _retry_log(spark, sf_dir):
+    from sluice.sources.fixtures import retry_log
+    return _memo(spark, sf_dir, "retry_log",
+                 lambda: retry_log(_triaged(spark, sf_dir), _messages(spark, sf_dir)))
+
+
+def _parsed_retry(spark, sf_dir):
+    return P.parse_retry_envelope(_retry_log(spark, sf_dir)).withColumn("clock", F.col("timestamp"))
+
+
+def _schedule(spark, sf_dir):
+    from sluice.operators.retry import schedule_retries as sched
+    return sched(_parsed_retry(spark, sf_dir))
+
+
+@query
+def split_retry_topics(spark, sf_dir):
+    cols = ["topic", "partition", "offset", "value"]
+    log = _messages(spark, sf_dir).select(*cols).unionByName(_retry_log(spark, sf_dir).select(*cols))
+    return with_path(log).groupBy("topic", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def to_raw_dlq_record(spark, sf_dir):
+    bad = P.invalid_envelopes(_validated(spark, sf_dir)).withColumn("reason", F.col("envelope_error"))
+    return O.to_raw_dlq_record(bad).select(*IDS, "sink_key", "sink_value", "payload_is_json")
+
+
+@query
+def write_dlq_raw(spark, sf_dir):
+    bad = P.invalid_envelopes(_validated(spark, sf_dir)).withColumn("reason", F.col("envelope_error"))
+    main = O.to_raw_dlq_record(bad)
+    rbad = P.invalid_retry_envelopes(_parsed_retry(spark, sf_dir)).withColumn("reason", F.col("retry_error"))
+    retry = O.to_raw_dlq_record(rbad)
+    cols = [O.derived_topic(F.col("topic"), K.DLQ_SUFFIX).alias("sink_topic"), "sink_key", "sink_value"]
+    return main.select(*cols).unionByName(retry.select(*cols))
+
+
+@query
+def to_dlq_record(spark, sf_dir):
+    t = _triaged(spark, sf_dir).where(F.col("dlq_kind") == "event")
+    return O.to_dlq_record(t).select(*IDS, "sink_key", "sink_value")
+
+
+@query
+def write_dlq(spark, sf_dir):
+    t = _triaged(spark, sf_dir)
+    return TR.sink_records(t).where(F.col("outcome") == K.DLQ).select("sink_topic", "sink_key", "sink_value")
+
+
+@query
+def to_retry_envelope(spark, sf_dir):
+    t = _triaged(spark, sf_dir).where(F.col("outcome") == K.RETRY)
+    return O.to_retry_envelope(t).select(*IDS, "sink_key", "sink_value")
+
+
+@query
+def write_retry(spark, sf_dir):
+    t = _triaged(spark, sf_dir)
+    return TR.sink_records(t).where(F.col("outcome") == K.RETRY).select("sink_topic", "sink_key", "sink_value")
+
+
+@query
+def parse_visit_approved(spark, sf_dir):
+    p = _prepared(spark, sf_dir).where(F.col("routed") & (F.col("processor") == "VISIT_APPROVED"))
+    return P.parse_visit_approved(p).select(*IDS, "visit_id", "agent_id", "case_id", "approved_at",
+                                            "payload_error")
+
+
+@query
+def parse_notification_triggered(spark, sf_dir):
+    p = _prepared(spark, sf_dir).where(F.col("routed") & (F.col("processor") == "NOTIFICATION_TRIGGERED"))
+    return P.parse_notification_triggered(p).select(*IDS, "notification_id", "recipient_id", "channel",
+                                                    "template_id", "payload_json", "payload_error")
+
+
+@query
+def parse_retry_envelope(spark, sf_dir):
+    r = _parsed_retry(spark, sf_dir)
+    return r.select(*IDS, "event_id", "original_topic", "retry_count", "failure_reason",
+                    us("first_failure_time").alias("first_failure_us"),
+                    us("next_retry_after").alias("next_retry_after_us"), F.col("retry_error").alias("reason"))
+
+
+@query
+def invalid_retry_envelopes(spark, sf_dir):
+    r = P.invalid_retry_envelopes(_parsed_retry(spark, sf_dir))
+    return r.select(*IDS, F.col("retry_error").alias("reason"))
+
+
+@query
+def to_republish_envelope(spark, sf_dir):
+    from sluice.operators.retry import due_retries as due
+    d = due(_schedule(spark, sf_dir), ts(NOW_DUE))
+    return O.to_republish_envelope(d).select("event_id", "sink_topic", "sink_key", "sink_value")
+
+
+@query
+def write_republished(spark, sf_dir):
+    from sluice.operators.retry import due_retries as due
+    d = O.to_republish_envelope(due(_schedule(spark, sf_dir), ts(NOW_DUE)))
+    return d.select("sink_topic", "sink_key", "sink_value")
+
+
+# ------------------------------------------------------- D. scalar logic ---
+def _ran(spark, sf_dir):
+    return _triaged(spark, sf_dir).where(F.col("routed") & (F.col("dedup_status") == "claimed"))
+
+
+@query
+def is_retriable(spark, sf_dir):
+    t = _ran(spark, sf_dir).where(F.col("error").isNotNull())
+    return t.select(*IDS, "error_class", O.is_retriable(F.col("error_class")).alias("retriable"))
+
+
+@query
+def should_retry(spark, sf_dir):
+    t = _ran(spark, sf_dir).where(F.col("error").isNotNull())
+    return t.select(*IDS, "retry_count", O.should_retry(F.col("retry_count")).alias("should_retry"))
+
+
+@query
+def next_retry_after(spark, sf_dir):
+    t = O.next_retry_after(_triaged(spark, sf_dir).where(F.col("outcome") == K.RETRY))
+    return t.select(*IDS, "retry_count_next", "backoff_s", us("next_retry_after").alias("next_retry_after_us"))
+
+
+@query
+def carry_failure_history(spark, sf_dir):
+    t = O.carry_failure_history(_triaged(spark, sf_dir).where(F.col("outcome") == K.RETRY))
+    return t.select(*IDS, us("first_failure_next").alias("first_failure_us"),
+                    us("last_failure_time").alias("last_failure_us"),
+                    F.col("failure_reason_next").alias("failure_reason"))
+
+
+@query
+def derived_topic(spark, sf_dir):
+    m = _messages(spark, sf_dir)
+    return m.select(*IDS, O.derived_topic(F.col("topic"), K.RETRY_SUFFIX).alias("retry_topic"),
+                    O.derived_topic(F.col("topic"), K.DLQ_SUFFIX).alias("dlq_topic"))
+
+
+@query
+def lane_id(spark, sf_dir):
+    p = _prepared(spark, sf_dir).where("routed")
+    return p.select(*IDS, "affinity_key", "lanes", "lane")
+
+
+@query
+def apply_handlers(spark, sf_dir):
+    p = _prepared(spark, sf_dir).where("routed")
+    return p.select(*IDS, "processor", "error_class", "error")
+
+
+@query
+def safe_handler(spark, sf_dir):
+    """A per-row Python handler behind an Arrow-batched pandas UDF; a raise in one row fails that row only."""
+    from sluice.operators import handlers as H
+
+    def visit(row):
+        if row["fault"] == "panic":
+            raise RuntimeError("simulated handler panic")
+    h = {"VISIT_APPROVED": H.Handler("VISIT_APPROVED", H.python_handler(visit, ["fault"])),
+         "NOTIFICATION_TRIGGERED": H.DEFAULT_HANDLERS["NOTIFICATION_TRIGGERED"]}
+    v = TR.prepare(_messages(spark, sf_dir), R.registry_frame(spark), R.topics_frame(spark), handlers=h)
+    return v.where("routed").select(*IDS, "processor", "error_class", "error")
+
+
+# --------------------------------------------------------- E. stateful ---
+@query
+def dedup_claims(spark, sf_dir):
+    from sluice.operators.dedup import dedup_claims as dc
+    p = _prepared(spark, sf_dir)
+    return dc(p, clock="clock", where=F.col("routed")).where("routed").select(*IDS, "event_id", "dedup_status")
+
+
+@query
+def dedup_release(spark, sf_dir):
+    from sluice.operators.dedup import dedup_release as dr
+    p = _prepared(spark, sf_dir)
+    return dr(p, clock="clock", where=F.col("routed")).where("routed").select(*IDS, "event_id", "dedup_status")
+
+
+@query
+def dedup_within_watermark(spark, sf_dir):
+    """Streaming-only built-in: replays the routed rows as a file stream (rows-only check)."""
+    from sluice.streaming.jobs import watermark_dedup_replay
+    p = _prepared(spark, sf_dir).where("routed").select(*IDS, "event_id", "clock")
+    return watermark_dedup_replay(spark, p).select(*IDS, "event_id")
+
+
+@query
+def schedule_retries(spark, sf_dir):
+    s = _schedule(spark, sf_dir)
+    return s.select("event_id", "due_s", us("scheduled_at").alias("scheduled_at_us"), "original_topic",
+                    "retry_count")
+
+
+@query
+def due_retries(spark, sf_dir):
+    from sluice.operators.retry import due_retries as due
+    return due(_schedule(spark, sf_dir), ts(NOW_DUE)).select("event_id", "due_s", "original_topic")
+
+
+@query
+def release_due_once(spark, sf_dir):
+    from sluice.operators.retry import due_retries as due, release_due_once as rel
+    s = _schedule(spark, sf_dir)
+    first = due(s, ts(NOW_TICK1))
+    return rel(s, first, ts(NOW_TICK2)).select("event_id", "due_s", "original_topic")
+
+
+@query
+def expire_schedules(spark, sf_dir):
+    from sluice.operators.retry import due_retries as due, expire_schedules as exp
+    s = _schedule(spark, sf_dir)
+    first = due(s, ts(NOW_TICK1))
+    return exp(s, first, ts(NOW_TICK2)).select("event_id", "due_s", us("scheduled_at").alias("scheduled_at_us"),
+                                               "reason")
+
+
+@query
+def reschedule_failed(spark, sf_dir):
+    from sluice.operators.retry import due_retries as due, reschedule_failed as rs
+    d = due(_schedule(spark, sf_dir), ts(NOW_DUE))
+    failed = F.substring(F.col("event_id"), 2, 64).cast("bigint") % REPUBLISH_FAIL_EVERY == 0
+    return rs(d, failed, ts(NOW_DUE)).select("event_id", "due_s", us("next_retry_after").alias("next_retry_after_us"))
+
+
+@query
+def ordered_by_affinity(spark, sf_dir):
+    from sluice.operators.ordering import ordered_by_affinity as oba
+    p = _prepared(spark, sf_dir).where("routed").select(*IDS, "affinity_key", "clock")
+    return oba(p).select(*IDS, "affinity_key", "seq")
+
+
+def _progress(spark, sf_dir, as_of: str):
+    m = _messages(spark, sf_dir)
+    done_at = F.timestamp_micros(F.unix_micros("timestamp")
+                                 + (F.col("duration_s") * BACKLOG_S_PER_DURATION_S * 1_000_000).cast("bigint"))
+    return m.where(F.col("timestamp") <= ts(as_of)).select(*IDS, (done_at <= ts(as_of)).alias("completed"))
+
+
+@query
+def committable_offsets(spark, sf_dir):
+    from sluice.operators.progress import committable_offsets as co
+    return co(_progress(spark, sf_dir, AS_OF))
+
+
+@query
+def committable_offsets_strict(spark, sf_dir):
+    from sluice.operators.progress import committable_offsets_strict as cs
+    return cs(_progress(spark, sf_dir, AS_OF))
+
+
+@query
+def newly_committable(spark, sf_dir):
+    from sluice.operators.progress import committable_offsets as co, newly_committable as nc
+    return nc(co(_progress(spark, sf_dir, AS_OF)), co(_progress(spark, sf_dir, LAST_FLUSH)))
+
+
+@query
+def in_flight(spark, sf_dir):
+    from sluice.operators.progress import in_flight as inf
+    return inf(_progress(spark, sf_dir, AS_OF))
+
+
+@query
+def consumer_lag(spark, sf_dir):
+    from sluice.operators.progress import consumer_lag as cl
+    return cl(_progress(spark, sf_dir, AS_OF))
+
+
+# ------------------------------------------------------------ F. metrics ---
+def _metric(fn_name):
+    def run(spark, sf_dir):
+        from sluice.operators import metrics as M
+        return getattr(M, fn_name)(_triaged(spark, sf_dir))
+    run.__name__ = fn_name
+    return query(run)
+
+
+for _m in ("messages_received", "messages_processed", "messages_failed", "messages_retried",
+           "messages_dlq", "processing_duration", "lane_load"):
+    _metric(_m)
+
+
 def registered() -> dict[str, QueryFn]:
     return dict(REGISTRY)

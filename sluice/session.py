@@ -19,6 +19,7 @@ def get_spark(master: str | None = None, app: str = "sluice", shuffle_partitions
         b = b.master(master)
     conf = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.adaptive.enabled": "true",
@@ -34,9 +35,41 @@ def get_spark(master: str | None = None, app: str = "sluice", shuffle_partitions
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sluice`` importable on executors and in driver-side Python runners.
+
+    The package is zipped once per application and added with ``addPyFile``
+    (how a cluster job ships its code); its functions and classes are also
+    pickled by value, for runners that start before the zip is on their path.
+    """
+    import zipfile
+
+    import sluice
+    from pyspark import cloudpickle
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    cloudpickle.register_pickle_by_value(sluice)
+    root = os.path.dirname(os.path.abspath(sluice.__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="sluice-pkg-"), "sluice.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for d, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(out)
+    _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -51,4 +84,5 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
+    ship_package(spark)
     return d

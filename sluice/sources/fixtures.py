@@ -75,3 +75,32 @@ def fixture_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw message log for one scale factor directory."""
     return messages_from_events(
         load_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props"))
+
+
+# --- fixed value: main-topic records replayed onto a retry topic by mistake ----
+MISROUTED_TOPIC = "payments"
+MISROUTED_EVERY = 11
+
+
+def retry_log(triaged: DataFrame, messages: DataFrame) -> DataFrame:
+    """The ``<topic>.retry`` log a run of the worker produces from ``messages``.
+
+    It holds the retry envelopes of every 'retry' outcome (appended at the
+    failure time) and, to exercise the bad-envelope path, copies of some
+    main-topic records replayed onto ``payments.retry`` by mistake.
+    """
+    from sluice.operators.outcome import to_retry_envelope
+    r = to_retry_envelope(triaged.where(F.col("outcome") == "retry"))
+    produced = r.select(F.concat(F.col("topic"), F.lit(".retry")).alias("topic"), "partition",
+                        F.encode(F.col("sink_key"), "UTF-8").alias("key"),
+                        F.encode(F.col("sink_value"), "UTF-8").alias("value"),
+                        F.col("clock").alias("timestamp"), F.col("topic").alias("src_topic"),
+                        F.col("offset").alias("src_offset"))
+    misrouted = messages.where((F.col("topic") == MISROUTED_TOPIC)
+                               & (F.col("source_id") % MISROUTED_EVERY == 0)).select(
+        F.lit(MISROUTED_TOPIC + ".retry").alias("topic"), "partition", "key", "value", "timestamp",
+        F.col("topic").alias("src_topic"), F.col("offset").alias("src_offset"))
+    both = produced.unionByName(misrouted)
+    ranked = rank_within(both, ["topic", "partition"], ["timestamp", "src_topic", "src_offset"], out="_rn")
+    return ranked.select("topic", "partition", (F.col("_rn") - 1).alias("offset"), "key", "value",
+                         "timestamp", "src_topic", "src_offset")
