@@ -13,6 +13,19 @@ from pyspark.sql import functions as F
 _NO_SINGLE_QUOTES = {"allowSingleQuotes": "false"}
 
 
+def computed_once(c: Column) -> Column:
+    """Return ``c`` unchanged, but stop the optimizer from copying its expression.
+
+    Catalyst pushes a filter on a derived column below the projection that
+    derives it by inlining the expression, and repeats that for every
+    reference; for a parsed envelope that copies ``from_json`` hundreds of
+    times. A (trivially true) non-deterministic guard keeps the projection
+    where it is, so the value is computed once per row and later filters stay
+    above it.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def is_single_json_value(text: Column) -> Column:
     """True when ``text`` is exactly one JSON value (no trailing text, no single quotes).
 

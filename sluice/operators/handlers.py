@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,13 +25,14 @@ HANDLER_RESULT = T.StructType([T.StructField("error_class", T.StringType()),
 
 @dataclass(frozen=True)
 class Handler:
-    """``check`` returns a struct<error_class, error> column, NULL when the event succeeds."""
+    """``check`` returns a struct<error_class, error>; the event succeeds when ``error`` (or the struct) is NULL."""
     name: str
     check: Callable[[], Column]
 
 
 def _business(err: Column) -> Column:
-    return F.when(err.isNotNull(), F.struct(F.lit(K.EC_BUSINESS).alias("error_class"), err.alias("error")))
+    # the class is only read where ``error`` is not NULL (see apply_handlers), so err appears once
+    return F.struct(F.lit(K.EC_BUSINESS).alias("error_class"), err.alias("error"))
 
 
 def visit_approved() -> Column:
@@ -58,12 +60,15 @@ FAULT_ERROR_TEXT = "simulated handler error: downstream unavailable"
 
 
 def inject_faults(result: Column, fault: Column) -> Column:
-    """A decoded payload may still fail in the handler's downstream call (fixture fault column)."""
+    """A decoded payload may still fail in the handler's downstream call (fixture fault column).
+
+    ``result`` must be a column reference (it is read twice).
+    """
     injected = (F.when(fault == "panic", F.struct(F.lit(K.EC_PANIC).alias("error_class"),
                                                   F.lit(FAULT_PANIC_TEXT).alias("error")))
                 .when(fault == "error", F.struct(F.lit(K.EC_ERROR).alias("error_class"),
                                                  F.lit(FAULT_ERROR_TEXT).alias("error"))))
-    return F.coalesce(result, injected)
+    return F.when(result["error"].isNotNull(), result).otherwise(injected)
 
 
 def apply_handlers(events: DataFrame, handlers: Mapping[str, Handler] | None = None,
@@ -73,10 +78,13 @@ def apply_handlers(events: DataFrame, handlers: Mapping[str, Handler] | None = N
     res = F.lit(None).cast(HANDLER_RESULT)
     for name, h in hs.items():
         res = F.when(F.col("processor") == name, h.check()).otherwise(res)
+    from sluice.functions.strict_json import computed_once
+    df = events.withColumn("_h", computed_once(res))
     if fault_col:
-        res = F.when(F.col("processor").isNotNull(), inject_faults(res, F.col(fault_col)))
-    return (events.withColumn("_h", res)
-            .withColumns({"error_class": F.col("_h.error_class"), "error": F.col("_h.error")})
+        df = df.withColumn("_h", F.when(F.col("processor").isNotNull(),
+                                        inject_faults(F.col("_h"), F.col(fault_col))))
+    err = F.col("_h.error")
+    return (df.withColumns({"error_class": F.when(err.isNotNull(), F.col("_h.error_class")), "error": err})
             .drop("_h"))
 
 
@@ -86,7 +94,6 @@ def python_handler(fn: Callable[[dict], None], columns: list[str]) -> Callable[.
     ``BusinessError`` raised by ``fn`` is final; any other exception becomes a
     retriable ``panic: <message>`` for that row only.
     """
-    import pandas as pd
 
     @F.pandas_udf(HANDLER_RESULT)
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -58,18 +58,19 @@ def _raw_json(text: Column, v: Column, k: Column) -> Column:
 
 
 def _decode(df: DataFrame, text: Column, fields, struct_name: str, go_type: str) -> DataFrame:
-    """Adds ``_env`` (VARIANT fields), ``_k`` (their JSON kinds, computed once) and ``decode_error``."""
+    """Adds ``_env`` (VARIANT fields), ``_k_<field>`` (their JSON kinds) and ``decode_error``."""
     df = df.withColumn("_env", F.from_json(text, _variant_schema(fields), _OPTS))
-    df = df.withColumn("_k", F.struct(*[J.variant_kind(F.col("_env")[n]).alias(n) for n, _ in fields]))
+    # one top-level column per kind: each is computed once and referenced by name
+    df = df.withColumns({f"_k_{n}": J.variant_kind(F.col("_env")[n]) for n, _ in fields})
     field_errs = []
     for name, typ in fields:
-        v, k = F.col("_env")[name], F.col("_k")[name]
+        v, k = F.col("_env")[name], F.col(f"_k_{name}")
         if typ in ("int", "string"):
             field_errs.append(J.field_type_error(v, struct_name, name, typ, kind=k))
         elif typ == "time":
             field_errs.append(_time_field_error(v, k))
     err = F.coalesce(J.syntax_error(text), J.value_type_error(J.top_level_kind(text), go_type), *field_errs)
-    return df.withColumn("decode_error", err)
+    return df.withColumn("decode_error", J.computed_once(err))
 
 
 def parse_envelope(raw: DataFrame, value_col: str = "value") -> DataFrame:
@@ -82,7 +83,8 @@ def parse_envelope(raw: DataFrame, value_col: str = "value") -> DataFrame:
     df = raw.withColumn("value_str", F.col(value_col).cast("string"))
     t = F.col("value_str")
     df = _decode(df, t, ENVELOPE_FIELDS, "rawEnvelope", "event.rawEnvelope")
-    e, k = F.col("_env"), F.col("_k")
+    e = F.col("_env")
+    k = {n: F.col(f"_k_{n}") for n, _ in ENVELOPE_FIELDS}
     ok = F.col("decode_error").isNull()
     # a decode error yields the zero event: every field empty
     return (df.withColumns({
@@ -98,7 +100,7 @@ def parse_envelope(raw: DataFrame, value_col: str = "value") -> DataFrame:
         "retry_count": F.when(ok, _int(e["retryCount"], k["retryCount"])).otherwise(F.lit(0).cast("bigint")),
         "failure_reason": F.when(ok, _str(e["failureReason"], k["failureReason"])).otherwise(F.lit("")),
         "first_failure_str": F.when(ok, _str(e["firstFailureTime"], k["firstFailureTime"])).otherwise(F.lit("")),
-    }).drop("_env", "_k"))
+    }).drop("_env", *[f"_k_{n}" for n, _ in ENVELOPE_FIELDS]))
 
 
 def validate_envelope(parsed: DataFrame) -> DataFrame:
@@ -107,7 +109,8 @@ def validate_envelope(parsed: DataFrame) -> DataFrame:
     Adds ``envelope_error`` (full reason text or NULL), ``event_ts`` (strict
     RFC 3339 instant) and ``first_failure_time`` (lenient: bad text -> NULL).
     """
-    ts = parse_rfc3339(F.col("timestamp_str"))
+    parsed = parsed.withColumn("event_ts", parse_rfc3339(F.col("timestamp_str")))
+    ts = F.col("event_ts")
     inv = F.lit(K.INVALID_ENVELOPE)
     reason = (F.when(F.col("decode_error").isNotNull(),
                      F.concat(inv, F.lit(K.JSON_UNMARSHAL), F.col("decode_error")))
@@ -119,7 +122,7 @@ def validate_envelope(parsed: DataFrame) -> DataFrame:
               .when(~F.col("has_data"), F.concat(inv, F.lit(K.MISSING_DATA)))
               .when(ts.isNull(), F.concat(inv, F.lit(K.INVALID_TIMESTAMP), F.col("timestamp_str"))))
     ff = F.when(F.col("first_failure_str") != "", parse_rfc3339(F.col("first_failure_str")))
-    return parsed.withColumns({"envelope_error": reason, "event_ts": ts, "first_failure_time": ff})
+    return parsed.withColumns({"envelope_error": reason, "first_failure_time": ff})
 
 
 def parse_and_validate(raw: DataFrame) -> DataFrame:
@@ -142,14 +145,14 @@ def parse_retry_envelope(raw: DataFrame, value_col: str = "value") -> DataFrame:
     df = raw.withColumn("value_str", F.col(value_col).cast("string"))
     t = F.col("value_str")
     df = _decode(df, t, RETRY_FIELDS, "RetryEnvelope", "retry.RetryEnvelope")
-    e, k = F.col("_env"), F.col("_k")
+    e = F.col("_env")
 
     def tm(name):
         return F.when(k[name] == "string", parse_rfc3339(F.variant_get(e[name], "$", "string")))
 
     ok = F.col("decode_error").isNull()
     # a decode error yields the zero envelope
-    k = F.when(ok, F.col("_k"))
+    k = {n: F.when(ok, F.col(f"_k_{n}")) for n, _ in RETRY_FIELDS}
     df = df.withColumns({
         "version": _int(e["version"], k["version"]), "event_id": _str(e["eventId"], k["eventId"]),
         "event_type": _str(e["eventType"], k["eventType"]), "tenant_id": _str(e["tenantId"], k["tenantId"]),
@@ -162,7 +165,7 @@ def parse_retry_envelope(raw: DataFrame, value_col: str = "value") -> DataFrame:
         # a time that is JSON null or absent is the zero time
         "next_retry_zero": F.coalesce(k["nextRetryAfter"].isNull() | (k["nextRetryAfter"] == "null"),
                                       F.lit(True)),
-    }).drop("_env", "_k")
+    }).drop("_env", *[f"_k_{n}" for n, _ in RETRY_FIELDS])
     reason = (F.when(F.col("decode_error").isNotNull(),
                      F.concat(F.lit(K.INVALID_RETRY_ENVELOPE + K.UNMARSHAL_RETRY), F.col("decode_error")))
               .when((F.col("event_id") == "") | (F.col("original_topic") == ""),

@@ -378,6 +378,9 @@ r2 AS (SELECT *,
          ELSE coalesce(""" + ",\n           ".join(
     e for e in (_rerr(n, t) for n, t in RETRY_FIELDS_SQL) if e) + """) END AS decode_error
   FROM r1),
+r3 AS (SELECT * REPLACE (""" + ", ".join(
+    f"CASE WHEN decode_error IS NULL THEN k_{n} END AS k_{n}" for n, _ in RETRY_FIELDS_SQL) + """)
+  FROM r2),
 rparsed AS (SELECT *,
     """ + _ri("version") + """ AS version, """ + _rs("eventId") + """ AS event_id,
     """ + _rs("eventType") + """ AS event_type, """ + _rs("tenantId") + """ AS tenant_id,
@@ -388,7 +391,7 @@ rparsed AS (SELECT *,
     """ + _rs("failureReason") + """ AS failure_reason, """ + _rtime("firstFailureTime") + """ AS first_failure_us,
     """ + _rtime("nextRetryAfter") + """ AS next_retry_after_us,
     (k_nextRetryAfter IS NULL OR k_nextRetryAfter = 'null') AS next_retry_zero
-  FROM r2),
+  FROM r3),
 rvalid AS (SELECT *,
     CASE WHEN decode_error IS NOT NULL THEN 'invalid retry envelope: unmarshal retry envelope: ' || decode_error
          WHEN event_id = '' OR original_topic = '' THEN 'invalid retry envelope: invalid retry envelope: missing eventId or originalTopic'

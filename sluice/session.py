@@ -70,6 +70,12 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def prepare_session(spark: SparkSession) -> None:
+    """Settings every operator relies on, for sessions built elsewhere (e.g. by a driver)."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    checkpoint_dir(spark)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 

@@ -216,8 +216,22 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def replay_files(df: DataFrame, path: str, files: int = 4, order: str = "timestamp") -> None:
-    """Write a table as ``files`` time-ordered parquet files (one per micro-batch when replayed)."""
-    df.repartitionByRange(files, order).sortWithinPartitions(order).write.mode("overwrite").parquet(path)
+    """Write a table as ``files`` time-ordered slices, appended one after another.
+
+    A file stream lists files by modification time, so slices written in
+    sequence replay in time order, one micro-batch each with
+    ``maxFilesPerTrigger=1`` -- the same batches on every run.
+    """
+    us = F.unix_micros(F.col(order))
+    bounds = df.select(us.alias("u")).approxQuantile("u", [i / files for i in range(1, files)], 0.0)
+    edges = [None, *bounds, None]
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (us > F.lit(int(lo)))
+        if hi is not None:
+            cond = cond & (us <= F.lit(int(hi)))
+        df.where(cond).coalesce(1).write.mode("append").parquet(path)
 
 
 def watermark_dedup_replay(spark: SparkSession, rows: DataFrame, key: str = "event_id",
