@@ -44,17 +44,22 @@ def top_level_kind(text: Column) -> Column:
             .when(c == "n", "null").when(c.isin("t", "f"), "bool").otherwise("number"))
 
 
-# schema_of_variant head word -> JSON kind
-_KIND_OF = {"VOID": "null", "STRING": "string", "BIGINT": "int", "INT": "int", "SMALLINT": "int",
-            "TINYINT": "int", "BOOLEAN": "bool", "ARRAY": "array", "OBJECT": "object",
-            "DECIMAL": "number", "DOUBLE": "number", "FLOAT": "number"}
-
-
 def variant_kind(v: Column) -> Column:
-    """JSON kind of a VARIANT field: NULL (absent), null, string, int, number, bool, array, object."""
-    head = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
-    m = F.create_map(*[x for kv in _KIND_OF.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    return F.when(v.isNotNull(), F.coalesce(F.element_at(m, head), F.lit("number")))
+    """JSON kind of a VARIANT field: NULL (absent), null, string, int, number, bool, array, object.
+
+    Read from the head word of ``schema_of_variant`` with plain string
+    functions (no regex): VOID, STRING, BIGINT/INT/..., BOOLEAN, ARRAY<..>,
+    OBJECT<..>, DECIMAL(p,s) / DOUBLE / FLOAT.
+    """
+    head = F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
+    return (F.when(v.isNull(), F.lit(None))
+            .when(head == "STRING", F.lit("string"))
+            .when(head.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.lit("int"))
+            .when(head == "VOID", F.lit("null"))
+            .when(head == "OBJECT", F.lit("object"))
+            .when(head == "ARRAY", F.lit("array"))
+            .when(head == "BOOLEAN", F.lit("bool"))
+            .otherwise(F.lit("number")))
 
 
 def kind_word(kind: Column) -> Column:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sluice import constants as K
 from sluice.operators.scan import rank_within
-from sluice.session import checkpoint_dir
+from sluice.session import checkpoint_dir, materialize
 
 CLAIMED, DUPLICATE = "claimed", "duplicate"
 
@@ -39,9 +39,15 @@ def _has_rows(df: DataFrame) -> bool:
     return len(df.limit(1).collect()) > 0
 
 
+# Ids with at most this many events are folded inside one aggregate (a bounded group);
+# ids above it go through the pointer-doubling path, which never puts a key in one task.
+SMALL_GROUP_MAX = 256
+
+
 def claim_chain(df: DataFrame, key: str, clock: str, tiebreak: Sequence[str], ok: Column | None,
                 ttl_s: int = K.DEDUP_TTL_S, id_cols: Sequence[str] | None = None,
-                out: str = "dedup_status", where: Column | None = None) -> DataFrame:
+                out: str = "dedup_status", where: Column | None = None,
+                small_group_max: int = SMALL_GROUP_MAX) -> DataFrame:
     """Mark each row ``claimed`` or ``duplicate`` by the fixed-window claim fold.
 
     ``ok`` is the per-row handler success (``None``: every processed row claims).
@@ -54,10 +60,48 @@ def claim_chain(df: DataFrame, key: str, clock: str, tiebreak: Sequence[str], ok
     okc = F.lit(True) if ok is None else F.coalesce(ok, F.lit(False))
     # project the few needed columns once (flags computed a single time), cut lineage, then filter
     inc = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    base = (df.select(F.col(key).alias("_k"), F.unix_micros(F.col(clock)).alias("_t"),
-                      *[F.col(c) for c in dict.fromkeys([*tiebreak, *ids])], okc.alias("_ok"),
-                      inc.alias("_in"))
-            .checkpoint().where("_in").drop("_in"))
+    base = materialize(df.select(F.col(key).alias("_k"), F.unix_micros(F.col(clock)).alias("_t"),
+                                 *[F.col(c) for c in dict.fromkeys([*tiebreak, *ids])], okc.alias("_ok"),
+                                 inc.alias("_in")).where("_in").drop("_in"), "claim-base")
+    # group sizes: partial aggregation on the map side, then a join that AQE splits if one key is hot
+    sizes = base.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    sized = materialize(base.join(sizes, "_k"), "claim-sized")
+    # an id seen once is claimed by its only event: no grouping needed
+    single = sized.where(F.col("_n") == 1).select(*ids, F.lit(CLAIMED).alias(out))
+    small = single.unionByName(_fold_small(sized.where((F.col("_n") > 1) & (F.col("_n") <= small_group_max)),
+                                           tiebreak, ids, ttl_s, out))
+    big = sized.where(F.col("_n") > small_group_max).drop("_n")
+    if _has_rows(big):
+        status = small.unionByName(_chain(big, tiebreak, ids, ttl_s, out))
+    else:
+        status = small
+    return df.join(status, ids, "left")
+
+
+def _fold_small(rows: DataFrame, tiebreak: Sequence[str], ids: Sequence[str], ttl_s: int,
+                out: str) -> DataFrame:
+    """The fold itself, per id, over a sorted array of at most ``SMALL_GROUP_MAX`` events."""
+    ttl_us = F.lit(ttl_s * 1_000_000)
+    ev = F.struct(F.col("_t"), *[F.col(c) for c in tiebreak],
+                  F.struct(*[F.col(c) for c in ids]).alias("_id"), F.col("_ok"))
+    g = rows.groupBy("_k").agg(F.array_sort(F.collect_list(ev)).alias("_evs"))
+    init = F.struct(F.lit(None).cast("bigint").alias("claim"), F.array().cast("array<boolean>").alias("dup"))
+
+    def step(acc, x):
+        dup = acc["claim"].isNotNull() & (x["_t"] < acc["claim"] + ttl_us)
+        claim = F.when(dup, acc["claim"]).when(x["_ok"], x["_t"])
+        return F.struct(claim.alias("claim"), F.concat(acc["dup"], F.array(dup)).alias("dup"))
+
+    folded = g.select("_evs", F.aggregate("_evs", init, step)["dup"].alias("_dup"))
+    pairs = F.transform("_evs", lambda x, i: F.struct(x["_id"].alias("_id"),
+                                                      F.element_at(F.col("_dup"), i + 1).alias("_d")))
+    return folded.select(F.explode(pairs).alias("_e")).select(
+        *[F.col("_e._id")[c].alias(c) for c in ids],
+        F.when(F.col("_e._d"), F.lit(DUPLICATE)).otherwise(F.lit(CLAIMED)).alias(out))
+
+
+def _chain(base: DataFrame, tiebreak: Sequence[str], ids: Sequence[str], ttl_s: int, out: str) -> DataFrame:
+    """Pointer-doubling form of the fold for ids of any size (see module doc)."""
     ev = base.withColumns({"_kind": F.lit(1), "_w": F.lit(1), "_st": F.col("_t")})
     pr = base.where("_ok").withColumns({"_kind": F.lit(0), "_w": F.lit(0),
                                         "_st": F.col("_t") + F.lit(ttl_s * 1_000_000)})
@@ -66,7 +110,8 @@ def claim_chain(df: DataFrame, key: str, clock: str, tiebreak: Sequence[str], ok
     prr = ranked.where("_kind = 0").select(*ids, (F.col("_c") + 1).alias("_target"))
     nodes = (evr.join(prr, ids, "left")
              .withColumn("_nxt", F.when(F.col("_ok"), F.col("_target")).otherwise(F.col("_rn") + 1))
-             .drop("_target").checkpoint())
+             .drop("_target"))
+    nodes = materialize(nodes, "claim-nodes")
 
     # jump tables J_k: (key, rank) -> rank reached after 2^k processed steps
     levels = [nodes.select("_k", "_rn", "_nxt")]
@@ -75,7 +120,7 @@ def claim_chain(df: DataFrame, key: str, clock: str, tiebreak: Sequence[str], ok
         nxt = (a.join(b, (F.col("a._k") == F.col("b._k")) & (F.col("a._nxt") == F.col("b._rn")), "left")
                .select(F.col("a._k").alias("_k"), F.col("a._rn").alias("_rn"),
                        F.col("b._nxt").alias("_nxt")))
-        nxt = nxt.where(F.col("_nxt").isNotNull()).checkpoint()
+        nxt = materialize(nxt.where(F.col("_nxt").isNotNull()), "claim-jump")
         if not _has_rows(nxt):
             break
         levels.append(nxt)
@@ -85,10 +130,9 @@ def claim_chain(df: DataFrame, key: str, clock: str, tiebreak: Sequence[str], ok
     chain = nodes.where("_rn = 1").select("_k", "_rn")
     for lv in reversed(levels):
         step = chain.join(lv, ["_k", "_rn"]).select("_k", F.col("_nxt").alias("_rn"))
-        chain = chain.unionByName(step).checkpoint()
-    status = (nodes.join(chain.withColumn("_on", F.lit(True)), ["_k", "_rn"], "left")
-              .select(*ids, F.when(F.col("_on"), F.lit(CLAIMED)).otherwise(F.lit(DUPLICATE)).alias(out)))
-    return df.join(status, ids, "left")
+        chain = materialize(chain.unionByName(step), "claim-chain")
+    return (nodes.join(chain.withColumn("_on", F.lit(True)), ["_k", "_rn"], "left")
+            .select(*ids, F.when(F.col("_on"), F.lit(CLAIMED)).otherwise(F.lit(DUPLICATE)).alias(out)))
 
 
 def dedup_claims(handled: DataFrame, clock: str = "clock", key: str = "event_id",

@@ -46,7 +46,8 @@ def _memo(spark, sf_dir, name, build):
         return build()
     key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
     if key not in _MEMO:
-        _MEMO[key] = build().checkpoint(eager=True)
+        from sluice.session import materialize
+        _MEMO[key] = materialize(build(), name)
     return _MEMO[key]
 
 

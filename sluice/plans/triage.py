@@ -47,9 +47,13 @@ def run_triage(raw: DataFrame, registry: DataFrame, topics: DataFrame,
                clock_col: str = "timestamp", max_retries: int = K.MAX_RETRIES,
                dedup: bool = True) -> DataFrame:
     """Classify every main-topic record into processed / duplicate / retry / dlq."""
+    from sluice.session import materialize
     main, _ = split_retry_topics(raw)
     v = prepare(main, registry, topics, handlers, fault_col, clock_col)
     if dedup:
+        # two passes over the prepared rows (narrow claim fold, then the join back):
+        # write them once instead of parsing every record twice
+        v = materialize(v.drop("data"), "prepared")
         v = D.dedup_release(v, clock="clock", where=F.col("routed"))
     else:
         v = v.withColumn("dedup_status", F.when(F.col("routed"), F.lit(D.CLAIMED)))

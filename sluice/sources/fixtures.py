@@ -28,7 +28,11 @@ def messages_from_events(events: DataFrame) -> DataFrame:
     i, u, ts = F.col("event_id"), F.col("user_id"), F.col("ts")
     topic = (F.when(i % 97 == 0, F.lit(UNROUTED_TOPIC))
              .otherwise(F.element_at(_arr(FIXTURE_TOPICS), (i % 4 + 1).cast("int"))))
+    # offsets first, on the narrow event rows; the JSON text is built after the ordered scan
+    events = rank_within(events.withColumns({"topic": topic, "partition": (u % 6).cast("int")}),
+                         ["topic", "partition"], ["event_id"], out="_rn")
     eid = F.concat(F.lit("e"), F.when(i % 1000 == 999, i - 999).when(i % 10 == 9, i - 9).otherwise(i))
+    topic = F.col("topic")
     etype = (F.when(i % 3 == 1, F.lit("NOTIFICATION_TRIGGERED"))
              .when(i % 9 == 2, F.lit("CASE_ASSIGNED")).otherwise(F.lit("VISIT_APPROVED")))
     version = (F.when(i % 53 == 0, F.lit("0")).when(i % 59 == 0, F.lit("2"))
@@ -57,14 +61,11 @@ def messages_from_events(events: DataFrame) -> DataFrame:
              .otherwise(body))
     is_err = F.col("event_type") == "error"
     fault = F.when(is_err & (i % 13 == 0), F.lit("panic")).when(is_err & (i % 2 == 0), F.lit("error"))
-    pre = events.select(
-        topic.alias("topic"), (u % 6).cast("int").alias("partition"),
+    return events.select(
+        "topic", "partition", (F.col("_rn") - 1).alias("offset"),
         F.encode(tenant, "UTF-8").alias("key"), F.encode(value, "UTF-8").alias("value"),
         ts.cast("timestamp").alias("timestamp"), i.alias("source_id"),
         fault.alias("fault"), (F.col("value") / 50).alias("duration_s"))
-    ranked = rank_within(pre, ["topic", "partition"], ["source_id"], out="_rn")
-    return ranked.select("topic", "partition", (F.col("_rn") - 1).alias("offset"), "key", "value",
-                         "timestamp", "source_id", "fault", "duration_s")
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -49,19 +49,27 @@ def _fold(rows, ttl_s, release):
     return out
 
 
-def _run(spark, rows, ttl_s, release):
+def _run(spark, rows, ttl_s, release, small_max=256):
     df = spark.createDataFrame(rows, "k string, t long, i long, ok boolean").withColumn(
         "clock", F.timestamp_seconds("t"))
-    res = claim_chain(df, "k", "clock", ["i"], F.col("ok") if release else None, ttl_s)
+    res = claim_chain(df, "k", "clock", ["i"], F.col("ok") if release else None, ttl_s,
+                      small_group_max=small_max)
     return {r["i"]: r["dedup_status"] for r in res.collect()}
 
 
 def test_claim_fold_matches_sequential(spark):
-    rows = _skewed(1500)
+    rows = _skewed(1500)  # the hot key (500 rows) takes the pointer-doubling path, the rest the small fold
     for release in (False, True):
         assert _run(spark, rows, 48 * 3600, release) == _fold(rows, 48 * 3600, release)
 
 
+def test_both_fold_paths_agree(spark):
+    rows = _skewed(600, seed=11)
+    want = _fold(rows, 48 * 3600, True)
+    assert _run(spark, rows, 48 * 3600, True, small_max=0) == want      # everything by pointer doubling
+    assert _run(spark, rows, 48 * 3600, True, small_max=10**6) == want  # everything by the bounded fold
+
+
 def test_fixed_window_not_sliding(spark):
     h = 3600
     rows = [("e", x * h, x, True) for x in (0, 47, 49, 96, 97)]
