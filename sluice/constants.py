@@ -44,6 +44,12 @@ INVALID_RETRY_ENVELOPE = "invalid retry envelope: "
 RETRY_MISSING_IDS = "invalid retry envelope: missing eventId or originalTopic"
 UNMARSHAL_RETRY = "unmarshal retry envelope: "
 
+# --- fixed values: type names a typed JSON decoder prints in its error texts --
+ENVELOPE_STRUCT, ENVELOPE_TYPE = "rawEnvelope", "event.rawEnvelope"
+RETRY_STRUCT, RETRY_TYPE = "RetryEnvelope", "retry.RetryEnvelope"
+VISIT_STRUCT, VISIT_TYPE = "VisitApprovedData", "processor.VisitApprovedData"
+NOTIFICATION_STRUCT, NOTIFICATION_TYPE = "NotificationTriggeredData", "processor.NotificationTriggeredData"
+
 # --- error classes (this library's labels for the worker's error kinds) ------
 EC_INVALID = "invalid_envelope"
 EC_UNKNOWN = "unknown_event_type"

@@ -44,27 +44,32 @@ def top_level_kind(text: Column) -> Column:
             .when(c == "n", "null").when(c.isin("t", "f"), "bool").otherwise("number"))
 
 
+# schema_of_variant head word -> JSON kind
+_KIND_OF = {"VOID": "null", "STRING": "string", "BIGINT": "int", "INT": "int", "SMALLINT": "int",
+            "TINYINT": "int", "BOOLEAN": "bool", "ARRAY": "array", "OBJECT": "object"}
+# JSON kind -> the word a typed decoder uses for it in an error text
+_WORD_OF = {"string": "string", "int": "number", "number": "number", "bool": "bool", "array": "array",
+            "object": "object"}
+
+
+def _lit_map(d: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+
+
 def variant_kind(v: Column) -> Column:
     """JSON kind of a VARIANT field: NULL (absent), null, string, int, number, bool, array, object.
 
-    Read from the head word of ``schema_of_variant`` with plain string
-    functions (no regex): VOID, STRING, BIGINT/INT/..., BOOLEAN, ARRAY<..>,
-    OBJECT<..>, DECIMAL(p,s) / DOUBLE / FLOAT.
+    One lookup of the head word of ``schema_of_variant`` (VOID, STRING,
+    BIGINT, ..., ARRAY<..>, OBJECT<..>, DECIMAL(p,s), DOUBLE) in a literal map;
+    each input expression appears once, so the generated code stays small.
     """
     head = F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
-    return (F.when(v.isNull(), F.lit(None))
-            .when(head == "STRING", F.lit("string"))
-            .when(head.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.lit("int"))
-            .when(head == "VOID", F.lit("null"))
-            .when(head == "OBJECT", F.lit("object"))
-            .when(head == "ARRAY", F.lit("array"))
-            .when(head == "BOOLEAN", F.lit("bool"))
-            .otherwise(F.lit("number")))
+    return F.coalesce(F.element_at(_lit_map(_KIND_OF), head), F.when(v.isNotNull(), F.lit("number")))
 
 
 def kind_word(kind: Column) -> Column:
     """The word a typed decoder uses for a JSON kind in its error text."""
-    return F.when(kind == "int", "number").otherwise(kind)
+    return F.element_at(_lit_map(_WORD_OF), kind)
 
 
 def field_type_error(v: Column, struct_name: str, field: str, target: str,
@@ -76,12 +81,14 @@ def field_type_error(v: Column, struct_name: str, field: str, target: str,
     precomputed ``variant_kind`` (saves recomputing it).
     """
     k = variant_kind(v) if kind is None else kind
-    ok = k.isNull() | (k == "null") | (k == ("int" if target == "int" else "string"))
-    word = (F.when((k == "number") & F.lit(target == "int"),
-                   F.concat(F.lit("number "), v.cast("string")))
-            .otherwise(kind_word(k)))
-    return F.when(~ok, F.concat(F.lit("json: cannot unmarshal "), word,
-                                F.lit(f" into Go struct field {struct_name}.{field} of type {target}")))
+    fit = "int" if target == "int" else "string"
+    words = {kk: ww for kk, ww in _WORD_OF.items() if kk != fit}
+    word = F.element_at(_lit_map(words), k)  # NULL when the kind fits, or for null / absent
+    if target == "int":  # a non-integer number names its literal
+        word = F.concat(word, F.when(word == "number", F.concat(F.lit(" "), v.cast("string"))).otherwise(F.lit("")))
+    # concat is NULL when ``word`` is NULL, i.e. when there is no error
+    return F.concat(F.lit("json: cannot unmarshal "), word,
+                    F.lit(f" into Go struct field {struct_name}.{field} of type {target}"))
 
 
 def value_type_error(kind: Column, go_type: str) -> Column:

@@ -37,14 +37,13 @@ def _business(err: Column) -> Column:
 
 def visit_approved() -> Column:
     d = F.col("data")
-    err = P.payload_error(d, P.VISIT_FIELDS, "VisitApprovedData", "processor.VisitApprovedData")
+    err = P.payload_error(d, P.VISIT_FIELDS, K.VISIT_STRUCT, K.VISIT_TYPE)
     return _business(F.when(err.isNotNull(), F.concat(F.lit(K.BUSINESS + "invalid VISIT_APPROVED data: "), err)))
 
 
 def notification_triggered() -> Column:
     d = F.col("data")
-    err = P.payload_error(d, P.NOTIFICATION_FIELDS, "NotificationTriggeredData",
-                          "processor.NotificationTriggeredData")
+    err = P.payload_error(d, P.NOTIFICATION_FIELDS, K.NOTIFICATION_STRUCT, K.NOTIFICATION_TYPE)
     return _business(F.when(err.isNotNull(),
                             F.concat(F.lit(K.BUSINESS + "invalid NOTIFICATION_TRIGGERED data: "), err)))
 

@@ -82,7 +82,7 @@ def parse_envelope(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """
     df = raw.withColumn("value_str", F.col(value_col).cast("string"))
     t = F.col("value_str")
-    df = _decode(df, t, ENVELOPE_FIELDS, "rawEnvelope", "event.rawEnvelope")
+    df = _decode(df, t, ENVELOPE_FIELDS, K.ENVELOPE_STRUCT, K.ENVELOPE_TYPE)
     e = F.col("_env")
     k = {n: F.col(f"_k_{n}") for n, _ in ENVELOPE_FIELDS}
     ok = F.col("decode_error").isNull()
@@ -144,7 +144,7 @@ def parse_retry_envelope(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """Decode ``<topic>.retry`` records; ``retry_error`` is the dead-letter reason or NULL."""
     df = raw.withColumn("value_str", F.col(value_col).cast("string"))
     t = F.col("value_str")
-    df = _decode(df, t, RETRY_FIELDS, "RetryEnvelope", "retry.RetryEnvelope")
+    df = _decode(df, t, RETRY_FIELDS, K.RETRY_STRUCT, K.RETRY_TYPE)
     e = F.col("_env")
 
     def tm(name):
@@ -199,7 +199,7 @@ def _payload_str(data: Column, f: str) -> Column:
 def parse_visit_approved(events: DataFrame) -> DataFrame:
     """VISIT_APPROVED payload fields + ``payload_error`` (business error text or NULL)."""
     d = F.col("data")
-    err = payload_error(d, VISIT_FIELDS, "VisitApprovedData", "processor.VisitApprovedData")
+    err = payload_error(d, VISIT_FIELDS, K.VISIT_STRUCT, K.VISIT_TYPE)
     return events.withColumns({
         "visit_id": _payload_str(d, "visitId"), "agent_id": _payload_str(d, "agentId"),
         "case_id": _payload_str(d, "caseId"), "approved_at": _payload_str(d, "approvedAt"),
@@ -210,8 +210,7 @@ def parse_visit_approved(events: DataFrame) -> DataFrame:
 def parse_notification_triggered(events: DataFrame) -> DataFrame:
     """NOTIFICATION_TRIGGERED payload fields (payload kept as JSON text) + ``payload_error``."""
     d = F.col("data")
-    err = payload_error(d, NOTIFICATION_FIELDS, "NotificationTriggeredData",
-                        "processor.NotificationTriggeredData")
+    err = payload_error(d, NOTIFICATION_FIELDS, K.NOTIFICATION_STRUCT, K.NOTIFICATION_TYPE)
     pv = F.try_variant_get(d, "$.payload", "variant")
     return events.withColumns({
         "notification_id": _payload_str(d, "notificationId"),
