@@ -56,8 +56,10 @@ def main() -> None:
           .drop("data").write.parquet(tri_path))
     tri = spark.read.parquet(tri_path)
 
-    timed("dedup_claims", lambda: sink(D.dedup_claims(
-        TR.prepare(raw, reg, tops, fault_col="fault"), clock="clock", where=F.col("routed"))))
+    prep_path = os.path.join(scratch, "prepared")
+    timed("prepare", lambda: TR.prepare(raw, reg, tops, fault_col="fault").drop("data").write.parquet(prep_path))
+    prep = spark.read.parquet(prep_path)
+    timed("dedup_claims", lambda: sink(D.dedup_claims(prep, clock="clock", where=F.col("routed"))))
 
     rl_path = os.path.join(scratch, "retry_log")
     timed("retry_log", lambda: retry_log(tri, raw).write.parquet(rl_path))
@@ -73,7 +75,8 @@ def main() -> None:
     timed("committable_offsets", lambda: PR.committable_offsets(prog).collect())
     timed("metrics", lambda: [sink(f(tri)) for f in (M.messages_received, M.messages_processed,
                                                       M.messages_failed, M.processing_duration, M.lane_load)])
-    headline = ["run_triage", "dedup_claims", "due_retries", "committable_offsets", "metrics"]
+    # run_triage is the whole chain; prepare and dedup_claims are its two halves timed alone
+    headline = ["run_triage", "prepare", "dedup_claims", "due_retries", "committable_offsets", "metrics"]
     total = round(sum(times[k] for k in headline), 3)
     del RAW_SCHEMA
     print(json.dumps({"metric": "triage_headline_total", "value": total, "unit": "sec", "queries": times,

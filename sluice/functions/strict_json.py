@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NO_SINGLE_QUOTES = {"allowSingleQuotes": "false"}
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def computed_once(c: Column) -> Column:
@@ -33,7 +33,7 @@ def is_single_json_value(text: Column) -> Column:
     for one well-formed value; ``{..} x``, ``{..},{..}``, empty and non-JSON text
     give NULL or another size.
     """
-    arr = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _NO_SINGLE_QUOTES)
+    arr = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _STRICT)
     return F.coalesce(F.size(arr) == 1, F.lit(False))
 
 

@@ -93,7 +93,9 @@ def parse_envelope(raw: DataFrame, value_col: str = "value") -> DataFrame:
         "event_type": F.when(ok, _str(e["eventType"], k["eventType"])).otherwise(F.lit("")),
         "tenant_id": F.when(ok, _str(e["tenantId"], k["tenantId"])).otherwise(F.lit("")),
         "timestamp_str": F.when(ok, _str(e["timestamp"], k["timestamp"])).otherwise(F.lit("")),
-        "has_data": ok & J.has_key(t, "data"),
+        # a decoded data field is present; only when it looks absent is the key list read
+        # (a data object with duplicate keys inside decodes to NULL but is present)
+        "has_data": ok & (k["data"].isNotNull() | J.has_key(t, "data")),
         "data": F.when(ok, e["data"]),
         "data_kind": F.when(ok, k["data"]),
         "data_json": F.when(ok, _raw_json(t, e["data"], k["data"])),

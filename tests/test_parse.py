@@ -43,6 +43,8 @@ CASES = [
     (env(version="1.0"), "invalid envelope: json unmarshal: json: cannot unmarshal number 1 into Go struct field "
                          "rawEnvelope.version of type int"),
     ("{'version':1}", "invalid envelope: json unmarshal: malformed JSON"),
+    (env(version="NaN"), "invalid envelope: json unmarshal: malformed JSON"),
+    (env(data='{"a":1,"a":2}'), None),  # duplicate keys inside data: present, decodes (last wins)
 ]
 
 
