@@ -49,3 +49,41 @@ def test_stream_equals_batch(spark):
     batch = TR.run_triage(raw, R.registry_frame(spark), R.topics_frame(spark))
     cols = ["topic", "partition", "offset", "outcome"]
     assert sorted(map(tuple, out.select(*cols).collect())) == sorted(map(tuple, batch.select(*cols).collect()))
+
+
+def test_retry_scheduler_stream_releases_due_once(spark):
+    import os
+
+    from conftest import raw_frame
+
+    from sluice.sources.sinks import write_records
+    from sluice.streaming.jobs import replay_files, scratch, start_retry_scheduler
+
+    def env(eid, due, n):
+        return ('{"version":1,"eventId":"%s","eventType":"VISIT_APPROVED","tenantId":"t1",'
+                '"timestamp":"2024-01-01T00:00:00Z","data":{},"originalTopic":"cases","retryCount":%d,'
+                '"failureReason":"boom","firstFailureTime":"2024-01-01T00:00:00Z",'
+                '"lastFailureTime":"2024-01-01T00:00:00Z","nextRetryAfter":"%s"}' % (eid, n, due))
+    rows = [("cases.retry", 0, 0, env("e1", "2024-01-01T00:00:30Z", 1), "2024-01-01 00:00:00"),
+            ("cases.retry", 0, 1, env("e2", "2024-01-01T00:01:00Z", 2), "2024-01-01 00:00:00"),
+            ("cases.retry", 0, 2, env("e1", "2024-01-01T00:05:00Z", 2), "2024-01-01 00:00:10"),  # replaces e1
+            ("cases.retry", 0, 3, env("e3", "2024-01-02T00:00:00Z", 1), "2024-01-01 00:10:00")]
+    raw = raw_frame(spark, rows)
+    src, out = scratch(spark, "retry-src"), scratch(spark, "retry-out")
+    replay_files(raw, src, files=2)
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = start_retry_scheduler(stream, out, out + "-ckpt")
+    q.awaitTermination()
+    got = spark.read.parquet(out).collect()
+    # e1 (rescheduled to 00:05) and e2 are due before the watermark (00:10); e3 is not; each leaves once
+    assert sorted(r["event_id"] for r in got) == ["e1", "e2"]
+    e1 = [r for r in got if r["event_id"] == "e1"][0]
+    assert '"retryCount":2' in e1["sink_value"] and e1["sink_topic"] == "cases"
+    recs = spark.read.parquet(out).select("sink_value", "sink_topic").withColumn("sink_key", spark_lit("t1"))
+    write_records(recs, path=os.path.join(out, "sink"), batch_id=0)
+    assert spark.read.parquet(os.path.join(out, "sink", "batch=0")).count() == 2
+
+
+def spark_lit(v):
+    from pyspark.sql import functions as F
+    return F.lit(v)
