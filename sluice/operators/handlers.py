@@ -58,6 +58,24 @@ FAULT_PANIC_TEXT = "panic: simulated handler panic"
 FAULT_ERROR_TEXT = "simulated handler error: downstream unavailable"
 
 
+def register_handler(handlers: Mapping[tuple[str, int], Handler], event_type: str, version: int,
+                     handler: Handler) -> dict[tuple[str, int], Handler]:
+    """Add a handler for (event_type, version); registering the same pair twice is an error."""
+    key = (event_type, int(version))
+    if key in handlers:
+        raise ValueError(f"registry: duplicate processor for {event_type} v{version}")
+    out = dict(handlers)
+    out[key] = handler
+    return out
+
+
+def registry_of(spark, handlers: Mapping[tuple[str, int], Handler]):
+    """(registry frame for the lookup join, handlers by processor name for ``apply_handlers``)."""
+    from sluice.operators.route import registry_frame
+    frame = registry_frame(spark, list(handlers), {k: h.name for k, h in handlers.items()})
+    return frame, {h.name: h for h in handlers.values()}
+
+
 def inject_faults(result: Column, fault: Column) -> Column:
     """A decoded payload may still fail in the handler's downstream call (fixture fault column).
 

@@ -1,7 +1,7 @@
 """Structured Streaming jobs.
 
 * ``start_triage_stream``: raw records -> stateless prepare (parse, lookups,
-  handler) -> per-event-id claim state (``transformWithStateInPandas``) ->
+  handler) -> per-event-id claim state (``applyInPandasWithState``) ->
   ``foreachBatch`` sink that writes outcomes and retry / dead-letter records,
   one folder per batch id so a replayed batch overwrites instead of duplicating.
 * ``start_retry_scheduler``: ``.retry`` records -> per-event-id schedule state
@@ -54,52 +54,41 @@ def _us(s: pd.Series):
     return pd.to_datetime(s, utc=True).astype("int64").to_numpy() // 1000
 
 
-class ClaimProcessor(StatefulProcessor):
-    """Fixed-window claim per event id: a success claims for ``ttl``, a failure releases.
+CLAIM_STATE = T.StructType([T.StructField("claim_us", T.LongType())])
 
-    Rows of a key inside one micro-batch are folded in arrival order; the claim
-    time survives between batches in a ``ValueState``. An event-time timer at
-    claim + ttl clears it once the watermark passes, which bounds the state.
-    """
 
-    def __init__(self, ttl_s: int = K.DEDUP_TTL_S):
-        self.ttl_us = ttl_s * 1_000_000
+def claim_fold(ttl_s: int = K.DEDUP_TTL_S):
+    """Per-event-id claim fold for ``applyInPandasWithState``.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.claim = handle.getValueState("claim", "claim_us long")
+    Rows of a key inside one micro-batch are folded in arrival order; the claim
+    time survives between batches in the group state (shipped with the rows in
+    Arrow batches, no per-key round trips). An event-time timeout at claim + ttl
+    drops the state once the watermark passes it, which bounds the state size.
+    """
+    ttl_us = ttl_s * 1_000_000
 
-    def _set(self, old, new) -> None:
-        if old == new:
+    def fold(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
             return
-        if old is not None:
-            self.handle.deleteTimer((old + self.ttl_us) // 1000)
-        if new is None:
-            self.claim.clear()
-        else:
-            self.claim.update((new,))
-            self.handle.registerTimer((new + self.ttl_us) // 1000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.claim.clear()
-        return iter([])
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(ORDER, kind="stable")
-        claim = self.claim.get()[0] if self.claim.exists() else None
-        start, status = claim, []
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(ORDER, kind="stable")
+        claim = int(state.get[0]) if state.exists else None
+        status = []
         for t, ok in zip(_us(pdf["clock"]), pdf["error"].isna().to_numpy()):
-            if claim is not None and t < claim + self.ttl_us:
+            if claim is not None and t < claim + ttl_us:
                 status.append(DUPLICATE)
             else:
                 status.append(CLAIMED)
                 claim = int(t) if ok else None
-        self._set(start, claim)
+        expires_ms = None if claim is None else (claim + ttl_us) // 1000
+        if expires_ms is None or expires_ms <= state.getCurrentWatermarkMs():
+            state.remove()
+        else:
+            state.update((claim,))
+            state.setTimeoutTimestamp(expires_ms)
         pdf["dedup_status"] = status
         yield pdf[[f.name for f in CLAIMED_SCHEMA.fields]]
-
-    def close(self) -> None:
-        pass
+    return fold
 
 
 def triage_stream(raw: DataFrame, registry: DataFrame, topics: DataFrame,
@@ -116,20 +105,26 @@ def triage_stream(raw: DataFrame, registry: DataFrame, topics: DataFrame,
         *[f.name for f in CARRY.fields])
     routed = v.where("routed").withWatermark("clock", lateness)
     others = v.where("not routed").withColumn("dedup_status", F.lit(None).cast("string"))
-    claimed = routed.groupBy("event_id").transformWithStateInPandas(
-        statefulProcessor=ClaimProcessor(ttl_s), outputStructType=CLAIMED_SCHEMA,
-        outputMode="Append", timeMode="EventTime")
+    claimed = routed.groupBy("event_id").applyInPandasWithState(
+        claim_fold(ttl_s), outputStructType=CLAIMED_SCHEMA, stateStructType=CLAIM_STATE,
+        outputMode="append", timeoutConf="EventTimeTimeout")
     return O.classify_outcome(claimed.unionByName(others))
 
 
 def _write_batch(out_dir: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        outcomes = batch.select(*TR.IDS, "event_id", "event_type", "tenant_id", "outcome", "reason",
-                                "sink_topic", "dedup_status")
-        # one folder per batch id: a replayed batch overwrites its own output
-        outcomes.write.mode("overwrite").parquet(os.path.join(out_dir, "outcomes", f"batch={batch_id}"))
-        TR.sink_records(batch).write.mode("overwrite").partitionBy("sink_topic").parquet(
-            os.path.join(out_dir, "sinks", f"batch={batch_id}"))
+        # two writes read the batch: keep it for the length of this call so the
+        # micro-batch plan (parse, state lookups) runs once
+        batch.persist()
+        try:
+            outcomes = batch.select(*TR.IDS, "event_id", "event_type", "tenant_id", "outcome", "reason",
+                                    "sink_topic", "dedup_status")
+            # one folder per batch id: a replayed batch overwrites its own output
+            outcomes.write.mode("overwrite").parquet(os.path.join(out_dir, "outcomes", f"batch={batch_id}"))
+            TR.sink_records(batch).write.mode("overwrite").partitionBy("sink_topic").parquet(
+                os.path.join(out_dir, "sinks", f"batch={batch_id}"))
+        finally:
+            batch.unpersist()
     return write
 
 

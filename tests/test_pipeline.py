@@ -17,6 +17,18 @@ def test_every_record_has_one_outcome(spark):
     assert t.groupBy("topic", "partition", "offset").count().where("count > 1").count() == 0
 
 
+def test_register_handler(spark):
+    from sluice.operators import handlers as H
+    reg = H.register_handler({}, "VISIT_APPROVED", 1, H.DEFAULT_HANDLERS["VISIT_APPROVED"])
+    reg = H.register_handler(reg, "VISIT_APPROVED", 2, H.Handler("visit_v2", H.visit_approved))
+    with pytest.raises(ValueError):
+        H.register_handler(reg, "VISIT_APPROVED", 1, H.DEFAULT_HANDLERS["VISIT_APPROVED"])
+    frame, by_name = H.registry_of(spark, reg)
+    rows = sorted((r["event_type"], r["version"], r["processor"]) for r in frame.collect())
+    assert rows == [("VISIT_APPROVED", 1, "VISIT_APPROVED"), ("VISIT_APPROVED", 2, "visit_v2")]
+    assert set(by_name) == {"VISIT_APPROVED", "visit_v2"}
+
+
 def test_registry_duplicates_raise(spark):
     reg = spark.createDataFrame([("A", 1, "p"), ("A", 1, "q")], R.REGISTRY_DDL)
     with pytest.raises(ValueError):
