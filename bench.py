@@ -57,7 +57,8 @@ def main() -> None:
     tri = spark.read.parquet(tri_path)
 
     prep_path = os.path.join(scratch, "prepared")
-    timed("prepare", lambda: TR.prepare(raw, reg, tops, fault_col="fault").drop("data").write.parquet(prep_path))
+    timed("prepare", lambda: TR.prepare(raw, reg, tops, fault_col="fault").drop("data", "value")
+                                 .write.parquet(prep_path))
     prep = spark.read.parquet(prep_path)
     timed("dedup_claims", lambda: sink(D.dedup_claims(prep, clock="clock", where=F.col("routed"))))
 

@@ -53,7 +53,8 @@ def run_triage(raw: DataFrame, registry: DataFrame, topics: DataFrame,
     if dedup:
         # two passes over the prepared rows (narrow claim fold, then the join back):
         # write them once instead of parsing every record twice
-        v = materialize(v.drop("data"), "prepared")
+        # (``value`` is the binary twin of ``value_str``: not written twice)
+        v = materialize(v.drop("data", "value"), "prepared")
         v = D.dedup_release(v, clock="clock", where=F.col("routed"))
     else:
         v = v.withColumn("dedup_status", F.when(F.col("routed"), F.lit(D.CLAIMED)))

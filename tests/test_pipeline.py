@@ -99,3 +99,38 @@ def test_retry_scheduler_stream_releases_due_once(spark):
 def spark_lit(v):
     from pyspark.sql import functions as F
     return F.lit(v)
+
+
+def test_metric_inclusion_rules(spark):
+    """Duplicates count as received only; a panic counts as panic and processing_error; raw dead
+    letters are not in the dead-letter counter; unknown types are not received."""
+    from pyspark.sql import functions as F
+
+    from conftest import raw_frame
+    from sluice.operators import metrics as M
+    from sluice.plans import triage as TR
+    from test_parse import env
+
+    rows = [("cases", 0, 0, env(eventId='"e1"'), "2024-01-01 00:00:00"),
+            ("cases", 0, 1, env(eventId='"e1"'), "2024-01-01 01:00:00"),      # duplicate inside 48 h
+            ("cases", 0, 2, "not json", "2024-01-01 02:00:00"),                # raw dead letter
+            ("cases", 0, 3, env(eventId='"e4"', eventType='"CASE_ASSIGNED"'), "2024-01-01 03:00:00"),
+            ("cases", 0, 4, env(eventId='"e5"'), "2024-01-01 04:00:00"),      # panics -> retry
+            ("cases", 0, 5, env(eventId='"e6"', data="5"), "2024-01-01 05:00:00")]  # business error
+    raw = raw_frame(spark, rows).withColumns({
+        "fault": F.when(F.col("offset") == 4, F.lit("panic")),
+        "duration_s": F.lit(0.02)})
+    t = TR.run_triage(raw, R.registry_frame(spark), R.topics_frame(spark), fault_col="fault")
+    outcomes = {r["offset"]: r["outcome"] for r in t.collect()}
+    assert outcomes == {0: "processed", 1: "duplicate", 2: "dlq", 3: "dlq", 4: "retry", 5: "dlq"}
+
+    def total(df, **where):
+        return sum(r["n"] for r in df.collect() if all(r[k] == v for k, v in where.items()))
+    assert total(M.messages_received(t)) == 4
+    assert total(M.messages_processed(t)) == 1
+    assert total(M.messages_failed(t), reason="panic") == 1
+    assert total(M.messages_failed(t), reason="processing_error") == 2
+    assert total(M.messages_retried(t)) == 1
+    assert total(M.messages_dlq(t)) == 2
+    inf = [r for r in M.processing_duration(t).collect() if r["le"] == "+Inf"]
+    assert sum(r["bucket_count"] for r in inf) == 3
