@@ -86,9 +86,21 @@ def triage_log(raw: DataFrame, registry: DataFrame, topics: DataFrame, **kw) ->
 
 
 def sink_records(triaged: DataFrame) -> DataFrame:
-    """(sink_topic, sink_key, sink_value) for every record leaving to a retry or dead-letter topic."""
-    raw_dlq = O.to_raw_dlq_record(triaged.where(F.col("dlq_kind") == "raw"))
-    ev_dlq = O.to_dlq_record(triaged.where(F.col("dlq_kind") == "event"))
-    retry = O.to_retry_envelope(triaged.where(F.col("outcome") == K.RETRY))
-    cols = [*IDS, "outcome", "sink_topic", "sink_key", "sink_value"]
-    return raw_dlq.select(*cols).unionByName(ev_dlq.select(*cols)).unionByName(retry.select(*cols))
+    """(sink_topic, sink_key, sink_value) for every record leaving to a retry or dead-letter topic.
+
+    One pass: the three record builders are projected side by side and a CASE
+    on the outcome picks one (each builder is referenced once, so Catalyst
+    inlines it into its CASE branch and only the chosen record is built).
+    """
+    t = triaged.where(F.col("outcome").isin(K.RETRY, K.DLQ))
+    t = O.to_raw_dlq_record(t).withColumnsRenamed({"sink_key": "_raw_k", "sink_value": "_raw_v"})
+    t = O.to_dlq_record(t.drop("payload_is_json")).withColumnsRenamed(
+        {"sink_key": "_ev_k", "sink_value": "_ev_v"}).drop("payload_is_json")
+    t = O.to_retry_envelope(t)
+    kind = F.col("dlq_kind")
+    return t.select(
+        *IDS, "outcome", "sink_topic",
+        F.when(kind == "raw", F.col("_raw_k")).when(kind == "event", F.col("_ev_k"))
+        .otherwise(F.col("sink_key")).alias("sink_key"),
+        F.when(kind == "raw", F.col("_raw_v")).when(kind == "event", F.col("_ev_v"))
+        .otherwise(F.col("sink_value")).alias("sink_value"))
