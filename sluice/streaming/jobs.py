@@ -218,7 +218,8 @@ def replay_files(df: DataFrame, path: str, files: int = 4, order: str = "timesta
     ``maxFilesPerTrigger=1`` -- the same batches on every run.
     """
     us = F.unix_micros(F.col(order))
-    bounds = df.select(us.alias("u")).approxQuantile("u", [i / files for i in range(1, files)], 0.0)
+    bounds = (df.select(us.alias("u")).approxQuantile("u", [i / files for i in range(1, files)], 0.0)
+              if files > 1 else [])
     edges = [None, *bounds, None]
     for lo, hi in zip(edges[:-1], edges[1:]):
         cond = F.lit(True)
