@@ -187,3 +187,19 @@ def test_frontier_never_passes_an_open_offset(spark):
             assert p not in front
         else:
             assert front[p] < first_open and all(c for o, c in mine if o <= front[p])
+
+
+def test_read_messages_and_split(spark):
+    import os
+
+    from conftest import raw_frame
+    from sluice.sources.messages import read_messages, split_retry_topics, with_path
+    from sluice.streaming.jobs import scratch
+    rows = [("cases", 0, 0, "{}", "2024-01-01 00:00:00"), ("cases.retry", 1, 0, "{}", "2024-01-01 00:00:01")]
+    path = os.path.join(scratch(spark, "raw"), "log")
+    raw_frame(spark, rows).write.parquet(path)
+    log = read_messages(spark, path=path, stream=False)
+    assert [f.name for f in log.schema.fields] == ["topic", "partition", "offset", "key", "value", "timestamp"]
+    main, retry = split_retry_topics(log)
+    assert main.count() == 1 and retry.count() == 1
+    assert sorted(r["path"] for r in with_path(log).collect()) == ["process", "schedule"]
