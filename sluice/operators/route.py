@@ -1,7 +1,8 @@
 """Lookups: handler registry by (event_type, version) and worker pool by topic.
 
 Both lookup tables are configuration (one row per registered handler / topic),
-so their size is bounded by the deployment, not by the data; they are broadcast.
+so their size is bounded by the deployment, not by the data; they are broadcast
+after a row-count check, and joined by shuffle if a table is ever larger.
 """
 from __future__ import annotations
 
@@ -18,6 +19,14 @@ TOPICS_DDL = "topic STRING, lanes INT"
 MAX_LOOKUP_ROWS = 100_000
 
 
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
+    """Broadcast ``df`` only when it holds at most ``max_rows`` rows; otherwise leave it to a shuffle join.
+
+    The count reads at most ``max_rows + 1`` rows of a configuration table.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def registry_frame(spark: SparkSession, entries: Iterable[tuple[str, int]] = K.REGISTRY,
                    processors: Mapping[tuple[str, int], str] | None = None) -> DataFrame:
     rows = [(t, int(v), (processors or {}).get((t, v), t)) for t, v in entries]
@@ -44,7 +53,7 @@ def check_registry_unique(registry: DataFrame) -> None:
 def resolve_processor(events: DataFrame, registry: DataFrame) -> DataFrame:
     """Left lookup of ``processor``; NULL when no handler is registered."""
     reg = registry.select("event_type", F.col("version").cast("bigint").alias("version"), "processor")
-    return events.join(F.broadcast(reg), ["event_type", "version"], "left")
+    return events.join(bounded_broadcast(reg), ["event_type", "version"], "left")
 
 
 def unknown_type_reason() -> F.Column:
@@ -54,20 +63,20 @@ def unknown_type_reason() -> F.Column:
 def unknown_event_types(events: DataFrame, registry: DataFrame) -> DataFrame:
     """Events without a registered handler, with their dead-letter reason."""
     reg = registry.select("event_type", F.col("version").cast("bigint").alias("version"))
-    return (events.join(F.broadcast(reg), ["event_type", "version"], "left_anti")
+    return (events.join(bounded_broadcast(reg), ["event_type", "version"], "left_anti")
             .withColumn("reason", unknown_type_reason()))
 
 
 def has_processor(events: DataFrame, registry: DataFrame) -> DataFrame:
     reg = registry.select("event_type", F.col("version").cast("bigint").alias("version"))
-    return events.join(F.broadcast(reg), ["event_type", "version"], "left_semi")
+    return events.join(bounded_broadcast(reg), ["event_type", "version"], "left_semi")
 
 
 def route_topics(events: DataFrame, topics: DataFrame) -> DataFrame:
     """Attach the lane count of the topic's worker pool (NULL: no pool)."""
-    return events.join(F.broadcast(topics.select("topic", "lanes")), "topic", "left")
+    return events.join(bounded_broadcast(topics.select("topic", "lanes")), "topic", "left")
 
 
 def unrouted_topics(events: DataFrame, topics: DataFrame) -> DataFrame:
-    return (events.join(F.broadcast(topics.select("topic")), "topic", "left_anti")
+    return (events.join(bounded_broadcast(topics.select("topic")), "topic", "left_anti")
             .withColumn("reason", F.lit(K.NO_POOL)))

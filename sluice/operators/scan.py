@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from sluice.session import checkpoint_dir
 
 PART, POS, LRN = "_part", "_pos", "_lrn"
+# The carry table has at most two rows per partition; above this many partitions it is joined by shuffle.
+MAX_BROADCAST_PARTITIONS = 200_000
 
 
 def _local_rank(key_cols: Sequence[str], weight: str | None = None):
@@ -133,6 +135,7 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     ranked = sorted_local_rank(df, keys, order, weight=weight)
     offs = carry_offsets(ranked, keys)
     key_struct = F.struct(*[F.col(k) for k in keys])
-    j = ranked.join(F.broadcast(offs), PART, "left")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    j = ranked.join(F.broadcast(offs) if parts <= MAX_BROADCAST_PARTITIONS else offs, PART, "left")
     rn = F.col(LRN) + F.when(key_struct.eqNullSafe(F.col("_first_key")), F.col("_offset")).otherwise(F.lit(0))
     return j.withColumn(out, rn.cast("bigint")).drop(PART, POS, LRN, "_first_key", "_offset")

@@ -203,3 +203,14 @@ def test_read_messages_and_split(spark):
     main, retry = split_retry_topics(log)
     assert main.count() == 1 and retry.count() == 1
     assert sorted(r["path"] for r in with_path(log).collect()) == ["process", "schedule"]
+
+
+def test_lookup_falls_back_to_shuffle_join_above_bound(spark):
+    reg = R.registry_frame(spark)
+    big = R.bounded_broadcast(reg, max_rows=1)    # 2 rows > 1: no broadcast hint
+    small = R.bounded_broadcast(reg, max_rows=10)
+    ev = spark.createDataFrame([("VISIT_APPROVED", 1), ("X", 1)], "event_type string, version long")
+    for r in (big, small):
+        got = ev.join(r.select("event_type", "version", "processor"), ["event_type", "version"], "left")
+        assert sorted((x["event_type"], x["processor"]) for x in got.collect()) == \
+            [("VISIT_APPROVED", "VISIT_APPROVED"), ("X", None)]
