@@ -19,26 +19,32 @@ TOPICS_DDL = "topic STRING, lanes INT"
 MAX_LOOKUP_ROWS = 100_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS, source: DataFrame | None = None) -> DataFrame:
     """Broadcast ``df`` only when it holds at most ``max_rows`` rows; otherwise leave it to a shuffle join.
 
-    The count reads at most ``max_rows + 1`` rows of a configuration table.
+    ``source`` is the table ``df`` was projected from. Frames built here from
+    driver-side lists carry their row count; any other table is counted, reading
+    at most ``max_rows + 1`` rows.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    src = df if source is None else source
+    n = getattr(src, "_sluice_rows", None)
+    if n is None:
+        n = src.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
 
 
 def registry_frame(spark: SparkSession, entries: Iterable[tuple[str, int]] = K.REGISTRY,
                    processors: Mapping[tuple[str, int], str] | None = None) -> DataFrame:
     rows = [(t, int(v), (processors or {}).get((t, v), t)) for t, v in entries]
-    if len(rows) > MAX_LOOKUP_ROWS:
-        raise ValueError("registry too large to broadcast")
-    return spark.createDataFrame(rows, REGISTRY_DDL)
+    df = spark.createDataFrame(rows, REGISTRY_DDL)
+    df._sluice_rows = len(rows)  # size known on the driver: no count job needed
+    return df
 
 
 def topics_frame(spark: SparkSession, lanes: Mapping[str, int] = K.LANES) -> DataFrame:
-    if len(lanes) > MAX_LOOKUP_ROWS:
-        raise ValueError("topic table too large to broadcast")
-    return spark.createDataFrame([(t, int(n)) for t, n in lanes.items()], TOPICS_DDL)
+    df = spark.createDataFrame([(t, int(n)) for t, n in lanes.items()], TOPICS_DDL)
+    df._sluice_rows = len(lanes)
+    return df
 
 
 def check_registry_unique(registry: DataFrame) -> None:
@@ -53,7 +59,7 @@ def check_registry_unique(registry: DataFrame) -> None:
 def resolve_processor(events: DataFrame, registry: DataFrame) -> DataFrame:
     """Left lookup of ``processor``; NULL when no handler is registered."""
     reg = registry.select("event_type", F.col("version").cast("bigint").alias("version"), "processor")
-    return events.join(bounded_broadcast(reg), ["event_type", "version"], "left")
+    return events.join(bounded_broadcast(reg, source=registry), ["event_type", "version"], "left")
 
 
 def unknown_type_reason() -> F.Column:
@@ -63,20 +69,20 @@ def unknown_type_reason() -> F.Column:
 def unknown_event_types(events: DataFrame, registry: DataFrame) -> DataFrame:
     """Events without a registered handler, with their dead-letter reason."""
     reg = registry.select("event_type", F.col("version").cast("bigint").alias("version"))
-    return (events.join(bounded_broadcast(reg), ["event_type", "version"], "left_anti")
+    return (events.join(bounded_broadcast(reg, source=registry), ["event_type", "version"], "left_anti")
             .withColumn("reason", unknown_type_reason()))
 
 
 def has_processor(events: DataFrame, registry: DataFrame) -> DataFrame:
     reg = registry.select("event_type", F.col("version").cast("bigint").alias("version"))
-    return events.join(bounded_broadcast(reg), ["event_type", "version"], "left_semi")
+    return events.join(bounded_broadcast(reg, source=registry), ["event_type", "version"], "left_semi")
 
 
 def route_topics(events: DataFrame, topics: DataFrame) -> DataFrame:
     """Attach the lane count of the topic's worker pool (NULL: no pool)."""
-    return events.join(bounded_broadcast(topics.select("topic", "lanes")), "topic", "left")
+    return events.join(bounded_broadcast(topics.select("topic", "lanes"), source=topics), "topic", "left")
 
 
 def unrouted_topics(events: DataFrame, topics: DataFrame) -> DataFrame:
-    return (events.join(bounded_broadcast(topics.select("topic")), "topic", "left_anti")
+    return (events.join(bounded_broadcast(topics.select("topic"), source=topics), "topic", "left_anti")
             .withColumn("reason", F.lit(K.NO_POOL)))
