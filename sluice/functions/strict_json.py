@@ -27,14 +27,20 @@ def computed_once(c: Column) -> Column:
 
 
 def is_single_json_value(text: Column) -> Column:
-    """True when ``text`` is exactly one JSON value (no trailing text, no single quotes).
-
-    ``from_json`` on the text wrapped in ``[...]`` yields an array of size 1 only
-    for one well-formed value; ``{..} x``, ``{..},{..}``, empty and non-JSON text
-    give NULL or another size.
+    """True when ``text`` is exactly one JSON value (no trailing text, no single quotes, no NaN).
+
+    ``from_json`` ignores text after the first complete value, so the text is
+    parsed inside two different wrappers: as the only element of ``[...]`` and
+    as the value of ``{"x": ...}``. Text that closes the array early (``1] [2``)
+    breaks the object wrapper and text that closes the object early
+    (``1} {"y":2``) breaks the array wrapper; ``{..} x``, ``{..},{..}``, empty
+    and non-JSON text fail both.
     """
     arr = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _STRICT)
-    return F.coalesce(F.size(arr) == 1, F.lit(False))
+    obj = F.from_json(F.concat(F.lit('{"x":'), text, F.lit("}")), "x string", _STRICT)
+    # malformed input leaves the field NULL; so does a JSON null, which is one value
+    in_obj = obj["x"].isNotNull() | (F.trim(text) == "null")
+    return F.coalesce((F.size(arr) == 1) & in_obj, F.lit(False))
 
 
 def top_level_kind(text: Column) -> Column:

@@ -44,6 +44,8 @@ CASES = [
                          "rawEnvelope.version of type int"),
     ("{'version':1}", "invalid envelope: json unmarshal: malformed JSON"),
     (env(version="NaN"), "invalid envelope: json unmarshal: malformed JSON"),
+    (env() + "] [2", "invalid envelope: json unmarshal: malformed JSON"),  # closes the array wrapper early
+    ("1} {\"y\":2", "invalid envelope: json unmarshal: malformed JSON"),   # closes the object wrapper early
     (env(data='{"a":1,"a":2}'), None),  # duplicate keys inside data: present, decodes (last wins)
 ]
 
