@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import decontam, simhash, substring
+from sluice.llm import decontam, simhash, substring, tokens
 
+TOKENIZER = "byte_bpe_50k.json"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @query
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
