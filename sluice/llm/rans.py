@@ -20,7 +20,7 @@ import zlib
 
 import numpy as np
 
-MAGIC, LANES, CHECK_STEPS = b"RNS1", 1024, 128
+MAGIC, LANES, CHECK_STEPS = b"RNS1", 2048, 128
 LOW = np.uint64(1 << 31)
 HEAD = "<4sIIHH"
 DOC = np.dtype([("id", "<i8"), ("n", "<u4"), ("flags", "u1")])

@@ -10,10 +10,11 @@ blocks are the rows of a Parquet table, so that Spark's committer, not the task,
 Reading. Any block decodes on its own from the frequency table; a text's start is its shard's start,
 plus its block's, plus its place in it. Checksums of blocks and segments are verified.
 
-Tokenising. The tokenizers library encodes each different space-separated word once and
-its ids are kept (up to ``CACHE_WORDS`` a worker); byte-level BPE never joins a non-space character with a space
-that follows it, nor a line break between two of them with either, so the ids of a text are those of
-its words one after the other. Texts with other white space or runs of it are encoded as a whole.
+Tokenising. Byte-level BPE never joins a non-space character with a space that follows it, nor a line break
+between two of them with either, so the ids of a text are those of its space-separated words one after the other. Each
+different word of a slice is looked up once: Latin letters go to the library's model and their ids are kept
+(``CACHE_WORDS`` a worker), marks after them and all other words go through the library's whole encoding. Texts
+with other white space or runs of it are encoded as a whole.
 
 Defined results: null text is empty text; every text gets ``end_id`` appended, so an empty one has
 one token; a null id comes first; rows of one id are ordered by a hash of their ids (rows that tie have the same ids);
@@ -37,8 +38,9 @@ from sluice.llm import rans
 from sluice.llm.arrays import slices
 from sluice.llm.tables import Tables, partitions
 
-BLOCK = 1 << 18
-CACHE_WORDS = 600_000
+BLOCK = 1 << 19
+CACHE_WORDS = 800_000
+MARKS = ".,!?;:%&*#$|"
 
 
 class WordTokenizer:
@@ -51,10 +53,10 @@ class WordTokenizer:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.dtype = "<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}  # a word as it stands after a space, or a line break and the word after it
-        self.stems: dict[str, bytes] = {}  # letters only, with the space before them
+        self.stems: dict[str, bytes] = {}  # letters only, as they stand after a space
         bare = ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {i: bare.pre_tokenize_str(chr(i))[0][0] for i in range(128)}  # how the vocabulary writes each byte
+        self.space = self.shown[0x20]
         for i in range(64):
             self.shown[0x80 + i] = bare.pre_tokenize_str(chr(0x100 + i))[0][0][1]
         for i in range(2, 8):
@@ -65,60 +67,72 @@ class WordTokenizer:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _stem(self, text: str) -> bytes:
-        """Latin letters, perhaps after a space: one piece for the model's pre-tokenizer, so the model alone is asked."""
-        ids = self.stems.get(text)
-        if ids is None:
-            if len(self.stems) > CACHE_WORDS:
-                self.stems.clear()
-            ids = self.stems[text] = np.array([t.id for t in self.lib.model.tokenize(text.encode().decode("latin-1").translate(self.shown))], self.dtype).tobytes()
-        return ids
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode the words that the rule covers; the others stay unknown."""
-        rest = []
-        for w in words:
-            stem = w.rstrip(".,!?;:%&*#$|")
-            if stem.isalpha() and max(stem) < "\u0250":
-                tail = w[len(stem):]
-                self.known[w] = self._stem(" " + stem) + (self._tail(tail) if tail else b"")
-            elif w.split() == [w.removeprefix("\n")]:
-                rest.append(w)
-        if rest:
-            self.known.update(zip(rest, self._ids([w if w[0] == "\n" else " " + w for w in rest])))
-
-    def _tail(self, marks: str) -> bytes:
-        """A run of punctuation after a letter is a piece of its own."""
-        ids = self.stems.get(marks)
-        if ids is None:
-            ids = self.stems[marks] = self._ids([marks])[0]
-        return ids
+    def _spaced(self, text: str) -> str:
+        """Letters after a space, as the vocabulary writes their bytes."""
+        return self.space + text if text.isascii() else (" " + text).encode().decode("latin-1").translate(self.shown)
+
+    def _learn(self, stems: list[str]) -> None:
+        """Ids of Latin letters after a space: one piece for the model's pre-tokenizer, so the model alone is asked. Others stay unknown."""
+        tokenize, counts, flat = self.lib.model.tokenize, [], []
+        plain = [x for x in stems if x.isascii() or max(x) < "\u0250"]
+        for x in plain:
+            ids = tokenize(self._spaced(x))
+            counts.append(len(ids))
+            flat += [t.id for t in ids]
+        self.stems.update(zip(plain, _cut(np.array(flat, self.dtype), counts)))
+
+    def _words(self, words) -> tuple[pa.Array, list[int]]:
+        """Ids of different words as they stand after a space (those with a line break before them: as they are), and which words the rule doesn't cover."""
+        stems = pc.utf8_rtrim(words, characters=MARKS)
+        coded = stems.dictionary_encode()
+        code, stem = coded.indices.to_numpy().copy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.stems) > CACHE_WORDS:
+            self.stems.clear()
+        ids = list(map(self.stems.get, stem))
+        letters = pc.utf8_is_alpha(coded.dictionary).to_numpy(zero_copy_only=False)
+        new = [i for i, x in enumerate(ids) if x is None and letters[i]]
+        self._learn([stem[i] for i in new])
+        for i in new:
+            ids[i] = self.stems.get(stem[i])
+        known = np.array([x is not None for x in ids])[code]
+        # marks after letters are a piece of their own
+        tail = np.zeros(len(code), np.int64)
+        marked = np.flatnonzero(known & (pc.binary_length(words).to_numpy() > pc.binary_length(stems).to_numpy()))
+        whole = words.take(pa.array(marked)).to_numpy(zero_copy_only=False).tolist()
+        marks: dict[str, int] = {"": 0}
+        tail[marked] = [marks.setdefault(w[len(stem[c]):], len(marks)) for w, c in zip(whole, code[marked].tolist())]
+        # all other words go to the library as they are
+        rest = np.flatnonzero(~known)
+        other = words.take(pa.array(rest)).to_numpy(zero_copy_only=False).tolist()
+        odd = [w.split() != [w.removeprefix("\n")] for w in other]
+        given = self._ids(["" if o else w if w[0] == "\n" else " " + w for w, o in zip(other, odd)])
+        code = code.astype(np.int64)
+        code[rest] = len(stem) + np.arange(len(rest))
+        head = pa.array([x or b"" for x in ids] + given, pa.binary()).take(pa.array(code))
+        ends = pa.array(self._ids(list(marks)), pa.binary()).take(pa.array(tail))
+        return pc.binary_join_element_wise(head, ends, pa.scalar(b"", pa.binary())), rest[np.array(odd, bool)]
 
     def column(self, texts) -> list[bytes]:
         """Ids of every text of an Arrow string column; each different word of the column is looked up once."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
         texts = pc.fill_null(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, "")
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         if not len(texts):
             return []
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         at, words = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
-        at = at - at[0]
-        code, word = words.indices.to_numpy().copy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at, code = at - at[0], words.indices.to_numpy().astype(np.int64)
         first, begin = np.unique(code[at[:-1]], return_inverse=True)
-        inner, outer = list(map(self.known.get, word)), [word[i] for i in first]
-        new = [i for i, x in enumerate(inner) if x is None]
-        self._learn([word[i] for i in new])
-        for i in new:
-            inner[i] = self.known.get(word[i])
-        odd = np.array([x is None for x in inner])[code]
-        odd[at[:-1]] = np.array([x.split() != [x] for x in outer])[begin] & (np.diff(at) > 1)
-        odd = np.add.reduceat(odd, at[:-1], dtype=np.int64) > 0
-        code[at[:-1]] = len(word) + begin
-        flat = pa.array([x or b"" for x in inner] + self._ids(outer), pa.binary()).take(pa.array(code))
+        outer = words.dictionary.take(pa.array(first)).to_pylist()
+        inner, odd = self._words(words.dictionary)
+        strange = np.zeros(len(inner), bool)
+        strange[odd] = True
+        strange = strange[code]
+        strange[at[:-1]] = np.array([x.split() != [x] for x in outer])[begin] & (np.diff(at) > 1)
+        strange = np.add.reduceat(strange, at[:-1], dtype=np.int64) > 0
+        code[at[:-1]] = len(inner) + begin
+        flat = pa.concat_arrays([inner, pa.array(self._ids(outer), pa.binary())]).take(pa.array(code))
         _, ends, data = flat.buffers()
         ends, data = np.frombuffer(ends, np.int32)[at].tolist(), memoryview(data or b"")
-        return [self._ids([texts[i].as_py()])[0] if odd[i] else bytes(data[ends[i]: ends[i + 1]]) for i in range(len(texts))]
+        return [self._ids([texts[i].as_py()])[0] if strange[i] else bytes(data[ends[i]: ends[i + 1]]) for i in range(len(texts))]
 
 
 @functools.lru_cache(2)
@@ -127,6 +141,12 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+def _cut(ids: np.ndarray, counts: list[int]) -> list[bytes]:
+    """The bytes of consecutive runs of ids."""
+    data, ends = ids.tobytes(), (np.cumsum(counts) * ids.itemsize).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def _squeeze(ids: bytes, width: int, tool: zstandard.ZstdCompressor) -> bytes:
     """Ids of ``width`` bytes each as compressed byte planes."""
     return bytes([width]) + tool.compress(np.frombuffer(ids, np.uint8).reshape(-1, width).T.tobytes())
@@ -138,7 +158,7 @@ def _unsqueeze(data: bytes, tool: zstandard.ZstdDecompressor) -> np.ndarray:
 
 
 def token_rows(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id: int) -> DataFrame:
-    """(id, order, ids): the ids of each text with the end id, packed."""
+    """(id, order, ids, counts): the ids of each text with the end id, packed; a slice's first row counts the ids of the slice."""
     def run(batches):
         from sluice.llm import tokens  # the worker's own module, which lives longer than a task
         encode, tool = tokens.tokenizer(tokenizer_path), zstandard.ZstdCompressor(1)
@@ -146,24 +166,23 @@ def token_rows(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str,
         for b in batches:
             for part in slices(b, "text", 1 << 24):
                 each = [x + end for x in encode.column(part.column("text"))]
+                seen = np.bincount(np.frombuffer(b"".join(each), encode.dtype))
+                at = np.flatnonzero(seen)
+                counts = at.astype("<i8").tobytes() + seen[at].astype("<i8").tobytes()
                 yield pa.record_batch({"id": part.column("id"), "order": pa.array([zlib.crc32(x) for x in each], pa.int64()),
-                                       "ids": pa.array([_squeeze(x, width, tool) for x in each], pa.binary())})
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, order long, ids binary")
+                                       "ids": pa.array([_squeeze(x, width, tool) for x in each], pa.binary()),
+                                       "counts": pa.array([counts] + [None] * (len(each) - 1), pa.binary())})
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, order long, ids binary, counts binary")
 
 
 def counts(rows: DataFrame) -> DataFrame:
     """(symbol, n): how often each id occurs in all rows."""
     def run(batches):
-        tool, total = zstandard.ZstdDecompressor(), np.zeros(1 << 16, np.int64)
         for b in batches:
-            for part in slices(b, "ids", 1 << 20):
-                c = np.bincount(np.concatenate([_unsqueeze(x.as_py(), tool) for x in part.column("ids")]))
-                if len(c) > len(total):
-                    total = np.concatenate((total, np.zeros(len(c), np.int64)))
-                total[: len(c)] += c
-        at = np.flatnonzero(total)
-        yield pa.record_batch({"symbol": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
-    return rows.select("ids").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+            for x in b.column("counts"):
+                symbol, n = np.frombuffer(x.as_py(), "<i8").reshape(2, -1)
+                yield pa.record_batch({"symbol": symbol, "n": n})
+    return rows.select("counts").where("counts is not null").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
 
 
 BLOCKS = "shard int, block int, start long, n_tokens long, first_doc long, last_doc long, data binary"
