@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import decontam, simhash, substring, tokens
+from sluice.llm import decontam, langid, mixing, simhash, substring, tokens
 
 TOKENIZER = "byte_bpe_50k.json"
 QUERIES: dict = {}
@@ -29,6 +29,19 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_source_mixing"] = mixing.ORACLE
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
