@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.tables import Tables
+from sluice.llm.tables import Tables, free_name
 
 SHINGLE, THRESHOLD = 5, 0.8
 
@@ -96,6 +96,16 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     return pairs.groupBy(*key).agg(best).select(F.col("id").alias(id_col), *key[1:], "best.n_shared", "best.n_shingles", "best.containment")
 
 
+def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs``, all columns, without the texts in which an item is found."""
+    found = contained(docs, items, id_col, text_col, by_text=True, **options)
+    a, b, c = (free_name(docs, x) for x in ("key_id", "key_null", "key_text"))
+    keys = {a: F.coalesce(F.col(id_col).cast("long"), F.lit(0)), b: F.col(id_col).isNull(), c: F.xxhash64(text_col)}
+    gone = found.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias(a), F.col(id_col).isNull().alias(b), F.col("text_key").alias(c)).distinct()
+    gone = Tables(docs.sparkSession, "contaminated").write(gone, "found")
+    return docs.withColumns(keys).join(gone, [a, b, c], "left_anti").select(*docs.columns)
+
+
 ORACLE = r"""
 WITH w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM documents),
 d AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 3, 1))]) AS s FROM w),

@@ -11,7 +11,8 @@ Scoring. The code length of every byte after every context that some language ha
 the shortest code; the score is its share of the total probability, 2**-length over all languages.
 
 Training. The texts of ``SAMPLE`` (1,000) documents a language, those first in a hash order of id and text (a documented bound:
-fewer if the language has fewer). The counts are a grouped aggregation; what reaches the driver is bounded by the sample. Contexts of
+fewer if the language has fewer). At most ``MAX_LANGS`` (4,096)
+languages are learned. The counts are a grouped aggregation; what reaches the driver is bounded by the sample. Contexts of
 the highest order are kept in the order of their counts while the table has at most ``TABLE_CELLS`` cells.
 
 Defined results: null text or one without a letter is ``und`` with score 0; ties go to the smaller language name; documents
@@ -27,8 +28,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.arrays import column_bytes, slices
+from sluice.llm.tables import free_name
 
-ORDER, SAMPLE, TABLE_CELLS = 3, 1000, 1 << 25
+ORDER, SAMPLE, TABLE_CELLS, MAX_LANGS = 3, 1000, 1 << 25, 4096
 UND = "und"
 
 
@@ -65,10 +67,14 @@ def _grams(data: np.ndarray, length: int) -> np.ndarray:
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, each: int) -> DataFrame:
     """(lang, text) of the ``each`` first documents of every language in a hash order, held-out ones left out."""
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)) \
-        .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("order"))
-    first = Window.partitionBy("lang").orderBy("order")  # Spark limits each map task to its first rows before the shuffle
-    return rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= each).select("lang", "text")
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col)) \
+        .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("order"), F.col(id_col).alias("id"))
+    # a share of each language by the hash of the id, some times what is wanted, so that what is ordered doesn't grow with the corpus
+    sizes = rows.groupBy("lang").agg((F.lit(8.0 * each) / F.count("*")).alias("share")).withColumnRenamed("lang", "l")
+    some = rows.join(F.broadcast(sizes.limit(MAX_LANGS)), (F.col("lang") == F.col("l")) & (F.pmod("order", F.lit(1 << 20)) < F.col("share") * (1 << 20))) \
+        .where(F.col("text").isNotNull())
+    first = Window.partitionBy("lang").orderBy("order", "id", "text")
+    return some.withColumn("k", F.row_number().over(first)).where(F.col("k") <= each).select("lang", "text")
 
 
 class Model:
@@ -203,3 +209,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     say = predictor(train(docs, id_col, text_col, lang_col, each), docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), say(F.col(text_col)).alias("p"))
     return rows.select(F.col("id").alias(id_col), "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5, each: int = SAMPLE) -> DataFrame:
+    """``docs``, all columns, without texts that have no letter or that no language explains with a share of ``least``."""
+    say, p = predictor(train(docs, id_col, text_col, lang_col, each), docs.sparkSession), free_name(docs, "identified")
+    return docs.withColumn(p, say(F.col(text_col))).where((F.col(f"{p}.lang") != UND) & (F.col(f"{p}.score") >= least)).select(*docs.columns)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.tables import Tables, partitions
+from sluice.llm.tables import Tables, free_name, partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, TOTAL, MOST = (3, 1, 2), 1.5, 2.0
@@ -94,15 +94,15 @@ def _hypergeometric(draw, good: int, bad: int, n: int) -> int:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, total: float = TOTAL,
-        most: float = MOST, shards: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+        most: float = MOST, shards: int | None = None, seed: int = 0, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, blocks). Documents: row, id, text_key, source, size, source_size, target of every row. Blocks: shard, place (order
-    in the shard), row, id, text_key, pass, words (taken from the document's beginning)."""
+    in the shard), row, id, text_key, pass, words (taken from the document's beginning). text_key: ``key``, or else a hash of the text."""
     spark, tables = docs.sparkSession, Tables(docs.sparkSession, "mixing")
     buckets = partitions(spark)
     shards = shards or buckets
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")) \
-        .select("id", F.xxhash64("text").alias("text_key"), "source", word_count("text").alias("size"), order.alias("order")) \
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), (key if key is not None else F.xxhash64(text_col)).alias("text_key")) \
+        .select("id", "text_key", "source", word_count("text").alias("size"), order.alias("order")) \
         .withColumn("bucket", F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("int")) \
         .withColumn("row", F.monotonically_increasing_id())
     rows = tables.write(rows, "rows")  # the row numbers are those of the written table
@@ -126,8 +126,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     takings = F.transform(F.sequence(F.lit(1), F.col("passes") + 1), lambda p: F.struct(
         p.alias("pass"), F.when(p <= F.col("passes"), F.col("size")).otherwise(F.col("rest")).alias("words"),
         ((p - 1) * F.col("source_docs") + F.col("rank_before") + F.col("rank_in")).alias("number")))
-    key = ["row", "id", "text_key", "order", "source_no"]
-    placed = placed.select(*key, F.explode(takings).alias("t")).select(*key, "t.*").where("words > 0")
+    names = ["row", "id", "text_key", "order", "source_no", "size"]
+    placed = placed.select(*names, F.explode(takings).alias("t")).select(*names, "t.*").where("words > 0")
     placed = tables.write(placed, "takings")
     quota = {r["source_no"]: r["n"] for r in placed.groupBy("source_no").agg(F.count("*").alias("n")).collect()}
     dealt = split(np.array([quota.get(i, 0) for i in range(len(listed))], np.int64), shards, seed)
@@ -141,7 +141,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                 shard[source == s] = np.searchsorted(ends.value[s], number[source == s], "right")
             yield pa.RecordBatch.from_arrays([pa.array(shard), *b.columns], names=["shard", *b.schema.names])
     blocks = placed.mapInArrow(deal, f"shard int, {', '.join(f'{n} {t}' for n, t in placed.dtypes)}") \
-        .select("shard", F.xxhash64(F.lit(seed), "order", "pass").alias("place"), "row", "id", "text_key", "pass", "words")
+        .select("shard", F.xxhash64(F.lit(seed), "order", "pass").alias("place"), "row", "id", "text_key", "pass", "words", "size")
     documents = rows.join(plan.select("g_source", "source_size", "target"), same).select("row", "id", "text_key", "source", "size", "source_size", "target")
     return documents, tables.write(blocks, "blocks")
 
@@ -153,6 +153,30 @@ def taken(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     return documents.join(words, "row", "left").select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", **options) -> DataFrame:
+    """The mix: ``docs``' columns, a row for each block, dealt over the output shards in their order.
+
+    A block that ends inside its document has that document's first words joined by one space, and their
+    number of characters in ``chars_col`` if there is one.
+    """
+    a, b = free_name(docs, "mix_id"), free_name(docs, "mix_row")
+    own = F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith("map")])  # equal rows share their blocks
+    _, blocks = mix(docs, id_col, text_col, source_col, key=own, **options)
+    right = blocks.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias(a), F.col("text_key").alias(b), F.struct("shard", "place", "words", "size").alias("block_"))
+    left = docs.withColumns({a: F.coalesce(F.col(id_col).cast("string"), F.lit("")), b: own}).dropDuplicates([a, b])
+    block = free_name(docs, "block_")
+    every = left.join(right.withColumnRenamed("block_", block), [a, b])
+    cut = F.col(f"{block}.words") < F.col(f"{block}.size")
+    words = F.array_remove(F.split(text_col, r"[\x20\x09-\x0D]+"), "")
+    head = F.array_join(F.slice(words, F.lit(1), F.col(f"{block}.words").cast("int")), " ")
+    changed = {text_col: F.when(cut, head).otherwise(F.col(text_col))}
+    out = every.withColumns(changed)
+    if chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.when(cut, F.length(text_col).cast(dict(docs.dtypes)[chars_col])).otherwise(F.col(chars_col)))
+    shards = options.get("shards") or partitions(docs.sparkSession)
+    return out.repartition(shards, F.col(f"{block}.shard")).sortWithinPartitions(f"{block}.shard", f"{block}.place").select(*docs.columns)
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
              md5('0|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS o FROM documents),

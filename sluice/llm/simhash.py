@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.tables import Tables, partitions
+from sluice.llm.tables import Tables, free_name, partitions
 
 RADIUS = 3
 BLOCKS, BLOCK_BITS = 4, 16
@@ -60,13 +60,14 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp) of every row; fp is the unsigned fingerprint in a signed long."""
+    """(id, text_key, fp) of every row; text_key is a hash of the text, fp the unsigned fingerprint in a signed long."""
     def run(batches):
         for b in batches:
             texts = b.column("text").cast(pa.large_binary())
             fp = np.fromiter((fingerprint(x.as_py(), shingle) for x in texts), np.uint64, len(texts))
-            yield pa.record_batch({"id": b.column("id"), "fp": pa.array(fp.view(np.int64))})
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+            yield pa.record_batch({"id": b.column("id"), "text_key": b.column("text_key"), "fp": pa.array(fp.view(np.int64))})
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")) \
+        .mapInArrow(run, "id long, text_key long, fp long")
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -230,13 +231,33 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
     return e.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """One row a text: id, fingerprint (16 lower-case hex digits), component_id (smallest id reachable)."""
+def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[Tables, DataFrame, DataFrame]:
+    """Written tables: (id, text_key, fp) of every row; (fp, least, root) of every different fingerprint."""
     tables = Tables(docs.sparkSession, "simhash")
     rows = tables.write(fingerprints(docs, id_col, text_col, shingle), "rows")
     least = tables.write(rows.groupBy("fp").agg(F.min("id").alias("least")), "fps")
     root = components(links(least.select("fp")), tables)
-    named = least.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return tables, rows, tables.write(least.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """One row a text: id, fingerprint (16 lower-case hex digits), component_id (smallest id reachable)."""
+    tables, rows, named = _groups(docs, id_col, text_col, shingle)
     low = tables.write(named.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    of = tables.write(named.join(low, "root").select("fp", "component_id"), "named")
+    of = tables.write(named.join(low, "root").select("fp", "component_id"), "of")
     return rows.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """``docs``, all columns, with one row of each component: that of the smallest id (null last), then the smallest hash of the text."""
+    tables, rows, named = _groups(docs, id_col, text_col, shingle)
+    first = rows.groupBy("fp").agg(F.min(F.struct(F.isnull("id"), "id", "text_key")).alias("first")).join(named, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    return docs_with(docs, tables.write(first.select("first.id", "first.text_key"), "kept"), id_col, text_col)
+
+
+def docs_with(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each (id, text_key) of ``wanted``; equal rows count once."""
+    a, b, c = (free_name(docs, x) for x in ("key_id", "key_null", "key_text"))
+    keys = {a: F.coalesce(F.col(id_col).cast("long"), F.lit(0)), b: F.col(id_col).isNull(), c: F.xxhash64(text_col)}
+    right = wanted.select(F.coalesce("id", F.lit(0)).alias(a), F.isnull("id").alias(b), F.col("text_key").alias(c))
+    return docs.withColumns(keys).join(right, [a, b, c], "left_semi").dropDuplicates([a, b, c]).select(*docs.columns)
