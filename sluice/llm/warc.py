@@ -99,7 +99,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     shared = tables.write(long.where("first < last").select(F.col("digest").alias("d"), "first"), "shared")
     told = rows.join(shared, F.col("digest") == F.col("d"), "left") \
         .select("page_id", "url", "html", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("origin"))
-    made = tables.write(told.mapInArrow(lambda batches: records(batches, segment), "record binary, later boolean"), "records")
+    made = tables.write(told.mapInArrow(lambda batches: records(batches, segment), "record binary, later boolean"), "records", "zstd")
     text = F.col("record").cast("string").alias("value")
     made.where("not later").select(text).write.text(f"{folder}/pages")
     made.where("later").repartition(partitions(spark), F.xxhash64("record")).select(text).write.text(f"{folder}/continued")
