@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.arrays import column_bytes, slices
-from sluice.llm.tables import free_name
+from sluice.llm.tables import free_name, small_batches
 
 ORDER, SAMPLE, TABLE_CELLS, MAX_LANGS = 3, 1000, 1 << 25, 4096
 UND = "und"
@@ -175,6 +175,7 @@ class Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", each: int = SAMPLE) -> Model:
+    small_batches(docs.sparkSession)
     return Model([tuple(r) for r in gram_counts(sample(docs, id_col, text_col, lang_col, each)).collect()])
 
 
@@ -185,7 +186,7 @@ def predictor(model: Model, spark):
     def score(texts: pa.Array):
         m = shared.value
         lang, share, rate = [], [], []
-        for part in slices(pa.table({"text": texts}), "text", 1 << 21):
+        for part in slices(pa.table({"text": texts}), "text", 1 << 19):
             column = part.column("text").combine_chunks()
             data, off = column_bytes(column)
             wordy = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)

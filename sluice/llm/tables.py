@@ -25,11 +25,23 @@ def shared_folder(spark: SparkSession) -> str:
     return d
 
 
+#: Rows that Spark hands to Python at once: whole texts are long, its default is meant for short rows.
+BATCH_ROWS = 2500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows, unless the session asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Tables:
     """The intermediate tables of one operator call."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         path = self._path(self.root)
         self._fs(path).deleteOnExit(path)

@@ -39,7 +39,7 @@ from sluice.llm.arrays import slices
 from sluice.llm.tables import Tables, partitions
 
 BLOCK = 1 << 19
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_000_000
 MARKS = ".,!?;:%&*#$|"
 
 
@@ -53,7 +53,7 @@ class WordTokenizer:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.dtype = "<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4"
-        self.stems: dict[str, bytes] = {}  # letters only, as they stand after a space
+        self.stems, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())  # letters only, as they stand after a space
         bare = ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {i: bare.pre_tokenize_str(chr(i))[0][0] for i in range(128)}  # how the vocabulary writes each byte
         self.space = self.shown[0x20]
@@ -71,44 +71,47 @@ class WordTokenizer:
         """Letters after a space, as the vocabulary writes their bytes."""
         return self.space + text if text.isascii() else (" " + text).encode().decode("latin-1").translate(self.shown)
 
-    def _learn(self, stems: list[str]) -> None:
-        """Ids of Latin letters after a space: one piece for the model's pre-tokenizer, so the model alone is asked. Others stay unknown."""
+    def _learn(self, stems: list[str]) -> pa.Array:
+        """Ids of Latin letters after a space: one piece for the model's pre-tokenizer, so the model alone is asked."""
         tokenize, counts, flat = self.lib.model.tokenize, [], []
-        plain = [x for x in stems if x.isascii() or max(x) < "\u0250"]
-        for x in plain:
+        for x in stems:
             ids = tokenize(self._spaced(x))
             counts.append(len(ids))
             flat += [t.id for t in ids]
-        self.stems.update(zip(plain, _cut(np.array(flat, self.dtype), counts)))
+        data = np.array(flat, self.dtype)
+        ends = np.cumsum([0, *counts], dtype=np.int64) * data.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(stems), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
 
-    def _words(self, words) -> tuple[pa.Array, list[int]]:
+    def _words(self, words) -> tuple[pa.Array, np.ndarray]:
         """Ids of different words as they stand after a space (those with a line break before them: as they are), and which words the rule doesn't cover."""
         stems = pc.utf8_rtrim(words, characters=MARKS)
         coded = stems.dictionary_encode()
-        code, stem = coded.indices.to_numpy().copy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.stems) > CACHE_WORDS:
-            self.stems.clear()
-        ids = list(map(self.stems.get, stem))
-        letters = pc.utf8_is_alpha(coded.dictionary).to_numpy(zero_copy_only=False)
-        new = [i for i, x in enumerate(ids) if x is None and letters[i]]
-        self._learn([stem[i] for i in new])
-        for i in new:
-            ids[i] = self.stems.get(stem[i])
-        known = np.array([x is not None for x in ids])[code]
+        code, stem = coded.indices.to_numpy(), coded.dictionary
+        at = pc.fill_null(pc.index_in(stem, value_set=self.stems), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero((at < 0) & pc.utf8_is_alpha(stem).to_numpy(zero_copy_only=False))
+        named = stem.take(pa.array(new)).to_numpy(zero_copy_only=False).tolist()
+        latin = np.array([x.isascii() or max(x) < "\u0250" for x in named], bool)
+        new, named = new[latin], [x for x, ok in zip(named, latin) if ok]
+        at[new] = len(self.stems) + np.arange(len(new))
+        self.stems = pa.concat_arrays([self.stems, pa.array(named, pa.string())])
+        self.ids = pa.concat_arrays([self.ids, self._learn(named)])
+        of, known = at[code], (at >= 0)[code]
         # marks after letters are a piece of their own
         tail = np.zeros(len(code), np.int64)
         marked = np.flatnonzero(known & (pc.binary_length(words).to_numpy() > pc.binary_length(stems).to_numpy()))
-        whole = words.take(pa.array(marked)).to_numpy(zero_copy_only=False).tolist()
+        whole, bare = (x.take(pa.array(marked)).to_numpy(zero_copy_only=False).tolist() for x in (words, stems))
         marks: dict[str, int] = {"": 0}
-        tail[marked] = [marks.setdefault(w[len(stem[c]):], len(marks)) for w, c in zip(whole, code[marked].tolist())]
+        tail[marked] = [marks.setdefault(w[len(x):], len(marks)) for w, x in zip(whole, bare)]
         # all other words go to the library as they are
         rest = np.flatnonzero(~known)
         other = words.take(pa.array(rest)).to_numpy(zero_copy_only=False).tolist()
         odd = [w.split() != [w.removeprefix("\n")] for w in other]
         given = self._ids(["" if o else w if w[0] == "\n" else " " + w for w, o in zip(other, odd)])
-        code = code.astype(np.int64)
-        code[rest] = len(stem) + np.arange(len(rest))
-        head = pa.array([x or b"" for x in ids] + given, pa.binary()).take(pa.array(code))
+        of[rest] = len(self.ids) + np.arange(len(rest))
+        head = pa.concat_arrays([self.ids, pa.array(given, pa.binary())]).take(pa.array(of))
+        if len(self.stems) > CACHE_WORDS:  # keep those of this column
+            held = pa.array(at[at >= 0])
+            self.stems, self.ids = self.stems.take(held), self.ids.take(held)
         ends = pa.array(self._ids(list(marks)), pa.binary()).take(pa.array(tail))
         return pc.binary_join_element_wise(head, ends, pa.scalar(b"", pa.binary())), rest[np.array(odd, bool)]
 
@@ -141,12 +144,6 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def _cut(ids: np.ndarray, counts: list[int]) -> list[bytes]:
-    """The bytes of consecutive runs of ids."""
-    data, ends = ids.tobytes(), (np.cumsum(counts) * ids.itemsize).tolist()
-    return [data[a:b] for a, b in zip([0, *ends], ends)]
-
-
 def _squeeze(ids: bytes, width: int, tool: zstandard.ZstdCompressor) -> bytes:
     """Ids of ``width`` bytes each as compressed byte planes."""
     return bytes([width]) + tool.compress(np.frombuffer(ids, np.uint8).reshape(-1, width).T.tobytes())
@@ -164,7 +161,7 @@ def token_rows(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str,
         encode, tool = tokens.tokenizer(tokenizer_path), zstandard.ZstdCompressor(1)
         end, width = np.array([end_id], encode.dtype).tobytes(), int(encode.dtype[2])
         for b in batches:
-            for part in slices(b, "text", 1 << 24):
+            for part in slices(b, "text", 1 << 23):
                 each = [x + end for x in encode.column(part.column("text"))]
                 seen = np.bincount(np.frombuffer(b"".join(each), encode.dtype))
                 at = np.flatnonzero(seen)
@@ -172,6 +169,7 @@ def token_rows(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str,
                 yield pa.record_batch({"id": part.column("id"), "order": pa.array([zlib.crc32(x) for x in each], pa.int64()),
                                        "ids": pa.array([_squeeze(x, width, tool) for x in each], pa.binary()),
                                        "counts": pa.array([counts] + [None] * (len(each) - 1), pa.binary())})
+        pa.default_memory_pool().release_unused()
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, order long, ids binary, counts binary")
 
 
