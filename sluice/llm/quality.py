@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sluice.llm import arrays as A
 from sluice.llm.tables import Tables
 
-SAMPLE, BITS, ROUNDS, Z_LEAST, LABELS = 20_000, 18, 200, 4.5, ("quality", "toxic")
+SAMPLE, BITS, ROUNDS, Z_LEAST, LABELS = 20_000, 18, 120, 4.5, ("quality", "toxic")
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 FOLDED = A.BYTE_VALUE.copy()
@@ -79,17 +79,19 @@ class Model:
         n, size = len(sets), 1 << BITS
         self.rate = labels.mean(0) if n else np.full(len(LABELS), 0.5)
         self.weight, self.bias = np.zeros((size, len(LABELS))), np.log(np.clip(self.rate, 1e-6, 1 - 1e-6) / (1 - np.clip(self.rate, 1e-6, 1 - 1e-6)))
-        row, feature = np.repeat(np.arange(n), [len(x) for x in sets]), np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64)
         for c in range(len(LABELS)):
             if n and 0 < self.rate[c] < 1:
-                y, r = labels[:, c], self.rate[c]
+                y, r, one, both = labels[:, c], self.rate[c], np.zeros(size), np.zeros(size)
+                for k in range(n):
+                    both[sets[k]] += 1
+                    one[sets[k]] += y[k]
                 # features whose share of texts differs between the classes by more than chance over all of them
-                one, both = np.bincount(feature, y[row], size), np.bincount(feature, minlength=size)
                 p = both / n
                 with np.errstate(divide="ignore", invalid="ignore"):
                     z = np.nan_to_num((one / (n * r) - (both - one) / (n * (1 - r))) / np.sqrt(p * (1 - p) * (1 / (n * r) + 1 / (n * (1 - r)))))
-                use = (np.abs(z) > Z_LEAST)[feature]
-                self._fit(c, row[use], feature[use], y, n, size)
+                use = np.abs(z) > Z_LEAST
+                kept = [x[use[x]] for x in sets]
+                self._fit(c, np.repeat(np.arange(n), [len(x) for x in kept]), np.concatenate(kept), y, n, size)
         self.used = (self.weight != 0).any(1)
         self.weight = self.weight.astype(np.float32)
 
