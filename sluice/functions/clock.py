@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from sluice import constants as K
 
-# --- fixed value: RFC 3339 shape (offset mandatory, fraction optional) -------
-RFC3339_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
+# --- fixed value: RFC 3339 shape (offset mandatory, fraction optional, after a point or comma) -------
+RFC3339_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})\z"
 
 
 def parse_rfc3339(s: Column) -> Column:
@@ -17,7 +17,7 @@ def parse_rfc3339(s: Column) -> Column:
     forms that the lenient cast would accept; the cast then rejects impossible
     dates. Nanoseconds truncate to microseconds.
     """
-    return F.when(s.rlike(RFC3339_PATTERN), F.try_to_timestamp(s))
+    return F.when(s.rlike(RFC3339_PATTERN), F.try_to_timestamp(F.translate(s, ",", ".")))
 
 
 def format_rfc3339(ts: Column) -> Column:

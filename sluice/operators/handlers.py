@@ -88,6 +88,14 @@ def inject_faults(result: Column, fault: Column) -> Column:
     return F.when(result["error"].isNotNull(), result).otherwise(injected)
 
 
+def check_handlers(registry: DataFrame, handlers: Mapping[str, Handler] | None = None) -> None:
+    """A registered processor that no handler implements is a wiring error: raise before any event is read."""
+    named = {r["processor"] for r in registry.select("processor").distinct().collect()}
+    missing = sorted(n for n in named - set(handlers or DEFAULT_HANDLERS) if n is not None)
+    if missing:
+        raise ValueError(f"registry: no handler for {', '.join(missing)}")
+
+
 def apply_handlers(events: DataFrame, handlers: Mapping[str, Handler] | None = None,
                    fault_col: str | None = None) -> DataFrame:
     """Run the handler of each row's ``processor``; adds ``error_class`` and ``error``."""

@@ -28,21 +28,25 @@ def schedule_retries(parsed_retry: DataFrame, clock_col: str = "timestamp") -> D
     rec = F.struct(due_s.alias("due_s"), F.col(clock_col).alias("scheduled_at"),
                    F.col("original_topic").alias("original_topic"), "version", "event_id", "event_type",
                    "tenant_id", "event_ts", "data_json", "retry_count", "failure_reason",
-                   "first_failure_time", F.col("value_str").alias("payload"))
+                   "first_failure_time")
     order = F.struct(F.col(clock_col), F.col("topic"), F.col("partition"), F.col("offset"))
     return (ok.groupBy("event_id").agg(F.max_by(rec, order).alias("s"))
             .select("s.*"))
 
 
-def due_retries(schedule: DataFrame, now: Column, limit: int | None = K.DUE_BATCH_LIMIT) -> DataFrame:
-    """Entries with 0 <= due_s <= now, oldest first then by id, at most ``limit`` (top-k, no full sort)."""
+def due_retries(schedule: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
+    """All entries with 0 <= due_s <= now, oldest first, then by id.
+
+    ``limit`` is for callers that poll (``DUE_BATCH_LIMIT`` a tick): the first entries only (top-k, no full sort). Ticks repeated until nothing is due give the same entries as no limit.
+    """
     now_s = F.floor(F.unix_micros(now) / 1_000_000)
     d = schedule.where((F.col("due_s") >= 0) & (F.col("due_s") <= now_s))
-    return d.orderBy("due_s", "event_id").limit(limit) if limit else d
+    d = d.orderBy("due_s", "event_id")
+    return d.limit(limit) if limit else d
 
 
 def release_due_once(schedule: DataFrame, released: DataFrame, now: Column,
-                     limit: int | None = K.DUE_BATCH_LIMIT) -> DataFrame:
+                     limit: int | None = None) -> DataFrame:
     """Due entries not released by an earlier tick (each entry leaves once)."""
     pending = schedule.join(released.select("event_id").distinct(), "event_id", "left_anti")
     return due_retries(pending, now, limit)

@@ -416,8 +416,7 @@ NOW_DUE, NOW_TICK1, NOW_TICK2 = "2024-01-16 00:00:00+00", "2024-01-10 00:00:00+0
 
 
 def _due(now: str, src: str = "schedule") -> str:
-    return (f"SELECT * FROM {src} WHERE due_s >= 0 AND due_s <= {_epoch(now)} "
-            f"ORDER BY due_s, event_id LIMIT 500")
+    return (f"SELECT * FROM {src} WHERE due_s >= 0 AND due_s <= {_epoch(now)}")
 
 
 REPUBLISH_JSON = ("'{\"version\":' || CAST(version AS VARCHAR) || ',\"eventId\":' || " + _jstr("event_id")

@@ -31,6 +31,8 @@ def prepare(raw: DataFrame, registry: DataFrame, topics: DataFrame,
             handlers: Mapping[str, H.Handler] | None = None, fault_col: str | None = None,
             clock_col: str = "timestamp") -> DataFrame:
     """Everything before the claim fold: all narrow, plus two broadcast lookups."""
+    R.check_registry_unique(registry)
+    H.check_handlers(registry, handlers)
     v = P.parse_and_validate(raw).withColumn("clock", F.col(clock_col))
     v = R.resolve_processor(v, registry)
     v = R.route_topics(v, topics)

@@ -62,8 +62,9 @@ def claim_fold(ttl_s: int = K.DEDUP_TTL_S):
 
     Rows of a key inside one micro-batch are folded in arrival order; the claim
     time survives between batches in the group state (shipped with the rows in
-    Arrow batches, no per-key round trips). An event-time timeout at claim + ttl
-    drops the state once the watermark passes it, which bounds the state size.
+    Arrow batches, no per-key round trips). No watermark: however late a record is,
+    it gets its outcome. State is dropped ``ttl_s`` of processing time after its
+    last update, which bounds its size.
     """
     ttl_us = ttl_s * 1_000_000
 
@@ -80,12 +81,12 @@ def claim_fold(ttl_s: int = K.DEDUP_TTL_S):
             else:
                 status.append(CLAIMED)
                 claim = int(t) if ok else None
-        expires_ms = None if claim is None else (claim + ttl_us) // 1000
-        if expires_ms is None or expires_ms <= state.getCurrentWatermarkMs():
-            state.remove()
+        if claim is None:
+            if state.exists:
+                state.remove()
         else:
             state.update((claim,))
-            state.setTimeoutTimestamp(expires_ms)
+            state.setTimeoutDuration(ttl_s * 1000)
         pdf["dedup_status"] = status
         yield pdf[[f.name for f in CLAIMED_SCHEMA.fields]]
     return fold
@@ -93,22 +94,26 @@ def claim_fold(ttl_s: int = K.DEDUP_TTL_S):
 
 def triage_stream(raw: DataFrame, registry: DataFrame, topics: DataFrame,
                   handlers: Mapping[str, H.Handler] | None = None, fault_col: str | None = None,
-                  clock_col: str = "timestamp", ttl_s: int = K.DEDUP_TTL_S,
-                  lateness: str = "48 hours") -> DataFrame:
+                  clock_col: str = "timestamp", ttl_s: int = K.DEDUP_TTL_S) -> DataFrame:
     """Streaming twin of ``run_triage``: same columns, claim kept in state across batches.
 
-    Records later than ``lateness`` behind the newest arrival are dropped by the
-    watermark (the claim state of their id may already be gone).
+    Late records are never dropped, and ``.retry`` records whose envelope does not
+    decode are dead-lettered here (the scheduler job takes the others).
     """
     main = raw.where(~F.col("topic").endswith(K.RETRY_SUFFIX))
     v = TR.prepare(main, registry, topics, handlers, fault_col, clock_col).select(
         *[f.name for f in CARRY.fields])
-    routed = v.where("routed").withWatermark("clock", lateness)
+    routed = v.where("routed")
     others = v.where("not routed").withColumn("dedup_status", F.lit(None).cast("string"))
     claimed = routed.groupBy("event_id").applyInPandasWithState(
         claim_fold(ttl_s), outputStructType=CLAIMED_SCHEMA, stateStructType=CLAIM_STATE,
-        outputMode="append", timeoutConf="EventTimeTimeout")
-    return O.classify_outcome(claimed.unionByName(others))
+        outputMode="append", timeoutConf="ProcessingTimeTimeout")
+    done = O.classify_outcome(claimed.unionByName(others))
+    bad = TR.triage_retry_topics(raw, clock_col).where(F.col("outcome") == K.DLQ)
+    have = set(bad.columns)
+    bad = bad.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+                       for f in done.schema.fields])
+    return done.unionByName(bad)
 
 
 def _write_batch(out_dir: str):
@@ -134,7 +139,14 @@ def start_triage_stream(raw: DataFrame, registry: DataFrame, topics: DataFrame,
     """Start the triage job; returns the ``StreamingQuery``."""
     t = triage_stream(raw, registry, topics, handlers, fault_col)
     w = t.writeStream.foreachBatch(_write_batch(out_dir)).option("checkpointLocation", checkpoint)
-    return w.trigger(**(trigger or {"availableNow": True})).start()
+    # processing-time timeouts ask for a batch after every batch; expired claims can wait for the next data
+    key, conf = "spark.sql.streaming.noDataMicroBatches.enabled", raw.sparkSession.conf
+    was = conf.get(key, "true")
+    conf.set(key, "false")
+    try:
+        return w.trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        conf.set(key, was)
 
 
 # ------------------------------------------------------------ retry timers ---
