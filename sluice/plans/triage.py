@@ -6,13 +6,15 @@ main topics:  parse+validate -> resolve handler (broadcast lookup) -> route to a
 retry topics: parse retry envelope -> scheduled | dead letter
 
 Everything up to the handler is narrow (one stage, no shuffle). The claim fold
-is the only shuffle and is skew-safe (see ``operators.dedup``).
+shuffles narrow rows (id, clock, position) only and is skew-safe (see ``operators.dedup``);
+its duplicates are joined back, by broadcast below the session's byte threshold, else by a
+shuffle of the prepared rows.
 """
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice import constants as K
@@ -47,8 +49,11 @@ def prepare(raw: DataFrame, registry: DataFrame, topics: DataFrame,
 def run_triage(raw: DataFrame, registry: DataFrame, topics: DataFrame,
                handlers: Mapping[str, H.Handler] | None = None, fault_col: str | None = None,
                clock_col: str = "timestamp", max_retries: int = K.MAX_RETRIES,
-               dedup: bool = True) -> DataFrame:
-    """Classify every main-topic record into processed / duplicate / retry / dlq."""
+               dedup: bool = True, prior_claims: DataFrame | None = None) -> DataFrame:
+    """Classify every main-topic record into processed / duplicate / retry / dlq.
+
+    ``prior_claims`` (from ``open_claims`` of the run before) carries the claim windows over runs.
+    """
     from sluice.session import materialize
     main, _ = split_retry_topics(raw)
     v = prepare(main, registry, topics, handlers, fault_col, clock_col)
@@ -57,7 +62,7 @@ def run_triage(raw: DataFrame, registry: DataFrame, topics: DataFrame,
         # write them once instead of parsing every record twice
         # (``value`` is the binary twin of ``value_str``: not written twice)
         v = materialize(v.drop("data", "value"), "prepared")
-        v = D.dedup_release(v, clock="clock", where=F.col("routed"))
+        v = D.dedup_release(v, clock="clock", where=F.col("routed"), prior=prior_claims)
     else:
         v = v.withColumn("dedup_status", F.when(F.col("routed"), F.lit(D.CLAIMED)))
     return O.classify_outcome(v, max_retries)
@@ -75,6 +80,11 @@ def triage_retry_topics(raw: DataFrame, clock_col: str = "timestamp") -> DataFra
         "dlq_kind": F.when(bad, F.lit("raw"))})
 
 
+def open_claims(triaged: DataFrame, now: Column, prior_claims: DataFrame | None = None) -> DataFrame:
+    """The claims that a run of ``run_triage`` leaves open at ``now``: the next run's ``prior_claims``."""
+    return D.open_claims(triaged, now, ok=F.col("error").isNull(), prior=prior_claims)
+
+
 OUTCOME_COLUMNS = ["topic", "partition", "offset", "event_id", "event_type", "tenant_id", "outcome",
                    "reason", "sink_topic"]
 

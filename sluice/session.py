@@ -7,12 +7,12 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def get_spark(master: str | None = None, app: str = "sluice", shuffle_partitions: int = 8,
+def get_spark(master: str | None = None, app: str = "sluice", shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with UTC clock, AQE and no UI.
 
-    On a cluster, pass ``master=None`` and let spark-submit decide; size
-    ``shuffle_partitions`` to roughly input bytes / 128 MiB (AQE coalesces down).
+    On a cluster, pass ``master=None`` and let spark-submit decide. ``shuffle_partitions``
+    is left to the session unless given; size it to roughly input bytes / 128 MiB (AQE only merges).
     """
     b = SparkSession.builder.appName(app)
     if master:
@@ -21,7 +21,6 @@ def get_spark(master: str | None = None, app: str = "sluice", shuffle_partitions
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -29,6 +28,8 @@ def get_spark(master: str | None = None, app: str = "sluice", shuffle_partitions
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -106,4 +107,18 @@ def materialize(df, name: str):
     import uuid
     path = os.path.join(checkpoint_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._sluice_path = path
+    _hadoop(df.sparkSession, path, lambda fs, p: fs.deleteOnExit(p))
+    return table
+
+
+def _hadoop(spark: SparkSession, path: str, action) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    action(p.getFileSystem(spark._jsc.hadoopConfiguration()), p)
+
+
+def discard(*tables) -> None:
+    """Remove tables written by ``materialize`` that no later plan reads (the others go when the session ends)."""
+    for t in tables:
+        _hadoop(t.sparkSession, t._sluice_path, lambda fs, p: fs.delete(p, True))
