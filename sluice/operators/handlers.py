@@ -25,9 +25,16 @@ HANDLER_RESULT = T.StructType([T.StructField("error_class", T.StringType()),
 
 @dataclass(frozen=True)
 class Handler:
-    """``check`` returns a struct<error_class, error>; the event succeeds when ``error`` (or the struct) is NULL."""
+    """``check`` returns a struct<error_class, error>; the event succeeds when ``error`` (or the struct) is NULL.
+
+    A ``python_handler`` takes the rows it may run on as a column: a ``CASE`` around a
+    Python function does not keep other rows from it.
+    """
     name: str
-    check: Callable[[], Column]
+    check: Callable[..., Column]
+
+    def result(self, mine: Column) -> Column:
+        return self.check(mine) if getattr(self.check, "masked", False) else F.when(mine, self.check())
 
 
 def _business(err: Column) -> Column:
@@ -97,12 +104,18 @@ def check_handlers(registry: DataFrame, handlers: Mapping[str, Handler] | None =
 
 
 def apply_handlers(events: DataFrame, handlers: Mapping[str, Handler] | None = None,
-                   fault_col: str | None = None) -> DataFrame:
-    """Run the handler of each row's ``processor``; adds ``error_class`` and ``error``."""
+                   fault_col: str | None = None, where: Column | None = None) -> DataFrame:
+    """Run the handler of each row's ``processor``; adds ``error_class`` and ``error``.
+
+    Rows failing ``where`` reach no handler.
+    """
     hs = handlers or DEFAULT_HANDLERS
     res = F.lit(None).cast(HANDLER_RESULT)
     for name, h in hs.items():
-        res = F.when(F.col("processor") == name, h.check()).otherwise(res)
+        mine = F.col("processor") == name
+        if where is not None:
+            mine = mine & where
+        res = F.when(mine, h.result(F.coalesce(mine, F.lit(False)))).otherwise(res)
     from sluice.functions.strict_json import computed_once
     df = events.withColumn("_h", computed_once(res))
     if fault_col:
@@ -117,14 +130,17 @@ def python_handler(fn: Callable[[dict], None], columns: list[str]) -> Callable[.
     """Wrap a per-row Python handler ``fn(row_dict)`` (raise = failure) as a pandas UDF.
 
     ``BusinessError`` raised by ``fn`` is final; any other exception becomes a
-    retriable ``panic: <message>`` for that row only.
+    retriable ``panic: <message>`` for that row only. ``fn`` sees the valid, routed
+    rows of its processor only, repeats of an event included (whether a repeat is a duplicate
+    depends on how the first run ended), so it must be safe to run again.
     """
 
     @F.pandas_udf(HANDLER_RESULT)
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(mine: pd.Series, rows: pd.DataFrame) -> pd.DataFrame:
         n = len(rows)
         cls, err = [None] * n, [None] * n
-        for i, row in enumerate(rows.to_dict("records")):
+        own = mine.to_numpy(dtype=bool).nonzero()[0]
+        for i, row in zip(own, rows.iloc[own].to_dict("records")):
             try:
                 fn(row)
             except BusinessError as e:
@@ -133,7 +149,10 @@ def python_handler(fn: Callable[[dict], None], columns: list[str]) -> Callable[.
                 cls[i], err[i] = K.EC_PANIC, K.PANIC + str(e)
         return pd.DataFrame({"error_class": cls, "error": err})
 
-    return lambda: run(F.struct(*[F.col(c) for c in columns]))
+    def check(mine: Column) -> Column:
+        return run(mine, F.struct(*[F.col(c) for c in columns]))
+    check.masked = True
+    return check
 
 
 class BusinessError(Exception):

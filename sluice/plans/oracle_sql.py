@@ -506,6 +506,9 @@ QUERIES["dedup_claims"] = q(HANDLED + _fold("true"), f"""
 SELECT {IDS}, event_id, dedup_status FROM dedup WHERE routed""")
 QUERIES["dedup_release"] = q(TRIAGED, f"""
 SELECT {IDS}, event_id, dedup_status FROM dedup WHERE routed""")
+QUERIES["run_triage_two_runs"] = QUERIES["classify_outcome"]
+QUERIES["dedup_within_watermark"] = q(HANDLED, """
+SELECT event_id, min(clock_us) // 604800000000 AS first_slice FROM handled WHERE routed GROUP BY event_id""")
 QUERIES["schedule_retries"] = q(RETRY_LOG, """
 SELECT event_id, due_s, scheduled_at_us, original_topic, retry_count FROM schedule""")
 QUERIES["due_retries"] = q(RETRY_LOG, f"""

@@ -16,6 +16,7 @@ from sluice.operators import outcome as O
 from sluice.operators import parse as P
 from sluice.operators import route as R
 from sluice.plans import triage as TR
+from sluice.sources import sinks as SK
 from sluice.sources.fixtures import fixture_messages
 from sluice.sources.messages import with_path
 
@@ -71,11 +72,30 @@ def _triaged(spark, sf_dir, dedup=True):
 
 
 # ------------------------------------------------------- A. sources/sinks ---
+def _scratch(spark, name):
+    import uuid
+    from sluice.session import checkpoint_dir
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _through(writer, records):
+    """Write records with a sink of the library and read its files back."""
+    spark = records.sparkSession
+    path = _scratch(spark, writer.__name__)
+    writer(records, path=path)
+    return spark.read.schema("sink_key STRING, sink_value STRING, sink_topic STRING").parquet(path).select(
+        "sink_topic", "sink_key", "sink_value")
+
+
 @query
 def read_messages(spark, sf_dir):
-    return _messages(spark, sf_dir).select(
+    from sluice.sources import messages as S
+    path = _scratch(spark, "log")
+    _messages(spark, sf_dir).select(*[f.name for f in S.RAW_SCHEMA.fields]).write.parquet(path)
+    return S.read_messages(spark, path=path, stream=False).select(
         *IDS, F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"),
-        us("timestamp").alias("timestamp_us"), "source_id")
+        us("timestamp").alias("timestamp_us")).join(
+        _messages(spark, sf_dir).select(*IDS, "source_id"), IDS)
 
 
 # ---------------------------------------------- B. parsing and predicates ---
@@ -167,6 +187,7 @@ def run_triage(spark, sf_dir):
 NOW_DUE = "2024-01-16T00:00:00Z"      # clock of the scheduler tick in the due queries
 NOW_TICK1 = "2024-01-10T00:00:00Z"    # an earlier tick (releases first)
 NOW_TICK2 = "2024-01-20T00:00:00Z"
+CUT = "2024-01-15T06:00:00Z"          # where the two-run query cuts the log
 AS_OF = "2024-01-15T12:00:00Z"        # progress snapshot
 LAST_FLUSH = "2024-01-15T11:00:00Z"   # previous frontier flush
 BACKLOG_S_PER_DURATION_S = 60         # simulated completion: timestamp + duration_s * 60 s
@@ -212,7 +233,7 @@ def write_dlq_raw(spark, sf_dir):
     rbad = P.invalid_retry_envelopes(_parsed_retry(spark, sf_dir)).withColumn("reason", F.col("retry_error"))
     retry = O.to_raw_dlq_record(rbad)
     cols = [O.derived_topic(F.col("topic"), K.DLQ_SUFFIX).alias("sink_topic"), "sink_key", "sink_value"]
-    return main.select(*cols).unionByName(retry.select(*cols))
+    return _through(SK.write_dlq, main.select(*cols).unionByName(retry.select(*cols)))
 
 
 @query
@@ -224,7 +245,7 @@ def to_dlq_record(spark, sf_dir):
 @query
 def write_dlq(spark, sf_dir):
     t = _triaged(spark, sf_dir)
-    return TR.sink_records(t).where(F.col("outcome") == K.DLQ).select("sink_topic", "sink_key", "sink_value")
+    return _through(SK.write_dlq, TR.sink_records(t))
 
 
 @query
@@ -236,7 +257,7 @@ def to_retry_envelope(spark, sf_dir):
 @query
 def write_retry(spark, sf_dir):
     t = _triaged(spark, sf_dir)
-    return TR.sink_records(t).where(F.col("outcome") == K.RETRY).select("sink_topic", "sink_key", "sink_value")
+    return _through(SK.write_retry, TR.sink_records(t))
 
 
 @query
@@ -278,7 +299,7 @@ def to_republish_envelope(spark, sf_dir):
 def write_republished(spark, sf_dir):
     from sluice.operators.retry import due_retries as due
     d = O.to_republish_envelope(due(_schedule(spark, sf_dir), ts(NOW_DUE)))
-    return d.select("sink_topic", "sink_key", "sink_value")
+    return _through(SK.write_republished, d)
 
 
 # ------------------------------------------------------- D. scalar logic ---
@@ -362,10 +383,25 @@ def dedup_release(spark, sf_dir):
 
 @query
 def dedup_within_watermark(spark, sf_dir):
-    """Streaming-only built-in: replays the routed rows as a file stream (rows-only check)."""
+    """Streaming-only built-in over weekly slices: the slice that first lets each id through.
+
+    Which of an id's rows in one micro-batch stays is not defined, so positions are not returned.
+    """
     from sluice.streaming.jobs import watermark_dedup_replay
     p = _prepared(spark, sf_dir).where("routed").select(*IDS, "event_id", "clock")
-    return watermark_dedup_replay(spark, p).select(*IDS, "event_id")
+    return watermark_dedup_replay(spark, p).groupBy("event_id").agg(F.min("slice").alias("first_slice"))
+
+
+@query
+def run_triage_two_runs(spark, sf_dir):
+    """The log cut at a time into two runs, the claims open at the cut carried over: the same as one run."""
+    m, cut = _messages(spark, sf_dir), ts(CUT)
+    reg, tops = R.registry_frame(spark), R.topics_frame(spark)
+    first = TR.run_triage(m.where(F.col("timestamp") < cut), reg, tops, fault_col="fault")
+    prior = TR.open_claims(first, cut)
+    second = TR.run_triage(m.where(F.col("timestamp") >= cut), reg, tops, fault_col="fault", prior_claims=prior)
+    cols = [*IDS, "event_id", "outcome", "reason", "sink_topic"]
+    return first.select(*cols).unionByName(second.select(*cols))
 
 
 @query

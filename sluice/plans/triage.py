@@ -41,7 +41,7 @@ def prepare(raw: DataFrame, registry: DataFrame, topics: DataFrame,
     v = P.affinity_key(v).withColumn("lane", lane_of(F.col("affinity_key"), F.col("lanes")))
     routed = F.col("envelope_error").isNull() & F.col("processor").isNotNull() & F.col("lanes").isNotNull()
     v = v.withColumn("routed", routed)
-    v = H.apply_handlers(v, handlers, fault_col)
+    v = H.apply_handlers(v, handlers, fault_col, where=F.col("routed"))
     return v.withColumns({"error_class": F.when(routed, F.col("error_class")),
                           "error": F.when(routed, F.col("error"))})
 

@@ -5,7 +5,7 @@
   ``foreachBatch`` sink that writes outcomes and retry / dead-letter records,
   one folder per batch id so a replayed batch overwrites instead of duplicating.
 * ``start_retry_scheduler``: ``.retry`` records -> per-event-id schedule state
-  with an event-time timer at the due time -> republished envelopes.
+  with a wall-clock timer at the due time -> republished envelopes, or a list of expired ones.
 * ``watermark_dedup_replay``: Spark's built-in ``dropDuplicatesWithinWatermark``.
 
 State lives in the state store (RocksDB provider set by ``get_spark``) and is
@@ -27,9 +27,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from sluice import constants as K
 from sluice.operators import handlers as H
 from sluice.operators import outcome as O
-from sluice.operators.dedup import CLAIMED, DUPLICATE
+from sluice.operators.dedup import CLAIMED, DUPLICATE, dedup_within_watermark
+from sluice.operators.retry import ZERO_TIME_EPOCH_S
 from sluice.plans import triage as TR
 from sluice.session import checkpoint_dir
+from sluice.sources.sinks import write_records, write_republished
 
 ORDER = ["clock", "topic", "partition", "offset"]
 
@@ -47,11 +49,26 @@ CARRY = T.StructType([
     T.StructField("lane", T.LongType()), T.StructField("routed", T.BooleanType()),
     T.StructField("error_class", T.StringType()), T.StructField("error", T.StringType()),
 ])
-CLAIMED_SCHEMA = T.StructType(CARRY.fields + [T.StructField("dedup_status", T.StringType())])
 
 
-def _us(s: pd.Series):
-    return pd.to_datetime(s, utc=True).astype("int64").to_numpy() // 1000
+def _plain(schema: T.StructType) -> T.StructType:
+    """The schema in which rows pass through pandas: its timestamps end in 2262, an envelope's may not."""
+    return T.StructType([T.StructField(f.name, T.LongType() if f.name == "clock" else T.StringType())
+                         if isinstance(f.dataType, T.TimestampType) else f for f in schema.fields])
+
+
+def _to_plain(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Clock as epoch microseconds, other times as their text (exact, NULL or not)."""
+    return df.select(*[(F.unix_micros(f.name) if f.name == "clock" else F.unix_micros(f.name).cast("string")).alias(f.name)
+                       if isinstance(f.dataType, T.TimestampType) else F.col(f.name) for f in schema.fields])
+
+
+def _from_plain(df: DataFrame, schema: T.StructType) -> DataFrame:
+    return df.withColumns({f.name: F.timestamp_micros(F.col(f.name).cast("bigint"))
+                           for f in schema.fields if isinstance(f.dataType, T.TimestampType)})
+
+
+CLAIMED_SCHEMA = T.StructType(_plain(CARRY).fields + [T.StructField("dedup_status", T.StringType())])
 
 
 CLAIM_STATE = T.StructType([T.StructField("claim_us", T.LongType())])
@@ -75,8 +92,10 @@ def claim_fold(ttl_s: int = K.DEDUP_TTL_S):
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(ORDER, kind="stable")
         claim = int(state.get[0]) if state.exists else None
         status = []
-        for t, ok in zip(_us(pdf["clock"]), pdf["error"].isna().to_numpy()):
-            if claim is not None and t < claim + ttl_us:
+        for t, ok in zip(pdf["clock"], pdf["error"].isna().to_numpy()):
+            if pd.isna(t):  # as in the batch fold: can't be compared, opens no window
+                status.append(CLAIMED)
+            elif claim is not None and t < claim + ttl_us:
                 status.append(DUPLICATE)
             else:
                 status.append(CLAIMED)
@@ -105,9 +124,9 @@ def triage_stream(raw: DataFrame, registry: DataFrame, topics: DataFrame,
         *[f.name for f in CARRY.fields])
     routed = v.where("routed")
     others = v.where("not routed").withColumn("dedup_status", F.lit(None).cast("string"))
-    claimed = routed.groupBy("event_id").applyInPandasWithState(
+    claimed = _from_plain(_to_plain(routed, CARRY).groupBy("event_id").applyInPandasWithState(
         claim_fold(ttl_s), outputStructType=CLAIMED_SCHEMA, stateStructType=CLAIM_STATE,
-        outputMode="append", timeoutConf="ProcessingTimeTimeout")
+        outputMode="append", timeoutConf="ProcessingTimeTimeout"), CARRY)
     done = O.classify_outcome(claimed.unionByName(others))
     bad = TR.triage_retry_topics(raw, clock_col).where(F.col("outcome") == K.DLQ)
     have = set(bad.columns)
@@ -116,7 +135,7 @@ def triage_stream(raw: DataFrame, registry: DataFrame, topics: DataFrame,
     return done.unionByName(bad)
 
 
-def _write_batch(out_dir: str):
+def _write_batch(out_dir: str, bootstrap: str | None = None, options: dict | None = None):
     def write(batch: DataFrame, batch_id: int) -> None:
         # two writes read the batch: keep it for the length of this call so the
         # micro-batch plan (parse, state lookups) runs once
@@ -126,29 +145,42 @@ def _write_batch(out_dir: str):
                                     "sink_topic", "dedup_status")
             # one folder per batch id: a replayed batch overwrites its own output
             outcomes.write.mode("overwrite").parquet(os.path.join(out_dir, "outcomes", f"batch={batch_id}"))
-            TR.sink_records(batch).write.mode("overwrite").partitionBy("sink_topic").parquet(
-                os.path.join(out_dir, "sinks", f"batch={batch_id}"))
+            write_records(TR.sink_records(batch), path=os.path.join(out_dir, "sinks"), batch_id=batch_id,
+                          bootstrap=bootstrap, options=options)
         finally:
             batch.unpersist()
     return write
 
 
-def start_triage_stream(raw: DataFrame, registry: DataFrame, topics: DataFrame, out_dir: str,
-                        checkpoint: str, handlers: Mapping[str, H.Handler] | None = None,
-                        fault_col: str | None = None, trigger: dict | None = None):
-    """Start the triage job; returns the ``StreamingQuery``."""
-    t = triage_stream(raw, registry, topics, handlers, fault_col)
-    w = t.writeStream.foreachBatch(_write_batch(out_dir)).option("checkpointLocation", checkpoint)
-    # processing-time timeouts ask for a batch after every batch; expired claims can wait for the next data
-    key, conf = "spark.sql.streaming.noDataMicroBatches.enabled", raw.sparkSession.conf
+def _start(writer, trigger: dict | None, spark: SparkSession):
+    """Start a stream whose state has processing-time timers.
+
+    ``availableNow`` ends once its input is read, so batches without data are off for it (they would never
+    stop); any other trigger keeps them, so that timers fire on a quiet topic.
+    """
+    trigger = trigger or {"availableNow": True}
+    key, conf = "spark.sql.streaming.noDataMicroBatches.enabled", spark.conf
     was = conf.get(key, "true")
-    conf.set(key, "false")
+    conf.set(key, "false" if trigger.get("availableNow") else "true")
     try:
-        return w.trigger(**(trigger or {"availableNow": True})).start()
+        return writer.trigger(**trigger).start()
     finally:
         conf.set(key, was)
 
 
+def start_triage_stream(raw: DataFrame, registry: DataFrame, topics: DataFrame, out_dir: str,
+                        checkpoint: str, handlers: Mapping[str, H.Handler] | None = None,
+                        fault_col: str | None = None, trigger: dict | None = None,
+                        bootstrap: str | None = None, options: dict | None = None):
+    """Start the triage job; returns the ``StreamingQuery``.
+
+    Records go to Kafka with ``bootstrap``, else to files below ``out_dir``; outcomes always to files.
+    """
+    t = triage_stream(raw, registry, topics, handlers, fault_col)
+    w = t.writeStream.foreachBatch(_write_batch(out_dir, bootstrap, options)).option("checkpointLocation", checkpoint)
+    return _start(w, trigger, raw.sparkSession)
+
+
 # ------------------------------------------------------------ retry timers ---
 ENTRY = T.StructType([
     T.StructField("due_ms", T.LongType()), T.StructField("scheduled_at", T.TimestampType()),
@@ -157,63 +189,93 @@ ENTRY = T.StructType([
     T.StructField("event_ts", T.TimestampType()), T.StructField("data_json", T.StringType()),
     T.StructField("retry_count", T.LongType()), T.StructField("failure_reason", T.StringType()),
     T.StructField("first_failure_time", T.TimestampType())])
-REPUBLISH = T.StructType([T.StructField("event_id", T.StringType())] + ENTRY.fields)
+STORED = T.StructType(_plain(ENTRY).fields + [T.StructField("fires_ms", T.LongType())])
+REPUBLISH = T.StructType([T.StructField("event_id", T.StringType())] + _plain(ENTRY).fields
+                         + [T.StructField("expired", T.BooleanType())])
+ZERO_TIME_MS = ZERO_TIME_EPOCH_S * 1000
 
 
 class RetryScheduleProcessor(StatefulProcessor):
-    """Latest schedule per event id; an event-time timer at the due time releases it once."""
+    """Latest schedule per event id, released once by the wall clock.
+
+    One timer an entry: at its due time, or when its payload expires (``ttl_s`` after it was
+    scheduled) if that comes first; a zero due time only expires. A due time in the past fires at once,
+    however late the record is. Every entry leaves the state as released or as expired.
+    """
+
+    def __init__(self, ttl_s: int = K.RETRY_PAYLOAD_TTL_S):
+        self.ttl_ms = ttl_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entry = handle.getValueState("entry", ENTRY)
+        self.entry = handle.getValueState("entry", STORED)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(ORDER, kind="stable")
-        last = pdf.iloc[-1]
+        last = None
+        for pdf in rows:  # one batch of rows at a time: only the latest is kept
+            best = pdf.sort_values(ORDER, kind="stable").iloc[-1]
+            if last is None or tuple(best[ORDER]) >= tuple(last[ORDER]):
+                last = best
         if self.entry.exists():
-            old = self.entry.get()[0]
-            if old is not None and old >= 0:
-                self.handle.deleteTimer(int(old))
-        due_ms = -62135596800000 if pd.isna(last["next_retry_after"]) else \
-            int(pd.Timestamp(last["next_retry_after"]).value // 1_000_000)
+            self.handle.deleteTimer(int(self.entry.get()[-1]))
+        due_ms = int(last["due_ms"])
+        ends = timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms
+        fires = due_ms if 0 <= due_ms < ends else ends
         self.entry.update(tuple([due_ms] + [None if pd.isna(last[f.name]) else last[f.name]
-                                            for f in ENTRY.fields[1:]]))
-        if due_ms >= 0:  # a zero time is never due
-            self.handle.registerTimer(due_ms)
+                                            for f in ENTRY.fields[1:]] + [fires]))
+        self.handle.registerTimer(fires)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.entry.exists():
             return
-        e = self.entry.get()
+        *e, fires = self.entry.get()
         self.entry.clear()
-        yield pd.DataFrame([[key[0], *e]], columns=[f.name for f in REPUBLISH.fields])
+        yield pd.DataFrame([[key[0], *e, fires != e[0]]], columns=[f.name for f in REPUBLISH.fields])
 
     def close(self) -> None:
         pass
 
 
-def retry_schedule_stream(raw: DataFrame, watermark: str = "0 seconds") -> DataFrame:
-    """``.retry`` records -> republish rows when due (event time = record timestamp)."""
+def retry_schedule_stream(raw: DataFrame, ttl_s: int = K.RETRY_PAYLOAD_TTL_S) -> DataFrame:
+    """``.retry`` records -> entries leaving the schedule: due ones, and those whose payload ``expired``.
+
+    Bad envelopes are dead-lettered by the triage job.
+    """
     from sluice.operators.parse import parse_retry_envelope
     r = parse_retry_envelope(raw.where(F.col("topic").endswith(K.RETRY_SUFFIX)))
-    r = r.where(F.col("retry_error").isNull()).withColumn("clock", F.col("timestamp")).select(
-        *ORDER, "event_id", "next_retry_after", F.col("clock").alias("scheduled_at"), "original_topic",
-        "version", "event_type", "tenant_id", "event_ts", "data_json", "retry_count", "failure_reason",
-        "first_failure_time").withWatermark("clock", watermark)
-    return r.groupBy("event_id").transformWithStateInPandas(
-        statefulProcessor=RetryScheduleProcessor(), outputStructType=REPUBLISH,
-        outputMode="Append", timeMode="EventTime")
-
-
-def start_retry_scheduler(raw: DataFrame, out_dir: str, checkpoint: str, trigger: dict | None = None):
+    r = r.where(F.col("retry_error").isNull()).withColumns({
+        "clock": F.col("timestamp"), "scheduled_at": F.col("timestamp"),
+        "due_ms": F.coalesce(F.floor(F.unix_micros("next_retry_after") / 1000).cast("bigint"), F.lit(ZERO_TIME_MS))})
+    rows = T.StructType([f for f in r.schema.fields if f.name in (*ORDER, "event_id")] + ENTRY.fields)
+    left = _to_plain(r, rows).groupBy("event_id").transformWithStateInPandas(
+        statefulProcessor=RetryScheduleProcessor(ttl_s), outputStructType=REPUBLISH,
+        outputMode="Append", timeMode="ProcessingTime")
+    return _from_plain(left, ENTRY)
+
+
+def start_retry_scheduler(raw: DataFrame, out_dir: str, checkpoint: str, trigger: dict | None = None,
+                          bootstrap: str | None = None, options: dict | None = None,
+                          ttl_s: int = K.RETRY_PAYLOAD_TTL_S):
+    """Start the release job; returns the ``StreamingQuery``.
+
+    Republished records go to Kafka with ``bootstrap``, else below ``out_dir/republished``; expired
+    entries are listed below ``out_dir/expired``. With ``{"processingTime": "1 second"}`` every tick releases what is
+    due by then; ``availableNow`` releases what is due when the input is read and leaves the rest in the checkpoint.
+    A failed write fails the batch, which runs again from the checkpoint.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        rec = O.to_republish_envelope(batch)
-        rec.select("event_id", "sink_topic", "sink_key", "sink_value").write.mode("overwrite").parquet(
-            os.path.join(out_dir, f"batch={batch_id}"))
-    s = retry_schedule_stream(raw)
-    return (s.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"availableNow": True})).start())
+        batch.persist()
+        try:
+            write_republished(O.to_republish_envelope(batch.where("NOT expired")), batch_id=batch_id,
+                              path=os.path.join(out_dir, "republished"), bootstrap=bootstrap, options=options)
+            batch.where("expired").select("event_id", "original_topic", "scheduled_at").write.mode(
+                "overwrite").parquet(os.path.join(out_dir, "expired", f"batch={batch_id}"))
+        finally:
+            batch.unpersist()
+    s = retry_schedule_stream(raw, ttl_s)
+    return _start(s.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), trigger,
+                  raw.sparkSession)
 
 
 # ------------------------------------------------------------------ replay ---
@@ -227,7 +289,8 @@ def replay_files(df: DataFrame, path: str, files: int = 4, order: str = "timesta
 
     A file stream lists files by modification time, so slices written in
     sequence replay in time order, one micro-batch each with
-    ``maxFilesPerTrigger=1`` -- the same batches on every run.
+    ``maxFilesPerTrigger=1`` -- the same batches on every run. For small test logs:
+    a slice is written by one task.
     """
     us = F.unix_micros(F.col(order))
     bounds = (df.select(us.alias("u")).approxQuantile("u", [i / files for i in range(1, files)], 0.0)
@@ -242,17 +305,25 @@ def replay_files(df: DataFrame, path: str, files: int = 4, order: str = "timesta
         df.where(cond).coalesce(1).write.mode("append").parquet(path)
 
 
-def watermark_dedup_replay(spark: SparkSession, rows: DataFrame, key: str = "event_id",
-                           clock: str = "clock", delay: str = "48 hours") -> DataFrame:
-    src = scratch(spark, "wm-src")
-    out = scratch(spark, "wm-out")
-    replay_files(rows, src, order=clock)
-    stream = (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
-              .withWatermark(clock, delay).dropDuplicatesWithinWatermark([key]))
-    q = (stream.writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", out + "-ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+def watermark_dedup_replay(spark: SparkSession, rows: DataFrame, key: str = "event_id", clock: str = "clock",
+                           delay: str = "48 hours", slice_s: int = 7 * 24 * 3600) -> DataFrame:
+    """``dropDuplicatesWithinWatermark`` over slices of ``slice_s`` seconds of log time, one micro-batch each.
+
+    Each slice is appended and read to its end on the same checkpoint, so a batch is a slice whatever its
+    number of files. Adds ``slice``, the number of the row's slice since the epoch.
+    """
+    src, out = scratch(spark, "wm-src"), scratch(spark, "wm-out")
+    rows = rows.withColumn("slice", F.floor(F.unix_micros(clock) / F.lit(slice_s * 1_000_000)).cast("bigint"))
+    lo, hi = rows.select(F.min("slice"), F.max("slice")).first()
+    if lo is None:
+        return rows.limit(0)
+    for n in range(lo, hi + 1):
+        rows.where(F.col("slice") == n).write.mode("append").parquet(src)
+        q = (dedup_within_watermark(spark.readStream.schema(rows.schema).parquet(src), clock, key, delay)
+             .writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", out + "-ckpt").trigger(availableNow=True).start())
+        q.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
 
 
 def triage_replay(spark: SparkSession, raw: DataFrame, registry: DataFrame, topics: DataFrame,

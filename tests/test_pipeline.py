@@ -37,7 +37,8 @@ def test_registry_duplicates_raise(spark):
 
 
 @pytest.mark.parametrize("name", ["validate_envelope", "classify_outcome", "write_retry", "write_dlq",
-                                  "due_retries", "committable_offsets", "processing_duration", "lane_load"])
+                                  "due_retries", "committable_offsets", "processing_duration", "lane_load",
+                                  "run_triage_two_runs", "dedup_within_watermark", "write_republished", "read_messages"])
 def test_oracle_spot(spark, name):
     import __spark_entry__ as E
     from tools_compare import rows
@@ -63,37 +64,75 @@ def test_stream_equals_batch(spark):
     assert sorted(map(tuple, out.select(*cols).collect())) == sorted(map(tuple, batch.select(*cols).collect()))
 
 
+def _retry_env(eid, due, n):
+    return ('{"version":1,"eventId":"%s","eventType":"VISIT_APPROVED","tenantId":"t1",'
+            '"timestamp":"2024-01-01T00:00:00Z","data":{},"originalTopic":"cases","retryCount":%d,'
+            '"failureReason":"boom","firstFailureTime":"2024-01-01T00:00:00Z",'
+            '"lastFailureTime":"2024-01-01T00:00:00Z","nextRetryAfter":%s}' % (eid, n, due))
+
+
 def test_retry_scheduler_stream_releases_due_once(spark):
     import os
 
     from conftest import raw_frame
 
     from sluice.sources.sinks import write_records
-    from sluice.streaming.jobs import replay_files, scratch, start_retry_scheduler
-
-    def env(eid, due, n):
-        return ('{"version":1,"eventId":"%s","eventType":"VISIT_APPROVED","tenantId":"t1",'
-                '"timestamp":"2024-01-01T00:00:00Z","data":{},"originalTopic":"cases","retryCount":%d,'
-                '"failureReason":"boom","firstFailureTime":"2024-01-01T00:00:00Z",'
-                '"lastFailureTime":"2024-01-01T00:00:00Z","nextRetryAfter":"%s"}' % (eid, n, due))
-    rows = [("cases.retry", 0, 0, env("e1", "2024-01-01T00:00:30Z", 1), "2024-01-01 00:00:00"),
-            ("cases.retry", 0, 1, env("e2", "2024-01-01T00:01:00Z", 2), "2024-01-01 00:00:00"),
-            ("cases.retry", 0, 2, env("e1", "2024-01-01T00:05:00Z", 2), "2024-01-01 00:00:10"),  # replaces e1
-            ("cases.retry", 0, 3, env("e3", "2024-01-02T00:00:00Z", 1), "2024-01-01 00:10:00")]
-    raw = raw_frame(spark, rows)
+    from sluice.streaming.jobs import scratch, start_retry_scheduler
+
+    past, far = '"2024-01-01T00:00:30Z"', '"2999-01-01T00:00:00Z"'
+    first = [("cases.retry", 0, 0, _retry_env("e1", far, 1), "2024-01-01 00:00:00"),
+             ("cases.retry", 0, 1, _retry_env("e2", past, 2), "2024-01-01 00:00:00"),
+             ("cases.retry", 0, 2, _retry_env("e4", past, 1), "2024-01-01 00:00:00"),
+             ("cases.retry", 0, 3, _retry_env("e4", far, 2), "2024-01-01 00:00:05"),    # replaces the entry due
+             ("cases.retry", 0, 4, "not json", "2024-01-01 00:00:06")]
+    later = [("cases.retry", 0, 5, _retry_env("e1", past, 2), "2024-01-01 00:00:10"),   # replaces e1
+             ("cases.retry", 0, 6, _retry_env("e3", past, 1), "2023-01-01 00:00:00")]   # a year late
     src, out = scratch(spark, "retry-src"), scratch(spark, "retry-out")
-    replay_files(raw, src, files=2)
+    for rows in (first, later):
+        raw = raw_frame(spark, rows)
+        raw.coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = start_retry_scheduler(stream, out, out + "-ckpt")
-    q.awaitTermination()
-    got = spark.read.parquet(out).collect()
-    # e1 (rescheduled to 00:05) and e2 are due before the watermark (00:10); e3 is not; each leaves once
-    assert sorted(r["event_id"] for r in got) == ["e1", "e2"]
-    e1 = [r for r in got if r["event_id"] == "e1"][0]
+    start_retry_scheduler(stream, out, out + "-ckpt").awaitTermination()
+    got = spark.read.parquet(os.path.join(out, "republished")).collect()
+    assert sorted(r["sink_value"].split('"eventId":"')[1][:2] for r in got) == ["e1", "e2", "e3"]
+    e1 = [r for r in got if '"eventId":"e1"' in r["sink_value"]][0]
     assert '"retryCount":2' in e1["sink_value"] and e1["sink_topic"] == "cases"
-    recs = spark.read.parquet(out).select("sink_value", "sink_topic").withColumn("sink_key", spark_lit("t1"))
+    recs = spark.read.parquet(os.path.join(out, "republished")).select("sink_value", "sink_topic", "sink_key")
     write_records(recs, path=os.path.join(out, "sink"), batch_id=0)
-    assert spark.read.parquet(os.path.join(out, "sink", "batch=0")).count() == 2
+    assert spark.read.parquet(os.path.join(out, "sink", "batch=0")).count() == 3
+
+
+def test_quiet_topic_releases_and_expires_by_the_clock(spark):
+    """No record follows: the entry due in some seconds is still released, the one without a due time expires."""
+    import glob
+    import os
+    import time
+    from datetime import datetime, timedelta, timezone
+
+    from conftest import raw_frame
+
+    from sluice.streaming.jobs import scratch, start_retry_scheduler
+    soon = (datetime.now(timezone.utc) + timedelta(seconds=8)).strftime('"%Y-%m-%dT%H:%M:%SZ"')
+    raw = raw_frame(spark, [("cases.retry", 0, 0, _retry_env("e1", soon, 1), "2024-01-01 00:00:00"),
+                            ("cases.retry", 0, 1, _retry_env("e2", "null", 1), "2024-01-01 00:00:00")])
+    src, out = scratch(spark, "quiet-src"), scratch(spark, "quiet-out")
+    raw.coalesce(1).write.parquet(src)
+    q = start_retry_scheduler(spark.readStream.schema(raw.schema).parquet(src), out, out + "-ckpt",
+                              trigger={"processingTime": "1 second"}, ttl_s=10)
+
+    def rows(kind):
+        if not glob.glob(os.path.join(out, kind, "batch=*", "**", "*.parquet"), recursive=True):
+            return []
+        return spark.read.option("recursiveFileLookup", "true").parquet(os.path.join(out, kind)).collect()
+    try:
+        end = time.time() + 90
+        while time.time() < end and not (rows("republished") and rows("expired")):
+            assert q.exception() is None
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert ['"eventId":"e1"' in r["sink_value"] for r in rows("republished")] == [True]
+    assert [r["event_id"] for r in rows("expired")] == ["e2"]
 
 
 def spark_lit(v):

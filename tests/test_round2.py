@@ -48,7 +48,7 @@ def test_wiring_errors_raise(spark):
 
 
 def test_stream_gives_every_record_an_outcome(spark, tmp_path):
-    first = raw_frame(spark, [("visits", 0, 0, ENV % "a", "2024-03-01 00:00:00"), ("visits", 0, 1, ENV % "b", "2024-03-02 00:00:00")])
+    first = raw_frame(spark, [("visits", 0, 0, ENV % "a", "2024-03-01 00:00:00"), ("visits", 0, 1, (ENV % "b").replace("2024-01-01T", "2999-01-01T"), "2024-03-02 00:00:00")])
     late = raw_frame(spark, [("visits", 0, 2, ENV % "c", "2024-01-01 00:00:00"), ("visits", 0, 3, ENV % "a", "2024-03-01 01:00:00"),
                              ("visits.retry", 0, 0, "not json", "2024-03-02 00:00:00")])
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
@@ -60,3 +60,21 @@ def test_stream_gives_every_record_an_outcome(spark, tmp_path):
     assert got == {("visits", 0): "processed", ("visits", 1): "processed", ("visits", 2): "processed", ("visits", 3): "duplicate", ("visits.retry", 0): "dlq"}
     sinks = spark.read.parquet(os.path.join(out, "sinks")).collect()
     assert [r.sink_topic for r in sinks] == ["visits.retry.dlq"]
+
+
+def test_python_handler_sees_its_own_rows_only(spark, tmp_path):
+    """Another type, an unknown type and a bad record never reach the function."""
+    seen = str(tmp_path / "seen")
+
+    def visit(row):
+        with open(seen, "a") as f:
+            f.write(row["event_id"] + "\n")
+    hs = {"VISIT_APPROVED": H.Handler("VISIT_APPROVED", H.python_handler(visit, ["event_id"])),
+          "NOTIFICATION_TRIGGERED": H.DEFAULT_HANDLERS["NOTIFICATION_TRIGGERED"]}
+    env = [ENV % "a", (ENV % "b").replace("VISIT_APPROVED", "NOTIFICATION_TRIGGERED"),
+           (ENV % "c").replace("VISIT_APPROVED", "CASE_ASSIGNED"), "not json"]
+    raw = raw_frame(spark, [("visits", 0, i, e, "2024-01-01 00:00:00") for i, e in enumerate(env)]
+                    + [("refunds", 0, 0, ENV % "d", "2024-01-01 00:00:00")])
+    got = TR.run_triage(raw, R.registry_frame(spark), R.topics_frame(spark), handlers=hs)
+    assert {r.offset: r.outcome for r in got.where("topic = 'visits'").collect()} == {0: "processed", 1: "processed", 2: "dlq", 3: "dlq"}
+    assert open(seen).read().split() == ["a"]
