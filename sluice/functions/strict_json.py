@@ -119,3 +119,44 @@ def json_string(c: Column) -> Column:
     """JSON text of a string column (quoted and escaped), ``null`` for NULL."""
     j = F.to_json(F.array(c.cast("string")))
     return j.substr(F.lit(2), F.length(j) - 2)
+
+
+# Raw control characters never occur in valid JSON text, so they can stand for what a JSON library would re-render.
+_PAIR, _QUOTE, _NUMBER, _ESCAPE = "\x01", "\x02", "\x03", "\x04"
+
+
+def _swap(c: Column, pairs) -> Column:
+    for old, new in pairs:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
+def _outside_strings(text: Column, change) -> Column:
+    """Apply ``change`` to the parts of valid JSON text (escaped quotes swapped away) that lie outside strings."""
+    parts = F.transform(F.split(text, '"', -1), lambda x, i: F.when(i % 2 == 0, change(x)).otherwise(x))
+    return F.array_join(parts, '"')
+
+
+def compact_json(text: Column) -> Column:
+    """Valid JSON text without the white space between tokens; every literal, escape and repeated key as written."""
+    t = _swap(text, [("\\\\", _PAIR), ('\\"', _QUOTE)])
+    t = _outside_strings(t, lambda x: F.regexp_replace(x, "[ \\t\\r\\n]+", ""))
+    return _swap(t, [(_QUOTE, '\\"'), (_PAIR, "\\\\")])
+
+
+def member_json(text: Column, key: str, kind: Column) -> Column:
+    """Text of a top-level member (the last of that name) of a valid JSON object, as written but for white space.
+
+    ``kind`` is the member's JSON kind. Escapes and numbers are swapped for control characters before the text is decoded, so that
+    the decoder copies them unchanged.
+    """
+    t = _swap(text, [("\\\\", _PAIR), ('\\"', _QUOTE), ("\\", _ESCAPE)])
+    t = _outside_strings(t, lambda x: F.regexp_replace(
+        F.regexp_replace(x, "[ \\t\\r\\n]+", ""), "(-?[0-9][0-9.eE+-]*)", f'"{_NUMBER}$1{_NUMBER}"'))
+    raw = F.from_json(t, f"`{key}` STRING", {**_STRICT, "allowUnquotedControlChars": "true"})[key]
+    back = [(_ESCAPE, "\\"), (_QUOTE, '\\"'), (_PAIR, "\\\\")]
+    # inside an object the control characters come back as escapes, in a lone string as themselves
+    inner = _swap(raw, [('"\\u0003', ""), ('\\u0003"', ""), ("\\u0004", _ESCAPE), ("\\u0002", _QUOTE), ("\\u0001", _PAIR)])
+    return (F.when(kind.isin("object", "array"), _swap(inner, back))
+            .when(kind == "string", F.concat(F.lit('"'), _swap(raw, back), F.lit('"')))
+            .otherwise(F.replace(raw, F.lit(_NUMBER), F.lit(""))))

@@ -91,7 +91,7 @@ def payload_json(value_str: Column) -> Column:
     (A typed encoder fails on non-JSON raw bytes and the record is lost; keeping
     it as a string is a deliberate improvement.)
     """
-    return F.when(J.is_single_json_value(value_str), F.get_json_object(value_str, "$")) \
+    return F.when(J.is_single_json_value(value_str), J.compact_json(value_str)) \
         .otherwise(J.json_string(value_str))
 
 

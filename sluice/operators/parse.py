@@ -49,16 +49,19 @@ def _time_field_error(v: Column, k: Column) -> Column:
 
 
 def _raw_json(text: Column, v: Column, k: Column) -> Column:
-    """Compact JSON text of a raw field (object key order kept)."""
+    """Compact JSON text of the ``data`` member, its literals as written.
+
+    (A member whose name is written with escapes is rendered from the decoded value.)
+    """
     return (F.when(k.isNull(), F.lit(None))
             .when(k == "null", F.lit("null"))
-            .when(k == "string", J.json_string(F.variant_get(v, "$", "string")))
-            .when(k.isin("object", "array"), F.get_json_object(text, "$.data"))
-            .otherwise(F.to_json(v)))
+            .otherwise(F.coalesce(J.member_json(text, "data", k), F.to_json(v))))
 
 
 def _decode(df: DataFrame, text: Column, fields, struct_name: str, go_type: str) -> DataFrame:
     """Adds ``_env`` (VARIANT fields), ``_k_<field>`` (their JSON kinds) and ``decode_error``."""
+    # a repeated key keeps its last value, as in a typed decoder (the setting's default is an error, read as NULL)
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     df = df.withColumn("_env", F.from_json(text, _variant_schema(fields), _OPTS))
     # one top-level column per kind: each is computed once and referenced by name
     df = df.withColumns({f"_k_{n}": J.variant_kind(F.col("_env")[n]) for n, _ in fields})

@@ -1,4 +1,6 @@
 """One row per validation branch (first failing check wins), with the exact reason text."""
+from pyspark.sql import functions as F
+
 from conftest import raw_frame
 
 from sluice.operators import parse as P
@@ -106,3 +108,23 @@ def test_retry_envelope_checks(spark):
     assert r[0] is None
     assert r[1] == "invalid retry envelope: invalid retry envelope: missing eventId or originalTopic"
     assert r[2] == 'invalid retry envelope: unmarshal retry envelope: parsing time "soon": not RFC 3339'
+
+
+def test_payload_text_is_kept(spark):
+    from conftest import raw_frame
+
+    from sluice.operators import outcome as O
+    head = '{"version":1,"eventId":"e","eventType":"VISIT_APPROVED","tenantId":"t","timestamp":"2024-01-01T00:00:00Z"'
+    texts = ['{"visitId":"a","visitId":"b","caseId":"c9"}', '{"n":1.50,"m":0.1234567890123456789,"e":-2E+5}',
+             '{"s":"q\\"1.50 , \\\\","u":"\\u00e9 \\/ é","k\\"2.0":[1.0,[],{}]}', '1.50', '"x\\"1.0\\n"', 'true', '[1.0]']
+    rows = [("cases", 0, i, f'{head},"data": {t}}}', "2024-01-01 00:00:00") for i, t in enumerate(texts)]
+    rows.append(("cases", 0, 90, head + ',"data":{"a":1.0},"data":{"caseId":"z"}}', "2024-01-01 00:00:00"))
+    rows.append(("cases", 0, 91, head + ',"data":{ "a" : [1.0 ,\t2] } }', "2024-01-01 00:00:00"))
+    v = P.affinity_key(P.parse_and_validate(raw_frame(spark, rows)))
+    got = {r.offset: r for r in v.withColumn("payload", O.payload_json(F.col("value_str"))).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].envelope_error is None and got[i].data_json == t
+        assert got[i].payload == f'{head},"data":{t}}}'
+    assert got[0].affinity_key == "t:c9" and got[0].data_kind == "object"
+    assert got[90].data_json == '{"caseId":"z"}' and got[90].affinity_key == "t:z"
+    assert got[91].data_json == '{"a":[1.0,2]}' and got[91].payload == head + ',"data":{"a":[1.0,2]}}'
