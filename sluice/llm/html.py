@@ -2,14 +2,11 @@
 
 Method. A page is read as a tree of its block elements (unclosed and crossed tags are repaired as browsers do in the common
 cases; inline elements only carry text). Every subtree is hashed over its tag, its attributes' class, id and role, and its text.
-Spark counts on how many different pages of each host a subtree occurs; subtrees on ``MIN_PAGES`` pages or more whose neighbours differ
-from page to page are the site's template and are deleted. Neighbours count because the same article
-may be on many pages: its paragraphs recur, but always between the same paragraphs.
-
-Inside an article or main element only containers (div, section, list, table and the like) can be template, never its
-paragraphs and headings. Elements that never hold article text go by name, role or class words: navigation, page headers
-and footers, asides, forms, scripts, styles, notices, adverts, sharing and reader comments. Pages with an article (or main) element
-that is left give its blocks, others the body's.
+Spark counts on how many different pages of each host a subtree occurs; on ``MIN_PAGES`` or more it recurs. What does not recur is the
+page's own text. Recurring subtrees on pages with ``MIN_PAGES`` different own texts or more are the site's template and are deleted,
+whatever stands beside them. Copies of one article have equal own texts, or hardly any (under a part in ``OWN_PART`` of the main text),
+so the article's recurring paragraphs stay. Paragraphs, headings, items and cells inside an article or main element
+must also be on half of the host's different pages, since a short heading or cell recurs in different articles.
 
 Text. Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page order by
 one line feed; a line break element is white space. Nothing else is dropped or cut.
@@ -30,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.tables import Tables
 
-MIN_PAGES = 5
+MIN_PAGES, OWN_PART = 5, 20
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|\Z)", re.I)
@@ -49,6 +46,8 @@ CLASSES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "ad
            "breadcrumbs", "footer", "sidebar", "aside", "widget", "widgets", "related", "recommended", "share", "sharing", "social", "cookie", "cookies", "consent", "gdpr", "notice",
            "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "search", "form", "comment", "comments", "disqus", "reply",
            "replies", "respond", "pagination", "pager", "toolbar", "skip", "copyright", "legal", "disclaimer"}
+#: Never part of a template.
+WHOLE = {"html", "head", "body", "article", "main"}
 #: These hold a page's head outside an article, but the title inside one.
 HEADS = {"header", "masthead"}
 #: An opening tag that ends an open element of these names (end tags left out).
@@ -127,7 +126,7 @@ def parse(page: str) -> Node:
     return root
 
 
-def _hash(node: Node) -> int:
+def _hash(node: Node, seed: int = 7) -> int:
     """Sets the hash of every subtree; 0 for those without text. Iterative: depth is the page's choice."""
     order, todo = [], [node]
     while todo:
@@ -137,35 +136,46 @@ def _hash(node: Node) -> int:
     for x in reversed(order):
         parts = [" ".join(i.split()) if isinstance(i, str) else f"\x00{i.hash:x}" if i.hash else "" for i in x.items]
         said = "\x01".join(p for p in parts if p)
-        x.hash = xxhash.xxh64_intdigest(f"{x.tag}\x00{x.names}\x00{said}".encode("utf-8", "replace"), 7) >> 1 if said else 0
+        x.hash = xxhash.xxh64_intdigest(f"{x.tag}\x00{x.names}\x00{said}".encode("utf-8", "replace"), seed) >> 1 if said else 0
     return node.hash
 
 
-def subtrees(page: str) -> list[tuple[int, int]]:
-    """(hash, hash of what stands before and after it) of every subtree that could be template."""
-    root = parse(page)
-    _hash(root)
+def _kept(root: Node) -> list[tuple[Node, bool]]:
+    """Every node that is not dropped, and whether it stands in an article or main element or is one."""
     out, todo = [], [(root, False)]
     while todo:
         node, article = todo.pop()
+        if node.drop or node.head and not article:
+            continue
         article |= node.tag in ("article", "main")
-        around = [i for i in node.items if (i.hash if isinstance(i, Node) else i.strip())]
-        place = [str(i.hash) if isinstance(i, Node) else " ".join(i.split()) for i in around]
-        for k, i in enumerate(around):
-            if isinstance(i, Node):
-                if i.tag not in ("html", "head", "body", "article", "main") and not (article and i.tag in CONTENT):
-                    near = f"{place[k - 1] if k else ''}\x00{place[k + 1] if k + 1 < len(place) else ''}"
-                    out.append((i.hash, xxhash.xxh64_intdigest(near.encode("utf-8", "replace")) >> 1))
-                if not i.drop:
-                    todo.append((i, article))
+        out.append((node, article))
+        todo += [(i, article) for i in node.items if isinstance(i, Node)]
     return out
 
 
-def main_text(page: str, template: frozenset | set = frozenset()) -> str:
-    """The article's blocks, or the body's if no article is left; ``template`` holds hashes of deleted subtrees."""
+def subtrees(page: str, seed: int = 7) -> list[tuple[int, int, int, int]]:
+    """(hash, kind, characters, hash of the characters) of every subtree with text: kind 0 can't be template, 1 can, 2 is an article's paragraph
+    or the like, -1 is the page. Characters are the main text's that stand in the node itself."""
+    root = parse(page)
+    _hash(root, seed)
+    nodes = _kept(root)
+    own = [" ".join("".join(i if isinstance(i, str) else " " for i in x.items).split()) for x, _ in nodes]
+    articles = any(said and article for said, (_, article) in zip(own, nodes))
+    out = []
+    for said, (x, article) in zip(own, nodes):
+        if x.hash:
+            said = said if article or not articles else ""
+            kind = -1 if x is root else 0 if x.tag in WHOLE else 2 if article and x.tag in CONTENT else 1
+            out.append((x.hash, kind, len(said), xxhash.xxh64_intdigest(said.encode("utf-8", "replace")) >> 24 if said else 0))
+    return out
+
+
+def main_text(page: str, template: frozenset | set = frozenset(), wide: frozenset | set = frozenset(), seed: int = 7) -> str:
+    """The article's blocks, or the body's if no article is left; ``template`` holds hashes of deleted subtrees, ``wide`` those of them
+    that go as paragraphs of an article too."""
     root = parse(page)
     if template:
-        _hash(root)
+        _hash(root, seed)
 
     def blocks(articles: bool) -> list[str]:
         out: list[str] = []
@@ -188,7 +198,7 @@ def main_text(page: str, template: frozenset | set = frozenset()) -> str:
                 if item.drop or item.head and not article:
                     held.append(" ")
                     continue
-                if item.hash in template and item.hash and not (article and item.tag in CONTENT) and item.tag not in ("html", "body", "article", "main"):
+                if item.hash in (wide if article and item.tag in CONTENT else template) and item.tag not in WHOLE:
                     held.append(" ")
                     continue
                 here = item.tag in ("article", "main")
@@ -200,6 +210,10 @@ def main_text(page: str, template: frozenset | set = frozenset()) -> str:
     return "\n".join(blocks(True) or blocks(False))
 
 
+def _seed(host: str) -> int:
+    return xxhash.xxh64_intdigest(host.encode("utf-8", "replace"), 7)
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """One row a page: id, url, text, n_chars."""
     tables = Tables(pages.sparkSession, "html")
@@ -211,23 +225,33 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                found = [(h, p, *x) for h, p, page in zip(*(part.column(c).to_pylist() for c in ("host", "page", "html"))) for x in set(subtrees(page))]
-                cols = list(zip(*found)) if found else [[], [], [], []]
-                yield pa.record_batch({"host": pa.array(cols[0], pa.string()), "page": pa.array(cols[1], pa.int64()), "subtree": pa.array(cols[2], pa.int64()), "near": pa.array(cols[3], pa.int64())})
-    seen = tables.write(rows.select("host", "page", "html").mapInArrow(list_subtrees, "host string, page long, subtree long, near long"), "subtrees")
-    # different neighbourhoods are different pages, apart from places in one page: so both are counted, each after a partial count
-    places = seen.groupBy("host", "subtree", "near").agg(F.count("*").alias("n")).groupBy("host", "subtree").agg(F.count("*").alias("places"))
-    on = seen.select("host", "subtree", "page").distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages"))
-    spread = places.join(on, ["host", "subtree"])
-    template = tables.write(spread.where((F.col("places") >= min_pages) & (F.col("pages") >= min_pages)).select("host", "subtree"), "template")
-    gone = seen.join(template, ["host", "subtree"]).groupBy("page").agg(F.collect_set("subtree").alias("gone"))
-    joined = rows.join(gone.withColumnRenamed("page", "g"), F.col("page") == F.col("g"), "left").select("id", "url", "html", "gone")
+                found = [(p, h if x[1] < 0 else None, *x) for h, p, page in zip(*(part.column(c).to_pylist() for c in ("host", "page", "html"))) for x in sorted(set(subtrees(page, _seed(h))))]
+                cols = list(zip(*found)) if found else [[], [], [], [], [], []]
+                yield pa.record_batch({"page": pa.array(cols[0], pa.int64()), "host": pa.array(cols[1], pa.string()), "subtree": pa.array(cols[2], pa.int64()),
+                                       "kind": pa.array(cols[3], pa.int32()), "chars": pa.array(cols[4], pa.int64()), "said": pa.array(cols[5], pa.int64())})
+    seen = tables.write(rows.select("host", "page", "html").mapInArrow(list_subtrees, "page long, host string, subtree long, kind int, chars long, said long"), "subtrees")
+    # a subtree's hash has the host in it; counts are of different pages
+    recurring = seen.where("kind > 0").select("subtree", "page").distinct().groupBy("subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    # own text: what doesn't recur. A page that is there n times has n roots.
+    marked = seen.join(recurring.withColumnRenamed("subtree", "r"), F.col("subtree") == F.col("r"), "left")
+    rare, times = F.col("r").isNull(), F.sum(F.when(F.col("kind") == -1, 1))
+    each = marked.groupBy("page").agg(F.max("host").alias("host"), F.collect_set(F.when(F.col("kind") > 0, F.col("r"))).alias("found"), F.sum(F.when(rare, F.col("chars")).otherwise(0)).alias("own"), F.sum("chars").alias("all"),
+                                      (F.sum(F.when(rare, F.col("said")).otherwise(0).cast("decimal(28,0)")) / times).cast("decimal(38,0)").alias("text"))
+    each = tables.write(each.withColumn("differs", (F.col("own") > 0) & (F.col("own") * OWN_PART >= F.col("all"))), "pages")
+    tables.drop("subtrees")
+    on = each.where("size(found) > 0").select("page", "host", "text", "differs", F.explode("found").alias("subtree"))
+    texts_of = on.where("differs").select("subtree", "text").distinct().groupBy("subtree").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_pages)
+    sizes = each.groupBy("host").agg(F.count("*").alias("size"))
+    spread = on.groupBy("subtree").agg(F.count("*").alias("pages"), F.max("host").alias("host")).join(texts_of, "subtree").join(sizes, "host")
+    template = tables.write(spread.select("subtree", (2 * F.col("pages") >= F.col("size")).alias("wide")), "template")
+    gone = on.select("page", "subtree").join(template, "subtree").groupBy("page").agg(F.collect_set("subtree").alias("gone"), F.collect_set(F.when(F.col("wide"), F.col("subtree"))).alias("wide"))
+    joined = rows.join(gone.withColumnRenamed("page", "g"), F.col("page") == F.col("g"), "left").select("id", "url", "html", "host", "gone", "wide")
 
     def texts(batches):
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                out = [main_text(page, set(g or ())) for page, g in zip(part.column("html").to_pylist(), part.column("gone").to_pylist())]
+                out = [main_text(page, set(g or ()), set(w or ()), _seed(h)) for page, g, w, h in zip(*(part.column(c).to_pylist() for c in ("html", "gone", "wide", "host")))]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["id", "url", "text", "n_chars"])
     kind = dict(rows.dtypes)["id"]
     return joined.mapInArrow(texts, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
