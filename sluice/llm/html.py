@@ -8,6 +8,13 @@ whatever stands beside them. Copies of one article have equal own texts, or hard
 so the article's recurring paragraphs stay. Paragraphs, headings, items and cells inside an article or main element
 must also be on half of the host's different pages, since a short heading or cell recurs in different articles.
 
+Elements that never hold article text go by name, role or class words: navigation, page headers and footers, asides, scripts, styles,
+notices, adverts, sharing and reader comments. Outside an article a part of a class or id (``site-nav``) is enough, or being a form,
+unless the element holds an article or half of the page's text; names of a state (``has-sidebar``) say nothing. Inside an article
+it takes a whole class, or the id of the reader comments. What holds a main element stays; what holds articles goes only by
+name, role or whole class and if the articles outside such elements have as much text. A head ends at the first element or text that can't be in it.
+Pages with an article (or main) element that is left give its blocks, others the body's.
+
 Text. Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page order by
 one line feed; a line break element is white space. Nothing else is dropped or cut.
 
@@ -30,7 +37,7 @@ from sluice.llm.tables import Tables
 MIN_PAGES, OWN_PART = 5, 20
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|\Z)", re.I)
+_ATTRIBUTE = re.compile(r"(?<![\w:.-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|\Z)", re.I)
 #: Elements whose content is not markup.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -38,7 +45,7 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
           "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 #: Content elements: inside an article never part of a template.
 CONTENT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li", "dt", "dd", "td", "th", "tr", "figcaption", "caption"}
-DROPPED = {"script", "style", "noscript", "template", "head", "title", "nav", "aside", "form", "iframe", "svg", "canvas", "object", "button", "select", "textarea", "input",
+DROPPED = {"script", "style", "noscript", "template", "head", "title", "nav", "aside", "iframe", "svg", "canvas", "object", "button", "select", "textarea", "input",
            "option", "menu", "dialog", "footer", "audio", "video", "math", "map", "noembed", "noframes"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 #: Words of class and id names, between punctuation.
@@ -50,6 +57,13 @@ CLASSES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "ad
 WHOLE = {"html", "head", "body", "article", "main"}
 #: These hold a page's head outside an article, but the title inside one.
 HEADS = {"header", "masthead"}
+#: A name with one of these words tells how an element looks just now, not what it is.
+STATES = {"has", "no", "not", "with", "without", "open", "opened", "closed", "active", "enabled", "disabled", "visible"}
+#: Reader comments: ids of their element, and the names of an article that is one.
+COMMENT_IDS = {"comment", "comments", "disqus", "disqus_thread", "respond", "replies"}
+_COMMENT = re.compile(r"(?:comment|comments|reply|comment-body|comment-item|(?:div-)?(?:comment|reply)-?\d+)\Z")
+#: What a head can hold.
+METADATA = {"title", "base", "link", "meta", "style", "script", "noscript", "template", "noframes", "bgsound", "basefont", "head", "html"}
 #: An opening tag that ends an open element of these names (end tags left out).
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
         "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -58,22 +72,86 @@ SCOPES = {"table", "ul", "ol", "dl", "article", "section", "div", "body", "html"
 
 
 class Node:
-    __slots__ = ("tag", "names", "items", "hash", "drop", "head")
+    __slots__ = ("tag", "names", "items", "hash", "drop", "outside", "inside", "weak")
 
     def __init__(self, tag: str, attributes: str):
-        self.tag, self.items, self.hash, self.names, self.drop, self.head = tag, [], 0, "", tag in DROPPED, tag == "header"
+        """outside, inside: an article, reasons to drop it; weak: a lesser one outside."""
+        self.tag, self.items, self.hash, self.names, self.drop = tag, [], 0, "", False
+        self.inside, self.weak = tag in DROPPED, False
+        self.outside = self.inside or tag == "header"
         if attributes:
             for m in _ATTRIBUTE.finditer(attributes):
                 key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
                 self.names += f" {key}={value}"
+                if tag in ("html", "body") or key == "id" and tag in CONTENT:  # a heading's id is made from its words
+                    continue
                 if key == "role":
-                    self.drop |= value.strip() in ROLES
-                elif key in ("class", "id") and tag not in ("html", "body", "main"):
-                    said = set(re.split(r"[^a-z]+", value))
-                    self.drop |= bool(said & ({"comment", "comments", "reply"} if tag == "article" else CLASSES))
-                    self.head |= tag != "article" and bool(said & HEADS)
+                    self._strong(tag != "main" and value.strip() in ROLES)
                 elif key.endswith("hidden"):
-                    self.drop |= key == "hidden" or value == "true"
+                    self._strong(key == "hidden" or value == "true")
+                elif tag == "article":
+                    self._strong(any(_COMMENT.match(x) for x in value.split()))
+                elif tag != "main":
+                    for name in value.split():
+                        if name in (CLASSES if key == "class" else COMMENT_IDS):
+                            self._strong(True)
+                        elif name in CLASSES or name in HEADS:
+                            self.outside = True
+                        elif not self.weak:
+                            said = set(re.split(r"[^a-z]+", name))
+                            self.weak = not said & STATES and bool(said & CLASSES or said & HEADS)
+
+    def _strong(self, yes: bool) -> None:
+        self.inside |= yes
+        self.outside |= yes
+
+
+def _mark(root: Node) -> None:
+    """Sets ``drop`` of every node."""
+    nodes, above, within = [root], [-1], [False]  # within: an article
+    for k, x in enumerate(nodes):
+        article = within[k] or x.tag in ("article", "main")
+        for i in x.items:
+            if isinstance(i, Node):
+                nodes.append(i)
+                above.append(k)
+                within.append(article)
+    n = len(nodes)
+    strong = [x.inside if a else x.outside for x, a in zip(nodes, within)]
+    # characters below a node, those of its articles, and whether it holds an article or a main element
+    chars, held, holds, main = [0] * n, [0] * n, [False] * n, [False] * n
+    for k in range(n - 1, -1, -1):
+        x, up = nodes[k], above[k]
+        chars[k] += sum(len(i.strip()) for i in x.items if isinstance(i, str))
+        own = x.tag in ("article", "main") and not strong[k]
+        if own:
+            held[k] = chars[k]
+        if main[k]:
+            strong[k] = False
+        if up >= 0 and (holds[k] or not strong[k]):
+            chars[up] += chars[k]
+            held[up] += held[k]
+            holds[up] |= holds[k] or own
+            main[up] |= main[k] or own and x.tag == "main"
+    free, covered = held[0], [False] * n
+    for k in range(1, n):
+        covered[k] = covered[above[k]]
+        if strong[k] and holds[k] and not covered[k]:
+            free -= chars[k] if within[k] else held[k]
+            covered[k] = True
+    for k, x in enumerate(nodes):
+        if strong[k]:
+            x.drop = not holds[k] or free >= (chars[k] if within[k] else held[k])
+        elif x.tag == "form" or x.weak and not within[k]:
+            x.drop = not holds[k] and 2 * chars[k] < chars[0]
+
+
+def _end_head(stack: list[Node], tag: str = "") -> None:
+    """Closes a head that is open; a body element also ends what stands open in it."""
+    if stack[-1].tag == "head":
+        stack.pop()
+    elif tag == "body":
+        del stack[next((k for k, x in enumerate(stack) if x.tag == "head"), len(stack)):]
 
 
 def parse(page: str) -> Node:
@@ -85,8 +163,12 @@ def parse(page: str) -> Node:
         if not m:
             break
         if m.start() > at:
+            if not page[at: m.start()].isspace():
+                _end_head(stack)
             stack[-1].items.append(page[at: m.start()])
         at, tag = m.end(), (m[2] or "").lower()
+        if tag and not m[1] and tag not in METADATA:
+            _end_head(stack, tag)
         if not tag or tag in INLINE:
             continue
         if m[1]:
@@ -122,7 +204,10 @@ def parse(page: str) -> Node:
             continue
         stack.append(node)
     if at < n:
+        if not page[at:].isspace():
+            _end_head(stack)
         stack[-1].items.append(page[at:])
+    _mark(root)
     return root
 
 
@@ -145,7 +230,7 @@ def _kept(root: Node) -> list[tuple[Node, bool]]:
     out, todo = [], [(root, False)]
     while todo:
         node, article = todo.pop()
-        if node.drop or node.head and not article:
+        if node.drop:
             continue
         article |= node.tag in ("article", "main")
         out.append((node, article))
@@ -195,7 +280,7 @@ def main_text(page: str, template: frozenset | set = frozenset(), wide: frozense
                 if inside:
                     held.append(item)
             else:
-                if item.drop or item.head and not article:
+                if item.drop:
                     held.append(" ")
                     continue
                 if item.hash in (wide if article and item.tag in CONTENT else template) and item.tag not in WHOLE:

@@ -29,3 +29,24 @@ def test_html_copies_are_no_template(spark):
     got = texts(spark, nav + box + heading)
     assert all(got[i] == "\n".join(said) for i in range(8)) and all(got[20 + i] == "\n".join(said + [f"no. {i}"]) for i in range(8))
     assert got[40] == "Method\nstory of page 0"
+
+
+STORY = "<article><h1>T</h1><p>The story.</p></article>"
+
+
+@pytest.mark.parametrize("page", [
+    *(f"<body><div class='{x}'>{STORY}</div></body>" for x in ("layout has-sidebar", "no-sidebar", "menu-open", "has-header", "page menu")),
+    f"<body><form id='aspnetForm'>{STORY}</form></body>", f"<html><head><title>t</title><body>{STORY}</body></html>", f"<head><title>t</title>{STORY}", f"<head><noscript>on<body>{STORY}", f"<head><noscript>on</noscript>{STORY}",
+    f"<div class='related'><article>x</article></div><div class='site-nav'>{STORY}</div><aside><article>y</article></aside>",
+    f"<main><div class=related><article>x</article></div>{STORY}</main>", f"<div data-id='search'>{STORY}</div>", f"<div class=sidebar><main>{STORY}</main></div>",
+    f"{STORY}<div id=comments><article class='comment-body'>a long reader comment, longer than the story</article></div>",
+    "<div class='has-sidebar'><h1>T</h1><p>The story.</p></div>", "<form id=f><h1>T</h1><p>The story.</p></form><div class=site-footer>f</div>"])
+def test_html_wrappers_keep_the_article(page):
+    assert html.main_text(page) == "T\nThe story."
+
+
+def test_html_blocks_of_an_article():
+    heads = "".join(f"<h2 id='{x}'>{x}</h2><p>t</p>" for x in ("search", "related-work", "social-policy", "legal-form"))
+    gone = "<div class='post share'>s</div><nav>n</nav><div class=related>r</div><section id=comments>c</section><form>f</form>"
+    assert html.main_text(f"<article>{heads}<div class='legal-form'>kept</div>{gone}</article>") == "search\nt\nrelated-work\nt\nsocial-policy\nt\nlegal-form\nt\nkept"
+    assert html.main_text("<header>h</header><div class='site-nav'>n</div><h2 id=search>Search</h2><p>text of the page</p><div id=footer>f</div>") == "Search\ntext of the page"
