@@ -14,7 +14,8 @@ Tokenising. Byte-level BPE never joins a non-space character with a space that f
 between two of them with either, so the ids of a text are those of its space-separated words one after the other. Each
 different word of a slice is looked up once: Latin letters go to the library's model and their ids are kept
 (``CACHE_WORDS`` a worker), marks after them and all other words go through the library's whole encoding. Texts
-with other white space or runs of it are encoded as a whole.
+with other white space or runs of it are encoded as a whole, and so are those that hold the content of an added token (such as
+``<|endoftext|>``), which the library finds before it splits words.
 
 Defined results: null text is empty text; every text gets ``end_id`` appended, so an empty one has
 one token; a null id comes first; rows of one id are ordered by a hash of their ids (rows that tie have the same ids);
@@ -51,7 +52,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.dtype = "<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4"
         self.stems, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())  # letters only, as they stand after a space
         bare = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -131,6 +132,8 @@ class WordTokenizer:
         strange = strange[code]
         strange[at[:-1]] = np.array([x.split() != [x] for x in outer])[begin] & (np.diff(at) > 1)
         strange = np.add.reduceat(strange, at[:-1], dtype=np.int64) > 0
+        for token in self.added:
+            strange |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         code[at[:-1]] = len(inner) + begin
         flat = pa.concat_arrays([inner, pa.array(self._ids(outer), pa.binary())]).take(pa.array(code))
         _, ends, data = flat.buffers()

@@ -50,3 +50,15 @@ def test_html_blocks_of_an_article():
     gone = "<div class='post share'>s</div><nav>n</nav><div class=related>r</div><section id=comments>c</section><form>f</form>"
     assert html.main_text(f"<article>{heads}<div class='legal-form'>kept</div>{gone}</article>") == "search\nt\nrelated-work\nt\nsocial-policy\nt\nlegal-form\nt\nkept"
     assert html.main_text("<header>h</header><div class='site-nav'>n</div><h2 id=search>Search</h2><p>text of the page</p><div id=footer>f</div>") == "Search\ntext of the page"
+
+
+def test_added_tokens_in_texts(spark):
+    from tokenizers import Tokenizer
+    lib = Tokenizer.from_file(tokenizer_path())
+    said = ["end <|endoftext|> start", "<|endoftext|>", "a<|endoftext|><|endoftext|>\nb", "a <|endoftext|", "<|endof text|>", "plain words", "", None, "plain <|endoftext|>"]
+    got = tokens.write_and_read(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), tokenizer_path(), with_ids=True).orderBy("doc_id").collect()
+    at = 0
+    for r, text in zip(got, said):
+        ids = np.array(lib.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) == (at, len(ids), zlib.crc32(ids.tobytes()), ids.tobytes())
+        at += len(ids)
