@@ -6,14 +6,15 @@ exclusion: in a context with total count T and D different next bytes, a byte se
 bytes that the longer ones would have given. Below order 0 all bytes left are equally likely, so every text has
 a finite, exact code length. Statistics are frozen after training.
 
-Scoring. The code length of every byte after every context that some language has seen is worked out once, as a table
-(context, byte, language); a text's code length under all languages is then two look-ups a byte. The prediction is
-the shortest code; the score is its share of the total probability, 2**-length over all languages.
+Scoring. If it has at most ``TABLE_CELLS`` cells, the code length of every byte after every context that some language has seen is
+worked out once, as a table (context, byte, language); a text's code length under all languages is then two look-ups a byte. Else
+only the (context, byte, language) that were seen are kept, sorted, and the code lengths of a slice's different runs of ORDER + 1 bytes are
+worked out from them; both give the same lengths. The prediction is the shortest code; the score is its share of the total
+probability, 2**-length over all languages.
 
 Training. The texts of ``SAMPLE`` (1,000) documents a language, those first in a hash order of id and text (a documented bound:
-fewer if the language has fewer). At most ``MAX_LANGS`` (4,096)
-languages are learned. The counts are a grouped aggregation; what reaches the driver is bounded by the sample. Contexts of
-the highest order are kept in the order of their counts while the table has at most ``TABLE_CELLS`` cells.
+fewer if the language has fewer). All languages are learned. The counts are a grouped aggregation; what reaches the driver is bounded
+by the sample of each language, as Arrow arrays.
 
 Defined results: null text or one without a letter is ``und`` with score 0; ties go to the smaller language name; documents
 with a null language or null id aren't learned from; with no labelled document all are ``und``; repeated rows get equal
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from sluice.llm.arrays import column_bytes, slices
 from sluice.llm.tables import free_name, small_batches
 
-ORDER, SAMPLE, TABLE_CELLS, MAX_LANGS = 3, 1000, 1 << 25, 4096
+ORDER, SAMPLE, TABLE_CELLS = 3, 1000, 1 << 25
 UND = "und"
 
 
@@ -71,47 +72,101 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, each: int
         .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("order"), F.col(id_col).alias("id"))
     # a share of each language by the hash of the id, some times what is wanted, so that what is ordered doesn't grow with the corpus
     sizes = rows.groupBy("lang").agg((F.lit(8.0 * each) / F.count("*")).alias("share")).withColumnRenamed("lang", "l")
-    some = rows.join(F.broadcast(sizes.limit(MAX_LANGS)), (F.col("lang") == F.col("l")) & (F.pmod("order", F.lit(1 << 20)) < F.col("share") * (1 << 20))) \
+    some = rows.join(F.broadcast(sizes), (F.col("lang") == F.col("l")) & (F.pmod("order", F.lit(1 << 20)) < F.col("share") * (1 << 20))) \
         .where(F.col("text").isNotNull())
     first = Window.partitionBy("lang").orderBy("order", "id", "text")
     return some.withColumn("k", F.row_number().over(first)).where(F.col("k") <= each).select("lang", "text")
 
 
 class Model:
-    """Code lengths of all languages. ``rows``: (lang, length, gram, n)."""
+    """Code lengths of all languages. ``rows``: (lang, length, gram, n), as tuples or an Arrow table."""
 
     def __init__(self, rows, cells: int = TABLE_CELLS):
-        self.langs = sorted({r[0] for r in rows})
+        if not isinstance(rows, pa.Table):
+            rows = pa.table(dict(zip(("lang", "length", "gram", "n"), map(list, zip(*rows)) if rows else [[]] * 4)))
+        self.langs = sorted(rows.column("lang").unique().to_pylist())
         if not self.langs:
             return
-        by = {k: [r for r in rows if r[1] == k] for k in range(1, ORDER + 2)}
-        seen = sorted({r[2] for r in by[1]})
+        lang = pc.index_in(rows.column("lang"), pa.array(self.langs, pa.string())).to_numpy().astype(np.int64)
+        length, gram, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("length", "gram", "n"))
+        by = [(gram[x], lang[x], n[x]) for x in (np.flatnonzero(length == k) for k in range(1, ORDER + 2))]
+        seen = np.unique(by[0][0])
         self.width = width = len(seen) + 1  # the last column stands for all bytes never seen
         self.byte = np.full(256, width - 1, np.int64)
         self.byte[seen] = np.arange(len(seen))
-        lang = {x: i for i, x in enumerate(self.langs)}
         # contexts by order; order 0 has one, and each context's suffix is one of the order below
-        contexts, counts = [np.zeros(1, np.int64)], []
-        for order in range(ORDER + 1):
-            r = by[order + 1]
-            gram, n = np.array([x[2] for x in r], np.int64), np.array([x[3] for x in r], np.int64)
-            of = np.array([lang[x[0]] for x in r], np.int64)
-            before = self._code(gram >> 8, order)
-            if order:
-                found, at = np.unique(before, return_inverse=True)
-                room = max(0, cells // (width * len(lang)) - sum(map(len, contexts)))
-                if len(found) > room:
-                    weight = np.bincount(at, n)
-                    found = np.sort(found[np.lexsort((found, -weight))[:room]])
-                contexts.append(found)
-            have = contexts[order]
-            at = np.searchsorted(have, before)
-            ok = (at < len(have)) & (have[np.minimum(at, len(have) - 1)] == before) if len(have) else np.zeros(len(before), bool)
-            table = np.zeros((len(have), width, len(lang)), np.float32)
-            np.add.at(table, (at[ok], self.byte[gram[ok] & 255], of[ok]), n[ok])
+        contexts = [np.unique(self._code(g >> 8, k)) for k, (g, _, _) in enumerate(by)]
+        self.dense = sum(map(len, contexts)) * width * len(self.langs) <= cells
+        if not self.dense:
+            return self._arrays(by)
+        counts = []
+        for order, (g, of, n) in enumerate(by):
+            table = np.zeros((len(contexts[order]), width, len(self.langs)), np.float32)
+            np.add.at(table, (np.searchsorted(contexts[order], self._code(g >> 8, order)), self.byte[g & 255], of), n)
             counts.append(table)
         self._tables(contexts, counts)
 
+    def _arrays(self, by) -> None:
+        """What was seen, by order: runs (of context and byte) with their counts, contexts with their costs; each sorted, with its languages side by side."""
+        many, self.runs, self.contexts, below = len(self.langs), [], [], None
+        for order, (gram, of, n) in enumerate(by):
+            key = gram * many + of
+            sort = np.argsort(key)
+            key, n = key[sort], n[sort].astype(np.float64)
+            gram, of = key // many, key % many
+            # a context's bytes stand together, but those of its languages are mixed
+            at, back = np.unique((gram >> 8) * many + of, return_inverse=True)
+            total, kinds = np.bincount(back, n, len(at)), np.bincount(back, minlength=len(at)).astype(np.float64)
+            cost = np.zeros((4, len(at)), np.float32)
+            cost[0], cost[1] = np.log2(total + kinds), np.log2((total + kinds) / kinds)
+            if order:  # the next shorter context without the bytes of this one, all of which it has seen too
+                low_key, low_n, low_at, low_total, low_kinds = below
+                less = np.bincount(back, low_n[np.searchsorted(low_key, (gram & (1 << 8 * order) - 1) * many + of)], len(at))
+                up = np.searchsorted(low_at, (at // many & (1 << 8 * (order - 1)) - 1) * many + at % many)
+                left, more = low_total[up] - less, low_kinds[up] - kinds
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    cost[2] = np.where(more > 0, np.log2(left + more), 0)
+                    cost[3] = np.where(more > 0, np.log2((left + more) / more), 0)
+            else:
+                self.rest = np.log2(np.maximum(256 - np.bincount(at % many, kinds, many), 1))
+            below = key, n, at, total, kinds
+            for keep, k, value in ((self.runs, key, np.log2(n).astype(np.float32)), (self.contexts, at, cost)):
+                what, first = np.unique(k // many, return_index=True)
+                keep.append((what, np.append(first, len(k)), (k % many).astype(np.int32), value))
+
+    @staticmethod
+    def _found(table, what: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, language, place in the table) of all that ``table`` has for the rows ``use``."""
+        keys, first, lang, _ = table
+        at = np.searchsorted(keys, what)
+        at[at == len(keys)] = 0
+        row = np.flatnonzero(use & (keys[at] == what))
+        begin, size = first[at[row]], np.diff(first)[at[row]]
+        place = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.repeat(row, size), lang[place], place
+
+    def _lengths(self, gram: np.ndarray, have: np.ndarray) -> np.ndarray:
+        """(runs, languages): the code length of the last byte of a run, of whose context ``have`` bytes stand in the text."""
+        shape = len(gram), len(self.langs)
+        cost, done, longer = np.zeros(shape, np.float32), np.zeros(shape, bool), np.zeros(shape, bool)
+        whole, leave = np.zeros(shape, np.float32), np.zeros(shape, np.float32)  # of the next context, told by the longer one
+        for k in range(ORDER, -1, -1):
+            low, use = gram & (1 << 8 * (k + 1)) - 1, have >= k
+            row, lang, place = self._found(self.contexts[k], low >> 8, use)
+            value = self.contexts[k][3][:, place]
+            after = longer[row, lang]
+            all_of, escape = np.where(after, whole[row, lang], value[0]), np.where(after, leave[row, lang], value[1])
+            whole[row, lang] = all_of
+            r, x, p = self._found(self.runs[k], low, use)
+            new = ~done[r, x]
+            r, x, p = r[new], x[new], p[new]
+            cost[r, x] += whole[r, x] - self.runs[k][3][p]
+            done[r, x] = True
+            cost[row, lang] += np.where(done[row, lang], 0, escape)
+            longer[row, lang] = True
+            whole[row, lang], leave[row, lang] = value[2], value[3]
+        return np.where(done, cost, cost + self.rest.astype(np.float32))
+
     def _code(self, grams: np.ndarray, length: int) -> np.ndarray:
         """A run of bytes as a number in the base of the seen bytes."""
         out = np.zeros(len(grams), np.int64)
@@ -161,22 +216,35 @@ class Model:
         out, n = np.zeros((len(off) - 1, len(self.langs))), len(data)
         if not n:
             return out
-        sym = self.byte[data]
         place = np.arange(n) - np.repeat(off[:-1], np.diff(off))
+        full = np.flatnonzero(np.diff(off))
+        if not self.dense:
+            have, run = np.minimum(place, ORDER), data.astype(np.int64)
+            for k in range(1, ORDER + 1):
+                run[k:] |= np.where(place[k:] >= k, data[:-k].astype(np.int64) << 8 * k, 0)
+            run |= have << 8 * (ORDER + 1)
+            text, step = np.repeat(np.arange(len(off) - 1), np.diff(off)), max(1024, (1 << 22) // len(self.langs))
+            for a in range(0, n, step):
+                what, at = np.unique(run[a: a + step], return_inverse=True)
+                cost = self._lengths(what & (1 << 8 * (ORDER + 1)) - 1, what >> 8 * (ORDER + 1))
+                part, first = np.unique(text[a: a + step], return_index=True)
+                out[part] += np.add.reduceat(cost[at].astype(np.float64), first, axis=0)
+            return out
+        sym = self.byte[data]
         code, none = np.zeros(n, np.int64), self.width - 1
         for k in range(ORDER, 0, -1):  # before a text stand bytes that no language has seen
             code *= self.width
             code[k:] += np.where(place[k:] >= k, sym[:-k], none)
             code[:k] += none
         at = self.row[code].astype(np.int64) * self.width + sym
-        full = np.flatnonzero(np.diff(off))
-        out[full] = np.add.reduceat(self.cost[at].astype(np.float64), off[:-1][full], axis=0)
+        for a in range(0, len(self.langs), 8):
+            out[full, a: a + 8] = np.add.reduceat(self.cost[:, a: a + 8][at].astype(np.float64), off[:-1][full], axis=0)
         return out
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", each: int = SAMPLE) -> Model:
     small_batches(docs.sparkSession)
-    return Model([tuple(r) for r in gram_counts(sample(docs, id_col, text_col, lang_col, each)).collect()])
+    return Model(gram_counts(sample(docs, id_col, text_col, lang_col, each)).toArrow())
 
 
 def predictor(model: Model, spark):

@@ -62,3 +62,46 @@ def test_added_tokens_in_texts(spark):
         ids = np.array(lib.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
         assert (r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) == (at, len(ids), zlib.crc32(ids.tobytes()), ids.tobytes())
         at += len(ids)
+
+
+def ppm(trained, text, order=3):
+    """Code length of ``text`` by PPM-C with exclusion, after the texts ``trained``: the definition, byte by byte."""
+    seen = {}
+    for t in trained:
+        for k in range(order + 1):
+            for i in range(k, len(t)):
+                c = seen.setdefault(t[i - k: i], {})
+                c[t[i]] = c.get(t[i], 0) + 1
+    bits = 0.0
+    for i, b in enumerate(text):
+        out = set()
+        for k in range(min(order, i), -1, -1):
+            c = {x: n for x, n in seen.get(text[i - k: i], {}).items() if x not in out}
+            if not c:
+                continue
+            every = sum(c.values()) + len(c)
+            if b in c:
+                bits += np.log2(every / c[b])
+                break
+            bits += np.log2(every / len(c))
+            out |= set(c)
+        else:
+            bits += np.log2(256 - len(out))
+    return bits
+
+
+def grams(trained):
+    import collections
+    return [(lang, k, int.from_bytes(g, "big"), n) for lang, ts in trained.items() for k in range(1, 5)
+            for g, n in collections.Counter(t[i: i + k] for t in ts for i in range(len(t) - k + 1)).items()]
+
+
+def test_code_lengths_by_brute_force():
+    draw = np.random.default_rng(5)
+    trained = {f"l{k}": ["".join(draw.choice(list("abcdé \n" if k else "xyzaж日 "), 80)).encode() for _ in range(6)] + [b"q"] for k in range(11)}
+    said = [b"", b"a", b"ab", "abcdé日".encode(), b"zzz?!\x00", *(ts[1][:50] for ts in trained.values()), *("".join(draw.choice(list("abcxyz"), 60)).encode() for _ in range(5))]
+    want = [[ppm(ts, t) for _, ts in sorted(trained.items())] for t in said]
+    data, off = np.frombuffer(b"".join(said), np.uint8), np.cumsum([0, *map(len, said)])
+    for cells in (langid.TABLE_CELLS, 5000, 0):
+        m = langid.Model(grams(trained), cells)
+        assert m.langs == sorted(trained) and np.allclose(m.bits(data, off), want, atol=1e-2)
