@@ -12,6 +12,14 @@ only the (context, byte, language) that were seen are kept, sorted, and the code
 worked out from them; both give the same lengths. The prediction is the shortest code; the score is its share of the total
 probability, 2**-length over all languages.
 
+Keeping. A text is explained by its language if its code is no longer than the language's own texts lead to expect. Texts are halved by
+their checksum, and each is coded by the counts of the other half's training texts, so that none is coded by what was learned from itself. Windows of
+1, 2, 4 .. 4096 bytes from the middle of training texts give a median and an upper quartile of bits a byte for each length, frozen with
+the counts. A text may take twice the median, or the median and ``SPREAD`` (8) times what the quartile is above it if that is more,
+told by the greatest of those lengths that it has, and ``SPARE`` (64) bits in all: eight bytes of a name or number that no language
+knows, so words of a learned language stay. Lengths with under ``FEWEST`` (8) training texts go by the next shorter one; a language that
+has no length with as many has no limit.
+
 Training. The texts of ``SAMPLE`` (1,000) documents a language, those first in a hash order of id and text (a documented bound:
 fewer if the language has fewer). All languages are learned. The counts are a grouped aggregation; what reaches the driver is bounded
 by the sample of each language, as Arrow arrays.
@@ -22,6 +30,8 @@ results; an empty table gives an empty result; other columns are ignored.
 """
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,9 +39,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.arrays import column_bytes, slices
-from sluice.llm.tables import free_name, small_batches
+from sluice.llm.tables import Tables, free_name, small_batches
 
 ORDER, SAMPLE, TABLE_CELLS = 3, 1000, 1 << 25
+SPREAD, SPARE, FEWEST, LENGTHS = 8, 64, 8, 13
 UND = "und"
 
 
@@ -247,6 +258,71 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(gram_counts(sample(docs, id_col, text_col, lang_col, each)).toArrow())
 
 
+def train_halves(docs: DataFrame, id_col: str, text_col: str, lang_col: str, each: int):
+    """The model of all training texts, those of each half, and by language LENGTHS limits: the most bits a byte of a text of 2**k bytes or more, apart from SPARE."""
+    spark, tables = docs.sparkSession, Tables(docs.sparkSession, "langid")
+    rows = tables.write(sample(docs, id_col, text_col, lang_col, each).withColumn("half", (F.crc32(F.col("text").cast("binary")) % 2).cast("string")), "sample")
+    found = gram_counts(rows.select(F.concat("half", "lang").alias("lang"), "text")).toArrow()
+    named = found.set_column(0, "lang", pc.utf8_slice_codeunits(found.column("lang"), 1))
+    half = pc.utf8_slice_codeunits(found.column("lang"), 0, 1)
+    whole = named.group_by(["lang", "length", "gram"]).aggregate([("n", "sum")]).rename_columns(["lang", "length", "gram", "n"])
+    halves = [spark.sparkContext.broadcast(Model(named.filter(pc.equal(half, k)))) for k in "01"]
+
+    def rates(batches):
+        for b in batches:
+            for part in slices(b, "text", 1 << 19):
+                data, off = column_bytes(part.column("text"))
+                size, halved = np.diff(off), part.column("half").to_numpy(zero_copy_only=False)
+                for k in range(2):
+                    m = halves[1 - k].value
+                    of = np.array([m.langs.index(x) if x in m.langs else -1 for x in part.column("lang").to_pylist()], np.int64)
+                    for length in range(LENGTHS):
+                        use = np.flatnonzero((of >= 0) & (halved == str(k)) & (size >= 1 << length))
+                        if len(use):
+                            first = off[:-1][use] + (size[use] - (1 << length)) // 2
+                            bits = m.bits(data[(first[:, None] + np.arange(1 << length)).reshape(-1)], np.arange(len(use) + 1) << length)[np.arange(len(use)), of[use]]
+                            yield pa.record_batch({"lang": part.column("lang").take(pa.array(use)), "k": pa.array(np.full(len(use), length), pa.int32()), "rate": pa.array(bits / (1 << length))})
+    spread = rows.mapInArrow(rates, "lang string, k int, rate double").groupBy("lang", "k").agg(F.percentile("rate", F.array(F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("n"))
+    limits: dict[str, np.ndarray] = {}
+    for r in spread.where(F.col("n") >= FEWEST).orderBy("lang", "k").collect():  # LENGTHS rows a language at most
+        limits.setdefault(r["lang"], np.full(LENGTHS, np.inf))[r["k"]:] = r["q"][0] + max(r["q"][0], SPREAD * (r["q"][1] - r["q"][0]))
+    return Model(whole), halves, limits
+
+
+def explained(whole: Model, halves, limits: dict[str, np.ndarray], spark):
+    """A column function: text -> whether it has a letter and a language that explains it."""
+    free = set(whole.langs) - set(limits)
+    full = spark.sparkContext.broadcast(whole if free else None)
+
+    def judge(texts: pa.Array) -> pa.Array:
+        out = []
+        for part in slices(pa.table({"text": texts}), "text", 1 << 19):
+            column = part.column("text").combine_chunks()
+            data, off = column_bytes(column)
+            size, raw = np.diff(off), data.tobytes()
+            half = np.array([zlib.crc32(raw[a:b]) % 2 for a, b in zip(off[:-1], off[1:])], np.int64)
+            known = np.zeros(len(size), bool)
+
+            def bits(m, use):
+                return m.bits(np.frombuffer(b"".join(raw[off[k]: off[k + 1]] for k in use), np.uint8), np.concatenate(([0], np.cumsum(size[use]))))
+            for k in range(2):
+                m, use = halves[1 - k].value, np.flatnonzero((half == k) & (size > 0))
+                if m.langs and len(use):
+                    most = np.array([limits.get(x, np.full(LENGTHS, np.inf)) for x in m.langs])
+                    each = bits(m, use)
+                    best, n = each.argmin(1), size[use]
+                    known[use] = each[np.arange(len(use)), best] <= most[best, np.minimum(np.log2(n).astype(np.int64), LENGTHS - 1)] * n + SPARE
+            use = np.flatnonzero(~known & (size > 0))
+            if free and len(use):  # languages too small for a limit: perhaps in one half only
+                m = full.value
+                known[use] = np.array([m.langs[x] in free for x in bits(m, use).argmin(1)], bool)
+            wordy = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+            out += (known & wordy).tolist()
+        return pa.array(out, pa.bool_())
+    judge.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(judge, "boolean")
+
+
 def predictor(model: Model, spark):
     """A column function: text -> struct(lang string, score double, bits double); bits is the code length a byte."""
     shared = spark.sparkContext.broadcast(model)
@@ -280,7 +356,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return rows.select(F.col("id").alias(id_col), "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5, each: int = SAMPLE) -> DataFrame:
-    """``docs``, all columns, without texts that have no letter or that no language explains with a share of ``least``."""
-    say, p = predictor(train(docs, id_col, text_col, lang_col, each), docs.sparkSession), free_name(docs, "identified")
-    return docs.withColumn(p, say(F.col(text_col))).where((F.col(f"{p}.lang") != UND) & (F.col(f"{p}.score") >= least)).select(*docs.columns)
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", each: int = SAMPLE) -> DataFrame:
+    """``docs``, all columns, without texts that have no letter or that no language explains by its code length."""
+    small_batches(docs.sparkSession)
+    say, p = explained(*train_halves(docs, id_col, text_col, lang_col, each), docs.sparkSession), free_name(docs, "identified")
+    return docs.withColumn(p, say(F.col(text_col))).where(F.col(p)).select(*docs.columns)

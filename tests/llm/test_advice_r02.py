@@ -105,3 +105,18 @@ def test_code_lengths_by_brute_force():
     for cells in (langid.TABLE_CELLS, 5000, 0):
         m = langid.Model(grams(trained), cells)
         assert m.langs == sorted(trained) and np.allclose(m.bits(data, off), want, atol=1e-2)
+
+
+def test_keep_identified(spark):
+    draw = np.random.default_rng(6)
+    known = {"en": "the cat and dog of a house ran to that old river with many red birds while rain fell on green hills".split(),
+             "fr": "le chat et chien de une maison sont dans la vieille rivière avec des oiseaux rouges pendant que tombe".split()}
+    rows = [(len(known) * i + k, " ".join(draw.choice(ws, int(draw.integers(3, 60)))), lang) for i in range(60) for k, (lang, ws) in enumerate(known.items())]
+    shared = ["on", "a", "cat", "de", "la rivière", "red birds", "house", "des chat"]
+    rows += [(1000 + i, x, None) for i, x in enumerate(shared)]
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    junk = ["".join(draw.choice(letters, n)) for n in (60, 300, 3000)] + ["Съешь же ещё этих мягких французских булок, да выпей чаю", "Zażółć gęślą jaźń, a potem wszyscy poszli do domu, bo było już późno",
+                                                                        "x9$kQ zz#7 pL!! 0qW vv%% " * 8, "12 34", ""]
+    rows += [(2000 + i, x, "en" if i < 2 else None) for i, x in enumerate(junk)]
+    kept = {r.doc_id for r in langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert kept == {r[0] for r in rows if r[0] < 2000}
