@@ -120,3 +120,8 @@ def test_keep_identified(spark):
     rows += [(2000 + i, x, "en" if i < 2 else None) for i, x in enumerate(junk)]
     kept = {r.doc_id for r in langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert kept == {r[0] for r in rows if r[0] < 2000}
+
+
+def test_quality_fit_rounds():
+    from sluice.llm import quality
+    assert quality.ROUNDS >= 200
