@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import decontam, html, langid, mixing, neighbours, quality, simhash, substring, tokens, warc
+from sluice.llm import decontam, divergence, html, langid, manifest, mixing, neighbours, quality, simhash, substring, tokens, voronoi, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 QUERIES: dict = {}
@@ -81,3 +81,27 @@ ORACLES["op9_benchmark_decontamination"] = decontam.ORACLE
 @query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_source_divergence"] = divergence.ORACLE
+
+
+@query
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_exact_top_k"] = voronoi.ORACLE
+
+
+@query
+def op13_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_dataset_manifest"] = manifest.ORACLE
