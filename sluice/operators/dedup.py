@@ -56,8 +56,8 @@ def claim_chain(df: DataFrame, key: str, clock: str, tiebreak: Sequence[str], ok
     can't be compared with others: it is ``claimed`` and opens no window.
 
     ``prior`` (``event_id, claim_time``, one row per id; see ``open_claims``) holds the
-    claims still open from earlier runs: rows inside their window are duplicates, and the
-    fold starts after it.
+    claims still open from earlier runs: rows less than ``ttl_s`` after it, or before it (they would have
+    shared a window with it), are duplicates; the fold takes the others.
 
     Only duplicates are computed and joined back; an id seen once never enters the fold.
     """
@@ -71,12 +71,12 @@ def claim_chain(df: DataFrame, key: str, clock: str, tiebreak: Sequence[str], ok
                        "claim-base")
     done, before = [base], None
     if prior is not None:
-        claims = prior.select(F.col("event_id").alias("_k"), F.unix_micros("claim_time").alias("_claim"))
-        # two shuffled tables and no aggregate between exchange and join: AQE splits a hot id
+        # written first: ``prior`` is an aggregate as a rule, and only a join of two scans lets AQE split a hot id
+        claims = materialize(prior.select(F.col("event_id").alias("_k"), F.unix_micros("claim_time").alias("_claim")), "claim-prior")
         held = materialize(base.join(claims, "_k", "left").withColumn(
-            "_held", F.coalesce(F.col("_t") < F.col("_claim") + F.lit(ttl_s * 1_000_000), F.lit(False))).drop("_claim"),
+            "_held", F.coalesce(F.abs(F.col("_t") - F.col("_claim")) < F.lit(ttl_s * 1_000_000), F.lit(False))).drop("_claim"),
             "claim-held")
-        done.append(held)
+        done += [claims, held]
         before, base = held.where("_held").select(*ids), held.where("NOT _held").drop("_held")
     # a written table of the repeated ids: the join reads two scans, so AQE splits the rows of a hot id over tasks
     # (with the aggregate inside the join's stage it can't)

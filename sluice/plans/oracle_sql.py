@@ -224,7 +224,25 @@ dedup AS (SELECT h.*, f.status AS dedup_status FROM handled h
   LEFT JOIN dd_fold f ON f.k = b.k AND f.rn = b.rn),"""
 
 
-TRIAGED = HANDLED + _fold("error IS NULL") + r"""
+# rows in order of arrival (``run``, then time): a claim holds the times less than a window away, before and after it
+def _stream_fold(run: str, ttl_us: int = 48 * 3600 * 1_000_000) -> str:
+    held = f"list_any_value([true FOR s IN f.claims IF abs(b.t - s) < {ttl_us}]) IS NOT NULL"
+    return f"""
+dd_base AS (SELECT event_id AS k, clock_us AS t, error IS NULL AS ok, topic, partition, "offset",
+    row_number() OVER (PARTITION BY event_id ORDER BY {run}, clock_us, topic, partition, "offset") AS rn
+  FROM handled WHERE routed),
+dd_fold(k, rn, claims, status) AS (
+  SELECT k, rn, CASE WHEN ok THEN [t] ELSE []::BIGINT[] END, 'claimed' FROM dd_base WHERE rn = 1
+  UNION ALL
+  SELECT b.k, b.rn, CASE WHEN b.ok AND NOT ({held}) THEN list_append(f.claims, b.t) ELSE f.claims END,
+    CASE WHEN {held} THEN 'duplicate' ELSE 'claimed' END
+  FROM dd_fold f JOIN dd_base b ON b.k = f.k AND b.rn = f.rn + 1),
+dedup AS (SELECT h.*, f.status AS dedup_status FROM handled h
+  LEFT JOIN dd_base b ON b.topic = h.topic AND b.partition = h.partition AND b."offset" = h."offset"
+  LEFT JOIN dd_fold f ON f.k = b.k AND f.rn = b.rn),"""
+
+
+OUTCOMES = r"""
 triaged AS (SELECT *,
     CASE WHEN envelope_error IS NOT NULL THEN envelope_error
          WHEN processor IS NULL THEN 'no processor registered for event type: ' || event_type || ' v' || CAST(version AS VARCHAR)
@@ -243,6 +261,8 @@ classified AS (SELECT *,
     CASE WHEN envelope_error IS NOT NULL THEN 'raw' WHEN outcome = 'dlq' THEN 'event' END AS dlq_kind
   FROM outcomes)"""
 
+TRIAGED = HANDLED + _fold("error IS NULL") + OUTCOMES
+
 IDS = 'topic, partition, "offset"'
 
 
@@ -277,6 +297,9 @@ SELECT {IDS}, event_id, 'no worker pool for topic' AS reason FROM resolved
 WHERE envelope_error IS NULL AND processor IS NOT NULL AND lanes IS NULL""")
 QUERIES["classify_outcome"] = q(TRIAGED, f"""
 SELECT {IDS}, event_id, outcome, reason, sink_topic FROM classified""")
+QUERIES["start_triage_stream"] = q(HANDLED + _stream_fold(
+    "CASE WHEN source_id % 7 = 3 THEN 2 WHEN clock_us < epoch_us(TIMESTAMPTZ '2024-01-15 00:00:00+00') THEN 0 ELSE 1 END") + OUTCOMES, f"""
+SELECT {IDS}, event_id, outcome, reason, sink_topic, dedup_status FROM classified""")
 QUERIES["run_triage"] = q(TRIAGED, """
 SELECT tenant_id, topic, outcome, reason, count(*) AS n FROM classified GROUP BY ALL""")
 

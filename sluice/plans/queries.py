@@ -183,6 +183,24 @@ def run_triage(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+STREAM_CUT = "2024-01-15T00:00:00Z"   # the stream's second run starts here
+LATE_EVERY = 7                        # fixture: these records arrive in a third run, up to a month late
+
+
+@query
+def start_triage_stream(spark, sf_dir):
+    """The streaming job over three runs on one checkpoint: up to a time, after it, and records that arrive late.
+
+    A late one is a duplicate if its id was claimed less than 48 h before or after its time, else it is handled.
+    """
+    from sluice.streaming.jobs import triage_replay
+    m = _messages(spark, sf_dir)
+    late, cut = F.col("source_id") % LATE_EVERY == 3, F.col("timestamp") < ts(STREAM_CUT)
+    out = triage_replay(spark, [m.where(~late & cut), m.where(~late & ~cut), m.where(late)],
+                        R.registry_frame(spark), R.topics_frame(spark), fault_col="fault")
+    return out.select(*IDS, "event_id", "outcome", "reason", "sink_topic", "dedup_status")
+
+
 # ------------------------------------------------ retry path and records ---
 NOW_DUE = "2024-01-16T00:00:00Z"      # clock of the scheduler tick in the due queries
 NOW_TICK1 = "2024-01-10T00:00:00Z"    # an earlier tick (releases first)

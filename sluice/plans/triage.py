@@ -71,9 +71,12 @@ def run_triage(raw: DataFrame, registry: DataFrame, topics: DataFrame,
 def triage_retry_topics(raw: DataFrame, clock_col: str = "timestamp") -> DataFrame:
     """``.retry`` records: 'scheduled' when the envelope decodes, else dead letter (raw)."""
     _, retry = split_retry_topics(raw)
-    r = P.parse_retry_envelope(retry).withColumn("clock", F.col(clock_col))
+    return dead_letter_retries(P.parse_retry_envelope(retry).withColumn("clock", F.col(clock_col)))
+
+
+def dead_letter_retries(parsed: DataFrame) -> DataFrame:
     bad = F.col("retry_error").isNotNull()
-    return r.withColumns({
+    return parsed.withColumns({
         "outcome": F.when(bad, F.lit(K.DLQ)).otherwise(F.lit(K.SCHEDULED)),
         "reason": F.col("retry_error"),
         "sink_topic": F.when(bad, O.derived_topic(F.col("topic"), K.DLQ_SUFFIX)),

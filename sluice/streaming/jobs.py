@@ -1,8 +1,8 @@
 """Structured Streaming jobs.
 
 * ``start_triage_stream``: raw records -> stateless prepare (parse, lookups,
-  handler) -> per-event-id claim state (``applyInPandasWithState``) ->
-  ``foreachBatch`` sink that writes outcomes and retry / dead-letter records,
+  handler), written once -> per-event-id history of claims (``claims``) ->
+  ``foreachBatch`` sink that judges the rows and writes outcomes and retry / dead-letter records,
   one folder per batch id so a replayed batch overwrites instead of duplicating.
 * ``start_retry_scheduler``: ``.retry`` records -> per-event-id schedule state
   with a wall-clock timer at the due time -> republished envelopes, or a list of expired ones.
@@ -16,22 +16,24 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from sluice import constants as K
 from sluice.operators import handlers as H
 from sluice.operators import outcome as O
-from sluice.operators.dedup import CLAIMED, DUPLICATE, dedup_within_watermark
+from sluice.operators.dedup import dedup_within_watermark
 from sluice.operators.retry import ZERO_TIME_EPOCH_S
 from sluice.plans import triage as TR
 from sluice.session import checkpoint_dir
 from sluice.sources.sinks import write_records, write_republished
+from sluice.streaming import claims as CL
 
 ORDER = ["clock", "topic", "partition", "offset"]
 
@@ -68,86 +70,63 @@ def _from_plain(df: DataFrame, schema: T.StructType) -> DataFrame:
                            for f in schema.fields if isinstance(f.dataType, T.TimestampType)})
 
 
-CLAIMED_SCHEMA = T.StructType(_plain(CARRY).fields + [T.StructField("dedup_status", T.StringType())])
+def prepare_stream(raw: DataFrame, registry: DataFrame, topics: DataFrame,
+                   handlers: Mapping[str, H.Handler] | None = None, fault_col: str | None = None,
+                   clock_col: str = "timestamp") -> DataFrame:
+    """Raw records with all that is known of them alone: parsed, looked up, handled. No state.
 
-
-CLAIM_STATE = T.StructType([T.StructField("claim_us", T.LongType())])
-
-
-def claim_fold(ttl_s: int = K.DEDUP_TTL_S):
-    """Per-event-id claim fold for ``applyInPandasWithState``.
-
-    Rows of a key inside one micro-batch are folded in arrival order; the claim
-    time survives between batches in the group state (shipped with the rows in
-    Arrow batches, no per-key round trips). No watermark: however late a record is,
-    it gets its outcome. State is dropped ``ttl_s`` of processing time after its
-    last update, which bounds its size.
-    """
-    ttl_us = ttl_s * 1_000_000
-
-    def fold(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(ORDER, kind="stable")
-        claim = int(state.get[0]) if state.exists else None
-        status = []
-        for t, ok in zip(pdf["clock"], pdf["error"].isna().to_numpy()):
-            if pd.isna(t):  # as in the batch fold: can't be compared, opens no window
-                status.append(CLAIMED)
-            elif claim is not None and t < claim + ttl_us:
-                status.append(DUPLICATE)
-            else:
-                status.append(CLAIMED)
-                claim = int(t) if ok else None
-        if claim is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((claim,))
-            state.setTimeoutDuration(ttl_s * 1000)
-        pdf["dedup_status"] = status
-        yield pdf[[f.name for f in CLAIMED_SCHEMA.fields]]
-    return fold
-
-
-def triage_stream(raw: DataFrame, registry: DataFrame, topics: DataFrame,
-                  handlers: Mapping[str, H.Handler] | None = None, fault_col: str | None = None,
-                  clock_col: str = "timestamp", ttl_s: int = K.DEDUP_TTL_S) -> DataFrame:
-    """Streaming twin of ``run_triage``: same columns, claim kept in state across batches.
-
-    Late records are never dropped, and ``.retry`` records whose envelope does not
-    decode are dead-lettered here (the scheduler job takes the others).
+    ``.retry`` records whose envelope does not decode come out here as dead letters (the scheduler job
+    takes the others).
     """
     main = raw.where(~F.col("topic").endswith(K.RETRY_SUFFIX))
     v = TR.prepare(main, registry, topics, handlers, fault_col, clock_col).select(
-        *[f.name for f in CARRY.fields])
-    routed = v.where("routed")
-    others = v.where("not routed").withColumn("dedup_status", F.lit(None).cast("string"))
-    claimed = _from_plain(_to_plain(routed, CARRY).groupBy("event_id").applyInPandasWithState(
-        claim_fold(ttl_s), outputStructType=CLAIMED_SCHEMA, stateStructType=CLAIM_STATE,
-        outputMode="append", timeoutConf="ProcessingTimeTimeout"), CARRY)
-    done = O.classify_outcome(claimed.unionByName(others))
+        *[f.name for f in CARRY.fields], F.lit(None).cast("string").alias("retry_error"))
     bad = TR.triage_retry_topics(raw, clock_col).where(F.col("outcome") == K.DLQ)
     have = set(bad.columns)
     bad = bad.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-                       for f in done.schema.fields])
-    return done.unionByName(bad)
+                       for f in CARRY.fields], "retry_error")
+    return v.unionByName(bad)
+
+
+PREPARED = T.StructType(CARRY.fields + [T.StructField("retry_error", T.StringType())])
+
+
+def claimed_stream(prepared: DataFrame, ttl_s: int = K.DEDUP_TTL_S, keep_s: int | None = None) -> DataFrame:
+    """Prepared rows, and beside them one row of ``windows`` for each id of the micro-batch (see ``claims``).
+
+    The prepared table is read twice, once for the three columns that the state needs.
+    """
+    routed = F.coalesce(F.col("routed"), F.lit(False))
+    windows = CL.claim_windows(prepared.where(routed).select("event_id", "clock", F.col("error").isNull().alias("ok")), ttl_s, keep_s)
+    rows = prepared.select("*", F.lit(None).cast(CL.LONGS).alias("held"), F.lit(None).cast(CL.LONGS).alias("opened"))
+    return rows.unionByName(windows, allowMissingColumns=True)
 
 
-def _write_batch(out_dir: str, bootstrap: str | None = None, options: dict | None = None):
+def outcomes(batch: DataFrame, ttl_s: int = K.DEDUP_TTL_S) -> DataFrame:
+    """The outcome of every row of one micro-batch of ``claimed_stream``."""
+    windows = batch.where("opened IS NOT NULL")
+    rows = batch.where("opened IS NULL").drop("held", "opened").withColumn("ok", F.col("error").isNull())
+    main, routed = F.col("retry_error").isNull(), F.coalesce(F.col("routed"), F.lit(False))
+    judged = CL.judge(rows.where(main & routed), windows, ttl_s)
+    others = rows.where(main & ~routed).withColumn("dedup_status", F.lit(None).cast("string"))
+    done = O.classify_outcome(judged.unionByName(others))
+    bad = TR.dead_letter_retries(rows.where(~main).withColumn("dedup_status", F.lit(None).cast("string")))
+    return done.unionByName(bad.select(*done.columns)).drop("ok", "retry_error")
+
+
+def _write_batch(out_dir: str, bootstrap: str | None = None, options: dict | None = None, ttl_s: int = K.DEDUP_TTL_S):
     def write(batch: DataFrame, batch_id: int) -> None:
-        # two writes read the batch: keep it for the length of this call so the
-        # micro-batch plan (parse, state lookups) runs once
+        # the state calls and the prepared rows of the micro-batch, read more than once below
         batch.persist()
+        done = outcomes(batch, ttl_s).persist()
         try:
-            outcomes = batch.select(*TR.IDS, "event_id", "event_type", "tenant_id", "outcome", "reason",
-                                    "sink_topic", "dedup_status")
             # one folder per batch id: a replayed batch overwrites its own output
-            outcomes.write.mode("overwrite").parquet(os.path.join(out_dir, "outcomes", f"batch={batch_id}"))
-            write_records(TR.sink_records(batch), path=os.path.join(out_dir, "sinks"), batch_id=batch_id,
+            done.select(*TR.IDS, "event_id", "event_type", "tenant_id", "outcome", "reason", "sink_topic", "dedup_status") \
+                .write.mode("overwrite").parquet(os.path.join(out_dir, "outcomes", f"batch={batch_id}"))
+            write_records(TR.sink_records(done), path=os.path.join(out_dir, "sinks"), batch_id=batch_id,
                           bootstrap=bootstrap, options=options)
         finally:
+            done.unpersist()
             batch.unpersist()
     return write
 
@@ -168,17 +147,47 @@ def _start(writer, trigger: dict | None, spark: SparkSession):
         conf.set(key, was)
 
 
+@dataclass
+class TriageJob:
+    """The two queries of a triage stream, as one: ``prepare`` writes what ``claims`` reads."""
+    prepare: StreamingQuery
+    claims: StreamingQuery
+
+    def awaitTermination(self, timeout: float | None = None) -> bool | None:
+        return self.claims.awaitTermination(timeout) if timeout else self.claims.awaitTermination()
+
+    def exception(self):
+        return self.prepare.exception() or self.claims.exception()
+
+    @property
+    def isActive(self) -> bool:
+        return self.prepare.isActive or self.claims.isActive
+
+    def stop(self) -> None:
+        self.prepare.stop()
+        self.claims.stop()
+
+
 def start_triage_stream(raw: DataFrame, registry: DataFrame, topics: DataFrame, out_dir: str,
                         checkpoint: str, handlers: Mapping[str, H.Handler] | None = None,
                         fault_col: str | None = None, trigger: dict | None = None,
-                        bootstrap: str | None = None, options: dict | None = None):
-    """Start the triage job; returns the ``StreamingQuery``.
+                        bootstrap: str | None = None, options: dict | None = None,
+                        ttl_s: int = K.DEDUP_TTL_S, keep_s: int | None = None, files_per_batch: int = 1000) -> TriageJob:
+    """Start the triage job: ``prepare`` parses, looks up and handles each record once and writes it below
+    ``out_dir/prepared`` (Spark's file sink, each record once); ``claims`` reads that table, keeps the claims and writes outcomes.
 
-    Records go to Kafka with ``bootstrap``, else to files below ``out_dir``; outcomes always to files.
+    Records go to Kafka with ``bootstrap``, else to files below ``out_dir``; outcomes always to files. With ``availableNow`` (the
+    default) ``claims`` starts when ``prepare`` has ended; with any other trigger both run on.
     """
-    t = triage_stream(raw, registry, topics, handlers, fault_col)
-    w = t.writeStream.foreachBatch(_write_batch(out_dir, bootstrap, options)).option("checkpointLocation", checkpoint)
-    return _start(w, trigger, raw.sparkSession)
+    spark, folder = raw.sparkSession, os.path.join(out_dir, "prepared")
+    first = _start(prepare_stream(raw, registry, topics, handlers, fault_col).writeStream.format("parquet").option("path", folder)
+                   .option("checkpointLocation", os.path.join(checkpoint, "prepare")), trigger, spark)
+    if not trigger or trigger.get("availableNow"):
+        first.awaitTermination()
+    prepared = spark.readStream.schema(PREPARED).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    second = _start(claimed_stream(prepared, ttl_s, keep_s).writeStream.foreachBatch(_write_batch(out_dir, bootstrap, options, ttl_s))
+                    .option("checkpointLocation", os.path.join(checkpoint, "claims")), trigger, spark)
+    return TriageJob(first, second)
 
 
 # ------------------------------------------------------------ retry timers ---
@@ -284,27 +293,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def replay_files(df: DataFrame, path: str, files: int = 4, order: str = "timestamp") -> None:
-    """Write a table as ``files`` time-ordered slices, appended one after another.
-
-    A file stream lists files by modification time, so slices written in
-    sequence replay in time order, one micro-batch each with
-    ``maxFilesPerTrigger=1`` -- the same batches on every run. For small test logs:
-    a slice is written by one task.
-    """
-    us = F.unix_micros(F.col(order))
-    bounds = (df.select(us.alias("u")).approxQuantile("u", [i / files for i in range(1, files)], 0.0)
-              if files > 1 else [])
-    edges = [None, *bounds, None]
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (us > F.lit(int(lo)))
-        if hi is not None:
-            cond = cond & (us <= F.lit(int(hi)))
-        df.where(cond).coalesce(1).write.mode("append").parquet(path)
-
-
 def watermark_dedup_replay(spark: SparkSession, rows: DataFrame, key: str = "event_id", clock: str = "clock",
                            delay: str = "48 hours", slice_s: int = 7 * 24 * 3600) -> DataFrame:
     """``dropDuplicatesWithinWatermark`` over slices of ``slice_s`` seconds of log time, one micro-batch each.
@@ -326,12 +314,12 @@ def watermark_dedup_replay(spark: SparkSession, rows: DataFrame, key: str = "eve
     return spark.read.schema(rows.schema).parquet(out)
 
 
-def triage_replay(spark: SparkSession, raw: DataFrame, registry: DataFrame, topics: DataFrame,
-                  fault_col: str | None = None, files: int = 4) -> DataFrame:
-    """Replay a raw table through the streaming job; returns the outcomes it wrote."""
-    src, out = scratch(spark, "triage-src"), scratch(spark, "triage-out")
-    replay_files(raw, src, files)
-    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = start_triage_stream(stream, registry, topics, out, out + "-ckpt", fault_col=fault_col)
-    q.awaitTermination()
+def triage_replay(spark: SparkSession, parts: Sequence[DataFrame], registry: DataFrame, topics: DataFrame,
+                  fault_col: str | None = None, out: str | None = None) -> DataFrame:
+    """Run tables of raw records through the streaming job, one run to its end for each, on one checkpoint; returns the outcomes."""
+    src, out = scratch(spark, "triage-src"), out or scratch(spark, "triage-out")
+    for part in parts:
+        part.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(part.schema).parquet(src)
+        start_triage_stream(stream, registry, topics, out, out + "-ckpt", fault_col=fault_col).awaitTermination()
     return spark.read.parquet(os.path.join(out, "outcomes"))

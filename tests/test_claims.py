@@ -40,3 +40,37 @@ def test_null_key_or_clock_is_claimed_on_both_paths(spark):
     for small in (256, 0):
         got = {r.i: r.dedup_status for r in _mark(spark, rows, small_max=small).collect()}
         assert got == {0: "claimed", 1: "claimed", 2: "duplicate", 3: "claimed", 4: "claimed"}
+
+
+def test_row_long_before_a_prior_claim_is_claimed(spark):
+    """Claim at hour 100 of the run before; then hours 0, 1 (in the window of 0), 60 (shares one with 100), 147 and 148."""
+    prior = spark.createDataFrame([("a", 100 * H)], "event_id string, t long").select("event_id", F.timestamp_seconds("t").alias("claim_time"))
+    rows = [("a", h * H, i, True) for i, h in enumerate((0, 1, 60, 147, 148))]
+    got = {r.i: r.dedup_status for r in _mark(spark, rows, prior).collect()}
+    assert got == {0: "claimed", 1: "duplicate", 2: "duplicate", 3: "duplicate", 4: "claimed"}
+
+
+def test_join_with_lazy_prior_claims_is_split(spark, monkeypatch):
+    """The plan of the join that reads ``prior``, for a lazy aggregate and an id with a third of the rows."""
+    import sluice.operators.dedup as D
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    plans, write = {}, D.materialize
+
+    def seen(df, name):
+        if name == "claim-held":
+            df.collect()
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df.repartition(8) if name == "claim-base" else df, name)
+    monkeypatch.setattr(D, "materialize", seen)
+    was = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        rows = [("hot" if i % 3 else f"e{i}", i, i, True) for i in range(6000)]
+        first = spark.createDataFrame(rows[::3], SCHEMA).groupBy("event_id").agg(F.timestamp_seconds(F.max("t")).alias("claim_time"))
+        _mark(spark, rows, first)
+        assert "skew=true" in plans["claim-held"]
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)

@@ -57,7 +57,8 @@ def test_stream_equals_batch(spark):
     rows = [("cases", 0, i, env(eventId=f'"e{i % 3}"'), f"2024-01-0{1 + i // 4} 0{i % 4}:00:00")
             for i in range(10)]
     raw = raw_frame(spark, rows)
-    out = triage_replay(spark, raw, R.registry_frame(spark), R.topics_frame(spark), files=2)
+    from pyspark.sql import functions as F
+    out = triage_replay(spark, [raw.where("offset < 5"), raw.where(F.col("offset") >= 5)], R.registry_frame(spark), R.topics_frame(spark))
     from sluice.plans import triage as TR
     batch = TR.run_triage(raw, R.registry_frame(spark), R.topics_frame(spark))
     cols = ["topic", "partition", "offset", "outcome"]
@@ -184,7 +185,7 @@ def test_stream_restart_from_checkpoint(spark):
 
     from conftest import raw_frame
     from sluice.plans import triage as TR
-    from sluice.streaming.jobs import replay_files, scratch, start_triage_stream
+    from sluice.streaming.jobs import scratch, start_triage_stream
     from test_parse import env
     rows = [("cases", 0, i, env(eventId=f'"e{i % 4}"'), f"2024-01-0{1 + i // 6} {i % 6:02d}:00:00")
             for i in range(12)]
@@ -192,11 +193,11 @@ def test_stream_restart_from_checkpoint(spark):
     src, out = scratch(spark, "restart-src"), scratch(spark, "restart-out")
     ckpt = out + "-ckpt"
     first, second = raw.where(F.col("offset") < 6), raw.where(F.col("offset") >= 6)
-    replay_files(first, src, files=1)
+    first.write.mode("append").parquet(src)
     reg, tops = R.registry_frame(spark), R.topics_frame(spark)
     start_triage_stream(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(src),
                         reg, tops, out, ckpt).awaitTermination()
-    replay_files(second, src, files=1)
+    second.write.mode("append").parquet(src)
     start_triage_stream(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(src),
                         reg, tops, out, ckpt).awaitTermination()
     got = spark.read.parquet(os.path.join(out, "outcomes")).select("offset", "outcome").collect()
