@@ -65,6 +65,14 @@ FAULT_PANIC_TEXT = "panic: simulated handler panic"
 FAULT_ERROR_TEXT = "simulated handler error: downstream unavailable"
 
 
+def split_python(handlers: Mapping[str, Handler] | None) -> tuple[dict[str, Handler], dict[str, Handler]]:
+    """(handlers with the Python ones left out of the expressions, the Python ones)."""
+    every = dict(handlers or DEFAULT_HANDLERS)
+    python = {n: h for n, h in every.items() if getattr(h.check, "masked", False)}
+    none = Handler("none", lambda: F.lit(None).cast(HANDLER_RESULT))
+    return {n: none if n in python else h for n, h in every.items()}, python
+
+
 def register_handler(handlers: Mapping[tuple[str, int], Handler], event_type: str, version: int,
                      handler: Handler) -> dict[tuple[str, int], Handler]:
     """Add a handler for (event_type, version); registering the same pair twice is an error."""
@@ -130,9 +138,9 @@ def python_handler(fn: Callable[[dict], None], columns: list[str]) -> Callable[.
     """Wrap a per-row Python handler ``fn(row_dict)`` (raise = failure) as a pandas UDF.
 
     ``BusinessError`` raised by ``fn`` is final; any other exception becomes a
-    retriable ``panic: <message>`` for that row only. ``fn`` sees the valid, routed
-    rows of its processor only, repeats of an event included (whether a repeat is a duplicate
-    depends on how the first run ended), so it must be safe to run again.
+    retriable ``panic: <message>`` for that row only. ``run_triage`` calls ``fn`` as a worker would, on
+    claimed rows only (``execute.run_claimed``). As a column, as in ``apply_handlers`` and the stream, it sees all valid, routed rows of
+    its processor, repeats of an event included, so it must be safe to run again there.
     """
 
     @F.pandas_udf(HANDLER_RESULT)
@@ -151,7 +159,7 @@ def python_handler(fn: Callable[[dict], None], columns: list[str]) -> Callable[.
 
     def check(mine: Column) -> Column:
         return run(mine, F.struct(*[F.col(c) for c in columns]))
-    check.masked = True
+    check.masked, check.fn, check.columns = True, fn, list(columns)
     return check
 
 

@@ -419,27 +419,47 @@ rvalid AS (SELECT *,
     CASE WHEN decode_error IS NOT NULL THEN 'invalid retry envelope: unmarshal retry envelope: ' || decode_error
          WHEN event_id = '' OR original_topic = '' THEN 'invalid retry envelope: invalid retry envelope: missing eventId or originalTopic'
     END AS retry_error
-  FROM rparsed),
-sched AS (SELECT event_id,
-    arg_max(struct_pack(
-      due_s := CASE WHEN next_retry_zero THEN -62135596800 ELSE CAST(floor(next_retry_after_us / 1000000) AS BIGINT) END,
-      scheduled_at_us := ts_us, original_topic := original_topic, version := version, event_type := event_type,
-      tenant_id := tenant_id, event_ts_us := event_ts_us, data_json := data_json, retry_count := retry_count,
-      failure_reason := failure_reason, first_failure_us := first_failure_us),
-      struct_pack(a := ts_us, b := topic, c := partition, d := "offset")) AS s
-  FROM rvalid WHERE retry_error IS NULL GROUP BY event_id),
-schedule AS (SELECT event_id, s.* FROM sched)"""
+  FROM rparsed)"""
+
+
+def _us(ts_text: str) -> str:
+    return f"epoch_us(TIMESTAMPTZ '{ts_text}')"
+
+
+def _timeline(release: str, now: str) -> str:
+    """Ends of all schedules up to ``now``, ``release`` being the time of the tick at or after ``ready`` (NULL: none)."""
+    return f"""(SELECT *, CASE least(release, expiry, next_us, {_us(now)}) WHEN next_us THEN 'replaced' WHEN expiry THEN 'expired'
+    WHEN release THEN 'released' ELSE 'pending' END AS "end",
+    CASE WHEN "end" <> 'pending' THEN least(release, expiry, next_us) END AS ended_at_us
+  FROM (SELECT *, scheduled_at_us + 86400000000 AS expiry, {release} AS release
+        FROM (SELECT *, CASE WHEN due_s >= 0 THEN greatest(due_s * 1000000, scheduled_at_us) END AS ready FROM (
+          SELECT event_id, original_topic, retry_count, ts_us AS scheduled_at_us,
+            CASE WHEN next_retry_zero THEN -62135596800 ELSE CAST(floor(next_retry_after_us / 1000000) AS BIGINT) END AS due_s,
+            row_number() OVER w AS seq, lead(ts_us) OVER w AS next_us
+          FROM rvalid WHERE retry_error IS NULL AND ts_us <= {_us(now)}
+          WINDOW w AS (PARTITION BY event_id ORDER BY ts_us, topic, partition, "offset")))))"""
 
 
 def _epoch(ts_text: str) -> str:
     return f"CAST(floor(epoch_us(TIMESTAMPTZ '{ts_text}') / 1000000) AS BIGINT)"
 
 
-NOW_DUE, NOW_TICK1, NOW_TICK2 = "2024-01-16 00:00:00+00", "2024-01-10 00:00:00+00", "2024-01-20 00:00:00+00"
+NOW_DUE, NOW_TICK1, NOW_TICK2, NOW_END = "2024-01-16 00:00:00+00", "2024-01-10 00:00:00+00", "2024-01-20 00:00:00+00", "2024-06-01 00:00:00+00"
+
 
+def _as_of(now: str) -> str:
+    """The schedule as of a time: latest record of each id up to it."""
+    return (f"(SELECT * FROM rvalid JOIN (SELECT event_id AS e, max(struct_pack(a := ts_us, b := topic, c := partition, d := \"offset\")) AS last FROM rvalid "
+            f"WHERE retry_error IS NULL AND ts_us <= {_us(now)} GROUP BY event_id) ON e = event_id AND last = struct_pack(a := ts_us, b := topic, c := partition, d := \"offset\"))")
 
-def _due(now: str, src: str = "schedule") -> str:
-    return (f"SELECT * FROM {src} WHERE due_s >= 0 AND due_s <= {_epoch(now)}")
+
+def _due(now: str) -> str:
+    return (f"SELECT *, ts_us AS scheduled_at_us, CAST(floor(next_retry_after_us / 1000000) AS BIGINT) AS due_s FROM {_as_of(now)} "
+            f"WHERE NOT next_retry_zero AND due_s BETWEEN 0 AND {_epoch(now)} AND {_us(now)} < ts_us + 86400000000")
+
+
+def _not_first(src: str) -> str:
+    return f"(SELECT * FROM ({src}) WHERE (event_id, scheduled_at_us) NOT IN (SELECT (event_id, scheduled_at_us) FROM ({_due(NOW_TICK1)})))"
 
 
 REPUBLISH_JSON = ("'{\"version\":' || CAST(version AS VARCHAR) || ',\"eventId\":' || " + _jstr("event_id")
@@ -532,16 +552,20 @@ SELECT {IDS}, event_id, dedup_status FROM dedup WHERE routed""")
 QUERIES["run_triage_two_runs"] = QUERIES["classify_outcome"]
 QUERIES["dedup_within_watermark"] = q(HANDLED, """
 SELECT event_id, min(clock_us) // 604800000000 AS first_slice FROM handled WHERE routed GROUP BY event_id""")
-QUERIES["schedule_retries"] = q(RETRY_LOG, """
-SELECT event_id, due_s, scheduled_at_us, original_topic, retry_count FROM schedule""")
+QUERIES["schedule_retries"] = q(RETRY_LOG, f"""
+SELECT event_id, seq, due_s, scheduled_at_us, original_topic, retry_count, "end", ended_at_us
+FROM {_timeline("CAST(ceil(ready / 1000000) AS BIGINT) * 1000000", NOW_END)}""")
+QUERIES["retry_ends"] = q(RETRY_LOG, f"""
+SELECT event_id, seq, due_s, scheduled_at_us, "end", ended_at_us
+FROM {_timeline(f"CASE WHEN ready <= {_us(NOW_TICK1)} THEN {_us(NOW_TICK1)} WHEN ready <= {_us(NOW_TICK2)} THEN {_us(NOW_TICK2)} END", NOW_TICK2)}""")
 QUERIES["due_retries"] = q(RETRY_LOG, f"""
 SELECT event_id, due_s, original_topic FROM ({_due(NOW_DUE)})""")
 QUERIES["release_due_once"] = q(RETRY_LOG, f"""
-SELECT event_id, due_s, original_topic FROM ({_due(NOW_TICK2, f"(SELECT * FROM schedule WHERE event_id NOT IN (SELECT event_id FROM ({_due(NOW_TICK1)})))")})""")
+SELECT event_id, due_s, original_topic FROM {_not_first(_due(NOW_TICK2))}""")
 QUERIES["expire_schedules"] = q(RETRY_LOG, f"""
 SELECT event_id, due_s, scheduled_at_us, 'retry payload expired before release' AS reason
-FROM schedule WHERE event_id NOT IN (SELECT event_id FROM ({_due(NOW_TICK1)}))
-  AND epoch_us(TIMESTAMPTZ '{NOW_TICK2}') >= scheduled_at_us + 86400000000""")
+FROM {_not_first(f"SELECT *, ts_us AS scheduled_at_us, CASE WHEN next_retry_zero THEN -62135596800 ELSE CAST(floor(next_retry_after_us / 1000000) AS BIGINT) END AS due_s FROM " + _as_of(NOW_TICK2))}
+WHERE {_us(NOW_TICK2)} >= scheduled_at_us + 86400000000""")
 QUERIES["reschedule_failed"] = q(RETRY_LOG, f"""
 SELECT event_id, CAST(floor((epoch_us(TIMESTAMPTZ '{NOW_DUE}') + 15000000) / 1000000) AS BIGINT) AS due_s,
        epoch_us(TIMESTAMPTZ '{NOW_DUE}') + 15000000 AS next_retry_after_us
@@ -617,11 +641,14 @@ QUERIES["lane_load"] = q(TRIAGED, """
 SELECT topic, lane, sum(c) AS n, count(*) AS keys, max({'c': c, 'k': affinity_key}).k AS top_key,
        max({'c': c, 'k': affinity_key}).c AS top_key_n
 FROM (SELECT topic, lane, affinity_key, count(*) AS c FROM classified WHERE routed GROUP BY ALL) GROUP BY ALL""")
-QUERIES["safe_handler"] = q(HANDLED, f"""
-SELECT {IDS}, processor,
-  CASE WHEN processor = 'VISIT_APPROVED' THEN CASE WHEN fault = 'panic' THEN 'panic' END
-       WHEN notif_err IS NOT NULL THEN 'business_validation' END AS error_class,
-  CASE WHEN processor = 'VISIT_APPROVED' THEN CASE WHEN fault = 'panic' THEN 'panic: simulated handler panic' END
-       WHEN notif_err IS NOT NULL THEN 'business validation: invalid NOTIFICATION_TRIGGERED data: ' || notif_err
-  END AS error
-FROM h0 WHERE routed""")
+SAFE = HANDLED.replace("handled AS (SELECT *,", "handled_native AS (SELECT *,") + r"""
+handled AS (SELECT * REPLACE (
+    CASE WHEN processor = 'VISIT_APPROVED' THEN CASE WHEN fault = 'panic' THEN 'panic' END
+         WHEN notif_err IS NOT NULL THEN 'business_validation' END AS error_class,
+    CASE WHEN processor = 'VISIT_APPROVED' THEN CASE WHEN fault = 'panic' THEN 'panic: simulated handler panic' END
+         WHEN notif_err IS NOT NULL THEN 'business validation: invalid NOTIFICATION_TRIGGERED data: ' || notif_err END AS error)
+  FROM handled_native),
+"""
+QUERIES["safe_handler"] = q(SAFE + _fold("error IS NULL"), f"""
+SELECT {IDS}, processor, dedup_status, CASE WHEN dedup_status = 'claimed' THEN error_class END AS error_class,
+  CASE WHEN dedup_status = 'claimed' THEN error END AS error FROM dedup WHERE routed""")

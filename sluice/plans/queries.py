@@ -205,6 +205,7 @@ def start_triage_stream(spark, sf_dir):
 NOW_DUE = "2024-01-16T00:00:00Z"      # clock of the scheduler tick in the due queries
 NOW_TICK1 = "2024-01-10T00:00:00Z"    # an earlier tick (releases first)
 NOW_TICK2 = "2024-01-20T00:00:00Z"
+NOW_END = "2024-06-01T00:00:00Z"      # after the whole log
 CUT = "2024-01-15T06:00:00Z"          # where the two-run query cuts the log
 AS_OF = "2024-01-15T12:00:00Z"        # progress snapshot
 LAST_FLUSH = "2024-01-15T11:00:00Z"   # previous frontier flush
@@ -226,9 +227,10 @@ def _parsed_retry(spark, sf_dir):
     return P.parse_retry_envelope(_retry_log(spark, sf_dir)).withColumn("clock", F.col("timestamp"))
 
 
-def _schedule(spark, sf_dir):
+def _schedule(spark, sf_dir, now=None):
+    """The table as of ``now`` (default: the due queries' tick), nothing released before."""
     from sluice.operators.retry import schedule_retries as sched
-    return sched(_parsed_retry(spark, sf_dir))
+    return sched(_parsed_retry(spark, sf_dir), now if now is not None else ts(NOW_DUE))
 
 
 @query
@@ -306,18 +308,19 @@ def invalid_retry_envelopes(spark, sf_dir):
     return r.select(*IDS, F.col("retry_error").alias("reason"))
 
 
+def _due_records(spark, sf_dir):
+    from sluice.operators import retry as RT
+    return RT.with_payload(RT.due_retries(_schedule(spark, sf_dir), ts(NOW_DUE)), _parsed_retry(spark, sf_dir))
+
+
 @query
 def to_republish_envelope(spark, sf_dir):
-    from sluice.operators.retry import due_retries as due
-    d = due(_schedule(spark, sf_dir), ts(NOW_DUE))
-    return O.to_republish_envelope(d).select("event_id", "sink_topic", "sink_key", "sink_value")
+    return O.to_republish_envelope(_due_records(spark, sf_dir)).select("event_id", "sink_topic", "sink_key", "sink_value")
 
 
 @query
 def write_republished(spark, sf_dir):
-    from sluice.operators.retry import due_retries as due
-    d = O.to_republish_envelope(due(_schedule(spark, sf_dir), ts(NOW_DUE)))
-    return _through(SK.write_republished, d)
+    return _through(SK.write_republished, O.to_republish_envelope(_due_records(spark, sf_dir)))
 
 
 # ------------------------------------------------------- D. scalar logic ---
@@ -372,7 +375,7 @@ def apply_handlers(spark, sf_dir):
 
 @query
 def safe_handler(spark, sf_dir):
-    """A per-row Python handler behind an Arrow-batched pandas UDF; a raise in one row fails that row only."""
+    """A Python handler, called for claimed rows only; a raise in one row fails that row only."""
     from sluice.operators import handlers as H
 
     def visit(row):
@@ -380,8 +383,8 @@ def safe_handler(spark, sf_dir):
             raise RuntimeError("simulated handler panic")
     h = {"VISIT_APPROVED": H.Handler("VISIT_APPROVED", H.python_handler(visit, ["fault"])),
          "NOTIFICATION_TRIGGERED": H.DEFAULT_HANDLERS["NOTIFICATION_TRIGGERED"]}
-    v = TR.prepare(_messages(spark, sf_dir), R.registry_frame(spark), R.topics_frame(spark), handlers=h)
-    return v.where("routed").select(*IDS, "processor", "error_class", "error")
+    v = TR.run_triage(_messages(spark, sf_dir), R.registry_frame(spark), R.topics_frame(spark), handlers=h)
+    return v.where("routed").select(*IDS, "processor", "dedup_status", "error_class", "error")
 
 
 # --------------------------------------------------------- E. stateful ---
@@ -424,38 +427,52 @@ def run_triage_two_runs(spark, sf_dir):
 
 @query
 def schedule_retries(spark, sf_dir):
-    s = _schedule(spark, sf_dir)
-    return s.select("event_id", "due_s", us("scheduled_at").alias("scheduled_at_us"), "original_topic",
-                    "retry_count")
+    """Every schedule with its one end, ticks each second."""
+    from sluice.operators.retry import retry_timeline, with_payload
+    p = _parsed_retry(spark, sf_dir)
+    return with_payload(retry_timeline(p, ts(NOW_END)), p).select("event_id", "seq", "due_s", us("scheduled_at").alias("scheduled_at_us"), "original_topic",
+                                     "retry_count", "end", us("ended_at").alias("ended_at_us"))
+
+
+def _two_ticks(spark, sf_dir):
+    from sluice.operators.retry import retry_timeline
+    return retry_timeline(_parsed_retry(spark, sf_dir), ts(NOW_TICK2), [ts(NOW_TICK1), ts(NOW_TICK2)])
+
+
+@query
+def retry_ends(spark, sf_dir):
+    """A worker that ticked twice: every schedule and how it ended."""
+    return _two_ticks(spark, sf_dir).select("event_id", "seq", "due_s", us("scheduled_at").alias("scheduled_at_us"), "end",
+                                            us("ended_at").alias("ended_at_us"))
 
 
 @query
 def due_retries(spark, sf_dir):
-    from sluice.operators.retry import due_retries as due
-    return due(_schedule(spark, sf_dir), ts(NOW_DUE)).select("event_id", "due_s", "original_topic")
+    return _due_records(spark, sf_dir).select("event_id", "due_s", "original_topic")
 
 
 @query
 def release_due_once(spark, sf_dir):
-    from sluice.operators.retry import due_retries as due, release_due_once as rel
-    s = _schedule(spark, sf_dir)
-    first = due(s, ts(NOW_TICK1))
-    return rel(s, first, ts(NOW_TICK2)).select("event_id", "due_s", "original_topic")
+    """The second of two ticks: what it releases."""
+    from sluice.operators.retry import due_retries as due, release_due_once as rel, with_payload
+    first = due(_schedule(spark, sf_dir, ts(NOW_TICK1)), ts(NOW_TICK1))
+    d = rel(_schedule(spark, sf_dir, ts(NOW_TICK2)), first, ts(NOW_TICK2))
+    return with_payload(d, _parsed_retry(spark, sf_dir)).select("event_id", "due_s", "original_topic")
 
 
 @query
 def expire_schedules(spark, sf_dir):
+    """The second of two ticks: what it finds lost."""
     from sluice.operators.retry import due_retries as due, expire_schedules as exp
-    s = _schedule(spark, sf_dir)
-    first = due(s, ts(NOW_TICK1))
-    return exp(s, first, ts(NOW_TICK2)).select("event_id", "due_s", us("scheduled_at").alias("scheduled_at_us"),
-                                               "reason")
+    first = due(_schedule(spark, sf_dir, ts(NOW_TICK1)), ts(NOW_TICK1))
+    return exp(_schedule(spark, sf_dir, ts(NOW_TICK2)), first, ts(NOW_TICK2)).select(
+        "event_id", "due_s", us("scheduled_at").alias("scheduled_at_us"), "reason")
 
 
 @query
 def reschedule_failed(spark, sf_dir):
-    from sluice.operators.retry import due_retries as due, reschedule_failed as rs
-    d = due(_schedule(spark, sf_dir), ts(NOW_DUE))
+    from sluice.operators.retry import reschedule_failed as rs
+    d = _due_records(spark, sf_dir)
     failed = F.substring(F.col("event_id"), 2, 64).cast("bigint") % REPUBLISH_FAIL_EVERY == 0
     return rs(d, failed, ts(NOW_DUE)).select("event_id", "due_s", us("next_retry_after").alias("next_retry_after_us"))
 

@@ -24,6 +24,7 @@ from sluice.operators import handlers as H
 from sluice.operators import outcome as O
 from sluice.operators import parse as P
 from sluice.operators import route as R
+from sluice.operators.execute import run_claimed
 from sluice.sources.messages import split_retry_topics
 
 IDS = ["topic", "partition", "offset"]
@@ -53,11 +54,17 @@ def run_triage(raw: DataFrame, registry: DataFrame, topics: DataFrame,
     """Classify every main-topic record into processed / duplicate / retry / dlq.
 
     ``prior_claims`` (from ``open_claims`` of the run before) carries the claim windows over runs.
+    Python handlers run on claimed rows only.
     """
     from sluice.session import materialize
     main, _ = split_retry_topics(raw)
-    v = prepare(main, registry, topics, handlers, fault_col, clock_col)
-    if dedup:
+    native, python = H.split_python(handlers)
+    v = prepare(main, registry, topics, native, fault_col, clock_col)
+    if python:
+        columns = list(dict.fromkeys(c for h in python.values() for c in h.check.columns))
+        v = materialize(v.drop(*[c for c in ("data", "value") if c not in columns]), "prepared")
+        v = run_claimed(v, {n: h.check.fn for n, h in python.items()}, columns, prior=prior_claims, dedup=dedup)
+    elif dedup:
         # two passes over the prepared rows (narrow claim fold, then the join back):
         # write them once instead of parsing every record twice
         # (``value`` is the binary twin of ``value_str``: not written twice)

@@ -16,17 +16,17 @@ ENV = '{"version":1,"eventId":"%s","eventType":"VISIT_APPROVED","tenantId":"t","
 
 
 def test_ticks_add_up_to_no_limit(spark):
-    s = spark.createDataFrame([(f"e{i}", i // 3) for i in range(1200)], "event_id string, due_s long")
+    s = spark.createDataFrame([(f"e{i}", i // 3) for i in range(1200)], "event_id string, due_s long").withColumn("scheduled_at", F.lit("1970-01-01").cast("timestamp"))
     now = F.lit("1970-01-01 01:00:00").cast("timestamp")
     whole = {r.event_id for r in RT.due_retries(s, now).collect()}
-    seen = spark.createDataFrame([], "event_id string")
+    seen = s.limit(0)
     got = []
     while True:
         tick = [r.event_id for r in RT.release_due_once(s, seen, now, limit=500).collect()]
         if not tick:
             break
         got += tick
-        seen = spark.createDataFrame([(x,) for x in got], "event_id string")
+        seen = s.where(F.col("event_id").isin(got))
     assert len(got) == len(set(got)) and set(got) == whole and len(whole) == 1200
 
 
