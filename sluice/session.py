@@ -118,6 +118,11 @@ def _hadoop(spark: SparkSession, path: str, action) -> None:
     action(p.getFileSystem(spark._jsc.hadoopConfiguration()), p)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """An empty folder for a file stream that may start before anything is written to it."""
+    _hadoop(spark, path, lambda fs, p: fs.mkdirs(p))
+
+
 def discard(*tables) -> None:
     """Remove tables written by ``materialize`` that no later plan reads (the others go when the session ends)."""
     for t in tables:

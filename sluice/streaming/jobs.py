@@ -16,11 +16,11 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -29,9 +29,9 @@ from sluice import constants as K
 from sluice.operators import handlers as H
 from sluice.operators import outcome as O
 from sluice.operators.dedup import dedup_within_watermark
-from sluice.operators.retry import ZERO_TIME_EPOCH_S
+from sluice.operators.retry import ZERO_TIME_EPOCH_S, reschedule_failed
 from sluice.plans import triage as TR
-from sluice.session import checkpoint_dir
+from sluice.session import checkpoint_dir, make_folder
 from sluice.sources.sinks import write_records, write_republished
 from sluice.streaming import claims as CL
 
@@ -246,45 +246,82 @@ class RetryScheduleProcessor(StatefulProcessor):
         pass
 
 
-def retry_schedule_stream(raw: DataFrame, ttl_s: int = K.RETRY_PAYLOAD_TTL_S) -> DataFrame:
+#: What the schedule's state reads of a record: its place in the order, its id and the entry.
+SCHEDULED = T.StructType([T.StructField("clock", T.TimestampType()), T.StructField("topic", T.StringType()), T.StructField("partition", T.IntegerType()),
+                          T.StructField("offset", T.LongType()), T.StructField("event_id", T.StringType()), *ENTRY.fields])
+
+
+def _due_ms(due: str) -> Column:
+    return F.coalesce(F.floor(F.unix_millis(due)).cast("bigint"), F.lit(ZERO_TIME_MS))
+
+
+def retry_schedule_stream(raw: DataFrame, ttl_s: int = K.RETRY_PAYLOAD_TTL_S, again: DataFrame | None = None) -> DataFrame:
     """``.retry`` records -> entries leaving the schedule: due ones, and those whose payload ``expired``.
 
-    Bad envelopes are dead-lettered by the triage job.
+    ``again`` (``SCHEDULED`` columns) is a second input: entries whose republish failed. Bad envelopes are dead-lettered by
+    the triage job.
     """
     from sluice.operators.parse import parse_retry_envelope
     r = parse_retry_envelope(raw.where(F.col("topic").endswith(K.RETRY_SUFFIX)))
     r = r.where(F.col("retry_error").isNull()).withColumns({
-        "clock": F.col("timestamp"), "scheduled_at": F.col("timestamp"),
-        "due_ms": F.coalesce(F.floor(F.unix_micros("next_retry_after") / 1000).cast("bigint"), F.lit(ZERO_TIME_MS))})
-    rows = T.StructType([f for f in r.schema.fields if f.name in (*ORDER, "event_id")] + ENTRY.fields)
-    left = _to_plain(r, rows).groupBy("event_id").transformWithStateInPandas(
+        "clock": F.col("timestamp"), "scheduled_at": F.col("timestamp"), "due_ms": _due_ms("next_retry_after")})
+    rows = _to_plain(r, SCHEDULED)
+    if again is not None:
+        rows = rows.unionByName(_to_plain(again, SCHEDULED))
+    # never NULL in any input: a batch in which one input is empty is planned without it, and the state's key must stay of one type
+    rows = rows.withColumn("event_id", F.coalesce("event_id", F.lit("")))
+    left = rows.groupBy("event_id").transformWithStateInPandas(
         statefulProcessor=RetryScheduleProcessor(ttl_s), outputStructType=REPUBLISH,
         outputMode="Append", timeMode="ProcessingTime")
     return _from_plain(left, ENTRY)
 
 
+Send = Callable[[DataFrame, int], DataFrame]
+
+
 def start_retry_scheduler(raw: DataFrame, out_dir: str, checkpoint: str, trigger: dict | None = None,
                           bootstrap: str | None = None, options: dict | None = None,
-                          ttl_s: int = K.RETRY_PAYLOAD_TTL_S):
+                          ttl_s: int = K.RETRY_PAYLOAD_TTL_S, send: Send | None = None, delay_s: int = K.REPUBLISH_FAILURE_DELAY_S):
     """Start the release job; returns the ``StreamingQuery``.
 
     Republished records go to Kafka with ``bootstrap``, else below ``out_dir/republished``; expired
     entries are listed below ``out_dir/expired``. With ``{"processingTime": "1 second"}`` every tick releases what is
     due by then; ``availableNow`` releases what is due when the input is read and leaves the rest in the checkpoint.
     A failed write fails the batch, which runs again from the checkpoint.
+
+    A sink that knows the fate of each record is given as ``send(records, batch_id)``, returning (event_id, delivered). Records not
+    delivered are written below ``out_dir/again`` with a due time ``delay_s`` from now; that folder is the second
+    input of the schedule, so they leave again, and the others only once. A replayed batch writes its folder anew; an
+    entry read twice replaces itself.
     """
+    spark, folder = raw.sparkSession, os.path.join(out_dir, "again")
+
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            write_republished(O.to_republish_envelope(batch.where("NOT expired")), batch_id=batch_id,
-                              path=os.path.join(out_dir, "republished"), bootstrap=bootstrap, options=options)
+            due = batch.where("NOT expired")
+            records = O.to_republish_envelope(due)
+            if send is None:
+                write_republished(records, batch_id=batch_id, path=os.path.join(out_dir, "republished"), bootstrap=bootstrap, options=options)
+            else:
+                lost = due.join(send(records, batch_id).where(~F.coalesce(F.col("delivered"), F.lit(False))).select("event_id").distinct(), "event_id")
+                now = F.current_timestamp()
+                lost = reschedule_failed(lost, F.lit(True), now, delay_s).withColumns({
+                    "due_ms": _due_ms("next_retry_after"), "clock": now, "topic": F.col("original_topic"), "partition": F.lit(-1), "offset": F.lit(batch_id).cast("bigint")})
+                lost = lost.select(*[F.col(f.name).cast(f.dataType) for f in SCHEDULED.fields]).persist()
+                if not lost.isEmpty():
+                    lost.write.mode("overwrite").parquet(os.path.join(folder, f"batch-{batch_id}"))
+                lost.unpersist()
             batch.where("expired").select("event_id", "original_topic", "scheduled_at").write.mode(
                 "overwrite").parquet(os.path.join(out_dir, "expired", f"batch={batch_id}"))
         finally:
             batch.unpersist()
-    s = retry_schedule_stream(raw, ttl_s)
-    return _start(s.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), trigger,
-                  raw.sparkSession)
+    again = None
+    if send is not None:
+        make_folder(spark, folder)
+        again = spark.readStream.schema(SCHEDULED).option("recursiveFileLookup", "true").parquet(folder)
+    s = retry_schedule_stream(raw, ttl_s, again)
+    return _start(s.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), trigger, spark)
 
 
 # ------------------------------------------------------------------ replay ---
