@@ -7,7 +7,7 @@ raw (unparsed) dead letters are not in the dead-letter counter.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice import constants as K
@@ -62,6 +62,53 @@ def processing_duration(t: DataFrame, duration_col: str = "duration_s",
         .select("topic", "event_type", "processor", "x.le", "x.bucket_count", "total_count", "total_sum")
 
 
+COUNTER = ["metric", "topic", "event_type", "tenant_id", "processor", "label"]
+
+
+def counters(t: DataFrame, duration_col: str | None = "duration_s", buckets=K.HISTOGRAM_BUCKETS) -> DataFrame:
+    """All counters and the histogram of a table or micro-batch in one long table, made in one pass: ``COUNTER`` labels, n, total.
+
+    Rows of several batches add up by ``merge_counters``. A histogram row counts its bucket alone; ``histogram`` makes them cumulative.
+    """
+    ran = F.col("routed") & (F.col("dedup_status") == CLAIMED)
+    fields = {"topic": "topic", "event_type": "event_type", "tenant_id": "tenant_id", "processor": "processor"}
+
+    def hit(cond: Column, metric: str, own: list[str], label: Column | None = None, total: Column | None = None) -> Column:
+        cols = [F.lit(metric).alias("metric")] + [(F.col(f) if f in own else F.lit(None)).cast("string").alias(f) for f in fields]
+        return F.when(cond, F.struct(*cols, (label if label is not None else F.lit(None)).cast("string").alias("label"),
+                                     (total if total is not None else F.lit(None)).cast("double").alias("total")))
+    failed, all_of = ran & F.col("error").isNotNull(), ["topic", "event_type", "tenant_id"]
+    hits = [hit(F.col("routed"), "messages_received", ["topic", "tenant_id"]),
+            hit(ran & F.col("error").isNull(), "messages_processed", all_of),
+            hit(failed, "messages_failed", all_of, F.lit("processing_error")),
+            hit(failed & (F.col("error_class") == K.EC_PANIC), "messages_failed", all_of, F.lit("panic")),
+            hit(F.col("outcome") == K.RETRY, "messages_retried", all_of),
+            hit((F.col("outcome") == K.DLQ) & (F.col("dlq_kind") == "event"), "messages_dlq", all_of)]
+    if duration_col:
+        d, le = F.col(duration_col), F.lit("+Inf")
+        for b in reversed(buckets):
+            le = F.when(d <= F.lit(b), F.lit(str(b))).otherwise(le)
+        hits.append(hit(ran & d.isNotNull(), "processing_duration", ["topic", "event_type", "processor"], le, d))
+    every = t.select(F.explode(F.array(*hits)).alias("h")).where(F.col("h").isNotNull()).select("h.*")
+    return every.groupBy(*COUNTER).agg(_n(), F.sum("total").alias("total"))
+
+
+def merge_counters(parts: DataFrame) -> DataFrame:
+    return parts.groupBy(*COUNTER).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def histogram(merged: DataFrame, buckets=K.HISTOGRAM_BUCKETS) -> DataFrame:
+    """``processing_duration``'s rows from merged counters."""
+    of = ["topic", "event_type", "processor"]
+    h = merged.where(F.col("metric") == "processing_duration")
+    below = [F.coalesce(F.sum(F.when(F.col("label").isin([str(x) for x in buckets[: i + 1]]), F.col("n"))), F.lit(0)).alias(f"b{i}") for i in range(len(buckets))]
+    g = h.groupBy(*of).agg(*below, F.sum("n").alias("count"), F.sum("total").alias("sum"))
+    les = [F.struct(F.lit(str(b)).alias("le"), F.col(f"b{i}").alias("bucket_count")) for i, b in enumerate(buckets)]
+    les.append(F.struct(F.lit("+Inf").alias("le"), F.col("count").alias("bucket_count")))
+    return g.select(*of, F.explode(F.array(*les)).alias("x"), F.col("count").alias("total_count"), F.round("sum", 6).alias("total_sum")) \
+        .select(*of, "x.le", "x.bucket_count", "total_count", "total_sum")
+
+
 def lane_load(t: DataFrame) -> DataFrame:
     """Per (topic, lane): messages, distinct keys and the hottest key (ties broken by key)."""
     per_key = t.where("routed").groupBy("topic", "lane", "affinity_key").agg(F.count(F.lit(1)).alias("c"))

@@ -297,8 +297,9 @@ SELECT {IDS}, event_id, 'no worker pool for topic' AS reason FROM resolved
 WHERE envelope_error IS NULL AND processor IS NOT NULL AND lanes IS NULL""")
 QUERIES["classify_outcome"] = q(TRIAGED, f"""
 SELECT {IDS}, event_id, outcome, reason, sink_topic FROM classified""")
-QUERIES["start_triage_stream"] = q(HANDLED + _stream_fold(
-    "CASE WHEN source_id % 7 = 3 THEN 2 WHEN clock_us < epoch_us(TIMESTAMPTZ '2024-01-15 00:00:00+00') THEN 0 ELSE 1 END") + OUTCOMES, f"""
+STREAMED = HANDLED + _stream_fold(
+    "CASE WHEN source_id % 7 = 3 THEN 2 WHEN clock_us < epoch_us(TIMESTAMPTZ '2024-01-15 00:00:00+00') THEN 0 ELSE 1 END") + OUTCOMES
+QUERIES["start_triage_stream"] = q(STREAMED, f"""
 SELECT {IDS}, event_id, outcome, reason, sink_topic, dedup_status FROM classified""")
 QUERIES["run_triage"] = q(TRIAGED, """
 SELECT tenant_id, topic, outcome, reason, count(*) AS n FROM classified GROUP BY ALL""")
@@ -652,3 +653,24 @@ handled AS (SELECT * REPLACE (
 QUERIES["safe_handler"] = q(SAFE + _fold("error IS NULL"), f"""
 SELECT {IDS}, processor, dedup_status, CASE WHEN dedup_status = 'claimed' THEN error_class END AS error_class,
   CASE WHEN dedup_status = 'claimed' THEN error END AS error FROM dedup WHERE routed""")
+
+_NO = "CAST(NULL AS VARCHAR)"
+QUERIES["stream_counters"] = q(STREAMED + """,
+ran AS (SELECT * FROM classified WHERE routed AND dedup_status = 'claimed')""", f"""
+SELECT metric, topic, event_type, tenant_id, processor, label, count(*) AS n, round(sum(d), 6) AS total FROM (
+  SELECT 'messages_received' AS metric, topic, {_NO} AS event_type, tenant_id, {_NO} AS processor, {_NO} AS label, CAST(NULL AS DOUBLE) AS d FROM classified WHERE routed
+  UNION ALL SELECT 'messages_processed', topic, event_type, tenant_id, NULL, NULL, NULL FROM ran WHERE error IS NULL
+  UNION ALL SELECT 'messages_failed', topic, event_type, tenant_id, NULL, 'processing_error', NULL FROM ran WHERE error IS NOT NULL
+  UNION ALL SELECT 'messages_failed', topic, event_type, tenant_id, NULL, 'panic', NULL FROM ran WHERE error IS NOT NULL AND error_class = 'panic'
+  UNION ALL SELECT 'messages_retried', topic, event_type, tenant_id, NULL, NULL, NULL FROM classified WHERE outcome = 'retry'
+  UNION ALL SELECT 'messages_dlq', topic, event_type, tenant_id, NULL, NULL, NULL FROM classified WHERE outcome = 'dlq' AND dlq_kind = 'event'
+  UNION ALL SELECT 'processing_duration', topic, event_type, NULL, processor,
+    CASE {" ".join(f"WHEN duration_s <= {le} THEN '{le}'" for le in _LES)} ELSE '+Inf' END, duration_s FROM ran WHERE duration_s IS NOT NULL)
+GROUP BY ALL""")
+QUERIES["frontier_stream"] = q("", f"""
+SELECT i.topic, i.partition, g.first_offset, c.committable, s.committable AS committable_strict, i.tracked, i.in_flight,
+       g.last_offset - coalesce(c.committable, g.first_offset - 1) AS lag
+FROM (SELECT topic, partition, count(*) AS tracked, count(*) FILTER (WHERE NOT completed) AS in_flight FROM {_progress(AS_OF)} GROUP BY ALL) i
+JOIN (SELECT topic, partition, min("offset") AS first_offset, max("offset") AS last_offset FROM {_progress(AS_OF)} GROUP BY ALL) g USING (topic, partition)
+LEFT JOIN {_frontier(AS_OF)} c USING (topic, partition)
+LEFT JOIN ({QUERIES["committable_offsets_strict"][QUERIES["committable_offsets_strict"].index("SELECT topic, partition, first_offset, committable"):]}) s USING (topic, partition)""")

@@ -27,6 +27,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from sluice import constants as K
 from sluice.operators import handlers as H
+from sluice.operators import metrics as M
 from sluice.operators import outcome as O
 from sluice.operators.dedup import dedup_within_watermark
 from sluice.operators.retry import ZERO_TIME_EPOCH_S, reschedule_failed
@@ -72,23 +73,26 @@ def _from_plain(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def prepare_stream(raw: DataFrame, registry: DataFrame, topics: DataFrame,
                    handlers: Mapping[str, H.Handler] | None = None, fault_col: str | None = None,
-                   clock_col: str = "timestamp") -> DataFrame:
+                   clock_col: str = "timestamp", duration_col: str | None = None) -> DataFrame:
     """Raw records with all that is known of them alone: parsed, looked up, handled. No state.
 
+    ``duration_col`` of the input, if there is one, is the handler's time for the histogram.
+
     ``.retry`` records whose envelope does not decode come out here as dead letters (the scheduler job
     takes the others).
     """
     main = raw.where(~F.col("topic").endswith(K.RETRY_SUFFIX))
     v = TR.prepare(main, registry, topics, handlers, fault_col, clock_col).select(
-        *[f.name for f in CARRY.fields], F.lit(None).cast("string").alias("retry_error"))
+        *[f.name for f in CARRY.fields], F.lit(None).cast("string").alias("retry_error"),
+        (F.col(duration_col) if duration_col else F.lit(None)).cast("double").alias("duration_s"))
     bad = TR.triage_retry_topics(raw, clock_col).where(F.col("outcome") == K.DLQ)
     have = set(bad.columns)
     bad = bad.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-                       for f in CARRY.fields], "retry_error")
+                       for f in CARRY.fields], "retry_error", F.lit(None).cast("double").alias("duration_s"))
     return v.unionByName(bad)
 
 
-PREPARED = T.StructType(CARRY.fields + [T.StructField("retry_error", T.StringType())])
+PREPARED = T.StructType(CARRY.fields + [T.StructField("retry_error", T.StringType()), T.StructField("duration_s", T.DoubleType())])
 
 
 def claimed_stream(prepared: DataFrame, ttl_s: int = K.DEDUP_TTL_S, keep_s: int | None = None) -> DataFrame:
@@ -125,6 +129,7 @@ def _write_batch(out_dir: str, bootstrap: str | None = None, options: dict | Non
                 .write.mode("overwrite").parquet(os.path.join(out_dir, "outcomes", f"batch={batch_id}"))
             write_records(TR.sink_records(done), path=os.path.join(out_dir, "sinks"), batch_id=batch_id,
                           bootstrap=bootstrap, options=options)
+            M.counters(done).write.mode("overwrite").parquet(os.path.join(out_dir, "counters", f"batch={batch_id}"))
         finally:
             done.unpersist()
             batch.unpersist()
@@ -172,15 +177,15 @@ def start_triage_stream(raw: DataFrame, registry: DataFrame, topics: DataFrame,
                         checkpoint: str, handlers: Mapping[str, H.Handler] | None = None,
                         fault_col: str | None = None, trigger: dict | None = None,
                         bootstrap: str | None = None, options: dict | None = None,
-                        ttl_s: int = K.DEDUP_TTL_S, keep_s: int | None = None, files_per_batch: int = 1000) -> TriageJob:
+                        ttl_s: int = K.DEDUP_TTL_S, keep_s: int | None = None, files_per_batch: int = 1000, duration_col: str | None = None) -> TriageJob:
     """Start the triage job: ``prepare`` parses, looks up and handles each record once and writes it below
     ``out_dir/prepared`` (Spark's file sink, each record once); ``claims`` reads that table, keeps the claims and writes outcomes.
 
-    Records go to Kafka with ``bootstrap``, else to files below ``out_dir``; outcomes always to files. With ``availableNow`` (the
+    Records go to Kafka with ``bootstrap``, else to files below ``out_dir``; outcomes and counters always to files. With ``availableNow`` (the
     default) ``claims`` starts when ``prepare`` has ended; with any other trigger both run on.
     """
     spark, folder = raw.sparkSession, os.path.join(out_dir, "prepared")
-    first = _start(prepare_stream(raw, registry, topics, handlers, fault_col).writeStream.format("parquet").option("path", folder)
+    first = _start(prepare_stream(raw, registry, topics, handlers, fault_col, duration_col=duration_col).writeStream.format("parquet").option("path", folder)
                    .option("checkpointLocation", os.path.join(checkpoint, "prepare")), trigger, spark)
     if not trigger or trigger.get("availableNow"):
         first.awaitTermination()
@@ -352,11 +357,16 @@ def watermark_dedup_replay(spark: SparkSession, rows: DataFrame, key: str = "eve
 
 
 def triage_replay(spark: SparkSession, parts: Sequence[DataFrame], registry: DataFrame, topics: DataFrame,
-                  fault_col: str | None = None, out: str | None = None) -> DataFrame:
+                  fault_col: str | None = None, out: str | None = None, duration_col: str | None = None) -> DataFrame:
     """Run tables of raw records through the streaming job, one run to its end for each, on one checkpoint; returns the outcomes."""
     src, out = scratch(spark, "triage-src"), out or scratch(spark, "triage-out")
     for part in parts:
         part.write.mode("append").parquet(src)
         stream = spark.readStream.schema(part.schema).parquet(src)
-        start_triage_stream(stream, registry, topics, out, out + "-ckpt", fault_col=fault_col).awaitTermination()
+        start_triage_stream(stream, registry, topics, out, out + "-ckpt", fault_col=fault_col, duration_col=duration_col).awaitTermination()
     return spark.read.parquet(os.path.join(out, "outcomes"))
+
+
+def read_counters(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The counters of all batches that a triage job has written (see ``metrics.counters``)."""
+    return M.merge_counters(spark.read.parquet(os.path.join(out_dir, "counters")))
