@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.arrays import column_bytes, slices
+from sluice.llm.arrays import column_bytes, released, slices
 from sluice.llm.tables import Tables
 
-MIN_DOCS, TOP, FLUSH = 10, 10, 1 << 18
+MIN_DOCS, TOP, FLUSH = 10, 10, 1 << 19
 GROUP = ["lang", "source"]
 #: A-Z to a-z, other ASCII than letters to a space, other bytes as they are.
 FOLD = bytes(b | 0x20 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -80,8 +80,8 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     tables = Tables(docs.sparkSession, "divergence")
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     parts = docs.select(blank(lang_col).alias("lang"), blank(source_col).alias("source"), F.col(text_col).alias("text")) \
-        .mapInArrow(term_counts, "lang string, source string, term string, n long, docs long")
-    every = tables.write(tables.write(parts, "parts").groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
+        .mapInArrow(released(term_counts), "lang string, source string, term string, n long, docs long")
+    every = tables.write(parts.groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
     found = every.where(F.col("term").isNotNull())
     kept = tables.write(found.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("of_lang")).where(F.col("docs") >= min_docs).drop("docs"), "kept")
     counts = found.join(kept, ["lang", "term"]).select(*GROUP, "term", "n", "of_lang")
