@@ -3,15 +3,17 @@
 Nearness is the inner product. With M the largest norm, a vector x becomes (x, sqrt(M^2 - |x|^2)) and a query q becomes
 (q M / |q|, 0): all have length M, so the nearest by distance is the one with the largest inner product.
 
-Method. Vectors are projected to ``DIMENSIONS`` (8) random Gaussian directions. For a neighbour at distance d the squared projected
-distance is d^2 times a chi-square variable with 8 degrees of freedom, so with r^2 = quantile(``CONFIDENCE``) * d_k^2, where d_k is the distance of the k-th best
-found, each true neighbour lies within r in the projection with that probability. A query takes projected neighbours by
-increasing distance, verifies them on the original vectors, and stops when everything left is beyond r.
+Method. Vectors are projected to ``DIMENSIONS`` (16) random Gaussian directions. For a neighbour at distance d the squared projected
+distance is d^2 times a chi-square variable with 16 degrees of freedom. A query verifies projected neighbours by increasing projected distance D on the
+original vectors, and stops as soon as a neighbour nearer than the k-th best found, at distance d_k, would have come by now with probability
+``CONFIDENCE`` (0.93): chi-square distribution function of D^2 / d_k^2. So each of the true neighbours is found with that probability at
+least, the nearer ones with more (measured recall on the tables: README). As d_k falls with the number of vectors, so does the share verified.
 
 Execution. A kd-tree over a bounded sample of the projections (``SAMPLE`` vectors at most) cuts the space into cells; all vectors are indexed,
-each in its cell. Round 1 sends every query to its own cell, round 2 to all cells whose box is within r of it. Inside a cell
-a finer kd-tree gives leaves, visited in order of their boxes' distance until the same test holds. Queries of a cell are dealt over
-slices of ``QUERY_SLICE``. Equal vectors are collapsed first to their k + 1 smallest ids (no more can be in an answer), so a vector that a third of all rows
+each in its cell, a cell of more than ``CELL`` vectors in slices by a hash. Round 1 sends every query to its own cell, round 2 to the cells whose box the
+test does not exclude, given d_k of round 1. Queries of a cell beyond ``QUERY_SLICE`` are dealt over slices, and only vectors of such cells are
+copied, once a slice. A unit (cell slice, query slice) orders its vectors by projected distance and verifies them in growing blocks until the test
+holds. Equal vectors are collapsed first to their k + 1 smallest ids (no more can be in an answer), so a vector that a third of all rows
 share is a few rows. Scores are summed in double precision in one fixed order, so equal vectors tie exactly.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, as candidates or queries; nor
@@ -30,8 +32,9 @@ from pyspark.sql import functions as F
 
 from sluice.llm.tables import Tables
 
-DIMENSIONS, CONFIDENCE, NEIGHBOURS = 8, 0.995, 20
-SAMPLE, CELL, MAX_CELLS, LEAF, QUERY_SLICE = 1 << 16, 1 << 13, 1 << 12, 64, 1 << 11
+DIMENSIONS, CONFIDENCE, NEIGHBOURS = 16, 0.93, 20
+SAMPLE, CELL, MAX_CELLS, QUERY_SLICE = 1 << 16, 1 << 13, 1 << 12, 1 << 11
+FIRST, CHUNK = 128, 128
 
 
 def chi_square_quantile(p: float, k: int) -> float:
@@ -75,21 +78,6 @@ class Projection:
         return np.maximum(2 * self.norm ** 2 - 2 * self.norm * score / np.sqrt((q * q).sum(1)), 0)
 
 
-def kd_split(points: np.ndarray, size: int) -> list[np.ndarray]:
-    """Row numbers of the leaves of a kd-tree: halves at the median of the widest direction down to ``size``."""
-    out, todo = [], [np.arange(len(points))]
-    while todo:
-        rows = todo.pop()
-        if len(rows) <= size:
-            out.append(rows)
-            continue
-        p = points[rows]
-        axis = int(np.argmax(p.max(0) - p.min(0)))
-        order = np.argsort(p[:, axis], kind="stable")
-        todo += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2:]]]
-    return out
-
-
 def kd_tree(points: np.ndarray, size: int) -> list[tuple]:
     """Nodes (axis, threshold, left, right), a leaf as (-1, 0, cell, 0); for cells of about ``size`` of these points."""
     nodes: list = [None]
@@ -144,31 +132,37 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def search_cell(projection: Projection, ids, vectors, qid, queries, reach, k: int, limit: float):
-    """For each query its k best of the cell, as far as the test lets it look; ``reach``: squared distance of the k-th best known before (inf: none)."""
+    """(query id, ids, scores, number verified): each query's k best of the cell, as far as the test lets it look. ``reach``: squared distance of the k-th best known before (inf: none)."""
     points, asked = projection.points(vectors), projection.queries(queries)
-    leaves = kd_split(points, LEAF)
-    low, high = (np.array([f(points[x], 0) for x in leaves]) for f in (np.min, np.max))
-    away = box_distance(asked, low, high)
-    order = np.argsort(away, axis=1, kind="stable")
-    slack = 1e-9 * projection.norm ** 2
-    for q in range(len(qid)):
-        scores, names, bound, x = np.zeros(0), np.zeros(0, np.int64), reach[q], queries[q]
-        step = 0
-        while step < len(leaves) and away[q, order[q, step]] <= limit * bound + slack:
-            more = order[q, step: step + 1 + (step > 3) * 3 + (step > 15) * 12]
-            more = more[away[q, more] <= limit * bound + slack]
-            step += len(more)
-            rows = np.concatenate([leaves[i] for i in more])
-            rows = rows[ids[rows] != qid[q]]
-            scores, names = np.concatenate((scores, (vectors[rows] * x).sum(1))), np.concatenate((names, ids[rows]))
-            keep = _best(scores, names, k)
-            scores, names = scores[keep], names[keep]
-            if len(scores) == k:
-                bound = min(bound, float(projection.squared_distance(queries[q: q + 1], scores[-1:])[0]))
-        yield qid[q], names, scores
-
-
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", query: Column | None = None, k: int = NEIGHBOURS, confidence: float = CONFIDENCE, seed: int = 11) -> DataFrame:
+    slack, own = 1e-9 * projection.norm ** 2, (points * points).sum(1)
+    for at in range(0, len(qid), CHUNK):
+        part = asked[at: at + CHUNK]
+        away = np.maximum((part * part).sum(1)[:, None] + own - 2 * part @ points.T, 0)
+        for i, far in enumerate(away):
+            q, x, bound = at + i, queries[at + i], reach[at + i]
+            near = np.flatnonzero(far <= limit * bound + slack)
+            if len(near) > FIRST:  # the nearest ones give a bound before the others are ordered
+                first = near[np.argpartition(far[near], FIRST)[:FIRST]]
+                best = np.sort((vectors[first] * x).sum(1)[ids[first] != qid[q]])[-k:]
+                if len(best) == k:
+                    bound = min(bound, float(projection.squared_distance(queries[q: q + 1], best[:1])[0]))
+                    near = near[far[near] <= limit * bound + slack]
+            near = near[np.argsort(far[near], kind="stable")]
+            scores, names, step, size, seen = np.zeros(0), np.zeros(0, np.int64), 0, 2 * FIRST, 0
+            while step < len(near) and far[near[step]] <= limit * bound + slack:
+                rows = near[step: step + size]
+                rows = rows[: int(np.searchsorted(far[rows], limit * bound + slack, "right"))]
+                step, size, seen = step + len(rows), 2 * size, seen + len(rows)
+                rows = rows[ids[rows] != qid[q]]
+                scores, names = np.concatenate((scores, (vectors[rows] * x).sum(1))), np.concatenate((names, ids[rows]))
+                keep = _best(scores, names, k)
+                scores, names = scores[keep], names[keep]
+                if len(scores) == k:
+                    bound = min(bound, float(projection.squared_distance(queries[q: q + 1], scores[-1:])[0]))
+            yield qid[q], names, scores, seen
+
+
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", query: Column | None = None, k: int = NEIGHBOURS, confidence: float = CONFIDENCE, seed: int = 11, cell_rows: int = CELL) -> DataFrame:
     """query_id, rank (from 1), id, score of the k nearest found of every query row (default: ids divisible by 20)."""
     spark, tables = vectors.sparkSession, Tables(vectors.sparkSession, "neighbours")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & valid("v"))
@@ -185,7 +179,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     projection = Projection(lengths["n"], norm, seed)
     share = min(1.0, SAMPLE / count)
     picked = told.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select("v").limit(SAMPLE).toArrow()
-    size = max(len(picked) / MAX_CELLS, CELL * len(picked) / count)
+    size = max(len(picked) / MAX_CELLS, cell_rows * len(picked) / count)
     shared = spark.sparkContext.broadcast((projection, kd_tree(projection.points(_matrix(picked.column("v"))), size) if len(picked) else [(-1, 0.0, 0, 0)]))
     limit = chi_square_quantile(confidence, DIMENSIONS)
 
@@ -198,10 +192,11 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                 yield pa.record_batch({"cell": pa.array(cell_of(tree, pts)), "id": b.column("id"), "v": b.column("v").cast(pa.list_(pa.float64())), "low": pa.array(list(pts)), "high": pa.array(list(pts))})
     placed = tables.write(told.mapInArrow(place, "cell int, id long, v array<double>, low array<double>, high array<double>"), "cells")
     box = [f(F.element_at(c, d + 1)).alias(f"{c}{d}") for c, f in (("low", F.min), ("high", F.max)) for d in range(DIMENSIONS)]
-    boxes = sorted(placed.groupBy("cell").agg(*box).collect())  # MAX_CELLS and a few at most
-    numbers = np.array([list(r)[1:] for r in boxes])
+    boxes = sorted(placed.groupBy("cell").agg(F.count("*").alias("n"), *box).collect())  # MAX_CELLS and a few at most
+    numbers = np.array([list(r)[2:] for r in boxes])
     known = spark.sparkContext.broadcast((np.array([r[0] for r in boxes], np.int32), numbers[:, :DIMENSIONS], numbers[:, DIMENSIONS:]))
-    points = placed.select("cell", "id", "v")
+    cuts = F.broadcast(spark.createDataFrame([(r[0], -(-r[1] // cell_rows)) for r in boxes], "cell int, slices int"))
+    points = placed.join(cuts, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), "id", "v")
 
     def route(first: bool):
         def run(batches):
@@ -220,26 +215,29 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                         want[np.arange(len(x)), home] = False
                         at = np.nonzero(want)
                     q, c = at
-                    yield pa.record_batch({"cell": pa.array(cells[c]), "slice": pa.array(part.column("id").to_numpy()[q] // 20 % slices, pa.int64()), "id": part.column("id").take(pa.array(q)),
-                                           "v": part.column("v").cast(pa.list_(pa.float64())).take(pa.array(q)), "reach": pa.array(np.full(len(q), np.inf) if first else reach[q])})
+                    yield pa.record_batch({"cell": pa.array(cells[c]), "id": part.column("id").take(pa.array(q)), "v": part.column("v").cast(pa.list_(pa.float64())).take(pa.array(q)),
+                                           "reach": pa.array(np.full(len(q), np.inf) if first else reach[q])})
         return run
 
     def look(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, rank, score, who = [], [], [], []
+        ids, score, who = [], [], []
         if left.num_rows and right.num_rows:
-            for q, names, scores in search_cell(shared.value[0], left.column("id").to_numpy(), _matrix(left.column("v")), right.column("id").to_numpy(), _matrix(right.column("v")),
-                                                right.column("reach").to_numpy(), k, limit):
+            for q, names, scores, _ in search_cell(shared.value[0], left.column("id").to_numpy(), _matrix(left.column("v")), right.column("id").to_numpy(), _matrix(right.column("v")),
+                                                   right.column("reach").to_numpy(), k, limit):
                 who += [q] * len(names)
                 ids += names.tolist()
                 score += scores.tolist()
         return pa.table({"query_id": pa.array(who, pa.int64()), "id": pa.array(ids, pa.int64()), "score": pa.array(score, pa.float64())})
-    n_asked = asked.count()
-    slices = max(1, n_asked // QUERY_SLICE)
 
     def search(asking: DataFrame, first: bool) -> DataFrame:
-        sent = asking.mapInArrow(route(first), "cell int, slice long, id long, v array<double>, reach double")
-        copies = points.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
-        return copies.groupBy("cell", "slice").cogroup(sent.groupBy("cell", "slice")).applyInArrow(look, "query_id long, id long, score double")
+        sent = tables.write(asking.mapInArrow(route(first), "cell int, id long, v array<double>, reach double"), f"routed{int(first)}")
+        load = sent.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_SLICE).cast("int").alias("shares"))  # MAX_CELLS rows at most
+        load = F.broadcast(spark.createDataFrame(load.collect(), "cell int, shares int"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        copies = points.join(load, "cell").select("cell", "slice", every("shares").alias("share"), "id", "v")
+        dealt = sent.join(load, "cell").join(cuts, "cell").select("cell", every("slices").alias("slice"), F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share"), "id", "v", "reach")
+        unit = ["cell", "slice", "share"]
+        return copies.groupBy(*unit).cogroup(dealt.groupBy(*unit)).applyInArrow(look, "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     queries = asked.select("id", "v").distinct()
     home = tables.write(search(queries, True), "home")
@@ -247,6 +245,9 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     reach = F.when(F.col("n") >= k, F.greatest(F.lit(2 * norm ** 2) - 2 * norm * F.col("least") / length, F.lit(0.0))).otherwise(F.lit(float("inf")))
     again = queries.join(far, F.col("id") == F.col("query_id"), "left").withColumn("reach", reach).select("id", "v", "reach")
-    found = home.unionAll(search(again, False)).distinct()
+    found = tables.write(search(again, False), "far")
+    for name in ("cells", "routed0", "routed1", "candidates", "vectors"):
+        tables.drop(name)
+    found = home.unionAll(found).distinct()
     return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k) \
         .select("query_id", "rank", F.col("id").alias(id_col), "score")
