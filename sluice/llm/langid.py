@@ -1,15 +1,13 @@
 """Language identification by prediction by partial matching (PPM) over bytes.
 
-Model. For each language a context tree of its bytes, contexts of 0 to ``ORDER`` (3) bytes, with escape method C and
+Model. For each language a context tree of its bytes (A-Z lower-cased), contexts of 0 to ``ORDER`` (3) bytes, with escape method C and
 exclusion: in a context with total count T and D different next bytes, a byte seen n times costs
 -log2(n / (T + D)) bits and an escape -log2(D / (T + D)); after an escape the next shorter context is asked, without the
 bytes that the longer ones would have given. Below order 0 all bytes left are equally likely, so every text has
 a finite, exact code length. Statistics are frozen after training.
 
-Scoring. If it has at most ``TABLE_CELLS`` cells, the code length of every byte after every context that some language has seen is
-worked out once, as a table (context, byte, language); a text's code length under all languages is then two look-ups a byte. Else
-only the (context, byte, language) that were seen are kept, sorted, and the code lengths of a slice's different runs of ORDER + 1 bytes are
-worked out from them; both give the same lengths. The prediction is the shortest code; the score is its share of the total
+Scoring. Only the (context, byte, language) that were seen are kept, sorted. The different runs of ORDER + 1 bytes of a slice are looked up
+once each, in float64, and a text's code length under all languages is the sum of its runs' lengths. The prediction is the shortest code; the score is its share of the total
 probability, 2**-length over all languages.
 
 Keeping. A text is explained by its language if its code is no longer than the language's own texts lead to expect. Texts are halved by
@@ -31,6 +29,7 @@ results; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +37,24 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.arrays import column_bytes, slices
+from sluice.llm.arrays import column_bytes, release, slices
 from sluice.llm.tables import Tables, free_name, small_batches
 
-ORDER, SAMPLE, TABLE_CELLS = 3, 1000, 1 << 25
+ORDER, SAMPLE, RUNS = 3, 1000, 1 << 21
 SPREAD, SPARE, FEWEST, LENGTHS = 8, 64, 8, 13
 UND = "und"
 
 
+#: A-Z as a-z: a text in capitals is in the language it is in.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def lower_bytes(column) -> tuple[np.ndarray, np.ndarray]:
+    data, off = column_bytes(column)
+    return LOWER[data], off
+
+
 def held_out(id_col: str) -> Column:
     """The fourth of the documents that training never sees."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
@@ -57,7 +66,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
         for b in batches:
             for part in slices(b, "text", 1 << 21):
                 lang = part.column("lang").to_pylist()
-                data, off = column_bytes(part.column("text"))
+                data, off = lower_bytes(part.column("text"))
                 for name in sorted(set(lang)):
                     mine = [k for k, x in enumerate(lang) if x == name]
                     for length in range(1, ORDER + 2):
@@ -92,7 +101,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, each: int
 class Model:
     """Code lengths of all languages. ``rows``: (lang, length, gram, n), as tuples or an Arrow table."""
 
-    def __init__(self, rows, cells: int = TABLE_CELLS):
+    def __init__(self, rows):
         if not isinstance(rows, pa.Table):
             rows = pa.table(dict(zip(("lang", "length", "gram", "n"), map(list, zip(*rows)) if rows else [[]] * 4)))
         self.langs = sorted(rows.column("lang").unique().to_pylist())
@@ -101,24 +110,7 @@ class Model:
         lang = pc.index_in(rows.column("lang"), pa.array(self.langs, pa.string())).to_numpy().astype(np.int64)
         length, gram, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("length", "gram", "n"))
         by = [(gram[x], lang[x], n[x]) for x in (np.flatnonzero(length == k) for k in range(1, ORDER + 2))]
-        seen = np.unique(by[0][0])
-        self.width = width = len(seen) + 1  # the last column stands for all bytes never seen
-        self.byte = np.full(256, width - 1, np.int64)
-        self.byte[seen] = np.arange(len(seen))
-        # contexts by order; order 0 has one, and each context's suffix is one of the order below
-        contexts = [np.unique(self._code(g >> 8, k)) for k, (g, _, _) in enumerate(by)]
-        self.dense = sum(map(len, contexts)) * width * len(self.langs) <= cells
-        if not self.dense:
-            return self._arrays(by)
-        counts = []
-        for order, (g, of, n) in enumerate(by):
-            table = np.zeros((len(contexts[order]), width, len(self.langs)), np.float32)
-            np.add.at(table, (np.searchsorted(contexts[order], self._code(g >> 8, order)), self.byte[g & 255], of), n)
-            counts.append(table)
-        self._tables(contexts, counts)
-
-    def _arrays(self, by) -> None:
-        """What was seen, by order: runs (of context and byte) with their counts, contexts with their costs; each sorted, with its languages side by side."""
+        # what was seen, by order: runs (of context and byte) with their counts, contexts with their costs; each sorted, with its languages side by side
         many, self.runs, self.contexts, below = len(self.langs), [], [], None
         for order, (gram, of, n) in enumerate(by):
             key = gram * many + of
@@ -128,7 +120,7 @@ class Model:
             # a context's bytes stand together, but those of its languages are mixed
             at, back = np.unique((gram >> 8) * many + of, return_inverse=True)
             total, kinds = np.bincount(back, n, len(at)), np.bincount(back, minlength=len(at)).astype(np.float64)
-            cost = np.zeros((4, len(at)), np.float32)
+            cost = np.zeros((4, len(at)))
             cost[0], cost[1] = np.log2(total + kinds), np.log2((total + kinds) / kinds)
             if order:  # the next shorter context without the bytes of this one, all of which it has seen too
                 low_key, low_n, low_at, low_total, low_kinds = below
@@ -141,7 +133,7 @@ class Model:
             else:
                 self.rest = np.log2(np.maximum(256 - np.bincount(at % many, kinds, many), 1))
             below = key, n, at, total, kinds
-            for keep, k, value in ((self.runs, key, np.log2(n).astype(np.float32)), (self.contexts, at, cost)):
+            for keep, k, value in ((self.runs, key, np.log2(n)), (self.contexts, at, cost)):
                 what, first = np.unique(k // many, return_index=True)
                 keep.append((what, np.append(first, len(k)), (k % many).astype(np.int32), value))
 
@@ -159,8 +151,8 @@ class Model:
     def _lengths(self, gram: np.ndarray, have: np.ndarray) -> np.ndarray:
         """(runs, languages): the code length of the last byte of a run, of whose context ``have`` bytes stand in the text."""
         shape = len(gram), len(self.langs)
-        cost, done, longer = np.zeros(shape, np.float32), np.zeros(shape, bool), np.zeros(shape, bool)
-        whole, leave = np.zeros(shape, np.float32), np.zeros(shape, np.float32)  # of the next context, told by the longer one
+        cost, done, longer = np.zeros(shape), np.zeros(shape, bool), np.zeros(shape, bool)
+        whole, leave = np.zeros(shape), np.zeros(shape)  # of the next context, told by the longer one
         for k in range(ORDER, -1, -1):
             low, use = gram & (1 << 8 * (k + 1)) - 1, have >= k
             row, lang, place = self._found(self.contexts[k], low >> 8, use)
@@ -176,51 +168,7 @@ class Model:
             cost[row, lang] += np.where(done[row, lang], 0, escape)
             longer[row, lang] = True
             whole[row, lang], leave[row, lang] = value[2], value[3]
-        return np.where(done, cost, cost + self.rest.astype(np.float32))
-
-    def _code(self, grams: np.ndarray, length: int) -> np.ndarray:
-        """A run of bytes as a number in the base of the seen bytes."""
-        out = np.zeros(len(grams), np.int64)
-        for k in range(length - 1, -1, -1):
-            out = out * self.width + self.byte[grams >> 8 * k & 255]
-        return out
-
-    def _tables(self, contexts, counts) -> None:
-        width, first, cost = self.width, [0], []
-        for c in contexts:
-            first.append(first[-1] + len(c))
-        unseen = 256 - (width - 1)
-        for order, have in enumerate(contexts):
-            for a in range(0, len(have), 4096):  # a slice of contexts of this order, down its suffixes
-                code = have[a: a + 4096]
-                shape = (len(code), width, len(self.langs))
-                bits, left, done = np.zeros(shape, np.float32), np.ones(shape, bool), np.zeros(shape, bool)
-                paid = np.zeros((len(code), 1, shape[2]), np.float32)
-                for k in range(order, -1, -1):
-                    at = np.searchsorted(contexts[k], code % width ** k)
-                    inside = at < len(contexts[k])
-                    at = np.where(inside, at, 0)
-                    hit = inside & (contexts[k][at] == code % width ** k)
-                    n = np.where(left & hit[:, None, None], counts[k][at], 0)
-                    some = n > 0
-                    total, kinds = n.sum(1, keepdims=True), some.sum(1, keepdims=True)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        bits = np.where(some, paid + np.log2((total + kinds) / n), bits)
-                        paid = paid + np.where(kinds > 0, np.log2((total + kinds) / kinds), 0)
-                    done |= some
-                    left &= ~some
-                # below order 0: what is left, the unseen bytes' column counting for all of them
-                many = np.where(np.arange(width)[None, :, None] == width - 1, unseen, 1)
-                rest = np.log2(np.maximum((left * many).sum(1, keepdims=True), 1))
-                cost.append(np.where(done, bits, paid + rest).astype(np.float32))
-        self.cost = np.concatenate(cost).reshape(-1, len(self.langs))
-        # every run of ORDER bytes -> the row of its longest known suffix
-        row = np.zeros(width ** ORDER, np.int32)
-        for order in range(1, ORDER + 1):
-            step = width ** order
-            for i, c in enumerate(contexts[order]):
-                row[int(c):: step] = first[order] + i
-        self.row = row
+        return np.where(done, cost, cost + self.rest)
 
     def bits(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """(texts, languages): the code length of every text."""
@@ -228,28 +176,16 @@ class Model:
         if not n:
             return out
         place = np.arange(n) - np.repeat(off[:-1], np.diff(off))
-        full = np.flatnonzero(np.diff(off))
-        if not self.dense:
-            have, run = np.minimum(place, ORDER), data.astype(np.int64)
-            for k in range(1, ORDER + 1):
-                run[k:] |= np.where(place[k:] >= k, data[:-k].astype(np.int64) << 8 * k, 0)
-            run |= have << 8 * (ORDER + 1)
-            text, step = np.repeat(np.arange(len(off) - 1), np.diff(off)), max(1024, (1 << 22) // len(self.langs))
-            for a in range(0, n, step):
-                what, at = np.unique(run[a: a + step], return_inverse=True)
-                cost = self._lengths(what & (1 << 8 * (ORDER + 1)) - 1, what >> 8 * (ORDER + 1))
-                part, first = np.unique(text[a: a + step], return_index=True)
-                out[part] += np.add.reduceat(cost[at].astype(np.float64), first, axis=0)
-            return out
-        sym = self.byte[data]
-        code, none = np.zeros(n, np.int64), self.width - 1
-        for k in range(ORDER, 0, -1):  # before a text stand bytes that no language has seen
-            code *= self.width
-            code[k:] += np.where(place[k:] >= k, sym[:-k], none)
-            code[:k] += none
-        at = self.row[code].astype(np.int64) * self.width + sym
-        for a in range(0, len(self.langs), 8):
-            out[full, a: a + 8] = np.add.reduceat(self.cost[:, a: a + 8][at].astype(np.float64), off[:-1][full], axis=0)
+        have, run = np.minimum(place, ORDER), data.astype(np.int64)
+        for k in range(1, ORDER + 1):
+            run[k:] |= np.where(place[k:] >= k, data[:-k].astype(np.int64) << 8 * k, 0)
+        run |= have << 8 * (ORDER + 1)
+        text, step = np.repeat(np.arange(len(off) - 1), np.diff(off)), max(1024, RUNS // len(self.langs))
+        for a in range(0, n, step):
+            what, at = np.unique(run[a: a + step], return_inverse=True)
+            cost = self._lengths(what & (1 << 8 * (ORDER + 1)) - 1, what >> 8 * (ORDER + 1))
+            part, first = np.unique(text[a: a + step], return_index=True)
+            out[part] += np.add.reduceat(cost[at], first, axis=0)
         return out
 
 
@@ -271,7 +207,7 @@ def train_halves(docs: DataFrame, id_col: str, text_col: str, lang_col: str, eac
     def rates(batches):
         for b in batches:
             for part in slices(b, "text", 1 << 19):
-                data, off = column_bytes(part.column("text"))
+                data, off = lower_bytes(part.column("text"))
                 size, halved = np.diff(off), part.column("half").to_numpy(zero_copy_only=False)
                 for k in range(2):
                     m = halves[1 - k].value
@@ -301,6 +237,7 @@ def explained(whole: Model, halves, limits: dict[str, np.ndarray], spark):
             data, off = column_bytes(column)
             size, raw = np.diff(off), data.tobytes()
             half = np.array([zlib.crc32(raw[a:b]) % 2 for a, b in zip(off[:-1], off[1:])], np.int64)
+            raw = LOWER[data].tobytes()
             known = np.zeros(len(size), bool)
 
             def bits(m, use):
@@ -319,8 +256,7 @@ def explained(whole: Model, halves, limits: dict[str, np.ndarray], spark):
             wordy = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             out += (known & wordy).tolist()
         return pa.array(out, pa.bool_())
-    judge.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(judge, "boolean")
+    return F.arrow_udf(_over(judge), "boolean")
 
 
 def predictor(model: Model, spark):
@@ -332,7 +268,7 @@ def predictor(model: Model, spark):
         lang, share, rate = [], [], []
         for part in slices(pa.table({"text": texts}), "text", 1 << 19):
             column = part.column("text").combine_chunks()
-            data, off = column_bytes(column)
+            data, off = lower_bytes(column)
             wordy = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             if not m.langs:
                 wordy &= False
@@ -345,8 +281,17 @@ def predictor(model: Model, spark):
             share += np.where(wordy, 1 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(1), 0).tolist()
             rate += np.where(wordy, low / np.maximum(np.diff(off), 1), 0).tolist()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(share, pa.float64()), pa.array(rate, pa.float64())], ["lang", "score", "bits"])
-    score.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(score, "lang string, score double, bits double")
+    return F.arrow_udf(_over(score), "lang string, score double, bits double")
+
+
+def _over(one):
+    """A function of one Arrow array as one of a task's arrays, whose memory is given back at the end."""
+    def every(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for x in batches:
+            yield one(x)
+        release()
+    every.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return every
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", each: int = SAMPLE) -> DataFrame:

@@ -25,15 +25,19 @@ def shared_folder(spark: SparkSession) -> str:
     return d
 
 
-#: Rows that Spark hands to Python at once: whole texts are long, its default is meant for short rows.
-BATCH_ROWS = 2500
+#: Rows and bytes that Spark hands to Python at once: whole texts are long, its defaults are meant for short rows.
+BATCH_ROWS, BATCH_BYTES = 2500, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most ``BATCH_ROWS`` rows, unless the session asks for fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Arrow batches of at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` bytes, unless the session asks for less.
+
+    The settings stay, as the plans that operators return read them when they run.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key)).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 class Tables:

@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import rans
-from sluice.llm.arrays import slices
+from sluice.llm.arrays import released, slices
 from sluice.llm.tables import Tables, partitions
 
-BLOCK = 1 << 19
+BLOCK, SLICE = 1 << 19, 1 << 22
 CACHE_WORDS = 1_000_000
 MARKS = ".,!?;:%&*#$|"
 
@@ -164,7 +164,7 @@ def token_rows(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str,
         encode, tool = tokens.tokenizer(tokenizer_path), zstandard.ZstdCompressor(1)
         end, width = np.array([end_id], encode.dtype).tobytes(), int(encode.dtype[2])
         for b in batches:
-            for part in slices(b, "text", 1 << 23):
+            for part in slices(b, "text", SLICE):
                 each = [x + end for x in encode.column(part.column("text"))]
                 seen = np.bincount(np.frombuffer(b"".join(each), encode.dtype))
                 at = np.flatnonzero(seen)
@@ -172,8 +172,7 @@ def token_rows(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str,
                 yield pa.record_batch({"id": part.column("id"), "order": pa.array([zlib.crc32(x) for x in each], pa.int64()),
                                        "ids": pa.array([_squeeze(x, width, tool) for x in each], pa.binary()),
                                        "counts": pa.array([counts] + [None] * (len(each) - 1), pa.binary())})
-        pa.default_memory_pool().release_unused()
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, order long, ids binary, counts binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(released(run), "id long, order long, ids binary, counts binary")
 
 
 def counts(rows: DataFrame) -> DataFrame:
@@ -215,7 +214,7 @@ def blocks(rows: DataFrame, model, limit: int = BLOCK) -> DataFrame:
         if size:
             yield send()
     dealt = rows.select("id", "order", "ids").repartitionByRange(partitions(rows.sparkSession), "id", "order").sortWithinPartitions("id", "order")
-    return dealt.select("id", "ids").mapInArrow(run, BLOCKS)
+    return dealt.select("id", "ids").mapInArrow(released(run), BLOCKS)
 
 
 def write(docs: DataFrame, folder: str, id_col: str, text_col: str, tokenizer_path: str, end_id: int = 0, block: int = BLOCK) -> None:
@@ -255,7 +254,7 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
                     "whole": pa.array((docs["flags"] & (rans.GOES_ON | rans.GOES_BACK)) == 0), "ends": pa.array((docs["flags"] & rans.GOES_ON) == 0),
                     "ids": pa.array(parts if with_ids else [None] * len(parts), pa.binary())})
     schema = "id long, shard int, at long, n long, crc long, whole boolean, ends boolean, ids binary"
-    pieces = Tables(spark, "decoded").write(spark.read.parquet(f"{folder}/blocks").mapInArrow(run, schema), "pieces")
+    pieces = Tables(spark, "decoded").write(spark.read.parquet(f"{folder}/blocks").mapInArrow(released(run), schema), "pieces")
     # a text in several blocks: its last piece is the first end at or after each piece, in the shard's order
     ends = pieces.where("not whole and ends").select("shard", F.col("at").alias("end_at"))
     cut = pieces.where("not whole").join(ends, "shard").where("end_at >= at").groupBy("shard", "at", "n", "crc", "id", "ids").agg(F.min("end_at").alias("end_at"))
