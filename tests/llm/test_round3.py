@@ -186,3 +186,48 @@ def test_bounds_exclude_far_cells(spark):
         best = np.argsort(-(x @ x[20 * q]), kind="stable")[:6]
         assert set(best.tolist()) <= sent[group[home[q]]]
     assert np.mean([len(s) for s in sent.values()]) < 200
+
+
+def test_neighbours_over_many_cells(spark):
+    """Recall against brute force with cells of 300 vectors, and the share verified falls as vectors grow in number."""
+    from sluice.llm import neighbours
+    draw = np.random.default_rng(7)
+    centres = draw.standard_normal((12, 24))
+    x = (centres[draw.integers(12, size=3000)] + 0.5 * draw.standard_normal((3000, 24))).astype(np.float32)
+    rows_ = [(i, [float(y) for y in v]) for i, v in enumerate(x)]
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(spark.createDataFrame(rows_, "vec_id long, embedding array<float>"), cell_rows=300).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    hit, x = 0, x.astype(np.float64)
+    for q in range(0, 3000, 20):
+        s = (x * x[q]).sum(1)
+        assert all(abs(s[i] - score) < 1e-9 for i, score in got[q]) and q not in dict(got[q]) and len(got[q]) == 20
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s, kind="stable")[:20].tolist()) & set(dict(got[q])))
+    assert set(got) == set(range(0, 3000, 20)) and hit >= 0.9 * 3000
+    limit, shares = neighbours.chi_square_quantile(neighbours.CONFIDENCE, neighbours.DIMENSIONS), []
+    for n in (300, 3000):
+        part = x[:n]
+        projection = neighbours.Projection(24, float(np.sqrt((part * part).sum(1).max())), 11)
+        seen = [r[3] for r in neighbours.search_cell(projection, np.arange(n), part, np.arange(0, 300, 20), part[:300:20], np.full(15, np.inf), 20, limit)]
+        shares.append(np.mean(seen) / n)
+    assert shares[1] < 0.6 * shares[0] and shares[1] < 0.5
+
+
+def test_short_items_and_unspaced_scripts(spark):
+    """Items of one to four words stand in a row; a character of a script without spaces is a word; rows of one id apart; the SQL agrees."""
+    import duckdb
+
+    from sluice.llm import decontam
+    docs_ = [(1, "say Hello, wide World now"), (2, "hello there wide world"), (3, "今日は良い天気です、そうですね"), (4, "今日は悪い天気です"), (5, None), (6, "one two three four"), (6, "four five six seven eight nine ten"),
+             (7, "x " * 30000 + "alpha beta gamma delta epsilon zeta"), (None, "hello wide world"), (8, "hello")]
+    items = [(1, "hello wide world"), (2, "Hello"), (3, "良い天気です"), (4, "three four five six seven"), (5, "two three"), (6, ""), (7, None), (8, "alpha beta gamma delta epsilon zeta"), (9, "天気"), (1, "nine ten")]
+    df, it = spark.createDataFrame(docs_, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, decontam.contained(df, it).select("doc_id", "item_id", "n_shared", "n_shingles", "containment").collect()), key=str)
+    assert {(r[0], r[1]) for r in got} == {(1, 1), (None, 1), (1, 2), (2, 2), (8, 2), (None, 2), (3, 3), (6, 5), (7, 8), (3, 9), (4, 9), (6, 1)}
+    con = duckdb.connect()
+    for name, x in (("documents", df), ("benchmark", it)):
+        con.register(name, x.toArrow())
+    assert got == sorted(con.sql(f"SELECT doc_id, item_id, n_shared, n_shingles, containment FROM ({decontam.ORACLE})").fetchall(), key=str)
+    left = decontam.remove_contaminated(df, it)
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([docs_[4]], key=str)
