@@ -15,9 +15,16 @@ def parse_rfc3339(s: Column) -> Column:
 
     The regex guard rejects dates without time, missing offsets and ``+0530``
     forms that the lenient cast would accept; the cast then rejects impossible
-    dates. Nanoseconds truncate to microseconds.
+    dates. The offset is subtracted, as it may be more than the 18 hours that a cast knows (24 hours and
+    60 minutes at most). Nanoseconds truncate to microseconds.
     """
-    return F.when(s.rlike(RFC3339_PATTERN), F.try_to_timestamp(F.translate(s, ",", ".")))
+    utc = s.endswith("Z")
+    local = F.when(utc, s).otherwise(F.concat(F.substring(s, F.lit(1), F.length(s) - 6), F.lit("Z")))
+    part = lambda at: F.substring(s, F.length(s) - at, F.lit(2)).try_cast("int")
+    seconds = F.when(utc, F.lit(0)).otherwise(F.when(F.substring(s, F.length(s) - 5, F.lit(1)) == "-", F.lit(-1)).otherwise(F.lit(1)) * (part(4) * 3600 + part(1) * 60))
+    near = utc | ((part(4) <= 24) & (part(1) <= 60))
+    at = F.unix_micros(F.try_to_timestamp(F.translate(local, ",", ".")))
+    return F.when(s.rlike(RFC3339_PATTERN) & near, F.timestamp_micros(at - seconds.cast("bigint") * 1_000_000))
 
 
 def format_rfc3339(ts: Column) -> Column:
@@ -36,7 +43,3 @@ def backoff_seconds(retry_count_next: Column) -> Column:
 
 def add_seconds(ts: Column, secs: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(ts) + secs.cast("bigint") * F.lit(1_000_000).cast("bigint"))
-
-
-def epoch_us(ts: Column) -> Column:
-    return F.unix_micros(ts)

@@ -104,17 +104,6 @@ def value_type_error(kind: Column, go_type: str) -> Column:
                            F.lit(f" into Go value of type {go_type}")))
 
 
-def syntax_error(text: Column) -> Column:
-    """Decode-error text for text that is not exactly one JSON value, else NULL."""
-    return (F.when(F.trim(text) == "", F.lit("unexpected end of JSON input"))
-            .when(~is_single_json_value(text), F.lit("malformed JSON")))
-
-
-def has_key(text: Column, key: str) -> Column:
-    """Top-level key presence (a present ``null`` counts as present)."""
-    return F.coalesce(F.array_contains(F.json_object_keys(text), key), F.lit(False))
-
-
 def json_string(c: Column) -> Column:
     """JSON text of a string column (quoted and escaped), ``null`` for NULL."""
     j = F.to_json(F.array(c.cast("string")))
@@ -144,19 +133,44 @@ def compact_json(text: Column) -> Column:
     return _swap(t, [(_QUOTE, '\\"'), (_PAIR, "\\\\")])
 
 
+#: Letters beyond ASCII that fold to an ASCII letter, as a typed decoder folds member names.
+_FOLDS = ("\u017f\u212a", "sk")
+
+
+def fold_key(key: Column) -> Column:
+    """A member name as it is compared: without case."""
+    return F.lower(F.translate(key, *_FOLDS))
+
+
+def members(text: Column) -> Column:
+    """Members of a JSON object in document order, repeated ones too: array of (key folded, value VARIANT, kind). NULL if ``text`` is no object.
+
+    The text is decoded inside ``{"x": ...}``, which is one of the two wrappers of ``is_single_json_value``.
+    """
+    each = F.map_entries(F.from_json(F.concat(F.lit('{"x":'), text, F.lit("}")), "x MAP<STRING, VARIANT>", _STRICT)["x"])
+    return F.transform(each, lambda e: F.struct(fold_key(e["key"]).alias("key"), e["value"].alias("value"), variant_kind(e["value"]).alias("kind")))
+
+
+def is_only_value(text: Column, found: Column) -> Column:
+    """``is_single_json_value`` of a text whose ``members`` are known: one parse less for objects."""
+    arr = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _STRICT)
+    return F.when(found.isNotNull(), F.coalesce(F.size(arr) == 1, F.lit(False))).otherwise(is_single_json_value(text))
+
+
 def member_json(text: Column, key: str, kind: Column) -> Column:
-    """Text of a top-level member (the last of that name) of a valid JSON object, as written but for white space.
+    """Text of a top-level member (the last of that name, in any case) of a valid JSON object, as written but for white space.
 
     ``kind`` is the member's JSON kind. Escapes and numbers are swapped for control characters before the text is decoded, so that
-    the decoder copies them unchanged.
+    the decoder copies them unchanged; what it escapes itself is read back as a JSON string.
     """
     t = _swap(text, [("\\\\", _PAIR), ('\\"', _QUOTE), ("\\", _ESCAPE)])
     t = _outside_strings(t, lambda x: F.regexp_replace(
         F.regexp_replace(x, "[ \\t\\r\\n]+", ""), "(-?[0-9][0-9.eE+-]*)", f'"{_NUMBER}$1{_NUMBER}"'))
-    raw = F.from_json(t, f"`{key}` STRING", {**_STRICT, "allowUnquotedControlChars": "true"})[key]
-    back = [(_ESCAPE, "\\"), (_QUOTE, '\\"'), (_PAIR, "\\\\")]
-    # inside an object the control characters come back as escapes, in a lone string as themselves
-    inner = _swap(raw, [('"\\u0003', ""), ('\\u0003"', ""), ("\\u0004", _ESCAPE), ("\\u0002", _QUOTE), ("\\u0001", _PAIR)])
+    each = F.map_entries(F.from_json(t, "MAP<STRING, STRING>", {**_STRICT, "allowUnquotedControlChars": "true"}))
+    raw = F.try_element_at(F.filter(each, lambda e: fold_key(e["key"]) == key), F.lit(-1))["value"]
+    back = [(f'"{_NUMBER}', ""), (f'{_NUMBER}"', ""), (_ESCAPE, "\\"), (_QUOTE, '\\"'), (_PAIR, "\\\\")]
+    # inside an object control characters, and those beyond 16 bits, come back as escapes, in a lone string as themselves
+    inner = F.get(F.from_json(F.concat(F.lit('["'), F.replace(raw, F.lit('"'), F.lit('\\"')), F.lit('"]')), "array<string>", _STRICT), F.lit(0))
     return (F.when(kind.isin("object", "array"), _swap(inner, back))
             .when(kind == "string", F.concat(F.lit('"'), _swap(raw, back), F.lit('"')))
             .otherwise(F.replace(raw, F.lit(_NUMBER), F.lit(""))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sluice import constants as K
 from sluice.functions import strict_json as J
 from sluice.functions.clock import add_seconds, backoff_seconds, format_rfc3339
+from sluice.operators.parse import data_json
 
 
 def is_retriable(error_class: Column) -> Column:
@@ -85,13 +86,13 @@ def jtime(c: Column) -> Column:
     return F.coalesce(J.json_string(format_rfc3339(c)), F.lit('"0001-01-01T00:00:00Z"'))
 
 
-def payload_json(value_str: Column) -> Column:
+def payload_json(value_str: Column, is_json: Column) -> Column:
     """The original message as JSON: embedded (compacted) when it is one JSON value, else as a string.
 
     (A typed encoder fails on non-JSON raw bytes and the record is lost; keeping
     it as a string is a deliberate improvement.)
     """
-    return F.when(J.is_single_json_value(value_str), J.compact_json(value_str)) \
+    return F.when(is_json, J.compact_json(value_str)) \
         .otherwise(J.json_string(value_str))
 
 
@@ -99,13 +100,13 @@ def to_raw_dlq_record(df: DataFrame, clock_col: str = "clock") -> DataFrame:
     """Unparseable message -> dead-letter record; ids empty, retryCount 0, key = original key."""
     v = F.col("value_str")
     rec = json_object([
-        ("originalPayload", payload_json(v)), ("topic", J.json_string(F.col("topic"))),
+        ("originalPayload", payload_json(v, F.col("value_is_json"))), ("topic", J.json_string(F.col("topic"))),
         ("partition", jnum(F.col("partition"))), ("offset", jnum(F.col("offset"))),
         ("eventType", F.lit('""')), ("tenantId", F.lit('""')), ("eventId", F.lit('""')),
         ("failureReason", J.json_string(F.col("reason"))), ("retryCount", F.lit("0")),
         ("timestamp", jtime(F.col(clock_col)))])
     return df.withColumns({"sink_key": F.col("key").cast("string"), "sink_value": rec,
-                           "payload_is_json": J.is_single_json_value(v)})
+                           "payload_is_json": F.col("value_is_json")})
 
 
 def to_dlq_record(df: DataFrame, clock_col: str = "clock") -> DataFrame:
@@ -114,26 +115,31 @@ def to_dlq_record(df: DataFrame, clock_col: str = "clock") -> DataFrame:
     rc = F.when(F.col("processor").isNull() | F.col("lanes").isNull(), F.lit(0)) \
         .otherwise(F.col("retry_count"))
     rec = json_object([
-        ("originalPayload", payload_json(F.col("value_str"))), ("topic", J.json_string(F.col("topic"))),
+        ("originalPayload", payload_json(F.col("value_str"), F.col("value_is_json"))), ("topic", J.json_string(F.col("topic"))),
         ("partition", jnum(F.col("partition"))), ("offset", jnum(F.col("offset"))),
         ("eventType", J.json_string(F.col("event_type"))), ("tenantId", J.json_string(F.col("tenant_id"))),
         ("eventId", J.json_string(F.col("event_id"))), ("failureReason", J.json_string(F.col("reason"))),
         ("retryCount", jnum(rc)), ("timestamp", jtime(F.col(clock_col)))])
     return df.withColumns({"sink_key": F.col("tenant_id"), "sink_value": rec,
-                           "payload_is_json": J.is_single_json_value(F.col("value_str"))})
+                           "payload_is_json": F.col("value_is_json")})
 
 
-def _event_fields() -> list[tuple[str, Column]]:
+def _event_fields(data: Column) -> list[tuple[str, Column]]:
     return [("version", jnum(F.col("version"))), ("eventId", J.json_string(F.col("event_id"))),
             ("eventType", J.json_string(F.col("event_type"))),
             ("tenantId", J.json_string(F.col("tenant_id"))), ("timestamp", jtime(F.col("event_ts"))),
-            ("data", F.col("data_json"))]
+            ("data", data)]
 
 
 def to_retry_envelope(df: DataFrame, clock_col: str = "clock") -> DataFrame:
-    """Failed, retriable event -> ``<topic>.retry`` envelope with carried failure history."""
+    """Failed, retriable event -> ``<topic>.retry`` envelope with carried failure history.
+
+    The payload's text is cut from ``value_str`` here, for these records alone.
+    """
+    found = F.try_element_at(F.filter(J.members(F.col("value_str")), lambda m: m["key"] == "data"), F.lit(-1))
+    data = F.transform(F.array(found), lambda m: data_json(F.col("value_str"), m["value"], m["kind"]))[0]
     d = carry_failure_history(next_retry_after(df, clock_col), clock_col)
-    rec = json_object(_event_fields() + [
+    rec = json_object(_event_fields(data) + [
         ("originalTopic", J.json_string(F.col("topic"))), ("retryCount", jnum(F.col("retry_count_next"))),
         ("failureReason", J.json_string(F.col("failure_reason_next"))),
         ("firstFailureTime", jtime(F.col("first_failure_next"))),
@@ -144,7 +150,7 @@ def to_retry_envelope(df: DataFrame, clock_col: str = "clock") -> DataFrame:
 
 def to_republish_envelope(df: DataFrame) -> DataFrame:
     """Due retry -> normal envelope on its original topic, carrying retryCount and failure history."""
-    rec = json_object(_event_fields() + [
+    rec = json_object(_event_fields(F.col("data_json")) + [
         ("retryCount", jnum(F.col("retry_count"))),
         ("failureReason", J.json_string(F.col("failure_reason"))),
         ("firstFailureTime", jtime(F.col("first_failure_time")))])

@@ -1,8 +1,9 @@
 """Envelope parsing and validation (narrow, codegen'd expressions; no Python rows).
 
-The JSON text is decoded once: ``from_json`` with VARIANT fields keeps each
-field's JSON type so a typed-decoder's strictness can be reproduced; the
-array-wrap guard rejects trailing text and other malformed input.
+The JSON text is decoded once, to its members in document order: VARIANT values keep each
+one's JSON type so a typed-decoder's strictness can be reproduced, names match without case and the
+last one wins; a second parse rejects trailing text and other malformed input. The payload's text is
+cut out only where a record leaves with it (``payload_text``).
 """
 from __future__ import annotations
 
@@ -13,8 +14,6 @@ from sluice import constants as K
 from sluice.functions import strict_json as J
 from sluice.functions.clock import parse_rfc3339
 
-_OPTS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-
 ENVELOPE_FIELDS = (  # (json name, decoded type) in declaration order
     ("version", "int"), ("eventId", "string"), ("eventType", "string"), ("tenantId", "string"),
     ("timestamp", "string"), ("data", "raw"), ("retryCount", "int"),
@@ -27,85 +26,93 @@ RETRY_FIELDS = (
     ("nextRetryAfter", "time"))
 
 
-def _variant_schema(fields) -> str:
-    return ", ".join(f"{name} VARIANT" for name, _ in fields)
-
-
-def _str(v: Column, k: Column) -> Column:
+def _str(m: Column) -> Column:
     """Decoded string field: the string, or '' for null / absent (zero value)."""
-    return F.coalesce(F.when(k == "string", F.variant_get(v, "$", "string")), F.lit(""))
-
-
-def _int(v: Column, k: Column) -> Column:
-    return F.coalesce(F.when(k == "int", F.try_variant_get(v, "$", "bigint")), F.lit(0))
+    return F.coalesce(F.when(m["kind"] == "string", F.variant_get(m["value"], "$", "string")), F.lit(""))
 
 
-def _time_field_error(v: Column, k: Column) -> Column:
-    s = F.variant_get(v, "$", "string")
-    return (F.when(k.isNull() | (k == "null"), F.lit(None))
-            .when(k != "string", F.lit("Time.UnmarshalJSON: input is not a JSON string"))
-            .when(parse_rfc3339(s).isNull(),
-                  F.concat(F.lit('parsing time "'), s, F.lit('": not RFC 3339'))))
+def _int(m: Column) -> Column:
+    return F.coalesce(F.when(m["kind"] == "int", F.try_variant_get(m["value"], "$", "bigint")), F.lit(0))
 
 
-def _raw_json(text: Column, v: Column, k: Column) -> Column:
+def _member_error(m: Column, fields, struct_name: str) -> Column:
+    """Error text of one member, NULL if it fits its field, is null or belongs to none."""
+    out = F.lit(None).cast("string")
+    for name, typ in fields:
+        if typ == "time":
+            text = F.variant_get(m["value"], "$", "string")
+            bad = (F.when(m["kind"] == "null", F.lit(None))
+                   .when(m["kind"] != "string", F.lit("Time.UnmarshalJSON: input is not a JSON string"))
+                   .when(parse_rfc3339(text).isNull(), F.concat(F.lit('parsing time "'), text, F.lit('": not RFC 3339'))))
+        elif typ in ("int", "string"):
+            bad = J.field_type_error(m["value"], struct_name, name, typ, kind=m["kind"])
+        else:
+            continue
+        out = F.when(m["key"] == name.lower(), bad).otherwise(out)
+    return out
+
+
+def data_json(text: Column, data: Column, kind: Column) -> Column:
     """Compact JSON text of the ``data`` member, its literals as written.
 
     (A member whose name is written with escapes is rendered from the decoded value.)
     """
-    return (F.when(k.isNull(), F.lit(None))
-            .when(k == "null", F.lit("null"))
-            .otherwise(F.coalesce(J.member_json(text, "data", k), F.to_json(v))))
+    return (F.when(kind.isNull(), F.lit(None))
+            .when(kind == "null", F.lit("null"))
+            .otherwise(F.coalesce(J.member_json(text, "data", kind), F.to_json(data))))
 
 
 def _decode(df: DataFrame, text: Column, fields, struct_name: str, go_type: str) -> DataFrame:
-    """Adds ``_env`` (VARIANT fields), ``_k_<field>`` (their JSON kinds) and ``decode_error``."""
-    # a repeated key keeps its last value, as in a typed decoder (the setting's default is an error, read as NULL)
+    """Adds ``_f_<field>`` (value VARIANT, kind), ``decode_error`` and ``value_is_json``.
+
+    Names match without case and the last member of a name counts, but a null leaves what an earlier one set (``data``
+    takes it). The first member that does not fit its field, in document order, is the error.
+    """
+    # a repeated key inside a value keeps its last one, as in a typed decoder (the setting's default is an error, read as NULL)
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    df = df.withColumn("_env", F.from_json(text, _variant_schema(fields), _OPTS))
-    # one top-level column per kind: each is computed once and referenced by name
-    df = df.withColumns({f"_k_{n}": J.variant_kind(F.col("_env")[n]) for n, _ in fields})
-    field_errs = []
-    for name, typ in fields:
-        v, k = F.col("_env")[name], F.col(f"_k_{name}")
-        if typ in ("int", "string"):
-            field_errs.append(J.field_type_error(v, struct_name, name, typ, kind=k))
-        elif typ == "time":
-            field_errs.append(_time_field_error(v, k))
-    err = F.coalesce(J.syntax_error(text), J.value_type_error(J.top_level_kind(text), go_type), *field_errs)
+    df = df.withColumn("_m", J.computed_once(J.members(text)))
+    m = F.col("_m")
+    df = df.withColumn("value_is_json", J.computed_once(J.is_only_value(text, m)))
+
+    def last(name: str, typ: str) -> Column:
+        mine = F.filter(m, lambda x: (x["key"] == name.lower()) & (F.lit(typ == "raw") | (x["kind"] != "null")))
+        return F.try_element_at(mine, F.lit(-1))
+    df = df.withColumns({f"_f_{n}": F.when(F.size(m) > 0, last(n, t)) for n, t in fields})
+    errors = F.filter(F.transform(m, lambda x: _member_error(x, fields, struct_name)), lambda e: e.isNotNull())
+    syntax = (F.when(F.trim(text) == "", F.lit("unexpected end of JSON input")).when(~F.col("value_is_json"), F.lit("malformed JSON")))
+    err = F.coalesce(syntax, J.value_type_error(J.top_level_kind(text), go_type), F.get(errors, F.lit(0)))
     return df.withColumn("decode_error", J.computed_once(err))
 
 
+def _text(raw: DataFrame, value_col: str) -> DataFrame:
+    return raw.withColumn("value_str", F.coalesce(F.col(value_col).cast("string"), F.lit("")))
+
+
 def parse_envelope(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """Decode the envelope of every record.
 
-    Adds ``value_str``, ``decode_error`` (NULL when the JSON decodes),
+    Adds ``value_str``, ``value_is_json``, ``decode_error`` (NULL when the JSON decodes),
     ``version, event_id, event_type, tenant_id, timestamp_str, has_data, data
-    (VARIANT), data_json, retry_count, failure_reason, first_failure_str``.
+    (VARIANT), data_kind, retry_count, failure_reason, first_failure_str``. A null value is empty text.
     """
-    df = raw.withColumn("value_str", F.col(value_col).cast("string"))
-    t = F.col("value_str")
-    df = _decode(df, t, ENVELOPE_FIELDS, K.ENVELOPE_STRUCT, K.ENVELOPE_TYPE)
-    e = F.col("_env")
-    k = {n: F.col(f"_k_{n}") for n, _ in ENVELOPE_FIELDS}
+    df = _text(raw, value_col)
+    df = _decode(df, F.col("value_str"), ENVELOPE_FIELDS, K.ENVELOPE_STRUCT, K.ENVELOPE_TYPE)
     ok = F.col("decode_error").isNull()
     # a decode error yields the zero event: every field empty
+    f = {n: F.when(ok, F.col(f"_f_{n}")) for n, _ in ENVELOPE_FIELDS}
     return (df.withColumns({
-        "version": F.when(ok, _int(e["version"], k["version"])).otherwise(F.lit(0).cast("bigint")),
-        "event_id": F.when(ok, _str(e["eventId"], k["eventId"])).otherwise(F.lit("")),
-        "event_type": F.when(ok, _str(e["eventType"], k["eventType"])).otherwise(F.lit("")),
-        "tenant_id": F.when(ok, _str(e["tenantId"], k["tenantId"])).otherwise(F.lit("")),
-        "timestamp_str": F.when(ok, _str(e["timestamp"], k["timestamp"])).otherwise(F.lit("")),
-        # a decoded data field is present; only when it looks absent is the key list read
-        # (a data object with duplicate keys inside decodes to NULL but is present)
-        "has_data": ok & (k["data"].isNotNull() | J.has_key(t, "data")),
-        "data": F.when(ok, e["data"]),
-        "data_kind": F.when(ok, k["data"]),
-        "data_json": F.when(ok, _raw_json(t, e["data"], k["data"])),
-        "retry_count": F.when(ok, _int(e["retryCount"], k["retryCount"])).otherwise(F.lit(0).cast("bigint")),
-        "failure_reason": F.when(ok, _str(e["failureReason"], k["failureReason"])).otherwise(F.lit("")),
-        "first_failure_str": F.when(ok, _str(e["firstFailureTime"], k["firstFailureTime"])).otherwise(F.lit("")),
-    }).drop("_env", *[f"_k_{n}" for n, _ in ENVELOPE_FIELDS]))
+        "version": _int(f["version"]), "event_id": _str(f["eventId"]), "event_type": _str(f["eventType"]),
+        "tenant_id": _str(f["tenantId"]), "timestamp_str": _str(f["timestamp"]),
+        "has_data": F.coalesce(f["data"]["kind"].isNotNull(), F.lit(False)),
+        "data": f["data"]["value"], "data_kind": f["data"]["kind"],
+        "retry_count": _int(f["retryCount"]), "failure_reason": _str(f["failureReason"]),
+        "first_failure_str": _str(f["firstFailureTime"]),
+    }).drop("_m", *[f"_f_{n}" for n, _ in ENVELOPE_FIELDS]))
+
+
+def payload_text(parsed: DataFrame) -> DataFrame:
+    """``data_json``: the payload's text, for the few records that leave with it."""
+    return parsed.withColumn("data_json", data_json(F.col("value_str"), F.col("data"), F.col("data_kind")))
 
 
 def validate_envelope(parsed: DataFrame) -> DataFrame:
@@ -147,30 +154,27 @@ def parse_retry_metadata(validated: DataFrame) -> DataFrame:
 
 def parse_retry_envelope(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """Decode ``<topic>.retry`` records; ``retry_error`` is the dead-letter reason or NULL."""
-    df = raw.withColumn("value_str", F.col(value_col).cast("string"))
+    df = _text(raw, value_col)
     t = F.col("value_str")
     df = _decode(df, t, RETRY_FIELDS, K.RETRY_STRUCT, K.RETRY_TYPE)
-    e = F.col("_env")
-
-    def tm(name):
-        return F.when(k[name] == "string", parse_rfc3339(F.variant_get(e[name], "$", "string")))
-
     ok = F.col("decode_error").isNull()
     # a decode error yields the zero envelope
-    k = {n: F.when(ok, F.col(f"_k_{n}")) for n, _ in RETRY_FIELDS}
+    f = {n: F.when(ok, F.col(f"_f_{n}")) for n, _ in RETRY_FIELDS}
+
+    def tm(name):
+        return F.when(f[name]["kind"] == "string", parse_rfc3339(F.variant_get(f[name]["value"], "$", "string")))
     df = df.withColumns({
-        "version": _int(e["version"], k["version"]), "event_id": _str(e["eventId"], k["eventId"]),
-        "event_type": _str(e["eventType"], k["eventType"]), "tenant_id": _str(e["tenantId"], k["tenantId"]),
-        "event_ts": tm("timestamp"), "data_json": F.when(ok, _raw_json(t, e["data"], k["data"])),
-        "original_topic": _str(e["originalTopic"], k["originalTopic"]),
-        "retry_count": _int(e["retryCount"], k["retryCount"]),
-        "failure_reason": _str(e["failureReason"], k["failureReason"]),
+        "version": _int(f["version"]), "event_id": _str(f["eventId"]),
+        "event_type": _str(f["eventType"]), "tenant_id": _str(f["tenantId"]),
+        "event_ts": tm("timestamp"), "data_json": data_json(t, f["data"]["value"], f["data"]["kind"]),
+        "original_topic": _str(f["originalTopic"]),
+        "retry_count": _int(f["retryCount"]),
+        "failure_reason": _str(f["failureReason"]),
         "first_failure_time": tm("firstFailureTime"),
         "last_failure_time": tm("lastFailureTime"), "next_retry_after": tm("nextRetryAfter"),
         # a time that is JSON null or absent is the zero time
-        "next_retry_zero": F.coalesce(k["nextRetryAfter"].isNull() | (k["nextRetryAfter"] == "null"),
-                                      F.lit(True)),
-    }).drop("_env", *[f"_k_{n}" for n, _ in RETRY_FIELDS])
+        "next_retry_zero": f["nextRetryAfter"]["kind"].isNull(),
+    }).drop("_m", *[f"_f_{n}" for n, _ in RETRY_FIELDS])
     reason = (F.when(F.col("decode_error").isNotNull(),
                      F.concat(F.lit(K.INVALID_RETRY_ENVELOPE + K.UNMARSHAL_RETRY), F.col("decode_error")))
               .when((F.col("event_id") == "") | (F.col("original_topic") == ""),

@@ -101,7 +101,7 @@ def read_messages(spark, sf_dir):
 # ---------------------------------------------- B. parsing and predicates ---
 @query
 def parse_envelope(spark, sf_dir):
-    return P.parse_envelope(_messages(spark, sf_dir)).select(
+    return P.payload_text(P.parse_envelope(_messages(spark, sf_dir))).select(
         *IDS, "decode_error", "version", "event_id", "event_type", "tenant_id", "timestamp_str",
         "has_data", "data_json", "retry_count", "failure_reason", "first_failure_str")
 

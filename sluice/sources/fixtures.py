@@ -39,7 +39,9 @@ def messages_from_events(events: DataFrame) -> DataFrame:
                .when(i % 101 == 0, F.lit('"1"')).otherwise(F.lit("1")))
     tenant = F.concat(F.lit("t"), u % 8)
     ts_txt = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    far = F.date_format(ts + F.expr("INTERVAL 23 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+23:00'")
     ts_json = (F.when(i % 61 == 0, F.lit('"yesterday"')).when(i % 67 == 0, F.lit('""'))
+               .when(i % 109 == 0, F.concat(F.lit('"'), far, F.lit('"')))
                .otherwise(F.concat(F.lit('"'), ts_txt, F.lit('"'))))
     visit_tail = F.concat(F.lit(',"agentId":"a'), u % 20, F.lit('","caseId":"c'), u,
                           F.lit('","approvedAt":"'), ts_txt, F.lit('"}'))
@@ -52,7 +54,7 @@ def messages_from_events(events: DataFrame) -> DataFrame:
             .when(i % 79 == 0, F.lit("5")).when(etype == "NOTIFICATION_TRIGGERED", notif)
             .when(i % 103 == 0, visit_num).otherwise(visit))
     retry = F.when(i % 5 == 0, F.concat(F.lit(',"retryCount":'), i % 7))
-    body = F.concat(F.lit('{"version":'), version, F.lit(',"eventId":"'), eid,
+    body = F.concat(F.lit('{"version":'), version, F.when(i % 107 == 0, F.lit(',"eventId":"old","EVENTID":"')).otherwise(F.lit(',"eventId":"')), eid,
                     F.lit('","eventType":"'), etype, F.lit('","tenantId":"'), tenant,
                     F.lit('","timestamp":'), ts_json,
                     F.coalesce(F.concat(F.lit(',"data":'), data), F.lit("")),

@@ -45,7 +45,7 @@ CARRY = T.StructType([
     T.StructField("value_str", T.StringType()), T.StructField("clock", T.TimestampType()),
     T.StructField("version", T.LongType()), T.StructField("event_id", T.StringType()),
     T.StructField("event_type", T.StringType()), T.StructField("tenant_id", T.StringType()),
-    T.StructField("event_ts", T.TimestampType()), T.StructField("data_json", T.StringType()),
+    T.StructField("event_ts", T.TimestampType()), T.StructField("value_is_json", T.BooleanType()),
     T.StructField("retry_count", T.LongType()), T.StructField("first_failure_time", T.TimestampType()),
     T.StructField("envelope_error", T.StringType()), T.StructField("processor", T.StringType()),
     T.StructField("lanes", T.IntegerType()), T.StructField("affinity_key", T.StringType()),

@@ -116,15 +116,45 @@ def test_payload_text_is_kept(spark):
     from sluice.operators import outcome as O
     head = '{"version":1,"eventId":"e","eventType":"VISIT_APPROVED","tenantId":"t","timestamp":"2024-01-01T00:00:00Z"'
     texts = ['{"visitId":"a","visitId":"b","caseId":"c9"}', '{"n":1.50,"m":0.1234567890123456789,"e":-2E+5}',
-             '{"s":"q\\"1.50 , \\\\","u":"\\u00e9 \\/ é","k\\"2.0":[1.0,[],{}]}', '1.50', '"x\\"1.0\\n"', 'true', '[1.0]']
+             '{"s":"q\\"1.50 , \\\\","u":"\\u00e9 \\/ é","k\\"2.0":[1.0,[],{}]}', '1.50', '"x\\"1.0\\n"', 'true', '[1.0]',
+             '{"e":"🙂","f":["🙂 \\ud83d\\ude42 𝒳",{"🙂":1.0}]}', '"🙂\\u0001"']
     rows = [("cases", 0, i, f'{head},"data": {t}}}', "2024-01-01 00:00:00") for i, t in enumerate(texts)]
     rows.append(("cases", 0, 90, head + ',"data":{"a":1.0},"data":{"caseId":"z"}}', "2024-01-01 00:00:00"))
     rows.append(("cases", 0, 91, head + ',"data":{ "a" : [1.0 ,\t2] } }', "2024-01-01 00:00:00"))
-    v = P.affinity_key(P.parse_and_validate(raw_frame(spark, rows)))
-    got = {r.offset: r for r in v.withColumn("payload", O.payload_json(F.col("value_str"))).collect()}
+    v = P.payload_text(P.affinity_key(P.parse_and_validate(raw_frame(spark, rows))))
+    got = {r.offset: r for r in v.withColumn("payload", O.payload_json(F.col("value_str"), F.col("value_is_json"))).collect()}
     for i, t in enumerate(texts):
         assert got[i].envelope_error is None and got[i].data_json == t
         assert got[i].payload == f'{head},"data":{t}}}'
     assert got[0].affinity_key == "t:c9" and got[0].data_kind == "object"
     assert got[90].data_json == '{"caseId":"z"}' and got[90].affinity_key == "t:z"
     assert got[91].data_json == '{"a":[1.0,2]}' and got[91].payload == head + ',"data":{"a":[1.0,2]}}'
+
+
+def test_names_without_case_last_one_wins(spark):
+    """As a typed decoder: any case, the last of a name, null leaves the earlier value, the first misfit in the text is the error."""
+    from conftest import raw_frame
+    from sluice.operators import outcome as O
+    tail = '"tenantId":"t","timestamp":"2024-01-01T00:00:00Z","data":{"caseId":"c1"}}'
+    head = '{"version":1,"eventType":"VISIT_APPROVED",'
+    texts = [head + '"EVENTID":"a",' + tail, head + '"eventId":"x","EventId":"b",' + tail, head + '"EVENTID":"x","eventId":"c",' + tail,
+             head + '"eventId":"d","EVENTID":null,' + tail, head + '"eventid":5,"eventId":"e",' + tail, head + '"eventId":"f","VERSION":"1","tenantID":7,' + tail,
+             head + '"eventId":"g",' + tail[:-1] + ',"DATA":{"caseId":"c2","n":1.50}}', head + '"eventId":"h",' + tail[:-1] + ',"Data":null}', '{"ver\u017fion":2,"eventId":"i","eventType":"E",' + tail]
+    v = P.payload_text(P.affinity_key(P.parse_and_validate(raw_frame(spark, [("cases", 0, i, t, "2024-01-01 00:00:00") for i, t in enumerate(texts)]))))
+    got = {r.offset: r for r in v.collect()}
+    assert [got[i].event_id for i in (0, 1, 2, 3, 6, 7, 8)] == list("abcdghi") and got[8].version == 2
+    assert got[4].decode_error == "json: cannot unmarshal number into Go struct field rawEnvelope.eventId of type string"
+    assert got[5].decode_error == "json: cannot unmarshal string into Go struct field rawEnvelope.version of type int"
+    assert got[6].data_json == '{"caseId":"c2","n":1.50}' and got[6].affinity_key == "t:c2" and got[7].data_json == "null" and got[7].has_data
+    retry = O.to_retry_envelope(v.where("offset = 6").withColumns({"clock": F.col("timestamp"), "error": F.lit("x"), "first_failure_time": F.lit(None).cast("timestamp")}))
+    assert '"data":{"caseId":"c2","n":1.50},' in retry.first().sink_value
+
+
+def test_offsets_and_null_values(spark):
+    from sluice.functions.clock import parse_rfc3339
+    rows = [("2024-01-02T00:00:00-23:59",), ("2024-01-02T00:00:00.25+24:60",), ("2024-01-02T00:00:00+24:61",), ("2024-01-02T00:00:00+25:00",), ("2024-01-02T05:30:00+05:30",), ("2024-02-30T00:00:00Z",), (None,), ("x",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "s string").select(F.unix_micros(parse_rfc3339(F.col("s")))).collect()]
+    day = 1704153600 * 10 ** 6
+    assert got == [day + (23 * 3600 + 59 * 60) * 10 ** 6, day + 250_000 - 25 * 3600 * 10 ** 6, None, None, day, None, None, None]
+    null = spark.createDataFrame([("cases", 0, 0, None)], "topic string, partition int, offset long, value binary")
+    assert P.parse_and_validate(null).first().envelope_error == "invalid envelope: json unmarshal: unexpected end of JSON input"
