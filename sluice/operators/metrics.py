@@ -7,7 +7,7 @@ raw (unparsed) dead letters are not in the dead-letter counter.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice import constants as K
@@ -117,3 +117,33 @@ def lane_load(t: DataFrame) -> DataFrame:
         F.max(F.struct(F.col("c"), F.col("affinity_key"))).alias("top")) \
         .select("topic", "lane", "n", "keys", F.col("top.affinity_key").alias("top_key"),
                 F.col("top.c").alias("top_key_n"))
+
+
+#: A frequent-items sketch of m counters misses a count by at most this times rows / m.
+SKETCH_ERROR = 3.5
+
+
+def hot_keys(t: DataFrame, k: int = 10, tracked: int = 10_000, group: str = "topic", key: str = "affinity_key") -> DataFrame:
+    """(group, key, n, rank) of the ``k`` most frequent keys of each group, exact; ties by key.
+
+    A sketch aggregate of ``tracked`` counters a group and task names candidates, so memory does not grow with the number of keys; a second
+    pass counts the candidates alone. The sketch bounds the count of every key it does not name. Groups whose k-th
+    exact count does not exceed that bound have no clear top; only these are counted key by key.
+    """
+    rows = t.where(F.col(key).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("key"))
+    wanted = min(tracked, 4 * k + 16)
+    found = rows.groupBy("g").agg(F.expr(f"approx_top_k(key, {wanted}, {tracked})").alias("top"), F.count(F.lit(1)).alias("rows"))
+    least = F.when(F.size("top") >= wanted, F.array_min(F.transform("top", lambda x: x["count"]))).otherwise(F.lit(0))
+    from sluice.session import materialize
+    found = materialize(found.select("g", F.greatest(least, F.col("rows") * SKETCH_ERROR / tracked).alias("bound"), F.transform("top", lambda x: x["item"]).alias("keys"),
+                                     (F.size("top") >= wanted).alias("full")), "hot-candidates")
+    named = found.select("g", F.explode("keys").alias("key"))
+    counts = rows.join(named, ["g", "key"]).groupBy("g", "key").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("g").orderBy(F.desc("n"), "key")
+    best = materialize(counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "hot-best")
+    # clear: k keys above the bound, or fewer keys than asked for in a group small enough for the sketch to name them all
+    clear = best.groupBy("g").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("have")).join(found, "g") \
+        .where(((F.col("have") == k) & (F.col("least") > F.col("bound"))) | (~F.col("full") & (F.col("bound") < 1))).select("g")
+    flat = rows.join(clear, "g", "left_anti").groupBy("g", "key").agg(F.count(F.lit(1)).alias("n")) \
+        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.join(clear, "g", "left_semi").unionByName(flat).select(F.col("g").alias(group), F.col("key").alias(key), "n", "rank")

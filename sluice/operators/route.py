@@ -47,10 +47,14 @@ def topics_frame(spark: SparkSession, lanes: Mapping[str, int] = K.LANES) -> Dat
     return df
 
 
+def registered_twice(registry: DataFrame) -> DataFrame:
+    """(event_type, version, n) of the pairs with more than one row."""
+    return registry.groupBy("event_type", "version").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+
+
 def check_registry_unique(registry: DataFrame) -> None:
     """A (type, version) registered twice is a wiring error: raise, like the worker does at start."""
-    dup = (registry.groupBy("event_type", "version").count().where(F.col("count") > 1)
-           .limit(1).collect())
+    dup = registered_twice(registry).limit(1).collect()
     if dup:
         r = dup[0]
         raise ValueError(f"registry: duplicate processor for {r['event_type']} v{r['version']}")

@@ -684,3 +684,12 @@ FROM (SELECT topic, partition, count(*) AS tracked, count(*) FILTER (WHERE NOT c
 JOIN (SELECT topic, partition, min("offset") AS first_offset, max("offset") AS last_offset FROM {_progress(AS_OF)} GROUP BY ALL) g USING (topic, partition)
 LEFT JOIN {_frontier(AS_OF)} c USING (topic, partition)
 LEFT JOIN ({QUERIES["committable_offsets_strict"][QUERIES["committable_offsets_strict"].index("SELECT topic, partition, first_offset, committable"):]}) s USING (topic, partition)""")
+
+QUERIES["check_registry_unique"] = q(PARSED, """
+SELECT event_type, version, count(DISTINCT t) AS n FROM (
+  SELECT event_type, version, unnest([min(topic), max(topic)]) AS t FROM resolved WHERE envelope_error IS NULL GROUP BY event_type, version)
+GROUP BY event_type, version HAVING count(DISTINCT t) > 1""")
+QUERIES["hot_keys"] = q(TRIAGED, """
+SELECT topic, affinity_key, n, rank FROM (
+  SELECT topic, affinity_key, count(*) AS n, CAST(row_number() OVER (PARTITION BY topic ORDER BY count(*) DESC, affinity_key) AS INTEGER) AS rank
+  FROM classified WHERE routed GROUP BY topic, affinity_key) WHERE rank <= 5""")

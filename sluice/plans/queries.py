@@ -163,6 +163,15 @@ def has_processor(spark, sf_dir):
     return R.has_processor(v, R.registry_frame(spark)).select(*IDS, "event_type", "version")
 
 
+@query
+def check_registry_unique(spark, sf_dir):
+    """The pairs of the log's events that a registry of all their types would hold twice, and that the check raises for them."""
+    v = _validated(spark, sf_dir).where(F.col("envelope_error").isNull())
+    seen = v.groupBy("event_type", "version").agg(F.min("topic").alias("first"), F.max("topic").alias("last"))
+    both = seen.select("event_type", "version", F.explode(F.array_distinct(F.array("first", "last"))).alias("processor"))
+    return R.registered_twice(both).select("event_type", "version", "n")
+
+
 @query
 def unrouted_topics(spark, sf_dir):
     v = _validated(spark, sf_dir).where(F.col("envelope_error").isNull())
@@ -206,7 +215,7 @@ def _replayed(spark, sf_dir):
 @query
 def start_triage_stream(spark, sf_dir):
     """Outcomes of the stream. A late record is a duplicate if its id was claimed less than 48 h before or after its time, else it is handled."""
-    out = spark.read.parquet(f"{_replayed(spark, sf_dir)}/outcomes")
+    out = SK.read_committed(spark, f"{_replayed(spark, sf_dir)}/outcomes")
     return out.select(*IDS, "event_id", "outcome", "reason", "sink_topic", "dedup_status")
 
 
@@ -548,7 +557,7 @@ def frontier_stream(spark, sf_dir):
         p.where(F.col("part") == n).unionByName(tracked.where(F.col("part") == (n + 1) % 4)).drop("part").write.mode("append").parquet(src)
         stream = spark.readStream.schema(p.drop("part").schema).parquet(src)
         start_frontier_stream(stream, out, out + "-ckpt").awaitTermination()
-    f = spark.read.parquet(f"{out}/frontier")
+    f = SK.read_committed(spark, f"{out}/frontier")
     last = f.groupBy("topic", "partition").agg(F.max_by(F.struct(*[c for c in f.columns if c not in ("topic", "partition", "batch")]), "batch").alias("f"))
     return last.select("topic", "partition", "f.first_offset", "f.committable", "f.committable_strict", "f.tracked", "f.in_flight", "f.lag")
 
@@ -562,6 +571,13 @@ def _metric(fn_name):
     return query(run)
 
 
+@query
+def hot_keys(spark, sf_dir):
+    """The five most frequent affinity keys of each topic."""
+    from sluice.operators.metrics import hot_keys as hk
+    return hk(_triaged(spark, sf_dir).where("routed"), k=5, tracked=64)
+
+
 for _m in ("messages_received", "messages_processed", "messages_failed", "messages_retried",
            "messages_dlq", "processing_duration", "lane_load"):
     _metric(_m)

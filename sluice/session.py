@@ -109,21 +109,22 @@ def materialize(df, name: str):
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._sluice_path = path
-    _hadoop(df.sparkSession, path, lambda fs, p: fs.deleteOnExit(p))
+    on_path(df.sparkSession, path, lambda fs, p: fs.deleteOnExit(p))
     return table
 
 
-def _hadoop(spark: SparkSession, path: str, action) -> None:
+def on_path(spark: SparkSession, path: str, action):
+    """``action(file system, path)``, for whatever store Spark itself reaches the path by."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    action(p.getFileSystem(spark._jsc.hadoopConfiguration()), p)
+    return action(p.getFileSystem(spark._jsc.hadoopConfiguration()), p)
 
 
 def make_folder(spark: SparkSession, path: str) -> None:
     """An empty folder for a file stream that may start before anything is written to it."""
-    _hadoop(spark, path, lambda fs, p: fs.mkdirs(p))
+    on_path(spark, path, lambda fs, p: fs.mkdirs(p))
 
 
 def discard(*tables) -> None:
     """Remove tables written by ``materialize`` that no later plan reads (the others go when the session ends)."""
     for t in tables:
-        _hadoop(t.sparkSession, t._sluice_path, lambda fs, p: fs.delete(p, True))
+        on_path(t.sparkSession, t._sluice_path, lambda fs, p: fs.delete(p, True))

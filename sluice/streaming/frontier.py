@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from sluice.operators.progress import TP
+from sluice.sources.sinks import commit_batch
 
 LONGS = T.ArrayType(T.LongType())
 SETS = ["tracked_lo", "tracked_hi", "done_lo", "done_hi"]
@@ -118,8 +119,8 @@ def frontier_stream(progress: DataFrame) -> DataFrame:
 
 
 def start_frontier_stream(progress: DataFrame, out_dir: str, checkpoint: str, trigger: dict | None = None):
-    """Write each batch's frontiers below ``out_dir/frontier``, a folder a batch id; returns the ``StreamingQuery``."""
+    """Write each batch's frontiers below ``out_dir/frontier``, committed by batch id; returns the ``StreamingQuery``."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(out_dir, "frontier", f"batch={batch_id}"))
+        commit_batch(batch, os.path.join(out_dir, "frontier"), batch_id)
     return (frontier_stream(progress).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

@@ -3,7 +3,7 @@
 * ``start_triage_stream``: raw records -> stateless prepare (parse, lookups,
   handler), written once -> per-event-id history of claims (``claims``) ->
   ``foreachBatch`` sink that judges the rows and writes outcomes and retry / dead-letter records,
-  one folder per batch id so a replayed batch overwrites instead of duplicating.
+  committed by batch id so that a replayed batch counts once.
 * ``start_retry_scheduler``: ``.retry`` records -> per-event-id schedule state
   with a wall-clock timer at the due time -> republished envelopes, or a list of expired ones.
 * ``watermark_dedup_replay``: Spark's built-in ``dropDuplicatesWithinWatermark``.
@@ -33,7 +33,7 @@ from sluice.operators.dedup import dedup_within_watermark
 from sluice.operators.retry import ZERO_TIME_EPOCH_S, reschedule_failed
 from sluice.plans import triage as TR
 from sluice.session import checkpoint_dir, make_folder
-from sluice.sources.sinks import write_records, write_republished
+from sluice.sources.sinks import commit_batch, read_committed, write_records, write_republished
 from sluice.streaming import claims as CL
 
 ORDER = ["clock", "topic", "partition", "offset"]
@@ -124,12 +124,12 @@ def _write_batch(out_dir: str, bootstrap: str | None = None, options: dict | Non
         batch.persist()
         done = outcomes(batch, ttl_s).persist()
         try:
-            # one folder per batch id: a replayed batch overwrites its own output
-            done.select(*TR.IDS, "event_id", "event_type", "tenant_id", "outcome", "reason", "sink_topic", "dedup_status") \
-                .write.mode("overwrite").parquet(os.path.join(out_dir, "outcomes", f"batch={batch_id}"))
+            # each output is committed by batch id: a replayed batch counts once
+            commit_batch(done.select(*TR.IDS, "event_id", "event_type", "tenant_id", "outcome", "reason", "sink_topic", "dedup_status"),
+                         os.path.join(out_dir, "outcomes"), batch_id)
             write_records(TR.sink_records(done), path=os.path.join(out_dir, "sinks"), batch_id=batch_id,
                           bootstrap=bootstrap, options=options)
-            M.counters(done).write.mode("overwrite").parquet(os.path.join(out_dir, "counters", f"batch={batch_id}"))
+            commit_batch(M.counters(done), os.path.join(out_dir, "counters"), batch_id)
         finally:
             done.unpersist()
             batch.unpersist()
@@ -317,8 +317,7 @@ def start_retry_scheduler(raw: DataFrame, out_dir: str, checkpoint: str, trigger
                 if not lost.isEmpty():
                     lost.write.mode("overwrite").parquet(os.path.join(folder, f"batch-{batch_id}"))
                 lost.unpersist()
-            batch.where("expired").select("event_id", "original_topic", "scheduled_at").write.mode(
-                "overwrite").parquet(os.path.join(out_dir, "expired", f"batch={batch_id}"))
+            commit_batch(batch.where("expired").select("event_id", "original_topic", "scheduled_at"), os.path.join(out_dir, "expired"), batch_id)
         finally:
             batch.unpersist()
     again = None
@@ -344,11 +343,14 @@ def watermark_dedup_replay(spark: SparkSession, rows: DataFrame, key: str = "eve
     """
     src, out = scratch(spark, "wm-src"), scratch(spark, "wm-out")
     rows = rows.withColumn("slice", F.floor(F.unix_micros(clock) / F.lit(slice_s * 1_000_000)).cast("bigint"))
-    lo, hi = rows.select(F.min("slice"), F.max("slice")).first()
-    if lo is None:
+    # written once by slice: each slice is then a folder, not another pass over the source
+    cut = scratch(spark, "wm-slices")
+    rows.withColumn("of", F.col("slice")).write.partitionBy("of").parquet(cut)
+    found = [r[0] for r in spark.read.parquet(cut).select("of").distinct().orderBy("of").collect()]
+    if not found:
         return rows.limit(0)
-    for n in range(lo, hi + 1):
-        rows.where(F.col("slice") == n).write.mode("append").parquet(src)
+    for n in found:
+        spark.read.schema(rows.schema).parquet(f"{cut}/of={n}").write.mode("append").parquet(src)
         q = (dedup_within_watermark(spark.readStream.schema(rows.schema).parquet(src), clock, key, delay)
              .writeStream.format("parquet").option("path", out)
              .option("checkpointLocation", out + "-ckpt").trigger(availableNow=True).start())
@@ -364,9 +366,9 @@ def triage_replay(spark: SparkSession, parts: Sequence[DataFrame], registry: Dat
         part.write.mode("append").parquet(src)
         stream = spark.readStream.schema(part.schema).parquet(src)
         start_triage_stream(stream, registry, topics, out, out + "-ckpt", fault_col=fault_col, duration_col=duration_col).awaitTermination()
-    return spark.read.parquet(os.path.join(out, "outcomes"))
+    return read_committed(spark, os.path.join(out, "outcomes"))
 
 
 def read_counters(spark: SparkSession, out_dir: str) -> DataFrame:
     """The counters of all batches that a triage job has written (see ``metrics.counters``)."""
-    return M.merge_counters(spark.read.parquet(os.path.join(out_dir, "counters")))
+    return M.merge_counters(read_committed(spark, os.path.join(out_dir, "counters")))

@@ -94,24 +94,26 @@ def test_retry_scheduler_stream_releases_due_once(spark):
         raw.coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(src)
     start_retry_scheduler(stream, out, out + "-ckpt").awaitTermination()
-    got = spark.read.parquet(os.path.join(out, "republished")).collect()
+    from sluice.sources.sinks import read_committed
+    got = read_committed(spark, os.path.join(out, "republished")).collect()
     assert sorted(r["sink_value"].split('"eventId":"')[1][:2] for r in got) == ["e1", "e2", "e3"]
     e1 = [r for r in got if '"eventId":"e1"' in r["sink_value"]][0]
     assert '"retryCount":2' in e1["sink_value"] and e1["sink_topic"] == "cases"
-    recs = spark.read.parquet(os.path.join(out, "republished")).select("sink_value", "sink_topic", "sink_key")
+    recs = read_committed(spark, os.path.join(out, "republished")).select("sink_value", "sink_topic", "sink_key")
     write_records(recs, path=os.path.join(out, "sink"), batch_id=0)
-    assert spark.read.parquet(os.path.join(out, "sink", "batch=0")).count() == 3
+    write_records(recs, path=os.path.join(out, "sink"), batch_id=0)
+    assert read_committed(spark, os.path.join(out, "sink")).count() == 3
 
 
 def test_quiet_topic_releases_and_expires_by_the_clock(spark):
     """No record follows: the entry due in some seconds is still released, the one without a due time expires."""
-    import glob
     import os
     import time
     from datetime import datetime, timedelta, timezone
 
     from conftest import raw_frame
 
+    from sluice.sources.sinks import read_committed
     from sluice.streaming.jobs import scratch, start_retry_scheduler
     soon = (datetime.now(timezone.utc) + timedelta(seconds=8)).strftime('"%Y-%m-%dT%H:%M:%SZ"')
     raw = raw_frame(spark, [("cases.retry", 0, 0, _retry_env("e1", soon, 1), "2024-01-01 00:00:00"),
@@ -122,9 +124,7 @@ def test_quiet_topic_releases_and_expires_by_the_clock(spark):
                               trigger={"processingTime": "1 second"}, ttl_s=10)
 
     def rows(kind):
-        if not glob.glob(os.path.join(out, kind, "batch=*", "**", "*.parquet"), recursive=True):
-            return []
-        return spark.read.option("recursiveFileLookup", "true").parquet(os.path.join(out, kind)).collect()
+        return read_committed(spark, os.path.join(out, kind), "sink_value string, event_id string").collect()
     try:
         end = time.time() + 90
         while time.time() < end and not (rows("republished") and rows("expired")):
@@ -200,7 +200,8 @@ def test_stream_restart_from_checkpoint(spark):
     second.write.mode("append").parquet(src)
     start_triage_stream(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(src),
                         reg, tops, out, ckpt).awaitTermination()
-    got = spark.read.parquet(os.path.join(out, "outcomes")).select("offset", "outcome").collect()
+    from sluice.sources.sinks import read_committed
+    got = read_committed(spark, os.path.join(out, "outcomes")).select("offset", "outcome").collect()
     want = TR.run_triage(raw, reg, tops).select("offset", "outcome").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     assert len(got) == 12 and sum(1 for r in got if r["outcome"] == "duplicate") > 0

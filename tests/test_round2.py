@@ -10,6 +10,7 @@ from sluice.operators import handlers as H
 from sluice.operators import retry as RT
 from sluice.operators import route as R
 from sluice.plans import triage as TR
+from sluice.sources.sinks import read_committed
 from sluice.streaming import jobs as J
 
 ENV = '{"version":1,"eventId":"%s","eventType":"VISIT_APPROVED","tenantId":"t","timestamp":"2024-01-01T00:00:00Z","data":{"visitId":"v"}}'
@@ -56,9 +57,9 @@ def test_stream_gives_every_record_an_outcome(spark, tmp_path):
         part.coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(src)
     J.start_triage_stream(stream, R.registry_frame(spark), R.topics_frame(spark), out, str(tmp_path / "ck")).awaitTermination()
-    got = {(r.topic, r.offset): r.outcome for r in spark.read.parquet(os.path.join(out, "outcomes")).collect()}
+    got = {(r.topic, r.offset): r.outcome for r in read_committed(spark, os.path.join(out, "outcomes")).collect()}
     assert got == {("visits", 0): "processed", ("visits", 1): "processed", ("visits", 2): "processed", ("visits", 3): "duplicate", ("visits.retry", 0): "dlq"}
-    sinks = spark.read.parquet(os.path.join(out, "sinks")).collect()
+    sinks = read_committed(spark, os.path.join(out, "sinks")).collect()
     assert [r.sink_topic for r in sinks] == ["visits.retry.dlq"]
 
 
