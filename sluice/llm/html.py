@@ -12,7 +12,7 @@ Elements that never hold article text go by name, role or class words: navigatio
 notices, adverts, sharing and reader comments. Outside an article a part of a class or id (``site-nav``) is enough, or being a form,
 unless the element holds an article or half of the page's text; names of a state (``has-sidebar``) say nothing. Inside an article
 it takes a whole class, or the id of the reader comments. What holds a main element stays; what holds articles goes only by
-name, role or whole class and if the articles outside such elements have as much text. A head ends at the first element or text that can't be in it.
+name, role or whole class and if the articles outside such elements have as much text. A quotation's footer names its source and stays. A head ends at the first element or text that can't be in it.
 Pages with an article (or main) element that is left give its blocks, others the body's.
 
 Text. Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page order by
@@ -42,17 +42,25 @@ _ATTRIBUTE = re.compile(r"(?<![\w:.-])(class|id|role|hidden|aria-hidden)(?:\s*=\
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt",
-          "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
-#: Content elements: inside an article never part of a template.
+          "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
+          # formulas are text of their line
+          "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "msup", "msub", "msubsup", "munder", "mover", "munderover", "mspace", "mstyle", "mpadded",
+          "menclose", "mfenced", "mtable", "mtr", "mtd", "semantics"}
+#: Opening tags that end a paragraph.
+ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "dt", "dd", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4",
+          "h5", "h6", "header", "hgroup", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul"}
+#: Content elements: inside an article part of a template only if they are on half of the host's pages.
 CONTENT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li", "dt", "dd", "td", "th", "tr", "figcaption", "caption"}
 DROPPED = {"script", "style", "noscript", "template", "head", "title", "nav", "aside", "iframe", "svg", "canvas", "object", "button", "select", "textarea", "input",
-           "option", "menu", "dialog", "footer", "audio", "video", "math", "map", "noembed", "noframes"}
+           "option", "menu", "dialog", "footer", "audio", "video", "map", "noembed", "noframes", "annotation", "annotation-xml"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 #: Words of class and id names, between punctuation.
 CLASSES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "breadcrumb",
            "breadcrumbs", "footer", "sidebar", "aside", "widget", "widgets", "related", "recommended", "share", "sharing", "social", "cookie", "cookies", "consent", "gdpr", "notice",
            "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "search", "form", "comment", "comments", "disqus", "reply",
            "replies", "respond", "pagination", "pager", "toolbar", "skip", "copyright", "legal", "disclaimer"}
+#: Of these, those that inside an article may be its subject.
+SUBJECTS = {"legal"}
 #: Never part of a template.
 WHOLE = {"html", "head", "body", "article", "main"}
 #: These hold a page's head outside an article, but the title inside one.
@@ -72,12 +80,12 @@ SCOPES = {"table", "ul", "ol", "dl", "article", "section", "div", "body", "html"
 
 
 class Node:
-    __slots__ = ("tag", "names", "items", "hash", "drop", "outside", "inside", "weak")
+    __slots__ = ("tag", "names", "items", "hash", "drop", "outside", "inside", "weak", "named")
 
     def __init__(self, tag: str, attributes: str):
         """outside, inside: an article, reasons to drop it; weak: a lesser one outside."""
         self.tag, self.items, self.hash, self.names, self.drop = tag, [], 0, "", False
-        self.inside, self.weak = tag in DROPPED, False
+        self.inside, self.weak, self.named = tag in DROPPED, False, False
         self.outside = self.inside or tag == "header"
         if attributes:
             for m in _ATTRIBUTE.finditer(attributes):
@@ -93,31 +101,36 @@ class Node:
                     self._strong(any(_COMMENT.match(x) for x in value.split()))
                 elif tag != "main":
                     for name in value.split():
-                        if name in (CLASSES if key == "class" else COMMENT_IDS):
+                        if name in (CLASSES - SUBJECTS if key == "class" else COMMENT_IDS):
                             self._strong(True)
                         elif name in CLASSES or name in HEADS:
                             self.outside = True
                         elif not self.weak:
-                            said = set(re.split(r"[^a-z]+", name))
-                            self.weak = not said & STATES and bool(said & CLASSES or said & HEADS)
+                            said = [x for x in re.split(r"[^a-z]+", name) if x]
+                            # what a name ends with is what it is; it may begin so if it is short or goes on so
+                            hits = [x in CLASSES or x in HEADS for x in said]
+                            self.weak = not STATES & set(said) and any(hits) and (hits[-1] or hits[0] and (len(said) < 3 or hits[1]))
 
     def _strong(self, yes: bool) -> None:
         self.inside |= yes
         self.outside |= yes
+        self.named |= yes
 
 
 def _mark(root: Node) -> None:
     """Sets ``drop`` of every node."""
-    nodes, above, within = [root], [-1], [False]  # within: an article
+    nodes, above, within, quoted = [root], [-1], [False], [False]  # within: an article; quoted: a quotation, whose footer names its source
     for k, x in enumerate(nodes):
         article = within[k] or x.tag in ("article", "main")
+        quote = quoted[k] or x.tag == "blockquote"
         for i in x.items:
             if isinstance(i, Node):
                 nodes.append(i)
                 above.append(k)
                 within.append(article)
+                quoted.append(quote)
     n = len(nodes)
-    strong = [x.inside if a else x.outside for x, a in zip(nodes, within)]
+    strong = [x.named if q and x.tag == "footer" else x.inside if a else x.outside for x, a, q in zip(nodes, within, quoted)]
     # characters below a node, those of its articles, and whether it holds an article or a main element
     chars, held, holds, main = [0] * n, [0] * n, [False] * n, [False] * n
     for k in range(n - 1, -1, -1):
@@ -146,67 +159,80 @@ def _mark(root: Node) -> None:
             x.drop = not holds[k] and 2 * chars[k] < chars[0]
 
 
-def _end_head(stack: list[Node], tag: str = "") -> None:
-    """Closes a head that is open; a body element also ends what stands open in it."""
-    if stack[-1].tag == "head":
-        stack.pop()
-    elif tag == "body":
-        del stack[next((k for k, x in enumerate(stack) if x.tag == "head"), len(stack)):]
+class Stack:
+    """Open elements, and of every name where they are open, so that no end tag walks through them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, k: int) -> None:
+        """Closes the k-th element and all in it."""
+        while len(self.nodes) > k:
+            self.at[self.nodes.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element of these names, 0 if there is none."""
+        return max((at[-1] for t in tags if (at := self.at.get(t))), default=0)
+
+    def end_head(self, tag: str = "") -> None:
+        """Closes a head that is open; a body element also ends what stands open in it."""
+        if self.nodes[-1].tag == "head":
+            self.cut(len(self.nodes) - 1)
+        elif tag == "body" and self.at.get("head"):
+            self.cut(self.at["head"][0])
 
 
 def parse(page: str) -> Node:
     """The tree of block elements; items are texts and nodes in order."""
     root = Node("", "")
-    stack, at, n = [root], 0, len(page)
+    stack, at, n = Stack(root), 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
         if not m:
             break
         if m.start() > at:
             if not page[at: m.start()].isspace():
-                _end_head(stack)
-            stack[-1].items.append(page[at: m.start()])
+                stack.end_head()
+            stack.nodes[-1].items.append(page[at: m.start()])
         at, tag = m.end(), (m[2] or "").lower()
         if tag and not m[1] and tag not in METADATA:
-            _end_head(stack, tag)
+            stack.end_head(tag)
         if not tag or tag in INLINE:
             continue
         if m[1]:
             if tag == "br":
-                stack[-1].items.append(" ")
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag in CONTENT and stack[k].tag in SCOPES:
-                    break
+                stack.nodes[-1].items.append(" ")
+            k = stack.last((tag,))
+            if k and (tag not in CONTENT or k >= stack.last(SCOPES)):
+                stack.cut(k)
             continue
         if tag in VOID:
             if tag in ("br", "hr", "wbr"):
-                stack[-1].items.append(" " if tag == "br" else "" if tag == "wbr" else Node("hr", ""))
+                stack.nodes[-1].items.append(" " if tag == "br" else "" if tag == "wbr" else Node("hr", ""))
             continue
-        if tag not in ENDS and stack[-1].tag == "p" or tag in ("li", "dt", "dd") and stack[-1].tag == "p":
-            stack.pop()
+        if tag in ENDS_P and stack.nodes[-1].tag == "p":
+            stack.cut(len(stack.nodes) - 1)
         if tag in ENDS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ENDS[tag]:
-                    del stack[k:]
-                    break
-                if stack[k].tag in SCOPES and stack[k].tag not in ENDS[tag]:
-                    break
+            k = stack.last(ENDS[tag])
+            if k and k >= stack.last(SCOPES - ENDS[tag]):
+                stack.cut(k)
         node = Node(tag, m[3] or "")
-        stack[-1].items.append(node)
+        stack.nodes[-1].items.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             if tag in ("textarea", "title"):
                 node.items.append(page[at: end.start() if end else n])
             at = page.find(">", end.start()) + 1 or n if end else n
             continue
-        stack.append(node)
+        stack.push(node)
     if at < n:
         if not page[at:].isspace():
-            _end_head(stack)
-        stack[-1].items.append(page[at:])
+            stack.end_head()
+        stack.nodes[-1].items.append(page[at:])
     _mark(root)
     return root
 
