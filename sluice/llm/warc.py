@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from sluice.llm.tables import Tables, partitions
 
 MIN_REVISIT, SEGMENT, CHUNK = 100, 1 << 14, 1 << 13
+#: Most bytes of an archive file (but for headers longer than SHORT), and of a short record.
+FILE_BYTES, SHORT = 1 << 28, 1 << 16
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -87,7 +89,7 @@ def records(batches, segment: int):
                     out.append(_record({"WARC-Type": "continuation", "WARC-Record-ID": own, "WARC-Date": DATE, "WARC-Segment-Origin-ID": name, "WARC-Segment-Number": k,
                                         "WARC-Segment-Total-Length": len(block) if k == len(pieces) else None}, piece))
                     later.append(True)
-            yield pa.record_batch({"record": pa.array(out, pa.binary()), "later": pa.array(later, pa.bool_())})
+            yield pa.record_batch({"record": pa.array(out, pa.binary()), "later": pa.array(later, pa.bool_()), "long": pa.array([len(x) > SHORT for x in out], pa.bool_())})
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT, segment: int = SEGMENT) -> None:
@@ -99,10 +101,13 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     shared = tables.write(long.where("first < last").select(F.col("digest").alias("d"), "first"), "shared")
     told = rows.join(shared, F.col("digest") == F.col("d"), "left") \
         .select("page_id", "url", "html", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("origin"))
-    made = tables.write(told.mapInArrow(lambda batches: records(batches, segment), "record binary, later boolean"), "records", "zstd")
+    made = tables.write(told.mapInArrow(lambda batches: records(batches, segment), "record binary, later boolean, long boolean"), "records", "zstd")
     text = F.col("record").cast("string").alias("value")
-    made.where("not later").select(text).write.text(f"{folder}/pages")
-    made.where("later").repartition(partitions(spark), F.xxhash64("record")).select(text).write.text(f"{folder}/continued")
+    # a file is one value for its reader: no more records in it than FILE_BYTES has room for, long ones in files of their own
+    made.where("not later and not long").select(text).write.option("maxRecordsPerFile", max(1, FILE_BYTES // SHORT)).text(f"{folder}/pages")
+    room = max(1, FILE_BYTES // (segment + SHORT))
+    made.where("not later and long").select(text).write.mode("append").option("maxRecordsPerFile", room).text(f"{folder}/pages")
+    made.where("later").repartition(partitions(spark), F.xxhash64("record")).select(text).write.option("maxRecordsPerFile", room).text(f"{folder}/continued")
     tables.drop("records")
 
 
