@@ -27,6 +27,7 @@ all in one document is taken to the word as well; other columns are ignored.
 from __future__ import annotations
 
 import math
+from decimal import Decimal, localcontext
 
 import numpy as np
 import pyarrow as pa
@@ -87,10 +88,43 @@ def _hypergeometric(draw, good: int, bad: int, n: int) -> int:
         return n
     if good + bad < 10 ** 9:
         return int(draw.hypergeometric(good, bad, n))
-    # beyond numpy's range: the normal approximation, kept inside the exact bounds
-    m = good + bad
-    mean, var = n * good / m, n * good / m * bad / m * (m - n) / max(m - 1, 1)
-    return min(max(round(mean + draw.standard_normal() * math.sqrt(var)), max(0, n - bad)), min(good, n))
+    return _large_hypergeometric(draw, good, bad, n)
+
+
+def _log_factorial(n: int) -> Decimal:
+    """To 40 digits: Stirling's series, exact products below 64."""
+    if n < 64:
+        return Decimal(math.factorial(n)).ln()
+    x = Decimal(n)
+    series = sum((Decimal(a) / Decimal(b) / x ** (2 * k + 1) for k, (a, b) in enumerate(STIRLING)), Decimal(0))
+    return x * x.ln() - x + (x * TWO_PI).ln() / 2 + series
+
+
+#: 2 pi to 50 digits, and the coefficients B(2k) / (2k (2k - 1)) of Stirling's series (fixed values).
+TWO_PI = Decimal("6.2831853071795864769252867665590057683943387987502")
+STIRLING = ((1, 12), (-1, 360), (1, 1260), (-1, 1680), (1, 1188), (-691, 360360), (1, 156), (-3617, 122400), (43867, 244188), (-174611, 125400), (77683, 5796), (-236364091, 1506960))
+
+
+def _large_hypergeometric(draw, good: int, bad: int, n: int) -> int:
+    """Beyond numpy's range: the same distribution by rejection from a ratio of uniforms, its probabilities in 40 digits."""
+    with localcontext() as context:
+        context.prec = 50
+        total, least, most = good + bad, max(0, n - bad), min(n, good)
+
+        def weight(k: int) -> Decimal:
+            return _log_factorial(k) + _log_factorial(good - k) + _log_factorial(n - k) + _log_factorial(bad - n + k)
+        mean = n * good / total
+        spread = math.sqrt(max(mean * (bad / total) * ((total - n) / max(total - 1, 1)), 0) + 0.5)
+        peak = weight(min(max((n + 1) * (good + 1) // (total + 2), least), most))
+        # the hat of Stadlober's ratio of uniforms: 2 sqrt(2 / e) and 3 - 2 sqrt(3 / e)
+        width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+        while True:
+            u, v = draw.random(), draw.random()
+            if not u:
+                continue
+            k = math.floor(mean + 0.5 + width * (v - 0.5) / u)
+            if least <= k <= most and 2 * math.log(u) <= float(peak - weight(k)):
+                return k
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, total: float = TOTAL,

@@ -231,3 +231,49 @@ def test_short_items_and_unspaced_scripts(spark):
     assert got == sorted(con.sql(f"SELECT doc_id, item_id, n_shared, n_shingles, containment FROM ({decontam.ORACLE})").fetchall(), key=str)
     left = decontam.remove_contaminated(df, it)
     assert sorted(map(tuple, left.collect()), key=str) == sorted([docs_[4]], key=str)
+
+
+def test_hypergeometric_beyond_numpy_is_the_same_distribution():
+    """Log factorials to 35 digits; draws of the large path against exact probabilities on a small urn, and moments on a large one."""
+    import math
+    from decimal import Decimal, localcontext
+
+    from sluice.llm import mixing
+    with localcontext() as c:
+        c.prec = 50
+        for n in (0, 1, 5, 63, 64, 65, 200, 2000):
+            assert abs(mixing._log_factorial(n) - Decimal(math.factorial(n)).ln()) < Decimal(10) ** -32
+    draw = np.random.Generator(np.random.PCG64(1))
+    for good, bad, n in ((12, 30, 10), (500, 700, 400)):
+        got = collections.Counter(mixing._large_hypergeometric(draw, good, bad, n) for _ in range(4000))
+        chi, kinds = 0.0, 0
+        for k in range(max(0, n - bad), min(n, good) + 1):
+            want = 4000 * math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n)
+            if want >= 5:
+                chi, kinds = chi + (got[k] - want) ** 2 / want, kinds + 1
+        assert chi < kinds + 4 * math.sqrt(2 * kinds)
+    good, bad, n = 3 * 10 ** 12, 10 ** 13, 4 * 10 ** 12
+    many = np.array([mixing._hypergeometric(draw, good, bad, n) for _ in range(300)], dtype=float)
+    mean, m = n * good / (good + bad), good + bad
+    spread = math.sqrt(mean * bad / m * (m - n) / (m - 1))
+    assert abs(many.mean() - mean) < 4 * spread / math.sqrt(300) and 0.85 < many.std() / spread < 1.15
+    assert mixing._hypergeometric(draw, 10 ** 12, 0, 7) == 7 and mixing._hypergeometric(draw, 10 ** 12, 5, 10 ** 12 + 5) == 10 ** 12
+    split = mixing.split(np.array([2 * 10 ** 9, 0, 10 ** 9 + 1]), 3, 4)
+    assert split.sum(0).tolist() == [2 * 10 ** 9, 0, 10 ** 9 + 1] and max(split.sum(1)) - min(split.sum(1)) <= 1
+
+
+def test_warc_files_are_bounded(spark, tmp_path, monkeypatch):
+    """Files of short and of long records, none larger than the bound allows; all pages read back."""
+    import glob
+    import os
+
+    from sluice.llm import warc
+    monkeypatch.setattr(warc, "FILE_BYTES", 40000)
+    monkeypatch.setattr(warc, "SHORT", 4000)
+    pages = [(i, f"u{i}", f"{i} " * (100 if i % 5 else 4000)) for i in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.write_and_read(df, segment=6000).collect()}
+    assert got == {i: (len(h), hashlib.sha256(h.encode()).hexdigest()) for i, _, h in pages}
+    warc.write(df, str(tmp_path / "a"), segment=6000)
+    files = glob.glob(str(tmp_path / "a" / "*" / "part-*"))
+    assert len(files) > 8 and max(map(os.path.getsize, files)) <= 44000
