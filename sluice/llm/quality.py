@@ -1,8 +1,8 @@
 """Quality classifier with hierarchical empirical Bayes over hosts and paths.
 
 Evidence. A logistic model on the different words of a text (folded, hashed to 2**18), their 4- and 5-byte beginnings and the shares of
-kinds of bytes (upper case, digits, marks, repeated words), fitted on at most ``SAMPLE`` (20,000) labelled rows taken in a hash order (a
-documented bound), one weight vector for each label (quality, toxic). A text's evidence is its log odds less those of the labelled base rate.
+kinds of bytes (upper case, digits, marks, repeated words), fitted on at most ``SAMPLE`` (20,000) labelled rows (a documented
+bound: those below a hash threshold, the few above the bound cut in order of id), one weight vector for each label (quality, toxic). A text's evidence is its log odds less those of the labelled base rate.
 
 Priors. Hosts' rates are Beta distributed around the global rate, paths' rates around their host's. Both strengths are estimated by the
 method of moments from grouped sums: the variance of the group means beyond what their sizes explain. A host's posterior mean is (strength *
