@@ -56,7 +56,7 @@ def siblings(proof: Column) -> Column:
 def _ranked(leaves: DataFrame, tables: Tables, name: str) -> tuple[DataFrame, int]:
     """Leaves (g, id, node, own) with ``rank`` in their group and its size ``m``; and the largest size."""
     order = [F.col("g"), F.col("id").asc_nulls_first(), F.col("node"), F.col("tie")]
-    ordered = leaves.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(partitions(leaves.sparkSession), *order) \
+    ordered = leaves.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(partitions(leaves.sparkSession, leaves), *order) \
         .sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).drop("tie", "id")
     ordered = tables.write(ordered, f"{name}-ordered").withColumn("part", F.shiftright("at", 33))
     parts = tables.write(ordered.groupBy("g", "part").agg(F.min("at").alias("first"), F.count("*").alias("n")), f"{name}-parts")

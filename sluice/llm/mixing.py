@@ -132,7 +132,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(documents, blocks). Documents: row, id, text_key, source, size, source_size, target of every row. Blocks: shard, place (order
     in the shard), row, id, text_key, pass, words (taken from the document's beginning). text_key: ``key``, or else a hash of the text."""
     spark, tables = docs.sparkSession, Tables(docs.sparkSession, "mixing")
-    buckets = partitions(spark)
+    buckets = partitions(spark, docs)
     shards = shards or buckets
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), (key if key is not None else F.xxhash64(text_col)).alias("text_key")) \
@@ -207,7 +207,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     out = every.withColumns(changed)
     if chars_col in docs.columns:
         out = out.withColumn(chars_col, F.when(cut, F.length(text_col).cast(dict(docs.dtypes)[chars_col])).otherwise(F.col(chars_col)))
-    shards = options.get("shards") or partitions(docs.sparkSession)
+    shards = options.get("shards") or partitions(docs.sparkSession, docs)
     return out.repartition(shards, F.col(f"{block}.shard")).sortWithinPartitions(f"{block}.shard", f"{block}.place").select(*docs.columns)
 
 

@@ -26,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 #: Rows and bytes that Spark hands to Python at once: whole texts are long, its defaults are meant for short rows.
-BATCH_ROWS, BATCH_BYTES = 2500, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2500, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -76,9 +76,23 @@ class Tables:
         self._fs(path).delete(path, True)
 
 
-def partitions(spark: SparkSession) -> int:
-    """Shuffle partitions the session asks for; the cluster sizes them to its input."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Input bytes that a shuffle partition is meant for, where the session's number would make it larger.
+PART_BYTES = 1 << 27
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of all that the plan of ``df`` reads, as Spark knows it; sources of unknown size (a stated size beyond 2**60) count nothing."""
+    leaves, total = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator(), 0
+    while leaves.hasNext():
+        size = int(str(leaves.next().stats().sizeInBytes()))
+        total += size if size < 1 << 60 else 0
+    return total
+
+
+def partitions(spark: SparkSession, df: DataFrame | None = None) -> int:
+    """Shuffle partitions the session asks for; more if ``df`` reads more than ``PART_BYTES`` for each."""
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return n if df is None else max(n, -(-input_bytes(df) // PART_BYTES))
 
 
 def free_name(df: DataFrame, base: str) -> str:

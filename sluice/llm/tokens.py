@@ -39,8 +39,8 @@ from sluice.llm import rans
 from sluice.llm.arrays import released, slices
 from sluice.llm.tables import Tables, partitions
 
-BLOCK, SLICE = 1 << 19, 1 << 22
-CACHE_WORDS = 1_000_000
+BLOCK, SLICE = 1 << 19, 1 << 21
+CACHE_WORDS = 150_000
 MARKS = ".,!?;:%&*#$|"
 
 
@@ -213,7 +213,7 @@ def blocks(rows: DataFrame, model, limit: int = BLOCK) -> DataFrame:
                     size, back = size + len(part), rans.GOES_BACK
         if size:
             yield send()
-    dealt = rows.select("id", "order", "ids").repartitionByRange(partitions(rows.sparkSession), "id", "order").sortWithinPartitions("id", "order")
+    dealt = rows.select("id", "order", "ids").repartitionByRange(partitions(rows.sparkSession, rows), "id", "order").sortWithinPartitions("id", "order")
     return dealt.select("id", "ids").mapInArrow(released(run), BLOCKS)
 
 

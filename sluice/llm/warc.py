@@ -107,7 +107,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     made.where("not later and not long").select(text).write.option("maxRecordsPerFile", max(1, FILE_BYTES // SHORT)).text(f"{folder}/pages")
     room = max(1, FILE_BYTES // (segment + SHORT))
     made.where("not later and long").select(text).write.mode("append").option("maxRecordsPerFile", room).text(f"{folder}/pages")
-    made.where("later").repartition(partitions(spark), F.xxhash64("record")).select(text).write.option("maxRecordsPerFile", room).text(f"{folder}/continued")
+    made.where("later").repartition(partitions(spark, made), F.xxhash64("record")).select(text).write.option("maxRecordsPerFile", room).text(f"{folder}/continued")
     tables.drop("records")
 
 

@@ -277,3 +277,13 @@ def test_warc_files_are_bounded(spark, tmp_path, monkeypatch):
     warc.write(df, str(tmp_path / "a"), segment=6000)
     files = glob.glob(str(tmp_path / "a" / "*" / "part-*"))
     assert len(files) > 8 and max(map(os.path.getsize, files)) <= 44000
+
+
+def test_partitions_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from sluice.llm import tables
+    spark.range(20000).selectExpr("id", "uuid() AS x").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tables.partitions(spark, df) == n and tables.input_bytes(df) > 100_000
+    monkeypatch.setattr(tables, "PART_BYTES", 10_000)
+    assert tables.partitions(spark, df) == -(-tables.input_bytes(df) // 10_000) > n and tables.partitions(spark) == n
