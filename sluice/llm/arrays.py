@@ -63,6 +63,11 @@ def release() -> None:
     """Give a worker's free memory back: called at the end of a task, as workers outlive it and stand beside the executor's heap."""
     _CACHE.clear()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """The same without a search for garbage: called after a batch, so that workers of one executor don't all hold what their largest batch took."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

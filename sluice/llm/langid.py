@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.arrays import column_bytes, release, slices
+from sluice.llm.arrays import column_bytes, release, slices, trim
 from sluice.llm.tables import Tables, free_name, small_batches
 
 ORDER, SAMPLE, RUNS = 3, 1000, 1 << 21
@@ -289,6 +289,7 @@ def _over(one):
     def every(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
             yield one(x)
+            trim()
         release()
     every.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return every

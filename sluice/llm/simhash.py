@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.arrays import released
+from sluice.llm.arrays import released, trim
 from sluice.llm.tables import Tables, free_name, partitions
 
 RADIUS = 3
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
             texts = b.column("text").cast(pa.large_binary())
             fp = np.fromiter((fingerprint(x.as_py(), shingle) for x in texts), np.uint64, len(texts))
             yield pa.record_batch({"id": b.column("id"), "text_key": b.column("text_key"), "fp": pa.array(fp.view(np.int64))})
+            trim()
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")) \
         .mapInArrow(released(run), "id long, text_key long, fp long")
 

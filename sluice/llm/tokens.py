@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import rans
-from sluice.llm.arrays import released, slices
+from sluice.llm.arrays import released, slices, trim
 from sluice.llm.tables import Tables, partitions
 
-BLOCK, SLICE = 1 << 19, 1 << 21
-CACHE_WORDS = 150_000
+BLOCK, SLICE = 1 << 19, 1 << 22
+CACHE_WORDS = 250_000
 MARKS = ".,!?;:%&*#$|"
 
 
@@ -172,6 +172,8 @@ def token_rows(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str,
                 yield pa.record_batch({"id": part.column("id"), "order": pa.array([zlib.crc32(x) for x in each], pa.int64()),
                                        "ids": pa.array([_squeeze(x, width, tool) for x in each], pa.binary()),
                                        "counts": pa.array([counts] + [None] * (len(each) - 1), pa.binary())})
+                del each, seen
+            trim()
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(released(run), "id long, order long, ids binary, counts binary")
 
 
