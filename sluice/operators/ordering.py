@@ -1,9 +1,7 @@
 """Per-entity order: events of one (topic, affinity key) are handled in arrival order.
 
 ``ordered_by_affinity`` numbers each event inside its (topic, key) with the
-skew-safe scan (a hot tenant spreads over many tasks). ``lane_layout`` is the
-physical form for stateful handlers: hash-partition on (topic, key) and sort by
-arrival inside partitions, so a per-partition consumer sees each key in order.
+skew-safe scan (a hot tenant spreads over many tasks).
 """
 from __future__ import annotations
 
@@ -19,9 +17,3 @@ ARRIVAL = ("clock", "topic", "partition", "offset")
 def ordered_by_affinity(events: DataFrame, key: str = "affinity_key",
                         arrival: Sequence[str] = ARRIVAL, out: str = "seq") -> DataFrame:
     return rank_within(events, ["topic", key], list(arrival), out=out)
-
-
-def lane_layout(events: DataFrame, key: str = "affinity_key", arrival: Sequence[str] = ARRIVAL,
-                num_partitions: int | None = None) -> DataFrame:
-    parts = [num_partitions] if num_partitions else []
-    return events.repartition(*parts, "topic", key).sortWithinPartitions("topic", key, *arrival)
