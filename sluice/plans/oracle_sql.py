@@ -586,6 +586,8 @@ SELECT {IDS}, affinity_key,
   row_number() OVER (PARTITION BY topic, affinity_key ORDER BY clock_us, topic, partition, "offset") AS seq
 FROM handled WHERE routed""")
 
+QUERIES["ordered_stream"] = QUERIES["ordered_by_affinity"].replace(" AS seq", " AS seq, seq AS handled")
+
 AS_OF, LAST_FLUSH = "2024-01-15 12:00:00+00", "2024-01-15 11:00:00+00"
 
 

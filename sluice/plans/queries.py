@@ -509,6 +509,27 @@ def ordered_by_affinity(spark, sf_dir):
     return oba(p).select(*IDS, "affinity_key", "seq")
 
 
+def _count_events(state, row):
+    n = int(state or 0) + 1
+    return str(n), str(n)
+
+
+@query
+def ordered_stream(spark, sf_dir):
+    """The same order from a stream in three runs on one checkpoint, odd partitions an hour behind; ``handled`` is a stateful handler's own count of its key's events."""
+    from sluice.streaming import ordered as OR
+    src, out = _scratch(spark, "order-src"), _scratch(spark, "ordered")
+    p = _prepared(spark, sf_dir).where("routed").select(*IDS, "affinity_key", "clock")
+    drift = F.col("clock") + F.make_dt_interval(hours=F.col("partition") % 2)
+    run = (drift >= ts(CUT)).cast("int") + (drift >= ts(NOW_TICK2)).cast("int")
+    for n in range(3):
+        p.where(run == n).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(p.schema).parquet(src)
+        OR.start_ordered_stream(stream, out, out + "-ckpt", wait_s=7200, step=_count_events).awaitTermination()
+    OR.finish_ordered(spark, out, p.schema, step=_count_events)
+    return OR.read_ordered(spark, out, handled=True).select(*IDS, "affinity_key", "seq", F.col("output").cast("bigint").alias("handled"))
+
+
 def _progress(spark, sf_dir, as_of: str):
     m = _messages(spark, sf_dir)
     done_at = F.timestamp_micros(F.unix_micros("timestamp")
