@@ -12,11 +12,13 @@ at the same shift. Repeated anchors are then extended: each window over one is
 compared as a whole by a 128-bit value of its words. Other windows can't repeat
 and are never shuffled.
 
-Execution. Texts are dealt to parts once by a hash of their id and text (that
+Execution. Equal rows (same id and text) are counted, in each batch before the exchange and in each part after it, and
+stand for all their copies from there on. Texts are dealt to parts once by a hash of their id and text (that
 exchange is used by all three steps). A part sends each different value once,
 packed, to the value's bucket; the bucket answers with one bit for each value, "also
 in another part". So a passage that a third of all texts share costs one value for
-each part, and no task gathers the places of a passage.
+each part, and no task gathers the places of a passage. Parts and buckets are as many as the input's bytes ask for (``PART_BYTES``), so that what a
+task holds doesn't grow with the input; a packed row holds at least one value, so there are never more rows than values.
 
 Defined results: null text is empty text (0 words); texts shorter than a window keep
 all words; repeated rows are separate texts, so their windows repeat; null ids are kept
@@ -33,8 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import arrays as A
-from sluice.llm.tables import partitions
+from sluice.llm.tables import input_bytes, partitions, small_batches
 
+#: Input bytes of a part, whose texts a task holds at once.
+PART_BYTES = 16 << 20
+#: Copies of one row that are written out by one step.
+COPIES = 10_000
 #: Perfect difference sets: each non-zero remainder of the period is the difference of exactly one pair.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 ANCHOR_BASE, LEFT_BASE, RIGHT_BASE = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0xB564EF22EC7AECE5
@@ -57,6 +63,8 @@ class _Part:
             self.count.append(w.count)
         self.value = np.concatenate(value or [np.zeros(0, np.uint64)])
         self.count = np.concatenate(self.count or [np.zeros(0, np.int64)])
+        copies = table.column("n").to_numpy() if table.num_rows else np.zeros(0, np.int64)
+        self.copies = np.repeat(copies, self.count) if (copies > 1).any() else None  # of each word those of its text
         self.first = np.concatenate(([0], np.cumsum(self.count)))
         self.place = np.arange(len(self.value)) - np.repeat(self.first[:-1], self.count)
         self.left = np.repeat(self.count, self.count) - self.place  # words from here to the end of the text
@@ -66,8 +74,12 @@ class _Part:
         length = self.window - self.period + 1
         at = np.flatnonzero(np.isin(self.place % self.period, COVERS[self.period]) & (self.left >= length) & (self.place + self.left >= self.window))
         value = A.windows(self.value, length, ANCHOR_BASE)[at] if len(at) else np.zeros(0, np.uint64)
-        keys, index, count = np.unique(value, return_inverse=True, return_counts=True)
-        return keys.reshape(-1, 1), at, index, count
+        keys, index = np.unique(value, return_inverse=True)
+        return keys.reshape(-1, 1), at, index, self._times(at, index, len(keys))
+
+    def _times(self, at: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
+        """How often each of ``n`` values occurs in the part, copies included."""
+        return np.bincount(index, None if self.copies is None else self.copies[at], minlength=n)
 
     def windows(self, repeated: np.ndarray):
         """The same for windows over one of the ``repeated`` anchor places. Keys have two 64-bit columns."""
@@ -85,7 +97,7 @@ class _Part:
         new[1:] = (key[order[1:]] != key[order[:-1]]).any(1)
         index = np.empty(len(at), np.int64)
         index[order] = np.cumsum(new) - 1
-        return key[order[new]], at, index, np.bincount(index)
+        return key[order[new]], at, index, self._times(at, index, int(new.sum()))
 
 
 def _bucket_starts(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -125,6 +137,13 @@ def _elsewhere(step: int, width: int):
     return answer
 
 
+def _counted(batches):
+    """Equal rows of a batch as one row and their number."""
+    for b in batches:
+        t = pa.Table.from_batches([b]).group_by(["id", "text"], use_threads=False).aggregate([([], "count_all")])
+        yield from t.select(["id", "text", "count_all"]).rename_columns(["id", "text", "n"]).combine_chunks().to_batches()
+
+
 BITS = "part int, step int, bucket int, bits binary"
 SENT = "bucket int, part int, keys binary"
 
@@ -133,9 +152,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row a text: id, n_words, n_removed, kept_sha256 (kept words joined by one space), and kept_text if asked for."""
     if not is_cover(period, COVERS[period]) or window < period:
         raise ValueError("window must be at least as long as the period of a difference cover")
-    buckets = partitions(docs.sparkSession)
-    parted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")) \
+    session = partitions(docs.sparkSession)
+    small_batches(docs.sparkSession)
+    buckets = max(session, -(-input_bytes(docs) // PART_BYTES))
+    parted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
+        .mapInArrow(_counted, "id long, text string, n long") \
         .withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int"))
+    parted = parted.repartition(buckets, "part") if buckets > session else parted.repartition("part")
+    parted = parted.groupBy("part", "id", "text").agg(F.sum("n").alias("n"))  # inside the part: no further exchange
 
     def send_anchors(table: pa.Table) -> pa.Table:
         return _sent(table.column("part")[0].as_py(), _Part(table, window, period).anchors()[0], buckets)
@@ -152,7 +176,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _sent(table.column("part")[0].as_py(), repeated_windows(table, bits)[1][0], buckets)
 
     def cut(table: pa.Table, bits: pa.Table) -> pa.Table:
-        out = {"id": [], "n_words": [], "n_removed": [], "kept_sha256": [], "kept_text": []}
+        out = {"id": [], "n_words": [], "n_removed": [], "kept_sha256": [], "kept_text": [], "n": []}
         if table.num_rows:
             p, (keys, at, index, count) = repeated_windows(table, bits)
             change = np.zeros(len(p.value) + 1, np.int32)
@@ -170,8 +194,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out["n_removed"].append(n)
                 out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
                 out["kept_text"].append(left.decode() if with_text else None)
-            out["id"] = table.column("id")
-        kinds = {"id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
+            out["id"], out["n"] = table.column("id"), table.column("n")
+        kinds = {"id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string(), "n": pa.int64()}
         return pa.table({c: out[c] if isinstance(out[c], pa.ChunkedArray) else pa.array(out[c], t) for c, t in kinds.items()})
 
     by_part = parted.groupBy("part")
@@ -179,5 +203,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wide = by_part.cogroup(anchors.groupBy("part")).applyInArrow(send_windows, SENT) \
         .groupBy("bucket").applyInArrow(_elsewhere(2, 2), BITS)
     done = by_part.cogroup(anchors.unionAll(wide).groupBy("part")) \
-        .applyInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+        .applyInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string, n long")
+    done = done.withColumn("from", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(COPIES)))) \
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("n") - F.col("from"), F.lit(COPIES)))))
     return done.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else []))
