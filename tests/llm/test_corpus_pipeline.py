@@ -118,3 +118,11 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert CP.run(spark, str(tmp_path)).count() == 0
+
+
+def test_benchmarks_without_items_remove_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([r for r in texts() if r[1]], COLUMNS)
+    for name, items in (("none", []), ("blank", [(1, None), (2, ""), (3, " \t ")])):
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        kept = CP.benchmark_decontamination(spark, docs, f"{tmp_path}/{name}")
+        assert collections.Counter(map(tuple, kept.collect())) == collections.Counter(map(tuple, docs.collect()))
