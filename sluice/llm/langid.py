@@ -15,12 +15,12 @@ their checksum, and each is coded by the counts of the other half's training tex
 1, 2, 4 .. 4096 bytes from the middle of training texts give a median and an upper quartile of bits a byte for each length, frozen with
 the counts. A text may take twice the median, or the median and ``SPREAD`` (8) times what the quartile is above it if that is more,
 told by the greatest of those lengths that it has, and ``SPARE`` (64) bits in all: eight bytes of a name or number that no language
-knows, so words of a learned language stay. Lengths with under ``FEWEST`` (8) training texts go by the next shorter one; a language that
+knows, so words of a learned language stay. The rates are counted in steps of 1 / ``STEPS`` (1,024) bit, so that a quantile is told by
+a histogram whose size does not grow with the texts. Lengths with under ``FEWEST`` (8) training texts go by the next shorter one; a language that
 has no length with as many has no limit.
 
-Training. The texts of ``SAMPLE`` (1,000) documents a language, those first in a hash order of id and text (a documented bound:
-fewer if the language has fewer). All languages are learned. The counts are a grouped aggregation; what reaches the driver is bounded
-by the sample of each language, as Arrow arrays.
+Training. All texts of every language, but the held-out ones. The counts are a grouped aggregation; what reaches the driver, as Arrow
+arrays, is one row for each different run of ORDER + 1 bytes or fewer of a language. Their number is bounded by the language's letters, not by its texts.
 
 Defined results: null text or one without a letter is ``und`` with score 0; ties go to the smaller language name; documents
 with a null language or null id aren't learned from; with no labelled document all are ``und``; repeated rows get equal
@@ -38,10 +38,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.arrays import column_bytes, release, slices, trim
-from sluice.llm.tables import Tables, free_name, small_batches
+from sluice.llm.tables import free_name, small_batches
 
-ORDER, SAMPLE, RUNS = 3, 1000, 1 << 21
-SPREAD, SPARE, FEWEST, LENGTHS = 8, 64, 8, 13
+ORDER, RUNS = 3, 1 << 21
+SPREAD, SPARE, FEWEST, LENGTHS, STEPS = 8, 64, 8, 13, 1024
 UND = "und"
 
 
@@ -61,19 +61,28 @@ def held_out(id_col: str) -> Column:
 
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
-    """(lang, length, gram, n) over (lang, text): how often each run of 1 to ORDER + 1 bytes occurs; a run is its bytes as one number."""
+    """(lang, length, gram, n) over (lang, text): how often each run of 1 to ORDER + 1 bytes occurs; a run is its bytes as one number.
+
+    Texts are searched for their longest runs alone. Every shorter run begins a longest one, or stands among the last ORDER bytes of a text.
+    """
     def run(batches):
         for b in batches:
             for part in slices(b, "text", 1 << 21):
                 lang = part.column("lang").to_pylist()
                 data, off = lower_bytes(part.column("text"))
                 for name in sorted(set(lang)):
-                    mine = [k for k, x in enumerate(lang) if x == name]
+                    mine = [data[off[k]: off[k + 1]] for k, x in enumerate(lang) if x == name]
                     for length in range(1, ORDER + 2):
-                        grams = np.concatenate([_grams(data[off[k]: off[k + 1]], length) for k in mine])
-                        g, n = np.unique(grams, return_counts=True)
-                        yield pa.record_batch({"lang": pa.array([name] * len(g), pa.string()), "length": pa.array(np.full(len(g), length), pa.int32()), "gram": pa.array(g), "n": pa.array(n, pa.int64())})
-    return labelled.select("lang", "text").mapInArrow(run, "lang string, length int, gram long, n long").groupBy("lang", "length", "gram").agg(F.sum("n").alias("n"))
+                        grams = np.concatenate([_grams(x if length > ORDER else x[-length:], length) for x in mine])
+                        g, n = np.unique(grams.astype(np.uint32), return_counts=True)
+                        yield pa.record_batch({"lang": pa.array([name] * len(g), pa.string()), "length": pa.array(np.full(len(g), length), pa.int32()), "gram": pa.array(g.astype(np.int64)), "n": pa.array(n, pa.int64())})
+            trim()
+        release()
+    by = ["lang", "length", "gram"]
+    found = labelled.select("lang", "text").mapInArrow(run, "lang string, length int, gram long, n long").groupBy(*by).agg(F.sum("n").alias("n"))
+    # a run and those that it begins with
+    heads = F.expr("transform(sequence(1, length), k -> struct(k AS length, shiftright(gram, 8 * (length - k)) AS gram))")
+    return found.select("lang", F.explode(heads).alias("h"), "n").select("lang", "h.*", "n").groupBy(*by).agg(F.sum("n").alias("n"))
 
 
 def _grams(data: np.ndarray, length: int) -> np.ndarray:
@@ -86,16 +95,10 @@ def _grams(data: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, each: int) -> DataFrame:
-    """(lang, text) of the ``each`` first documents of every language in a hash order, held-out ones left out."""
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col)) \
-        .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("order"), F.col(id_col).alias("id"))
-    # a share of each language by the hash of the id, some times what is wanted, so that what is ordered doesn't grow with the corpus
-    sizes = rows.groupBy("lang").agg((F.lit(8.0 * each) / F.count("*")).alias("share")).withColumnRenamed("lang", "l")
-    some = rows.join(F.broadcast(sizes), (F.col("lang") == F.col("l")) & (F.pmod("order", F.lit(1 << 20)) < F.col("share") * (1 << 20))) \
-        .where(F.col("text").isNotNull())
-    first = Window.partitionBy("lang").orderBy("order", "id", "text")
-    return some.withColumn("k", F.row_number().over(first)).where(F.col("k") <= each).select("lang", "text")
+def training(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, text) of all documents with an id, a language and a text, but the held-out ones."""
+    return docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)) \
+        .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
 
 class Model:
@@ -189,15 +192,27 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", each: int = SAMPLE) -> Model:
+def quartiles(seen: DataFrame) -> DataFrame:
+    """(lang, k, n, median, upper quartile) of a histogram (lang, k, rate, c), interpolated between neighbours as ``percentile`` does."""
+    below = Window.partitionBy("lang", "k").orderBy("rate")
+    seen = seen.withColumns({"upto": F.sum("c").over(below), "n": F.sum("c").over(Window.partitionBy("lang", "k"))})
+
+    def at(share: float) -> Column:
+        place = (F.col("n") - 1) * F.lit(share)
+        low, high = (F.min(F.when(F.col("upto") > x, F.col("rate"))) for x in (F.floor(place), F.ceil(place)))
+        return low + (high - low) * F.max(place - F.floor(place))
+    return seen.groupBy("lang", "k").agg(F.max("n").alias("n"), at(0.5).alias("median"), at(0.75).alias("upper"))
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     small_batches(docs.sparkSession)
-    return Model(gram_counts(sample(docs, id_col, text_col, lang_col, each)).toArrow())
+    return Model(gram_counts(training(docs, id_col, text_col, lang_col)).toArrow())
 
 
-def train_halves(docs: DataFrame, id_col: str, text_col: str, lang_col: str, each: int):
+def train_halves(docs: DataFrame, id_col: str, text_col: str, lang_col: str):
     """The model of all training texts, those of each half, and by language LENGTHS limits: the most bits a byte of a text of 2**k bytes or more, apart from SPARE."""
-    spark, tables = docs.sparkSession, Tables(docs.sparkSession, "langid")
-    rows = tables.write(sample(docs, id_col, text_col, lang_col, each).withColumn("half", (F.crc32(F.col("text").cast("binary")) % 2).cast("string")), "sample")
+    spark = docs.sparkSession
+    rows = training(docs, id_col, text_col, lang_col).withColumn("half", (F.crc32(F.col("text").cast("binary")) % 2).cast("string"))
     found = gram_counts(rows.select(F.concat("half", "lang").alias("lang"), "text")).toArrow()
     named = found.set_column(0, "lang", pc.utf8_slice_codeunits(found.column("lang"), 1))
     half = pc.utf8_slice_codeunits(found.column("lang"), 0, 1)
@@ -217,11 +232,14 @@ def train_halves(docs: DataFrame, id_col: str, text_col: str, lang_col: str, eac
                         if len(use):
                             first = off[:-1][use] + (size[use] - (1 << length)) // 2
                             bits = m.bits(data[(first[:, None] + np.arange(1 << length)).reshape(-1)], np.arange(len(use) + 1) << length)[np.arange(len(use)), of[use]]
-                            yield pa.record_batch({"lang": part.column("lang").take(pa.array(use)), "k": pa.array(np.full(len(use), length), pa.int32()), "rate": pa.array(bits / (1 << length))})
-    spread = rows.mapInArrow(rates, "lang string, k int, rate double").groupBy("lang", "k").agg(F.percentile("rate", F.array(F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("n"))
+                            yield pa.record_batch({"lang": part.column("lang").take(pa.array(use)), "k": pa.array(np.full(len(use), length), pa.int32()), "rate": pa.array(np.rint(bits / (1 << length) * STEPS).astype(np.int64))})
+            trim()
+        release()
+    seen = rows.mapInArrow(rates, "lang string, k int, rate long").groupBy("lang", "k", "rate").agg(F.count("*").alias("c"))
     limits: dict[str, np.ndarray] = {}
-    for r in spread.where(F.col("n") >= FEWEST).orderBy("lang", "k").collect():  # LENGTHS rows a language at most
-        limits.setdefault(r["lang"], np.full(LENGTHS, np.inf))[r["k"]:] = r["q"][0] + max(r["q"][0], SPREAD * (r["q"][1] - r["q"][0]))
+    for r in quartiles(seen).where(F.col("n") >= FEWEST).orderBy("lang", "k").collect():  # LENGTHS rows a language at most
+        median, upper = r["median"] / STEPS, r["upper"] / STEPS
+        limits.setdefault(r["lang"], np.full(LENGTHS, np.inf))[r["k"]:] = median + max(median, SPREAD * (upper - median))
     return Model(whole), halves, limits
 
 
@@ -295,15 +313,15 @@ def _over(one):
     return every
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", each: int = SAMPLE) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row a document: id, held_out, lang_pred, score."""
-    say = predictor(train(docs, id_col, text_col, lang_col, each), docs.sparkSession)
+    say = predictor(train(docs, id_col, text_col, lang_col), docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), say(F.col(text_col)).alias("p"))
     return rows.select(F.col("id").alias(id_col), "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", each: int = SAMPLE) -> DataFrame:
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs``, all columns, without texts that have no letter or that no language explains by its code length."""
     small_batches(docs.sparkSession)
-    say, p = explained(*train_halves(docs, id_col, text_col, lang_col, each), docs.sparkSession), free_name(docs, "identified")
+    say, p = explained(*train_halves(docs, id_col, text_col, lang_col), docs.sparkSession), free_name(docs, "identified")
     return docs.withColumn(p, say(F.col(text_col))).where(F.col(p)).select(*docs.columns)
