@@ -1,6 +1,7 @@
 """Claims of a stream: a history of windows per event id, and rows judged against it.
 
-The state call sees no message. Per micro-batch and id it gets the times of successful runs, packed
+The state call sees no message. Ids are kept in ``BUCKETS`` groups by their hash, one call a group and micro-batch, as a call an id
+costs a hundred times what it does. Per id it gets the times of successful runs, packed
 by task (``pack_times``), and returns the windows that its history holds and those the batch adds
 (``claim_windows``); the rows themselves are joined to these windows afterwards (``judge``). So an id that holds a
 third of a batch is eight bytes a row in one state call, and its rows stay split over tasks.
@@ -34,7 +35,11 @@ LONGS = T.ArrayType(T.LongType())
 PACKED = "event_id string, times array<bigint>"
 WINDOWS = T.StructType([T.StructField("event_id", T.StringType()), T.StructField("held", LONGS), T.StructField("opened", LONGS)])
 HISTORY = T.StructType([T.StructField("start_us", LONGS), T.StructField("made_ms", LONGS)])
+BUCKET_HISTORY = T.StructType([T.StructField("event_id", T.ArrayType(T.StringType())), *HISTORY.fields])
 PACK_ROWS = 1 << 20
+#: Groups of the state. A group holds the ids that have a claim now and hash to it, and is written anew when one of them comes: raise it with the ids
+#: alive at a time. A checkpoint keeps the number it began with.
+BUCKETS = 1 << 14
 
 
 def pack_times(batches):
@@ -97,11 +102,46 @@ def claim_state(ttl_s: int, keep_s: int):
     return call
 
 
-def claim_windows(rows: DataFrame, ttl_s: int = K.DEDUP_TTL_S, keep_s: int | None = None) -> DataFrame:
+def bucket_state(ttl_s: int, keep_s: int):
+    """``claim_state`` for all ids of a group in one call; what it returns for an id is the same."""
+    ttl_us, keep_ms = ttl_s * 1_000_000, keep_s * 1000
+
+    def call(key, pdfs, state):
+        now, timed_out = state.getCurrentProcessingTimeMs(), state.hasTimedOut
+        left = [x for x in zip(*state.get) if x[2] + keep_ms > now] if state.exists else []
+        held: dict[str, list[int]] = {}
+        for i, s, _ in left:
+            held.setdefault(i, []).append(s)
+        times: dict[str, list] = {}
+        if not timed_out:
+            for pdf in pdfs:
+                for i, x in zip(pdf["event_id"], pdf["times"]):
+                    times.setdefault(i, []).append(x)
+        out = []
+        for i, parts in times.items():
+            starts = held.get(i, [])
+            if not starts and len(parts) == 1 and len(parts[0]) < 2:
+                opened = [int(t) for t in parts[0]]
+            else:
+                opened = open_windows(starts, np.unique(np.concatenate([np.asarray(x, np.int64) for x in parts])), ttl_us)
+            out.append((i, starts, opened))
+            left += [(i, s, now) for s in opened]
+        if left:
+            state.update(tuple(list(x) for x in zip(*left)))
+            state.setTimeoutDuration(max(1, min(m for _, _, m in left) + keep_ms - now))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=WINDOWS.names)
+    return call
+
+
+def claim_windows(rows: DataFrame, ttl_s: int = K.DEDUP_TTL_S, keep_s: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Stream of (event_id, clock, ok) -> (event_id, held, opened): one row an id and micro-batch."""
     narrow = rows.where("event_id IS NOT NULL AND clock IS NOT NULL").select("event_id", F.unix_micros("clock").alias("clock_us"), "ok")
-    return narrow.mapInArrow(pack_times, PACKED).groupBy("event_id").applyInPandasWithState(
-        claim_state(ttl_s, ttl_s if keep_s is None else keep_s), outputStructType=WINDOWS, stateStructType=HISTORY,
+    packed = narrow.mapInArrow(pack_times, PACKED).withColumn("bucket", F.pmod(F.xxhash64("event_id"), F.lit(buckets)).cast("int"))
+    return packed.groupBy("bucket").applyInPandasWithState(
+        bucket_state(ttl_s, ttl_s if keep_s is None else keep_s), outputStructType=WINDOWS, stateStructType=BUCKET_HISTORY,
         outputMode="append", timeoutConf=GroupStateTimeout.ProcessingTimeTimeout)
 
 
