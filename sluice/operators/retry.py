@@ -42,6 +42,7 @@ def retry_timeline(parsed_retry: DataFrame, now: Column, ticks: Sequence[Column]
     ok = parsed_retry.where(F.col("retry_error").isNull() & (F.col(clock_col) <= now)) \
         .select("event_id", _due_s().alias("due_s"), F.col(clock_col).alias("scheduled_at"), *POSITION)
     from sluice.session import materialize
+    ok = materialize(ok, "retry-ok")  # the ranking reads its rows twice: they are parsed once
     ranked = materialize(rank_within(ok, ["event_id"], ["scheduled_at", *POSITION], out="seq"), "retry-ranked")
     later = ranked.select("event_id", (F.col("seq") - 1).alias("seq"), F.col("scheduled_at").alias("_next"))
     t = ranked.join(later, ["event_id", "seq"], "left")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from sluice.functions.hashing import fnv1a32
 from sluice.operators import parse as P
+from sluice.operators import retry as RT
+from sluice.sources import fixtures
 
 T0 = dt.datetime(2024, 1, 1)
 GOOD = ('{"version":1,"eventId":"e1","eventType":"A","tenantId":"t","timestamp":"2024-01-01T00:00:00Z",'
@@ -55,3 +57,32 @@ def test_hash_of_every_byte_without_a_number_parse_a_byte(spark):
     df = spark.createDataFrame([(k,) for k in [*keys, None]], "k STRING").select("k", fnv1a32(F.col("k")).alias("h"))
     assert {r.k: r.h for r in df.collect()} == {**{k: fnv(k) for k in keys}, None: None}
     assert "conv(" not in plan(df)
+
+
+def test_timeline_ranks_written_rows(spark, monkeypatch):
+    seen = []
+
+    def ranks(df, *a, **kw):
+        seen.append(plan(df))
+        return rank_within(df, *a, **kw)
+    rank_within = RT.rank_within
+    monkeypatch.setattr(RT, "rank_within", ranks)
+    late = GOOD.replace("00:00:30Z", "00:99:30Z")
+    rows = RT.retry_timeline(P.parse_retry_envelope(raw(spark, [GOOD, late, GOOD])), F.lit(T0 + dt.timedelta(hours=1))).collect()
+    assert sorted((r.seq, r.end) for r in rows) == [(1, "replaced"), (2, "released")]
+    assert len(seen) == 1 and "from_json" not in seen[0].lower() and "jsontostructs" not in seen[0].lower()
+
+
+def test_retry_log_ranks_written_rows(spark, monkeypatch):
+    seen = []
+    rank_within = fixtures.rank_within
+    monkeypatch.setattr(fixtures, "rank_within", lambda df, *a, **kw: (seen.append(plan(df)), rank_within(df, *a, **kw))[1])
+    ev = spark.createDataFrame([(i, T0 + dt.timedelta(seconds=i), i % 7, "error", 1.0, '{"k":1}') for i in range(1, 60)],
+                               "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING")
+    from sluice.operators import route as R
+    from sluice.plans.triage import run_triage
+    m = fixtures.messages_from_events(ev)
+    t = run_triage(m, R.registry_frame(spark), R.topics_frame(spark), fault_col="fault")
+    log = fixtures.retry_log(t, m)
+    assert log.count() == t.where("outcome = 'retry'").count() + m.where("topic = 'payments' AND source_id % 11 = 0").count() > 0
+    assert "from_json" not in seen[-1].lower() and "to_json" not in seen[-1].lower()
